@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -138,6 +139,11 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def extended(df: DataFrame, *columns: tuple[str, str]) -> T.StructType:
+    """The schema of ``df`` with (name, type) columns after its own."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t in columns)])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

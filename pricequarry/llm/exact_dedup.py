@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, free_name, join_skewed, raw, read, texts, written
+from ._common import dropped, extended, free_name, join_skewed, raw, read, texts, written
 
 #: What makes no difference between texts: [\x20\x09-\x0D].
 BLANK = b" \t\n\x0b\x0c\r"
@@ -181,7 +181,7 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
             m = maybe_repeated(d, bits.value, slots) if b.num_rows else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([*b.columns, d, pc.cast(pc.utf8_length(texts(b, text_column)), pa.int64()), pa.array(m, pa.bool_())], names=names)
 
-    schema = df.schema.add(hashed, "binary").add(length, "long").add(maybe, "boolean")
+    schema = extended(df, (hashed, "binary"), (length, "long"), (maybe, "boolean"))
     tested = df.mapInArrow(test, schema)
     straight = tested.where(~F.col(maybe)).select(*df.columns)
     if not many:

@@ -1,8 +1,8 @@
 """All queries of this subpackage."""
 
-from . import exact_dedup
+from . import exact_dedup, sharding, simhash, url_filter
 
-MODULES = (exact_dedup,)
+MODULES = (simhash, sharding, exact_dedup, url_filter)
 
 
 def queries() -> dict:
