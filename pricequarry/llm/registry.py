@@ -1,8 +1,8 @@
 """All queries of this subpackage."""
 
-from . import exact_dedup, packing, sharding, simhash, tokens, url_filter
+from . import exact_dedup, minhash, packing, sharding, simhash, tokens, url_filter
 
-MODULES = (packing, simhash, sharding, exact_dedup, tokens, url_filter)
+MODULES = (minhash, packing, simhash, sharding, exact_dedup, tokens, url_filter)
 
 
 def queries() -> dict:
