@@ -2,8 +2,9 @@
 
 Encoding: a space before a character that is not blank always starts a new
 pre-token, so the stretches between such spaces are encoded on their own, each
-distinct one once, and a text's ids are those of its stretches joined. Texts where a
-space has another blank beside it go to the library whole.
+distinct one once, and a text's ids are those of its stretches joined. A stretch that
+is new is cut further where letters meet one mark or a line's end, for its parts may
+be known. Texts where a space has another blank beside it go to the library whole.
 
 Files: the ids of a partition's documents in ascending doc_id order, in blocks of
 BLOCK_IDS ids. A block is a run of 64-bit words: four bits select how many ids of
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from ._common import fitting, new_path, opened, put_whole, read, texts, written
 
-#: Distinct stretches that a Python worker remembers (about 220 bytes each), across the tasks it runs: so many of the latest, and as many from before them.
-MOST_STRETCHES = 350_000
+#: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
+MOST_STRETCHES, MOST_PARTS = 450_000, 200_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ODD = re.compile(r" (?=\s|\Z)")
+_ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,7 +57,16 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.keeps_blanks, self.known, self.older = keeps_blanks, {}, {}
+        self.keeps_blanks = keeps_blanks
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # a line's end between other characters, or a control character between spaces that are dropped, is one pre-token and one id
+        mark = "\n" if keeps_blanks else " \x01 "
+        ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        if len(ids) != 1:
+            raise ValueError("the tokenizer has no mark of one id")
+        self.mark = mark, ids[0]
 
     @classmethod
     def of(cls, path: str, keeps_blanks: bool) -> Encoder:
@@ -64,17 +77,78 @@ class Encoder:
     def whole(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def stretches(self, text: str) -> list[str] | None:
-        """Parts that can be encoded on their own, or None for a text that has to go whole."""
-        if not self.keeps_blanks:
-            return text.replace("\n", " ").split(" ")
-        parts = text.split(" ")
-        first = parts[0]
-        rest = parts[1:]
-        for p in rest:
-            if not p or p[0].isspace():
-                return None
-        return [first, *(" " + p for p in rest)]
+    def many(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that borders stand around: encoded together between marks that are always one id, and cut there."""
+        mark, mark_id = self.mark
+        out: list[bytes] = []
+        for at in range(0, len(parts), 2000):
+            some = parts[at : at + 2000]
+            if any(x.strip() == "" or mark.strip(" ") in x for x in some):
+                out += self.whole(some)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == mark_id)
+            if len(cuts) != len(some) - 1:  # a part holds the mark's id itself
+                out += self.whole(some)
+                continue
+            flat = ids.tobytes()
+            out += [flat[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)], strict=True)]
+        return out
+
+    def cut(self, stretch: str, lead: str) -> list[str]:
+        """Parts of a stretch that can be encoded on their own, the first with the space before it: lines, and a word and the marks after it."""
+        lines = stretch.split("\n") if self.keeps_blanks else [stretch]
+        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+            return [lead + stretch]
+        out: list[str] = []
+        for i, x in enumerate(lines):
+            if i:
+                out.append("\n")
+            m = _ENDED.match(x)
+            first, rest = m.groups() if m else (x, "")
+            out.append(first if i else lead + first)
+            if rest:
+                out.append(rest)
+        return out
+
+    def learn(self, stretches: list[str], lead: str) -> list[str]:
+        """Adds the ids of stretches to those known, and returns the ones that are hardly worth keeping after their texts: with a line's end, or a new word with marks."""
+        if len(self.parts) > MOST_PARTS:
+            self.parts.clear()
+        known, older, parts = self.known, self.older, self.parts
+        fresh, others = set(), set()  # words and other parts that nothing is known of
+        ended, cut, passing = [], [], []
+        for s in stretches:
+            if s.isalpha():
+                fresh.add(s)
+            elif m := _ENDED.match(s):
+                word, marks = m.groups()
+                ids = known.get(word) or older.get(word)
+                if ids is None:
+                    fresh.add(word)
+                    passing.append(s)
+                ended.append((s, word, marks, ids))
+                others.add(marks)
+            else:
+                xs = self.cut(s, lead)
+                cut.append((s, xs))
+                for x in xs:
+                    if x not in parts:
+                        ids = known.get(x[1:]) if lead and x[0] == lead else None
+                        if ids:
+                            parts[x] = ids
+                        else:
+                            others.add(x)
+                if "\n" in s:
+                    passing.append(s)
+        words, new = list(fresh), [x for x in others if x not in parts]
+        known.update(zip(words, self.many([lead + w for w in words]), strict=True))
+        parts.update(zip(new, self.many(new), strict=True))
+        for s, word, marks, ids in ended:
+            known[s] = (ids or known[word]) + parts[marks]
+        for s, xs in cut:
+            known[s] = b"".join([parts[x] for x in xs])
+        return passing
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -83,16 +157,26 @@ class Encoder:
         return out
 
     def _encode(self, batch: list[str]) -> list[bytes]:
-        parts = [self.stretches(t) for t in batch]
+        if self.keeps_blanks:
+            odd = [_ODD.search(t) is not None for t in batch]
+            split = [[] if o else t.split(" ") for t, o in zip(batch, odd, strict=True)]
+            heads = iter(self.whole([s[0] for s in split if s]))
+            split = [s[1:] for s in split]
+        else:
+            odd = [False] * len(batch)
+            split = [t.replace("\n", " ").split(" ") for t in batch]
+            heads = iter([b""] * len(batch))
+        whole = iter(self.whole([t for t, o in zip(batch, odd, strict=True) if o]))
         if len(self.known) > MOST_STRETCHES:
-            self.known, self.older = {}, self.known
+            self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        new = {p for ps in parts if ps is not None for p in ps if p not in known}
-        known.update({p: older[p] for p in new if p in older})
-        new = [p for p in new if p not in known]
-        known.update(zip(new, self.whole(new), strict=True))
-        odd = iter(self.whole([t for t, ps in zip(batch, parts, strict=True) if ps is None]))
-        return [next(odd) if ps is None else b"".join([known[p] for p in ps]) for ps in parts]
+        new = set().union(*split).difference(known)
+        known.update({x: older[x] for x in new if x in older})
+        passing = self.learn([x for x in new if x not in known], " " if self.keeps_blanks else "")
+        out = [next(whole) if o else next(heads) + b"".join(map(known.__getitem__, s)) for o, s in zip(odd, split, strict=True)]
+        for s in passing:
+            del known[s]
+        return out
 
 
 # ---------------------------------------------------------------- Simple-8b
@@ -129,7 +213,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
         while c < COUNTS[s]:
             np.maximum(widest, width[c : n + c], out=widest)
             c += 1
-        best[(widest <= WIDTHS[s]) & (left >= c)] = s
+        # what fits a selector fits all that hold fewer ids, so the best one's number is found by counting
+        best -= ((widest <= WIDTHS[s]) & (left >= c)).view(np.int8)
     # walk all blocks in step, a word of each at a time
     steps = np.r_[COUNTS, 1]
     live = np.arange(blocks)
@@ -153,8 +238,10 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
     for s in np.unique(chosen[~escape]):
         if WIDTHS[s]:
             own = np.flatnonzero(chosen == s)
+            at, held = place[own], np.full(len(own), int(s) << 60, np.uint64)
             for k in range(int(COUNTS[s])):
-                words[first[own]] |= ids[place[own] + k].astype(np.uint64) << np.uint64(k * int(WIDTHS[s]))
+                held |= ids[at + k].astype(np.uint64) << np.uint64(k * int(WIDTHS[s]))
+            words[first[own]] = held
     sizes = np.bincount(owner, weights=1 + escape, minlength=blocks).astype(np.int64)
     return words, np.r_[0, np.cumsum(sizes)]
 
