@@ -276,9 +276,9 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             continue
         mean = float(np.average(own.bits, weights=own.n))
         over = (own.bits - mean).to_numpy()
-        # the largest excess that labelled texts show, as a part that shrinks with length and one that does not, and as much again
+        # half way to what letters at random would cost, and for short texts twice the excess that all but one in a thousand labelled texts keep to
         spread = 2 * max(1.0, float((over * np.sqrt(own.n)).clip(lower=0).quantile(0.999)))
-        limits[i] = (mean, spread, 0.5)
+        limits[i] = (mean, spread, max(0.5, (math.log2(len(model.keys[1]) + 1) - mean) / 2))
     model.limits = limits
     shared.unpersist()
     return model

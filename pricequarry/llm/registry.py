@@ -1,8 +1,8 @@
 """All queries of this subpackage."""
 
-from . import exact_dedup, language_id, minhash, packing, sharding, simhash, tokens, url_filter
+from . import exact_dedup, language_id, minhash, packing, sharding, simhash, tokens, url_filter, warc
 
-MODULES = (minhash, packing, simhash, language_id, sharding, exact_dedup, tokens, url_filter)
+MODULES = (minhash, packing, simhash, language_id, sharding, exact_dedup, tokens, warc, url_filter)
 
 
 def queries() -> dict:
