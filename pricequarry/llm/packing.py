@@ -4,9 +4,9 @@ Documents longer than a sequence are cut; what is left over is packed into seque
 of CAPACITY tokens. Groups of pieces are packed by best-fit decreasing. A lower bound
 from dual feasible functions certifies a group's count of sequences where they meet.
 Where they do not, the group has a gap. Then pieces are exchanged: each group gives up
-its emptiest sequence, and two more for each sequence over its bound; their pieces are
-dealt to fewer groups and packed again, until a bound over all pieces certifies the
-whole or one group holds all that is left.
+the sequences with room for 1/64 or more, its emptiest one, and two more for each
+sequence over its bound; their pieces are dealt to half as many groups and packed again,
+until a bound over all pieces certifies the whole or one group holds all that is left.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from ._common import read, texts, written
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 2048
-#: Pieces that one group packs in memory (about 60 bytes each).
-GROUP_PIECES = 4096
+#: Pieces that one group packs at first (about 60 bytes each in memory), and at most after exchanges.
+GROUP_PIECES, MOST_PIECES = 4096, 1 << 18
+#: Sequences with this share of room are given up.
+LOOSE = 1 / 64
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -120,6 +122,7 @@ def _pack(capacity: int, round_no: int):
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         given = np.zeros(n_bins, bool)
         given[np.argsort(used, kind="stable")[: 1 + 2 * (n_bins - bound)]] = True
+        given |= capacity - used >= capacity * LOOSE
         given &= used < capacity
         order = np.lexsort((np.arange(len(bins)), bins))
         sizes = lengths[order]
@@ -165,13 +168,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         packed = written(rest.select(*columns, key.alias("group")).groupBy("group").applyInPandas(_pack(capacity, round_no), schema), "packed")
         state = packed.groupBy("loose", "sequence_id").agg(F.count(F.lit(1)).alias("pieces")).groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("pieces").alias("pieces")).collect()
         n = {r["loose"]: r["n"] for r in state}
-        if kept + sum(n.values()) == bound or groups == 1 or True not in n:
+        after = max(groups // 2, math.ceil({r["loose"]: r["pieces"] for r in state}.get(True, 0) / MOST_PIECES))
+        if kept + sum(n.values()) == bound or groups == 1 or True not in n or after >= groups:
             final.append(packed)
             break
         final.append(packed.where("NOT loose"))
         kept += n.get(False, 0)
         rest, left = packed.where("loose"), {r["loose"]: r["pieces"] for r in state}[True]
-        groups, round_no = min(math.ceil(left / group_pieces), groups - 1), round_no + 1
+        groups, round_no = max(1, after), round_no + 1
     out = final[0].select(*columns, "sequence_id", "offset")
     for part in final[1:]:
         out = out.unionByName(part.select(*columns, "sequence_id", "offset"))
