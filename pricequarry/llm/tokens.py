@@ -189,11 +189,14 @@ BLOCK_IDS = 256
 MAGIC, VERSION = b"PQS8", 1
 
 
+_LENGTHS = np.array([n.bit_length() for n in range(1 << 16)], np.int8)
+
+
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(ids), np.int64)
-    some = ids > 0
-    out[some] = np.frexp(ids[some].astype(np.float64))[1]  # ids are under 2 ** 32, which a double holds
-    return out
+    high = ids >> np.uint32(16)
+    if high.any():
+        return np.where(high > 0, _LENGTHS[high] + np.int8(16), _LENGTHS[ids & np.uint32(0xFFFF)])
+    return _LENGTHS[ids]
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray, np.ndarray]:
@@ -204,8 +207,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     width = np.zeros(n + int(COUNTS[0]), np.int8)
     width[:n] = _bit_lengths(ids)
-    left = np.full(n, block, np.int16)  # ids of the block from here on; a word never holds more, so that counts add up
-    left -= (np.arange(n) % block).astype(np.int16)
+    # ids of the block from here on; a word never holds more, so that counts add up
+    left = np.tile(np.arange(block, 0, -1, dtype=np.int16), blocks)[:n]
     left[(blocks - 1) * block :] -= blocks * block - n
     # the widest of the next c ids, for growing c, against what a selector of c ids holds; the largest c that fits wins
     best, widest, c = np.full(n, ESCAPE, np.int8), width[:n].copy(), 1
@@ -219,16 +222,18 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
     steps = np.r_[COUNTS, 1]
     live = np.arange(blocks)
     at, ends = live * block, np.minimum((live + 1) * block, n)
-    owners, places = [], []
+    walk, each = [], np.zeros(blocks, np.int64)
     while len(live):
-        owners.append(live)
-        places.append(at)
+        walk.append((live, at))
+        each[live] += 1
         at = at + steps[best[at]]
         more = at < ends[live]
         live, at = live[more], at[more]
-    owner, place = np.concatenate(owners), np.concatenate(places)
-    order = np.argsort(owner, kind="stable")
-    owner, place = owner[order], place[order]
+    place = np.empty(int(each.sum()), np.int64)
+    heads = np.cumsum(each) - each
+    for k, (live, at) in enumerate(walk):
+        place[heads[live] + k] = at
+    owner = np.repeat(np.arange(blocks), each)
     chosen = best[place]
     escape = chosen == ESCAPE
     first = np.arange(len(place)) + np.cumsum(escape) - escape  # an escape takes two words
