@@ -43,8 +43,8 @@ def _cut(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int, id_colu
             keys = b.column(b.schema.get_field_index(id_column))
             column = texts(b, text_column)
             rows, out = [], []
-            for at in range(0, b.num_rows, 64):
-                for i, ids in enumerate(encoder.encode(column.slice(at, 64).to_pylist()), at):
+            for at in range(0, b.num_rows, 256):
+                for i, ids in enumerate(encoder.encode(column.slice(at, 256).to_pylist()), at):
                     ids += end
                     for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                         rows.append(i)

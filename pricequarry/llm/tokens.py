@@ -2,9 +2,10 @@
 
 Encoding: a space before a character that is not blank always starts a new
 pre-token, so the stretches between such spaces are encoded on their own, each
-distinct one once, and a text's ids are those of its stretches joined. A stretch that
-is new is cut further where letters meet one mark or a line's end, for its parts may
-be known. Texts where a space has another blank beside it go to the library whole.
+distinct one once, and a text's ids are those of its stretches joined. So does a line's
+end between other characters. A stretch that is new is cut further where letters meet
+marks, for its parts may be known. Texts where a blank has another beside it go to the
+library whole.
 
 Files: the ids of a partition's documents in ascending doc_id order, in blocks of
 BLOCK_IDS ids. A block is a run of 64-bit words: four bits select how many ids of
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from ._common import fitting, new_path, opened, put_whole, read, texts, written
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
-MOST_STRETCHES, MOST_PARTS = 450_000, 200_000
+MOST_STRETCHES, MOST_PARTS = 350_000, 150_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
-_ODD = re.compile(r" (?=\s|\Z)")
+_ODD, _ODD_LINE = re.compile(r" (?=\s|\Z)"), re.compile(r"\n(?=\s|\Z)")
 _ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
 
 
@@ -96,23 +97,15 @@ class Encoder:
         return out
 
     def cut(self, stretch: str, lead: str) -> list[str]:
-        """Parts of a stretch that can be encoded on their own, the first with the space before it: lines, and a word and the marks after it."""
-        lines = stretch.split("\n") if self.keeps_blanks else [stretch]
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return [lead + stretch]
-        out: list[str] = []
-        for i, x in enumerate(lines):
-            if i:
-                out.append("\n")
-            m = _ENDED.match(x)
-            first, rest = m.groups() if m else (x, "")
-            out.append(first if i else lead + first)
-            if rest:
-                out.append(rest)
-        return out
+        """Parts of a stretch that can be encoded on their own, the first with the space before it: a line's end before all, and a word and the marks after it."""
+        line = stretch[0] == "\n"
+        text = stretch[line:]
+        m = _ENDED.match(text)
+        first, *rest = m.groups() if m else (text,)
+        return ["\n", first, *rest] if line else [lead + first, *rest]
 
     def learn(self, stretches: list[str], lead: str) -> list[str]:
-        """Adds the ids of stretches to those known, and returns the ones that are hardly worth keeping after their texts: with a line's end, or a new word with marks."""
+        """Adds the ids of stretches to those known, and returns the ones that are hardly worth keeping after their texts: a new word with marks."""
         if len(self.parts) > MOST_PARTS:
             self.parts.clear()
         known, older, parts = self.known, self.older, self.parts
@@ -139,8 +132,6 @@ class Encoder:
                             parts[x] = ids
                         else:
                             others.add(x)
-                if "\n" in s:
-                    passing.append(s)
         words, new = list(fresh), [x for x in others if x not in parts]
         known.update(zip(words, self.many([lead + w for w in words]), strict=True))
         parts.update(zip(new, self.many(new), strict=True))
@@ -152,14 +143,15 @@ class Encoder:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(batch), 64):
-            out += self._encode(batch[at : at + 64])
+        for at in range(0, len(batch), 256):
+            out += self._encode(batch[at : at + 256])
         return out
 
     def _encode(self, batch: list[str]) -> list[bytes]:
         if self.keeps_blanks:
-            odd = [_ODD.search(t) is not None for t in batch]
-            split = [[] if o else t.split(" ") for t, o in zip(batch, odd, strict=True)]
+            # a line's end between other characters is a border too; a stretch after one begins with it, in place of the space
+            odd = [t[:1].isspace() or _ODD.search(t) is not None or ("\n" in t and _ODD_LINE.search(t) is not None) for t in batch]
+            split = [[] if o else t.replace("\n", " \n").split(" ") for t, o in zip(batch, odd, strict=True)]
             heads = iter(self.whole([s[0] for s in split if s]))
             split = [s[1:] for s in split]
         else:
@@ -303,8 +295,8 @@ def _write(root: str, path: str, keeps_blanks: bool, end_id: int):
             for b in batches:
                 doc_ids.append(b.column(0))
                 column = texts(b, "text")
-                for at in range(0, b.num_rows, 64):
-                    encoded = encoder.encode(column.slice(at, 64).to_pylist())
+                for at in range(0, b.num_rows, 256):
+                    encoded = encoder.encode(column.slice(at, 256).to_pylist())
                     lengths.append(np.array([len(e) // 4 + 1 for e in encoded], np.int64))
                     for e in encoded:
                         pieces += (e, end)
