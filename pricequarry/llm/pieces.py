@@ -13,23 +13,25 @@ the prefix before it, by which the ids are exactly the model's. Characters witho
 
 from __future__ import annotations
 
-import hashlib
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._common import extended, free_name, read, texts
+from ._common import extended, free_name, read, text_of, texts
 from .tokens import tokenizer_path
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Distinct marked words that a Python worker remembers: so many of the latest, and as many from before.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
+#: Pairs of pieces that it remembers to agree or not.
+MOST_PAIRS = 500_000
+LONE = -2
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _MODELS: dict[str, PieceModel] = {}
 
@@ -83,11 +85,13 @@ class PieceModel:
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.fallback = all(sp.is_byte(i) for i in self.bytes)
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.ids))
         self.by_id = [bytes([self.bytes.index(i)]) if self.fallback and sp.is_byte(i) else b"" if sp.is_control(i) else names[i].encode() for i in range(n)]
         used = [self.scores[i] for i in self.ids.values()]
         self.lone = min(used) - 10  # the score of a character without a piece
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.names = names
+        # every ending of a piece: the id if it is a piece itself, else -1
+        self.endings = {p[i:]: -1 for p in self.ids for i in range(1, len(p))} | self.ids
+        self.agree: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -116,48 +120,53 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def agrees(self, left: str, right: str) -> bool:
-        """Whether merging the two pieces' characters gives the two pieces again."""
-        pair = left, right
+    def agrees(self, left: int, right: int) -> bool:
+        """Whether merging the two pieces' characters gives the two pieces again; before the first piece (-1) whether merging gives the piece."""
+        pair = (left << 20) + right
         out = self.agree.get(pair)
         if out is None:
-            if len(self.agree) > 2_000_000:
+            if len(self.agree) > MOST_PAIRS:
                 self.agree.clear()
-            out = self.agree[pair] = self.merged(left + right) == [left, right]
+            two = [self.names[left], self.names[right]] if left >= 0 else [self.names[right]]
+            out = self.agree[pair] = self.merged("".join(two)) == two
         return out
 
     def walk(self, words: list[str]) -> Iterator[list[str]]:
         """The pieces of each of the sorted ``words``; forward states of a shared prefix are made once."""
-        ids, longest, kind = self.ids, self.longest, self.kind
+        endings, scores, kind = self.endings, self.scores, self.kind
         before = ""
-        last: list[str] = [""]  # last[i]: the best last piece of the first i characters
-        score = [0.0]
+        # of the first i characters: the best last piece, its id (LONE for a character without one), the sum of scores
+        last, number, score = [""], [-1], [0.0]
         for word in words:
             n = 0
             for a, b in zip(before, word, strict=False):
                 if a != b:
                     break
                 n += 1
-            del last[n + 1 :], score[n + 1 :]
+            del last[n + 1 :], number[n + 1 :], score[n + 1 :]
             for i in range(len(last), len(word) + 1):
-                if kind == BPE:
-                    for j in range(max(0, i - longest), i):
-                        piece = word[j:i]
-                        if (piece in ids or i - j == 1) and (self.agrees(last[j], piece) if j else len(piece) == 1 or self.whole(piece)):
-                            last.append(piece)
-                            score.append(0.0)
+                best, pick, k = -float("inf"), "", LONE
+                for j in range(i - 1, -1, -1):
+                    piece = word[j:i]
+                    found = endings.get(piece)
+                    if found is None:  # no piece ends so
+                        if j == i - 1:
+                            best, pick, k = score[j] + self.lone, piece, LONE
+                        break
+                    if kind == BPE:
+                        # a character without a piece merges with nothing, so all agrees with it
+                        if found >= 0 and (number[j] == LONE or self.agrees(number[j], found)):
+                            best, pick, k = 0.0, piece, found
                             break
+                        if found < 0 and j == i - 1:
+                            best, pick, k = 0.0, piece, LONE
                     else:
-                        raise AssertionError(f"no piece ends {word[:i]!r}")
-                else:
-                    best, pick = -float("inf"), ""
-                    for j in range(max(0, i - longest), i):
-                        k = ids.get(word[j:i])
-                        s = score[j] + (self.scores[k] if k is not None else self.lone if i - j == 1 else -float("inf"))
+                        s = score[j] + (scores[found] if found >= 0 else self.lone if j == i - 1 else -float("inf"))
                         if s > best:
-                            best, pick = s, word[j:i]
-                    last.append(pick)
-                    score.append(best)
+                            best, pick, k = s, piece, found if found >= 0 else LONE
+                last.append(pick)
+                number.append(k)
+                score.append(best)
             out, i = [], len(word)
             while i:
                 out.append(last[i])
@@ -165,13 +174,6 @@ class PieceModel:
             yield out[::-1]
             before = word
 
-    def whole(self, piece: str) -> bool:
-        """Whether merging a piece's characters gives that piece."""
-        out = self.agree.get(("", piece))
-        if out is None:
-            out = self.agree["", piece] = self.merged(piece) == [piece]
-        return out
-
     def numbers(self, pieces: list[str]) -> bytes:
         """Ids as little-endian 32-bit integers; a piece that is not one becomes its bytes, or the unknown id."""
         out = array("I")
@@ -206,58 +208,52 @@ class PieceModel:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
-def encode_pieces(df: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (binary: little-endian unsigned 32-bit integers) of every whole text. A null text, like an empty one, has none."""
-    name = free_name(df.columns, "ids")
-    schema = extended(df, (name, "binary"))
+def code_pieces(df: DataFrame, path: str, text_column: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` with ``ids`` (binary: little-endian unsigned 32-bit integers) of every whole text, and with ``decoded``, if asked for, the text that those ids give.
+
+    A null text, like an empty one, has no ids. A text that holds the mark itself comes back with a space
+    in its place; all others as they were. New columns whose names are taken get underscores in front.
+    """
+    names = [free_name(df.columns, n) for n in ("ids", "decoded")[: 1 + decoded]]
+    schema = extended(df, *zip(names, ("binary", "string"), strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.of(path)
         for b in batches:
-            column, out = texts(b, text_column), []
             for at in range(0, b.num_rows, 256):
-                out += model.encode(column.slice(at, 256).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
+                part = b.slice(at, 256)
+                ids = model.encode(texts(part, text_column).to_pylist())
+                more = [pa.array([model.decode(x) for x in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary()), *more], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def decode_pieces(df: DataFrame, path: str, ids_column: str = "ids") -> DataFrame:
-    """``df`` with ``decoded``: the text of the ids. A mark in the text that was encoded comes back as a space; everything else as it was. Null ids are none."""
+    """``df`` with ``decoded``: the text of the ids, whoever made them. Null ids are none."""
     name = free_name(df.columns, "decoded")
     schema = extended(df, (name, "string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel.of(path)
         for b in batches:
-            ids = b.column(b.schema.get_field_index(ids_column)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([model.decode(x or b"") for x in ids], pa.string())], names=schema.names)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = part.column(part.schema.get_field_index(ids_column)).to_pylist()
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([model.decode(x or b"") for x in ids], pa.string())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, ids, decoded to doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip."""
-    for b in batches:
-        ids, decoded = b.column(2).to_pylist(), b.column(3).to_pylist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column(0),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                pa.array([x == y for x, y in zip(decoded, texts(b, "text").to_pylist(), strict=True)], pa.bool_()),
-            ],
-            names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
-        )
-
-
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path("piece_bpe_32k.model")
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_pieces(encode_pieces(docs, path), path)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(_digests, f"doc_id {kind}, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    coded = code_pieces(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), decoded=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == text_of("text")).alias("round_trip"),
+    )
 
 
 QUERIES = {"op5_sentencepiece": op5_sentencepiece}

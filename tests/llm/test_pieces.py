@@ -52,10 +52,10 @@ def test_unigram_states_give_the_best_sum():
 
 
 def test_tables(spark, docs, edge_rows, empty, library):
-    coded = Q.encode_pieces(docs.withColumnRenamed("source", "ids"), PATH)
-    assert coded.columns[-1] == "_ids"
+    coded = Q.code_pieces(docs.withColumnRenamed("source", "ids"), PATH, decoded=True)
+    assert coded.columns[-2:] == ["_ids", "decoded"]
     got = Q.decode_pieces(coded, PATH, "_ids").collect()
-    assert sorted(r["decoded"] for r in got) == sorted(r[1] or "" for r in edge_rows)
+    assert sorted(r["decoded"] for r in got) == sorted(r["_decoded"] for r in got) == sorted(r[1] or "" for r in edge_rows)
     want = sorted(zlib.crc32(np.array(library.encode(r[1] or ""), "<u4").tobytes()) for r in edge_rows)
     assert sorted(zlib.crc32(bytes(r["_ids"])) for r in got) == want
-    assert Q.decode_pieces(Q.encode_pieces(empty, PATH), PATH).count() == 0
+    assert Q.decode_pieces(Q.code_pieces(empty, PATH), PATH).count() == 0
