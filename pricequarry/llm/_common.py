@@ -153,3 +153,15 @@ def id_bounds(df: DataFrame, column: str, parts: int) -> list:
     if parts < 2:
         return []
     return sorted(set(df.select(F.col(column).cast("double")).na.drop().approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts)))
+
+
+def ranges_of(column: Column, bounds: list[float]) -> Column:
+    """The number of bounds that a column reaches, found by halving; 0 for null."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(column.cast("double") >= F.lit(bounds[mid]), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, len(bounds)).cast("int")

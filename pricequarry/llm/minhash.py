@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting, id_bounds, join_skewed, raw, read, written
+from ._common import fitting, id_bounds, join_skewed, ranges_of, raw, read, written
 from .components import components
 
 PERMS = 128
@@ -170,11 +170,7 @@ def beside_next(df: DataFrame, id_column: str, text_column: str, rows_each: int
     spark = df.sparkSession
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     bounds = id_bounds(rows, "doc_id", fitting(spark, df.count(), rows_each))
-    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
-    at = F.lit(0)
-    if bounds:
-        at = F.array_size(F.filter(F.lit(bounds), lambda x: x <= number)) if len(bounds) < 64 else _bisect(bounds)(number)
-    spread = rows.withColumn("range", at.cast("int"))
+    spread = rows.withColumn("range", ranges_of(F.col("doc_id"), bounds))
     # a row stands for its range if none is smaller; of rows with equal ids the smallest text does
     firsts = {r["range"]: r["i"] for r in spread.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("v"))).alias("i")).collect()}
     order = sorted(firsts)
@@ -185,18 +181,6 @@ def beside_next(df: DataFrame, id_column: str, text_column: str, rows_each: int
     return whole.repartitionById(max(order) + 1, "range").sortWithinPartitions("range", "carried", "doc_id", "text")
 
 
-def _bisect(bounds: list[float]):
-    """The number of bounds that a column reaches, by halving: a few comparisons for each row."""
-
-    def search(x, low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(x >= F.lit(bounds[mid]), search(x, mid + 1, high)).otherwise(search(x, low, mid))
-
-    return lambda x: search(x, 0, len(bounds))
-
-
 def _edited(text: str, following: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + following[:n]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting, new_path, opened, put_whole, read, texts, written
+from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of, read, texts, written
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
 MOST_STRETCHES, MOST_PARTS = 350_000, 150_000
@@ -208,8 +208,11 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK_IDS) -> tuple[np.ndarray,
         while c < COUNTS[s]:
             np.maximum(widest, width[c : n + c], out=widest)
             c += 1
-        # what fits a selector fits all that hold fewer ids, so the best one's number is found by counting
-        best -= ((widest <= WIDTHS[s]) & (left >= c)).view(np.int8)
+        # what fits a selector fits all that hold fewer ids, so the best one's number is found by counting, and where none fits the rest are not tried
+        fits = (widest <= WIDTHS[s]) & (left >= c)
+        if not fits.any():
+            break
+        best -= fits.view(np.int8)
     # walk all blocks in step, a word of each at a time
     steps = np.r_[COUNTS, 1]
     live = np.arange(blocks)
@@ -258,9 +261,10 @@ def decode_words(words: np.ndarray) -> np.ndarray:
     for k in np.unique(selectors[~raw]):
         if k < ESCAPE and WIDTHS[k]:
             own = np.flatnonzero((selectors == k) & ~raw)
-            place = np.arange(COUNTS[k])
-            held = (words[own][:, None] >> (place * WIDTHS[k]).astype(np.uint64)) & np.uint64((1 << int(WIDTHS[k])) - 1)
-            out[(starts[own][:, None] + place).ravel()] = held.ravel()
+            at, held, mask = starts[own], words[own], np.uint64((1 << int(WIDTHS[k])) - 1)
+            for i in range(int(COUNTS[k])):
+                out[at + i] = held & mask
+                held >>= np.uint64(WIDTHS[k])
     return out
 
 
@@ -353,8 +357,9 @@ def write_token_files(df: DataFrame, root: str, tokenizer: str, keeps_blanks: bo
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    parts = fitting(spark, df.count(), rows_per_file)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    bounds = id_bounds(rows, "doc_id", fitting(spark, df.count(), rows_per_file))
+    part = ranges_of(F.col("doc_id"), bounds)
+    ordered = rows.repartitionById(len(bounds) + 1, part).sortWithinPartitions("doc_id")
     return written(ordered.mapInArrow(_write(root, tokenizer, keeps_blanks, end_id), "part int, uri string, docs long, ids long, bytes long"), "manifest")
 
 
@@ -428,7 +433,7 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                     names.append(doc_id)
                     begins.append(start)
                     counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    sums.append(zlib.crc32(ids.data))
                     start += len(ids)
                 kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
                 yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array([uri] * len(names), pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
