@@ -36,7 +36,14 @@ from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of,
 MOST_STRETCHES, MOST_PARTS = 350_000, 150_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _ODD, _ODD_LINE = re.compile(r" (?=\s|\Z)"), re.compile(r"\n(?=\s|\Z)")
-_ENDED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)\Z")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def is_odd(text: str) -> bool:
+    """Whether the text begins with a blank, or a space or a line's end in it has another blank, or the end, after it."""
+    if text.isascii() and text.isprintable():  # no blanks but spaces
+        return text[:1] == " " or text[-1:] == " " or "  " in text
+    return text[:1].isspace() or _ODD.search(text) is not None or ("\n" in text and _ODD_LINE.search(text) is not None)
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +74,8 @@ class Encoder:
         ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
         if len(ids) != 1:
             raise ValueError("the tokenizer has no mark of one id")
+        if keeps_blanks:
+            self.parts["\n"] = self.whole(["\n"])[0]
         self.mark = mark, ids[0]
 
     @classmethod
@@ -84,62 +93,62 @@ class Encoder:
         out: list[bytes] = []
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
-            if any(x.strip() == "" or mark.strip(" ") in x for x in some):
-                out += self.whole(some)
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == mark_id)
-            if len(cuts) != len(some) - 1:  # a part holds the mark's id itself
-                out += self.whole(some)
-                continue
-            flat = ids.tobytes()
-            out += [flat[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)], strict=True)]
+            text = mark.join(some)
+            # a part that is blank, or holds the mark, would run into the marks beside it
+            if not any(map(str.isspace, some)) and text.count(mark.strip(" ")) == len(some) - 1:
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                cuts = np.flatnonzero(ids == mark_id)
+                if len(cuts) == len(some) - 1:
+                    flat = ids.tobytes()
+                    out += [flat[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)], strict=True)]
+                    continue
+            out += self.whole(some)
         return out
 
     def cut(self, stretch: str, lead: str) -> list[str]:
         """Parts of a stretch that can be encoded on their own, the first with the space before it: a line's end before all, and a word and the marks after it."""
         line = stretch[0] == "\n"
         text = stretch[line:]
-        m = _ENDED.match(text)
-        first, *rest = m.groups() if m else (text,)
-        return ["\n", first, *rest] if line else [lead + first, *rest]
+        word = text.rstrip(_MARKS)
+        parts = [word, text[len(word) :]] if word != text and word.isalpha() else [text]
+        return ["\n", *parts] if line else [lead + parts[0], *parts[1:]]
 
-    def learn(self, stretches: list[str], lead: str) -> list[str]:
-        """Adds the ids of stretches to those known, and returns the ones that are hardly worth keeping after their texts: a new word with marks."""
+    def learn(self, stretches: list[str], lead: str) -> None:
+        """Adds the ids of stretches to those known. Words are kept among the known ones, other parts by themselves."""
         if len(self.parts) > MOST_PARTS:
-            self.parts.clear()
+            self.parts = {"\n": self.parts["\n"]} if self.keeps_blanks else {}
         known, older, parts = self.known, self.older, self.parts
         fresh, others = set(), set()  # words and other parts that nothing is known of
-        ended, cut, passing = [], [], []
+        ended, cut = [], []
         for s in stretches:
             if s.isalpha():
                 fresh.add(s)
-            elif m := _ENDED.match(s):
-                word, marks = m.groups()
-                ids = known.get(word) or older.get(word)
+                continue
+            word = s.rstrip(_MARKS)
+            if word.isalpha():
+                ids, marks = known.get(word) or older.get(word), s[len(word) :]
                 if ids is None:
                     fresh.add(word)
-                    passing.append(s)
                 ended.append((s, word, marks, ids))
-                others.add(marks)
-            else:
-                xs = self.cut(s, lead)
-                cut.append((s, xs))
-                for x in xs:
-                    if x not in parts:
-                        ids = known.get(x[1:]) if lead and x[0] == lead else None
-                        if ids:
-                            parts[x] = ids
-                        else:
-                            others.add(x)
-        words, new = list(fresh), [x for x in others if x not in parts]
+                if marks not in parts:
+                    others.add(marks)
+                continue
+            xs = self.cut(s, lead)
+            cut.append((s, xs))
+            for x in xs:
+                if x not in parts:
+                    ids = known.get(x[1:]) if lead and x[0] == lead else None
+                    if ids:
+                        parts[x] = ids
+                    else:
+                        others.add(x)
+        words, new = list(fresh), list(others)
         known.update(zip(words, self.many([lead + w for w in words]), strict=True))
         parts.update(zip(new, self.many(new), strict=True))
         for s, word, marks, ids in ended:
             known[s] = (ids or known[word]) + parts[marks]
         for s, xs in cut:
             known[s] = b"".join([parts[x] for x in xs])
-        return passing
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -150,7 +159,7 @@ class Encoder:
     def _encode(self, batch: list[str]) -> list[bytes]:
         if self.keeps_blanks:
             # a line's end between other characters is a border too; a stretch after one begins with it, in place of the space
-            odd = [t[:1].isspace() or _ODD.search(t) is not None or ("\n" in t and _ODD_LINE.search(t) is not None) for t in batch]
+            odd = [is_odd(t) for t in batch]
             split = [[] if o else t.replace("\n", " \n").split(" ") for t, o in zip(batch, odd, strict=True)]
             heads = iter(self.whole([s[0] for s in split if s]))
             split = [s[1:] for s in split]
@@ -162,13 +171,15 @@ class Encoder:
         if len(self.known) > MOST_STRETCHES:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        new = set().union(*split).difference(known)
-        known.update({x: older[x] for x in new if x in older})
-        passing = self.learn([x for x in new if x not in known], " " if self.keeps_blanks else "")
-        out = [next(whole) if o else next(heads) + b"".join(map(known.__getitem__, s)) for o, s in zip(odd, split, strict=True)]
-        for s in passing:
-            del known[s]
-        return out
+        new = []
+        for x in set().union(*split).difference(known):
+            ids = older.get(x)
+            if ids is None:
+                new.append(x)
+            else:
+                known[x] = ids
+        self.learn(new, " " if self.keeps_blanks else "")
+        return [next(whole) if o else next(heads) + b"".join(map(known.__getitem__, s)) for o, s in zip(odd, split, strict=True)]
 
 
 # ---------------------------------------------------------------- Simple-8b
