@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column, places: int = 0) -> Column:
-    """Rounds halves up (-2.5 to -2), on doubles alike in every engine."""
+    """Rounds halves up (-2.5 to -2). What is within a millionth of a half in the last place counts as that half, so that sums in another order round alike."""
     scale = float(10**places)
-    return F.floor(x * scale + 0.5) / scale
+    return F.floor(x * scale + 0.500001) / scale
 
 
 def lookup(table: Mapping, key: Column) -> Column:
