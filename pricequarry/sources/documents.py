@@ -58,7 +58,7 @@ def extract(files: DataFrame, extractor: Callable[[str, bytes], pd.DataFrame]) -
                     found = extractor(path, content)
                 except Exception as error:  # one damaged file doesn't stop the rest; it is named in the result
                     found = pd.DataFrame([{"description": f"failed: {error}"[:200], "confidence": 0.0}])
-                yield found.reindex(columns=names).assign(source=path)
+                yield found.reindex(columns=names).assign(source=path).astype(object)
 
     return files.select("path", "content").mapInPandas(run, schemas.EXTRACTED + ", source string")
 

@@ -95,8 +95,11 @@ def headers(grid: DataFrame) -> DataFrame:
     cells = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
     score = F.aggregate(cells, F.lit(0), lambda s, c: s + _hits(c)) * 0.2
     first = grid.where(F.col("row_idx") < HEADER_ROWS).withColumn("score", F.least(F.lit(1.0), score)).where("score > 0.3").groupBy("source", "sheet").agg(F.min(F.struct("row_idx", "cells")).alias("h"))
-    role = {r: F.array_max(F.transform(F.col("h.cells"), lambda c, i, p=p: F.when(F.coalesce(c, F.lit("")).rlike(p), i))) for r, p in HEADINGS.items()}
-    return first.select("source", "sheet", F.col("h.row_idx").alias("header_row"), *[c.alias(f"{r}_at") for r, c in role.items()])
+
+    def last(pattern: str) -> Column:
+        return F.array_max(F.transform(F.col("h.cells"), lambda c, i: F.when(F.coalesce(c, F.lit("")).rlike(pattern), i)))
+
+    return first.select("source", "sheet", F.col("h.row_idx").alias("header_row"), *[last(p).alias(f"{r}_at") for r, p in HEADINGS.items()])
 
 
 def columns_by_content(grid: DataFrame) -> DataFrame:

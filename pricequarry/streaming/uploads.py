@@ -25,23 +25,28 @@ def with_words(stream: DataFrame, spark: SparkSession, words_path: str, key: str
     return stream.join(F.broadcast(spark.read.parquet(words_path)), key, "left")
 
 
+def _timed(stream: DataFrame, at: str) -> DataFrame:
+    """Watermarks need times with a zone: those without one count in the session's."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")) if stream.schema[at].dataType.typeName() == "timestamp_ntz" else stream
+
+
 def tumbling(stream: DataFrame, at: str, width: str, late: str, by: str, value: str) -> DataFrame:
     """Count and mean for each window and key; events later than ``late`` are left out."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "mean")
+    return _timed(stream, at).withWatermark(at, late).groupBy(F.window(at, width).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "mean")
 
 
 def sliding(stream: DataFrame, at: str, width: str, step: str, late: str, by: str, value: str) -> DataFrame:
-    return stream.withWatermark(at, late).groupBy(F.window(at, width, step).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "mean")
+    return _timed(stream, at).withWatermark(at, late).groupBy(F.window(at, width, step).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), by, "n", "mean")
 
 
 def sessions(stream: DataFrame, at: str, gap: str, late: str, by: str) -> DataFrame:
     """Runs of a key's events no further apart than ``gap``."""
-    return stream.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
+    return _timed(stream, at).withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
 def once_within(stream: DataFrame, at: str, late: str, *key: str) -> DataFrame:
     """Events without repeats of a key within the time that late ones are waited for."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(key))
+    return _timed(stream, at).withWatermark(at, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def progress(query: StreamingQuery) -> dict:
