@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import read, texts, written
-from .tokens import Encoder, tokenizer_path
+from .tokens import TEXTS, Encoder, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces that one group packs at first (about 60 bytes each in memory), and at most after exchanges.
@@ -43,8 +43,8 @@ def _cut(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int, id_colu
             keys = b.column(b.schema.get_field_index(id_column))
             column = texts(b, text_column)
             rows, out = [], []
-            for at in range(0, b.num_rows, 256):
-                for i, ids in enumerate(encoder.encode(column.slice(at, 256).to_pylist()), at):
+            for at in range(0, b.num_rows, TEXTS):
+                for i, ids in enumerate(encoder.encode_column(column.slice(at, TEXTS)), at):
                     ids += end
                     for k, (start, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
                         rows.append(i)

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
@@ -26,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +35,15 @@ from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of,
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
 MOST_STRETCHES, MOST_PARTS = 350_000, 150_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
-_ODD, _ODD_LINE = re.compile(r" (?=\s|\Z)"), re.compile(r"\n(?=\s|\Z)")
+#: Texts that are split and looked up together.
+TEXTS = 2_000
+#: What stands before a text's first stretch while it is looked up; a text that holds it goes whole.
+HEAD = "\x02"
+_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"^[{_BLANKS}]|[ \n](?:[{_BLANKS}]|$)|\x02"
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def is_odd(text: str) -> bool:
-    """Whether the text begins with a blank, or a space or a line's end in it has another blank, or the end, after it."""
-    if text.isascii() and text.isprintable():  # no blanks but spaces
-        return text[:1] == " " or text[-1:] == " " or "  " in text
-    return text[:1].isspace() or _ODD.search(text) is not None or ("\n" in text and _ODD_LINE.search(text) is not None)
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -66,7 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.keeps_blanks = keeps_blanks
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b"", HEAD: b""}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # a line's end between other characters, or a control character between spaces that are dropped, is one pre-token and one id
@@ -107,11 +105,11 @@ class Encoder:
 
     def cut(self, stretch: str, lead: str) -> list[str]:
         """Parts of a stretch that can be encoded on their own, the first with the space before it: a line's end before all, and a word and the marks after it."""
-        line = stretch[0] == "\n"
-        text = stretch[line:]
+        start = stretch[0] if stretch[0] in "\n\x02" else ""
+        text = stretch[len(start) :]
         word = text.rstrip(_MARKS)
         parts = [word, text[len(word) :]] if word != text and word.isalpha() else [text]
-        return ["\n", *parts] if line else [lead + parts[0], *parts[1:]]
+        return [*(["\n"] if start == "\n" else []), *parts] if start else [lead + parts[0], *parts[1:]]
 
     def learn(self, stretches: list[str], lead: str) -> None:
         """Adds the ids of stretches to those known. Words are kept among the known ones, other parts by themselves."""
@@ -151,35 +149,52 @@ class Encoder:
             known[s] = b"".join([parts[x] for x in xs])
 
     def encode(self, batch: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(batch, pa.string()))
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text of a column without nulls."""
         out: list[bytes] = []
-        for at in range(0, len(batch), 256):
-            out += self._encode(batch[at : at + 256])
+        for at in range(0, len(column), TEXTS):
+            out += self._encode(column.slice(at, TEXTS))
         return out
 
-    def _encode(self, batch: list[str]) -> list[bytes]:
+    def _encode(self, column: pa.Array) -> list[bytes]:
+        whole: dict[int, bytes] = {}
         if self.keeps_blanks:
-            # a line's end between other characters is a border too; a stretch after one begins with it, in place of the space
-            odd = [is_odd(t) for t in batch]
-            split = [[] if o else t.replace("\n", " \n").split(" ") for t, o in zip(batch, odd, strict=True)]
-            heads = iter(self.whole([s[0] for s in split if s]))
-            split = [s[1:] for s in split]
+            # a line's end between other characters is a border too; a stretch after one begins with it, a text's first one with HEAD, in place of the space
+            odd = pc.match_substring_regex(column, _ODD)
+            rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+            if rows:
+                whole = dict(zip(rows, self.whole([column[i].as_py() for i in rows]), strict=True))
+                column = pc.if_else(odd, "", column)
+            column = pc.replace_substring(pc.binary_join_element_wise(HEAD, column, ""), "\n", " \n")
         else:
-            odd = [False] * len(batch)
-            split = [t.replace("\n", " ").split(" ") for t in batch]
-            heads = iter([b""] * len(batch))
-        whole = iter(self.whole([t for t, o in zip(batch, odd, strict=True) if o]))
+            column = pc.replace_substring(column, "\n", " ")
+        lists = pc.split_pattern(column, " ")
+        words = lists.flatten().dictionary_encode()
         if len(self.known) > MOST_STRETCHES:
-            self.known, self.older = {"": b""}, self.known
+            self.known, self.older = {"": b"", HEAD: b""}, self.known
         known, older = self.known, self.older
+        distinct = words.dictionary.to_pylist()
+        ids = list(map(known.get, distinct))
+        gaps = [i for i, x in enumerate(ids) if x is None]
         new = []
-        for x in set().union(*split).difference(known):
-            ids = older.get(x)
-            if ids is None:
+        for i in gaps:
+            x = distinct[i]
+            found = older.get(x)
+            if found is None:
                 new.append(x)
             else:
-                known[x] = ids
+                known[x] = found
         self.learn(new, " " if self.keeps_blanks else "")
-        return [next(whole) if o else next(heads) + b"".join(map(known.__getitem__, s)) for o, s in zip(odd, split, strict=True)]
+        for i in gaps:
+            ids[i] = known[distinct[i]]
+        joined = pa.array(ids, pa.large_binary()).take(words.indices)
+        starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :] if len(joined) else np.zeros(1, np.int64)
+        data = joined.buffers()[2] or b""
+        ends = starts[np.asarray(lists.offsets)].tolist()
+        data = memoryview(data)
+        return [whole[i] if i in whole else bytes(data[ends[i] : ends[i + 1]]) for i in range(len(column))]
 
 
 # ---------------------------------------------------------------- Simple-8b
@@ -310,8 +325,8 @@ def _write(root: str, path: str, keeps_blanks: bool, end_id: int):
             for b in batches:
                 doc_ids.append(b.column(0))
                 column = texts(b, "text")
-                for at in range(0, b.num_rows, 256):
-                    encoded = encoder.encode(column.slice(at, 256).to_pylist())
+                for at in range(0, b.num_rows, TEXTS):
+                    encoded = encoder.encode_column(column.slice(at, TEXTS))
                     lengths.append(np.array([len(e) // 4 + 1 for e in encoded], np.int64))
                     for e in encoded:
                         pieces += (e, end)
