@@ -64,7 +64,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.keeps_blanks = keeps_blanks
-        self.known: dict[str, bytes] = {"": b"", HEAD: b""}
+        self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # a line's end between other characters, or a control character between spaces that are dropped, is one pre-token and one id
@@ -85,6 +85,10 @@ class Encoder:
     def whole(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
 
+    def nothing(self) -> dict[str, bytes]:
+        """What is known at first: that empty stretches have no ids."""
+        return {"": b"", HEAD: b""} if self.keeps_blanks else {"": b""}
+
     def many(self, parts: list[str]) -> list[bytes]:
         """The ids of parts that borders stand around: encoded together between marks that are always one id, and cut there."""
         mark, mark_id = self.mark
@@ -105,7 +109,7 @@ class Encoder:
 
     def cut(self, stretch: str, lead: str) -> list[str]:
         """Parts of a stretch that can be encoded on their own, the first with the space before it: a line's end before all, and a word and the marks after it."""
-        start = stretch[0] if stretch[0] in "\n\x02" else ""
+        start = stretch[0] if self.keeps_blanks and stretch[0] in ("\n", HEAD) else ""
         text = stretch[len(start) :]
         word = text.rstrip(_MARKS)
         parts = [word, text[len(word) :]] if word != text and word.isalpha() else [text]
@@ -173,7 +177,7 @@ class Encoder:
         lists = pc.split_pattern(column, " ")
         words = lists.flatten().dictionary_encode()
         if len(self.known) > MOST_STRETCHES:
-            self.known, self.older = {"": b"", HEAD: b""}, self.known
+            self.known, self.older = self.nothing(), self.known
         known, older = self.known, self.older
         distinct = words.dictionary.to_pylist()
         ids = list(map(known.get, distinct))
