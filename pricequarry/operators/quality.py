@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import any_of, lookup, share
+from ..functions.expressions import any_of, half_up, lookup, share
 from ..functions.lexicon import HIGH_PRICE, LEAST_PRICE, LOW_PRICE, MOST_PRICE, PRICE_BOUNDS
 from ..functions.names import NOT_UNITS, bound_category, is_product_name, name_fault
 from ..functions.prices import looks_misread, plain_number
@@ -208,3 +208,18 @@ def saved_share(rows: DataFrame) -> DataFrame:
     """Current and ended prices, and the ended ones' share in percent."""
     ended = F.count_if(F.col("valid_to").isNotNull())
     return rows.agg(F.count(F.lit(1)).alias("prices"), ended.alias("expired"), share(ended, F.count(F.lit(1))).alias("expired_percent"))
+
+
+def extraction_quality(rows: DataFrame, by: Sequence[str], confidence: str = "confidence") -> DataFrame:
+    """The mean confidence of each upload's rows (a missing one counts 0.9), to two places."""
+    return rows.groupBy(*by).agg(half_up(F.avg(F.coalesce(confidence, F.lit(0.9))), 2).alias("quality"), F.count(F.lit(1)).alias("rows"))
+
+
+def data_quality_report(products: DataFrame, prices: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """(issue, n): products without a standard name, with a faulty name or without prices; prices not positive or without a unit price; suppliers without prices. One pass over each table, and anti-joins of distinct keys."""
+    product_issues = products.agg(F.count_if(F.coalesce(F.trim("standardized_name"), F.lit("")) == "").alias("missing_standard_name"), F.count_if(name_fault(F.col("name")).isNotNull()).alias("faulty_name"))
+    price_issues = prices.agg(F.count_if(F.col("amount") <= 0).alias("price_not_positive"), F.count_if(F.col("unit_price").isNull() | (F.col("unit_price") == 0)).alias("missing_unit_price"))
+    lonely = orphans(products.select(F.col("id").alias("product_id")), "product_id", prices).agg(F.count(F.lit(1)).alias("product_without_price"))
+    idle = orphans(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", prices).agg(F.count(F.lit(1)).alias("supplier_without_price"))
+    whole = product_issues.crossJoin(price_issues).crossJoin(lonely).crossJoin(idle)  # one row each
+    return whole.unpivot([], whole.columns, "issue", "n")

@@ -92,3 +92,15 @@ def test_other_similarities(spark):
     check(spark, similarity.trigram_similarity(similarity.trigrams(F.col("a")), similarity.trigrams(F.col("b"))), [(("word", "two words"), 4 / 11), (("cat", "cat"), 1.0), (("", "x"), 0.0)], two)
     check(spark, similarity.cosine(F.col("a"), F.col("b")), [(([1.0, 0.0], [1.0, 1.0]), 2**-0.5), (([0.0, 0.0], [1.0, 1.0]), 0.0)], "a array<float>, b array<float>")
     check(spark, similarity.misreadings(F.col("a")), [("mozarella", ["mozzarella", "mozarella"]), ("mayonaise", ["mayonaise", "mayonnaise"])])
+
+
+def test_standard_names(spark):
+    from pricequarry.functions import standardize as S
+
+    got = evaluate(spark, S.standardize(F.col("a"), F.col("u"), brands=["Heinz"]), [("Wortel Segar 500 gr", "gram"), ("poteto", None), ("Heinz Ketchup 1kg & relish", "box"), (None, None)], "a string, u string")
+    assert [(g["name"], g["size"], g["language"], g["brand"]) for g in got] == [("carrot fresh 500gr", "500gr", "id", None), ("potato", None, "en", None), ("heinz ketchup relish 1kg", "1kg", "en", "heinz"), ("", None, "en", None)]
+    assert [g["confidence"] for g in got] == pytest.approx([0.9, 0.6, 0.7, 0.5])
+    check(spark, S.upper_unit(F.col("a")), [("500g", "500GRAM"), ("pcs", "PIECE"), ("crate", "CRATE"), (None, "PIECE"), (" 1.5 kg ", "1.5KG")])
+    critical, wrong = {"kangkung": "water spinach"}, {"kangkung": ["kale"]}
+    check(spark, S.translation_quality(F.col("a"), F.col("b"), critical, wrong), [(("Kangkung", "water spinach"), 100), (("kangkung", "kale"), 50), (("x", "kale"), 100)], "a string, b string")
+    check(spark, S.fixed_translation(F.col("a"), F.col("b"), critical, wrong), [(("kangkung", "Kale fresh"), "water spinach fresh"), (("x", "kale"), "kale")], "a string, b string")

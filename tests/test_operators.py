@@ -169,3 +169,8 @@ def test_vectors_and_pages(spark):
     assert ([r["id"] for r in rows.collect()], total, pages) == ([20, 21, 22, 23, 24], 25, 3)
     with pytest.raises(ValueError, match="more than"):
         search._few(spark.range(10), 5)
+
+
+def test_data_quality_report(products, prices, suppliers):
+    got = {r["issue"]: r["n"] for r in quality.data_quality_report(products, prices, suppliers).collect()}
+    assert got == {"missing_standard_name": 0, "faulty_name": 1, "price_not_positive": 0, "missing_unit_price": 0, "product_without_price": 1, "supplier_without_price": 0}
