@@ -28,3 +28,11 @@ def test_all_ten_are_registered():
     names = registry.queries()
     assert {int(n[2:].split("_")[0]) for n in names} == set(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_stages_on_an_empty_table(spark, empty, tmp_path):
+    docs = empty
+    for _, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
