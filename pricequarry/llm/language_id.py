@@ -30,7 +30,8 @@ CALIBRATE_ROWS = 4_000
 #: More languages are an error, for the tables have a column for each.
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
-_CHUNK = 1 << 17
+#: Texts whose letters are held at once, and letters that are scored at once.
+_TEXTS, _CHUNK = 256, 1 << 17
 _CODES: np.ndarray | None = None
 
 
@@ -196,7 +197,11 @@ class Model:
         return out
 
     def entropies(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) bits a character, and each text's number of characters; texts are scored together, whole."""
+        """(texts, languages) bits a character, and each text's number of characters; texts are scored whole, _TEXTS of them together."""
+        parts = [self._entropies(batch[at : at + _TEXTS]) for at in range(0, max(1, len(batch)), _TEXTS)]
+        return np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+
+    def _entropies(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes = [letters(t) for t in batch]
         lengths = np.array([max(0, len(c) - 1) for c in codes], np.int64)
         sums = np.zeros((len(batch), len(self.langs)))

@@ -204,7 +204,7 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = fingerprints(raw(b, text_column), words)
+            fps = np.concatenate([np.zeros(0, np.uint64), *(fingerprints(raw(b.slice(at, 1000), text_column), words) for at in range(0, b.num_rows, 1000))])
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_column)), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     docs = written(df.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, fp long"), "fingerprints")
