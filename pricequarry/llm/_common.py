@@ -64,11 +64,6 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def files(df: DataFrame) -> list[str]:
-    """The URIs of a written table's files, for tasks that read them in part."""
-    return sorted(df.inputFiles())
-
-
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """The Arrow file system and path of a URI in the shared folder."""
     if "://" in uri or uri.startswith("file:"):
