@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of, read, texts, written
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
-MOST_STRETCHES, MOST_PARTS = 180_000, 80_000
+MOST_STRETCHES, MOST_PARTS = 270_000, 100_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 #: Texts that are split and looked up together.
-TEXTS = 1_000
+TEXTS = 2_000
 #: What stands before a text's first stretch while it is looked up; a text that holds it goes whole.
 HEAD = "\x02"
 _BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
