@@ -130,10 +130,13 @@ def plain_number(price: Column) -> Column:
 
 
 def looks_misread(price: Column) -> Column:
-    """Prices such as 316.35, where the point may have stood for thousands."""
-    s = plain_number(price)
-    decimal = F.coalesce(F.concat(F.lit("0."), extract(s, r"\.(\d+)$")).cast("double"), F.lit(0.0))
-    return (s.rlike(r"\.\d{2}$") & (price < 1000)) | (F.contains(s, F.lit(".")) & ~s.rlike("(00|50)$") & (decimal > 0.09) & (decimal < 1))
+    """Prices such as 316.35, where the point may have stood for thousands: two decimals under 1000, or any part over 0.09 after the point."""
+    rest = price - F.floor(price)
+
+    def whole(x: Column) -> Column:
+        return F.abs(x - F.floor(x + 0.5)) < 1e-6
+
+    return (whole(price * 100) & ~whole(price * 10) & (price < 1000)) | ((rest > 0.09) & (rest < 1) & ~whole(price))
 
 
 def suggest_price(price: Column) -> Column:
