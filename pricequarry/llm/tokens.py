@@ -64,6 +64,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.keeps_blanks = keeps_blanks
+        # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
+        self.most = MOST_STRETCHES if keeps_blanks else MOST_STRETCHES * 2 // 3
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -177,7 +179,7 @@ class Encoder:
             column = pc.replace_substring(column, "\n", " ")
         lists = pc.split_pattern(column, " ")
         words = lists.flatten().dictionary_encode()
-        if len(self.known) > MOST_STRETCHES:
+        if len(self.known) > self.most:
             self.known, self.older = self.nothing(), self.known
         known, older = self.known, self.older
         distinct = words.dictionary.to_pylist()
