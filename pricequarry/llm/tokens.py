@@ -16,6 +16,7 @@ documents, then a footer; any block can be read and decoded without the others.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
@@ -212,6 +213,8 @@ WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30], np.int64)
 ESCAPE = 15
 BLOCK_IDS = 256
 MAGIC, VERSION = b"PQS8", 1
+#: Documents that are read back together.
+READ_DOCS = 500
 
 
 _LENGTHS = np.array([n.bit_length() for n in range(1 << 16)], np.int8)
@@ -458,18 +461,20 @@ def read_token_files(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     if not starts:
         return spark.createDataFrame([], f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, file string")
 
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                names, begins, counts, sums = [], [], [], []
-                for doc_id, ids in read_documents(uri):
-                    names.append(doc_id)
-                    begins.append(start)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.data))
-                    start += len(ids)
-                kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-                yield pa.RecordBatch.from_arrays([pa.array(names, kind), pa.array(begins, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array([uri] * len(names), pa.string())], names=["doc_id", "start", "n_tokens", "ids_crc32", "file"])
+                documents = read_documents(uri)
+                while some := list(itertools.islice(documents, READ_DOCS)):
+                    counts = np.array([len(ids) for _, ids in some], np.int64)
+                    sums = [zlib.crc32(ids.data) for _, ids in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name for name, _ in some], kind), pa.array(start + np.cumsum(counts) - counts), pa.array(counts), pa.array(sums, pa.int64()), pa.array([uri] * len(some), pa.string())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32", "file"],
+                    )
+                    start += int(counts.sum())
 
     dealt = spark.createDataFrame(starts, "uri string, start long").repartition(len(starts))
     return dealt.mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long, file string")
