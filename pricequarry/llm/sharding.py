@@ -20,6 +20,8 @@ from ._common import extended, free_name, read, text_of, written
 
 #: Rows that one task permutes after the exchange.
 BLOCK_ROWS = 20_000
+#: Blocks of all shards, at most, as the driver holds where each begins. Beyond it blocks hold more rows; Spark's sort spills.
+MOST_BLOCKS = 100_000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -85,7 +87,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 17, block_r
 
     dealt = written(df.mapInArrow(deal, extended(df, (shard, "int"), (key, "long"))), "dealt")
     # permute again: a shard's rows in the order of their random keys, in blocks of the key's range that one task sorts
-    blocks = max(1, -(-rows // (shards * block_rows)))
+    blocks = max(1, min(-(-rows // (shards * block_rows)), MOST_BLOCKS // shards))
     block = F.floor(F.col(key) / F.lit(float(1 << 62)) * blocks).cast("int")
     block = F.least(block, F.lit(blocks - 1))
     sizes = {(r[shard], r["b"]): r["n"] for r in dealt.groupBy(shard, block.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
