@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of, read, texts, written
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
-MOST_STRETCHES, MOST_PARTS = 270_000, 100_000
+MOST_STRETCHES, MOST_PARTS = 360_000, 100_000
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 #: Texts that are split and looked up together.
 TEXTS = 2_000
@@ -66,7 +66,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.keeps_blanks = keeps_blanks
         # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
-        self.most = MOST_STRETCHES if keeps_blanks else MOST_STRETCHES * 2 // 3
+        self.most = MOST_STRETCHES if keeps_blanks else MOST_STRETCHES // 2
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
