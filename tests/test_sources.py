@@ -101,3 +101,26 @@ def test_feeds_match_their_batch_form(spark, tmp_path):
     assert uploads.progress(out)["active"] is False
     assert uploads.sessions(df, "at", "2 minutes", "1 day", "k").agg(F.sum("n")).first()[0] == 40
     assert uploads.sliding(df, "at", "1 hour", "30 minutes", "1 day", "k", "v").count() > 0
+
+
+def test_workbooks_come_back(spark, tmp_path, monkeypatch):
+    rows = [(i, f"a & <b> {i}", i / 2, None if i % 3 else "x", [i]) for i in range(25)]
+    df = spark.createDataFrame(rows, "id long, name string, price double, note string, list array<long>").repartition(2, "id")
+    sinks.export(df, str(tmp_path / "w"), "xlsx")
+    files = sorted(p.name for p in (tmp_path / "w").iterdir() if p.suffix != ".crc")
+    assert files == ["part-00000.xlsx", "part-00001.xlsx"]
+    got = [r["cells"] for r in grids.read_workbooks(spark, f"{tmp_path}/w/*.xlsx").collect()]
+    assert got.count(["id", "name", "price", "note", "list"]) == 2
+    back = {(int(c[0]), c[1], float(c[2]), c[3], c[4]) for c in got if c[0] != "id"}
+    assert back == {(i, n, p, t, f"[{x[0]}]") for i, n, p, t, x in rows}
+
+
+def test_workbook_in_several_sheets(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 4)
+    path = tmp_path / "b.xlsx"
+    with open(path, "wb") as out:
+        assert sinks._write_workbook(out, ["a"], iter([pa.RecordBatch.from_pydict({"a": list(range(10))})]), "T") == 10
+    rows = list(grids.sheets_of(path.read_bytes()))
+    assert [t for t, _, _ in rows].count("T 3") == 3 and [c[0] for _, _, c in rows if c[0] != "a"] == [str(i) for i in range(10)]
