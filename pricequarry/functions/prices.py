@@ -76,39 +76,84 @@ def trailing_price(line: Column) -> Column:
     return value * F.when(F.regexp_extract(line, r"(\d+(?:\.\d{3})*)([Kk]?)\s*$", 2) != "", 1e3).otherwise(1.0)
 
 
+def _written_number(digits: Column) -> Column:
+    """``15.000``, ``15,000.50`` or ``15.000,50``: of two marks the last is the decimal one; a single kind before three digits each separates thousands."""
+    plain = (
+        F.when(digits.rlike(r"\..*,"), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .when(digits.rlike(r",.*\.") | digits.rlike(r"^\d+(?:,\d{3})+$"), F.replace(digits, F.lit(","), F.lit("")))
+        .when(digits.rlike(r"^\d+(?:\.\d{3})+$"), F.replace(digits, F.lit("."), F.lit("")))
+        .otherwise(F.replace(digits, F.lit(","), F.lit(".")))
+    )
+    return plain.try_cast("double")
+
+
+def cleaned_price_text(text: Column) -> Column:
+    """Without a label such as ``Harga:`` or ``Cost =`` before it, and with single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"(?i)^\s*(?:harga|price|cost)\s*[:=]\s*", ""))
+
+
+def detect_currency(text: Column) -> Column:
+    """Of the rich grammar, which tells more dollars apart than :func:`extract_currency`; IDR without a mark."""
+    s = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(s.rlike(r"s\$|sgd"), "SGD").when(s.rlike(r"\brm\b|myr"), "MYR").when(s.rlike(r"\$|usd"), "USD").when(s.rlike("€|eur"), "EUR").when(s.rlike("£|gbp"), "GBP").otherwise("IDR")
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out a single time, which also keeps the generated code small."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_price_text(text: Column) -> Column:
-    """The rich grammar: a struct of kind, low, high, quantity, unit and currency.
+    """The rich grammar: a struct of kind, primary, secondary, low, high, quantity, unit, discount and currency.
 
-    Kinds: range (``10k - 12k``), bulk (``3 for 50k``), unit (``15.000/kg``), discount
-    (``20k -> 15k``), single, or none.
+    Kinds: conditional (``min 5pcs = 15k``), discount (``20k (disc 15%)``, ``20k -> 15k``; secondary
+    is the price before it), fraction (``17k/15k``: wholesale and retail), range (``15-20k``; primary
+    is the middle), bulk (``250@10pcs``, ``3 for 50k``), unit_price (``15.000/kg``), single, or unknown. A number
+    without a suffix takes that of the number it is paired with. ``low`` and ``high`` are the least and the largest
+    amount named; ``high`` is null where there is one. Amounts outside 1 to a billion are unknown.
     """
-    amount = r"(?:rp\.?\s*|idr\s*|\$\s*)?(\d[\d.,]*\s*(?:k|m|rb|ribu)?)"
-    s = F.lower(F.trim(text))
-
-    def money(x: Column) -> Column:
-        return normalize_price(F.trim(x))
-
-    def found(pattern: str, kind: str, low: int, high: int | None = None, quantity: int | None = None, unit: int | None = None) -> Column:
-        value = F.struct(
-            F.lit(kind).alias("kind"),
-            money(F.regexp_extract(s, pattern, low)).alias("low"),
-            (money(F.regexp_extract(s, pattern, high)) if high else F.lit(None).cast("double")).alias("high"),
-            (F.regexp_extract(s, pattern, quantity).cast("double") if quantity else F.lit(None).cast("double")).alias("quantity"),
-            (extract(s, pattern, unit) if unit else F.lit(None).cast("string")).alias("unit"),
-            extract_currency(text).alias("currency"),
-        )
-        return F.when(s.rlike(pattern), value)
-
-    nothing = F.lit(None)
-    return F.coalesce(
-        found(rf"^{amount}\s*(?:->|→|now)\s*{amount}$", "discount", 2, 1),
-        found(rf"^{amount}\s*(?:-|–|to|s/d)\s*{amount}$", "range", 1, 2),
-        found(rf"^(\d+)\s*(?:for|pcs|x|@)\s*{amount}$", "bulk", 2, None, 1),
-        found(rf"^{amount}\s*(?:/|per)\s*([a-z]+)$", "unit", 1, None, None, 2),
-        found(rf"^{amount}$", "single", 1),
-        F.struct(F.lit("none").alias("kind"), nothing.cast("double").alias("low"), nothing.cast("double").alias("high"), nothing.cast("double").alias("quantity"), nothing.cast("string").alias("unit"), extract_currency(text).alias("currency")),
+    n, quantity, unit = r"(\d[\d.,]*)\s*(k|rb|ribu|jt|juta|m|b)?", r"(\d+(?:\.\d+)?)", r"([a-z]+)"
+    # kind, pattern, and the groups of the first amount, the second one, the quantity, the unit and the percentage (0: none)
+    forms = (
+        ("conditional", rf"^(?:min|max)(?:imum)?\.?\s*{quantity}\s*{unit}\s*=\s*{n}$", 3, 0, 1, 2, 0),
+        ("discount", rf"^{n}\s*\(?\s*(?:-|disc|diskon|discount)\.?\s*{quantity}\s*%\s*\)?$", 1, 0, 0, 0, 3),
+        ("discount", rf"^{n}\s*(?:->|→|now)\s*{n}$", 1, 3, 0, 0, 0),
+        ("fraction", rf"^{n}\s*/\s*{n}$", 1, 3, 0, 0, 0),
+        ("range", rf"^{n}\s*(?:-|–|to|s/d)\s*{n}$", 1, 3, 0, 0, 0),
+        ("bulk", rf"^{n}\s*(?:@|per|/)\s*{quantity}\s*{unit}$", 1, 0, 3, 4, 0),
+        ("bulk", rf"^{quantity}\s*(?:for|pcs|x|@)\s*{n}$", 2, 0, 1, 0, 0),
+        ("unit_price", rf"^{n}\s*(?:/|per)\s*{unit}$", 1, 0, 0, 3, 0),
+        ("single", rf"^{n}$", 1, 0, 0, 0, 0),
     )
 
+    def parts(s: Column) -> Column:
+        out = None
+        for kind, pattern, one, two, many, word, percent in forms:
+            groups = {"a": one, "as": one and one + 1, "b": two, "bs": two and two + 1, "q": many, "u": word, "p": percent}
+            fields = [(F.nullif(F.regexp_extract(s, pattern, g), F.lit("")) if g else F.lit(None).cast("string")).alias(f) for f, g in groups.items()]
+            found = F.struct(F.lit(kind).alias("kind"), *fields)
+            out = F.when(s.rlike(pattern), found) if out is None else out.when(s.rlike(pattern), found)
+        return out
+
+    def factor(suffix: Column) -> Column:
+        return F.when(suffix.isin("k", "rb", "ribu"), 1e3).when(suffix.isin("jt", "juta", "m"), 1e6).when(suffix == "b", 1e9).otherwise(1.0)
+
+    def amounts(r: Column) -> Column:
+        a, b = _written_number(r["a"]) * factor(F.coalesce(r["as"], r["bs"])), _written_number(r["b"]) * factor(r["bs"])
+        return F.struct(r["kind"].alias("kind"), a.alias("a"), b.alias("b"), r["q"].try_cast("double").alias("q"), r["u"].alias("u"), r["p"].try_cast("double").alias("p"))
+
+    def result(r: Column) -> Column:
+        lowered = (r["kind"] == "discount") & r["b"].isNotNull()
+        primary = F.when(r["kind"] == "range", (r["a"] + r["b"]) / 2).when(lowered, r["b"]).otherwise(r["a"])
+        secondary = F.when(lowered, r["a"]).when(r["kind"] == "discount", F.try_divide(r["a"], 1 - r["p"] / 100)).when(r["kind"] == "fraction", r["b"])
+        discount = F.when(lowered, F.try_divide((r["a"] - r["b"]) * 100, r["a"])).otherwise(r["p"])
+        values = {"primary": primary, "secondary": secondary, "low": F.least(r["a"], r["b"]), "high": F.when(r["b"].isNotNull(), F.greatest(r["a"], r["b"])), "quantity": r["q"], "unit": r["u"], "discount": discount}
+        fits = F.coalesce(primary.between(1.0, 1e9), F.lit(False))
+        return F.struct(F.when(fits, r["kind"]).otherwise("unknown").alias("kind"), *[F.when(fits, v).alias(f) for f, v in values.items()], detect_currency(text).alias("currency"))
+
+    bare = F.trim(F.regexp_replace(F.lower(cleaned_price_text(text)), r"rp\.?\s*|idr|\brm\b|[su]?s?\$|€|£", ""))
+    return _once(_once(_once(bare, parts), amounts), result)
+
 
 def extract_currency(text: Column) -> Column:
     s = F.lower(F.coalesce(text, F.lit("")))

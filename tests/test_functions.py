@@ -34,7 +34,7 @@ def test_other_price_readings(spark):
 
 def test_price_grammar(spark):
     got = evaluate(spark, prices.parse_price_text(F.col("a")), [("10k - 12k",), ("3 for 50k",), ("15.000/kg",), ("20k -> 15k",), ("Rp 25.000",), ("call us",)], "a string")
-    assert [(g["kind"], g["low"], g["high"], g["quantity"], g["unit"]) for g in got] == [("range", 1e4, 1.2e4, None, None), ("bulk", 5e4, None, 3.0, None), ("unit", 1.5e4, None, None, "kg"), ("discount", 1.5e4, 2e4, None, None), ("single", 2.5e4, None, None, None), ("none", None, None, None, None)]
+    assert [(g["kind"], g["low"], g["high"], g["quantity"], g["unit"]) for g in got] == [("range", 1e4, 1.2e4, None, None), ("bulk", 5e4, None, 3.0, None), ("unit_price", 1.5e4, None, None, "kg"), ("discount", 1.5e4, 2e4, None, None), ("single", 2.5e4, None, None, None), ("unknown", None, None, None, None)]
 
 
 def test_misread_prices(spark):
@@ -104,3 +104,29 @@ def test_standard_names(spark):
     critical, wrong = {"kangkung": "water spinach"}, {"kangkung": ["kale"]}
     check(spark, S.translation_quality(F.col("a"), F.col("b"), critical, wrong), [(("Kangkung", "water spinach"), 100), (("kangkung", "kale"), 50), (("x", "kale"), 100)], "a string, b string")
     check(spark, S.fixed_translation(F.col("a"), F.col("b"), critical, wrong), [(("kangkung", "Kale fresh"), "water spinach fresh"), (("x", "kale"), "kale")], "a string, b string")
+
+
+def test_rich_price_grammar(spark):
+    """What the price grammar is to give for each of its forms."""
+    cases = {
+        "15000": ("single", 15000.0), "15.000": ("single", 15000.0), "15,000": ("single", 15000.0), "15k": ("single", 15000.0), "15rb": ("single", 15000.0), "2jt": ("single", 2e6), "Rp 15.000": ("single", 15000.0), "IDR 25000": ("single", 25000.0),
+        "15.000,50": ("single", 15000.5), "15,000.50": ("single", 15000.5), "500 rb": ("single", 5e5), "1b": ("single", 1e9), "  Harga: Rp 15.000  ": ("single", 15000.0), "Cost = 25000": ("single", 25000.0),
+        "15000-20000": ("range", 17500.0), "15.000-20.000": ("range", 17500.0), "15-20k": ("range", 17500.0), "15rb-25rb": ("range", 20000.0),
+        "17/15": ("fraction", 17.0), "17000/15000": ("fraction", 17000.0), "25/22k": ("fraction", 25000.0),
+        "250@10pcs": ("bulk", 250.0), "15k@5kg": ("bulk", 15000.0), "250 per 10pcs": ("bulk", 250.0), "250/10pcs": ("bulk", 250.0),
+        "15000/kg": ("unit_price", 15000.0), "15k/kg": ("unit_price", 15000.0), "100/piece": ("unit_price", 100.0),
+        "20000 (disc 10%)": ("discount", 20000.0), "20k (disc 15%)": ("discount", 20000.0), "15000 - 10%": ("discount", 15000.0), "25000 diskon 20%": ("discount", 25000.0),
+        "min 5pcs = 15k": ("conditional", 15000.0), "minimum 10kg = 25000": ("conditional", 25000.0), "max 20 piece = 100": ("conditional", 100.0),
+        "abc": ("unknown", None), "": ("unknown", None), "---": ("unknown", None), "99999999999": ("unknown", None),
+    }
+    rows = evaluate(spark, prices.parse_price_text(F.col("a")), [(x,) for x in cases], "a string")
+    assert {x: (r["kind"], r["primary"]) for x, r in zip(cases, rows, strict=True)} == cases
+    by = dict(zip(cases, rows, strict=True))
+    assert by["15-20k"]["low"] == 15000.0 and by["15-20k"]["high"] == 20000.0
+    assert by["25/22k"]["secondary"] == 22000.0 and by["17/15"]["secondary"] == 15.0
+    assert (by["15k@5kg"]["quantity"], by["15k@5kg"]["unit"]) == (5.0, "kg") and by["15k/kg"]["unit"] == "kg"
+    assert by["20k (disc 15%)"]["discount"] == 15.0 and by["20k (disc 15%)"]["secondary"] > 20000.0
+    assert (by["max 20 piece = 100"]["quantity"], by["max 20 piece = 100"]["unit"]) == (20.0, "piece")
+    marks = {"$100": "USD", "€50": "EUR", "S$75": "SGD", "Rp 15000": "IDR", "15000 IDR": "IDR", "RM 100": "MYR"}
+    rows = evaluate(spark, prices.parse_price_text(F.col("a")), [(x,) for x in marks], "a string")
+    assert [(r["kind"], r["currency"]) for r in rows] == [("single", c) for c in marks.values()]
