@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fitting, id_bounds, join_skewed, ranges_of, raw, read, written
+from ._common import dropped, fitting, free_name, id_bounds, join_skewed, ranges_of, raw, read, text_of, written
 from .components import components
 
 PERMS = 128
@@ -254,15 +254,19 @@ def fingerprint_documents(df: DataFrame, id_column: str = "doc_id", text_column:
 # ---------------------------------------------------------------- near copies
 
 
-def _band_rows(perms: int, bands: int, rows: int, words: int, id_column: str, text_column: str):
+def _class_of(shingles: np.ndarray) -> bytes:
+    """Names a set of shingle hashes (sorted, each once)."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=8).digest()
+
+
+def _band_rows(perms: int, bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Permutations(perms)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                shingles = [np.unique(s) for s in shingle_hashes(raw(part, text_column), words)]
+                shingles = [np.unique(s) for s in shingle_hashes(raw(part, "text"), words)]
                 sigs = family.signatures(shingles) >> np.uint64(32)
-                keys = [hashlib.blake2b(np.sort(s).tobytes(), digest_size=8).digest() for s in shingles]
                 band = np.zeros((len(shingles), bands), np.uint64)
                 for k in range(bands):
                     h = np.full(len(shingles), k + 1, np.uint64)
@@ -271,48 +275,93 @@ def _band_rows(perms: int, bands: int, rows: int, words: int, id_column: str, te
                     band[:, k] = h
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(part.schema.get_field_index(id_column)),
-                        pa.array(np.frombuffer(b"".join(keys), "<i8")),
-                        pa.array([s.view(np.int64).tolist() for s in shingles], pa.list_(pa.int64())),
+                        part.column(0),
+                        part.column(1),
+                        pa.array(np.frombuffer(b"".join(map(_class_of, shingles)), "<i8")),
                         pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "class", "shingles", "bands"],
+                    names=["doc_id", "key", "class", "bands"],
                 )
 
     return run
 
 
-def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """(doc_id, class, component): the class of rows with equal shingle sets, and the least class reachable over pairs with a Jaccard similarity of at least ``similarity``.
+def _set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                shingles = [np.unique(s) for s in shingle_hashes(raw(b.slice(at, 256), "text"), words)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(b"".join(map(_class_of, shingles)), "<i8")), pa.array([s.view(np.int64) for s in shingles], pa.list_(pa.int64()))],
+                    names=["class", "shingles"],
+                )
+
+    return run
 
-    Classes that share a band's value are candidates. First every class is held against
+
+def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, words: int = WORDS, also: DataFrame | None = None) -> DataFrame:
+    """(doc_id, key, class, component): the hash of the text, the class of rows with equal shingle sets, and the least class reachable over pairs with a Jaccard similarity of at least ``similarity``.
+
+    Classes that share a band's value are candidates, and so are the rows that ``also``
+    (doc_id, component_id) names. First every class is held against
     the least one of each of its buckets; those links join most near copies, in
     proportion to the rows. Then only the pairs of a bucket that are not yet joined are
-    compared, so that no pair in a bucket goes without a link or a comparison.
+    compared, so that no pair in a bucket goes without a link or a comparison. Only the
+    candidates' shingles are ever written.
     """
     kind = df.schema[id_column].dataType.simpleString()
-    base = written(df.select(id_column, text_column).mapInArrow(_band_rows(PERMS, BANDS, ROWS, words, id_column, text_column), f"doc_id {kind}, class long, shingles array<long>, bands array<long>"), "bands")
-    classes = written(base.groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "classes")
-    keys = classes.select("class", F.posexplode("bands").alias("k", "v"))
-    # every class against the bucket's least: a bucket of m classes makes m - 1 candidates
-    least = keys.groupBy("k", "v").agg(F.min("class").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    candidates = keys.join(least, ["k", "v"]).where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (classes.select(F.col("class").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        jaccard = shared / F.greatest(F.lit(1), F.size("sa") + F.size("sb") - shared)
-        return written(pairs.join(a, "a").join(b, "b").where(jaccard >= similarity).select("a", "b"), "near")
+    rows = df.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_of(text_column)).alias("key"), text_of(text_column).alias("text"))
+    base = written(rows.mapInArrow(_band_rows(PERMS, BANDS, ROWS, words), f"doc_id {kind}, key long, class long, bands array<long>"), "bands")
+    classes = base.groupBy("class").agg(F.first("bands").alias("bands"))
+    # the buckets of several classes, each class beside the least one: a bucket of m classes makes m - 1 candidates
+    bucket = Window.partitionBy("v")
+    keys = classes.select("class", F.explode("bands").alias("v")).select("v", "class", F.min("class").over(bucket).alias("head"), F.count(F.lit(1)).over(bucket).alias("m"))
+    shared = written(keys.where("m > 1").drop("m"), "buckets")
+    candidates = shared.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
+    if also is not None:
+        a, b = (base.select(F.col("doc_id").alias(i), F.col("class").alias(n)) for i, n in (("doc_id", "a"), ("component_id", "b")))
+        candidates = candidates.unionByName(also.where("doc_id <> component_id").select("doc_id", "component_id").join(a, "doc_id").join(b, "component_id").where("a <> b").select("a", "b"))
+
+    def verified(found: DataFrame) -> DataFrame:
+        pairs = written(found.distinct(), "candidates")
+        wanted = written(base.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class", "left_semi").groupBy("class").agg(F.min("key").alias("key")).select("key").distinct(), "wanted")
+        sets = written(rows.join(wanted, "key", "left_semi").select("text").mapInArrow(_set_rows(words), "class long, shingles array<long>").dropDuplicates(["class"]), "sets")
+        a, b = (sets.select(F.col("class").alias(n), F.col("shingles").alias(f"s{n}")) for n in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        jaccard = both / F.greatest(F.lit(1), F.size("sa") + F.size("sb") - both)
+        out = written(pairs.join(a, "a").join(b, "b").where(jaccard >= similarity).select("a", "b"), "near")
+        dropped(pairs, wanted, sets)
+        return out
 
     links = verified(candidates)
     roots = written(components(links).withColumnRenamed("node", "class"), "roots")
-    named = keys.join(least.select("k", "v"), ["k", "v"], "left_semi").join(roots, "class", "left").select("k", "v", "class", F.coalesce("root", "class").alias("root"))
-    a, b = (named.select("k", "v", F.col("class").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    more = verified(a.join(b, ["k", "v"]).where("ra < rb").select("a", "b").distinct())
+    named = shared.join(roots, "class", "left").select("v", "class", F.coalesce("root", "class").alias("root"))
+    a, b = (named.select("v", F.col("class").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    more = verified(a.join(b, "v").where("ra < rb").select("a", "b"))
     roots = written(components(links.unionByName(more)).withColumnRenamed("node", "class"), "roots")
     size = base.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     table = written(size.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("component"), "n"), "components")
-    return join_skewed(base.select("doc_id", "class"), table, "class", "n", base.count()).select("doc_id", "class", "component")
+    dropped(shared, links, more)
+    return join_skewed(base.select("doc_id", "key", "class"), table, "class", "n", base.count()).select("doc_id", "key", "class", "component")
+
+
+def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY, words: int = WORDS, also: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df`` that stay, with all columns: of each component of :func:`near_copies` the row with the smallest id.
+
+    Rows with a null id stay, as nothing tells which they are. Of rows that repeat a
+    kept id one stays for each text.
+    """
+    found = written(near_copies(df, id_column, text_column, similarity, words, also), "copies")
+    least = written(found.groupBy("component").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    named = written(join_skewed(found, least, "component", "n", found.count()).select("doc_id", "key", "least"), "named")
+    gone, twice, text = free_name(df.columns, "gone"), free_name(df.columns, "twice"), free_name(df.columns, "key")
+    away = named.where("doc_id <> least").select(F.col("doc_id").alias(gone), F.col("key").alias(text)).distinct()
+    out = df.join(away, (F.col(id_column) == F.col(gone)) & (F.xxhash64(text_of(text_column)) == F.col(text)), "left_anti")
+    again = written(named.where("doc_id = least").groupBy(F.col("doc_id").alias(twice)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(twice), "twice")
+    if again.isEmpty():
+        return out
+    repeated = F.col(id_column) == F.col(twice)
+    return out.join(again, repeated, "left_anti").unionByName(out.join(again, repeated, "left_semi").dropDuplicates([id_column, text_column]))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 import corpus_pipeline as C
 from pricequarry.llm import registry
+from pricequarry.llm import simhash as S
 from pyspark.sql import functions as F
 
+from .conftest import SCHEMA, prose
+from .test_minhash import jaccard, shingles
+
 
 def test_stages_keep_the_columns_and_drop_what_they_should(spark, stored, edge_rows):
     docs = spark.read.parquet(f"{stored}/documents.parquet").withColumn("rejected", F.lit(1))
@@ -36,3 +40,30 @@ def test_stages_on_an_empty_table(spark, empty, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == empty.columns and docs.count() == 0
     assert C.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_near_stage_keeps_no_five_word_near_copy(spark, tmp_path):
+    texts = {}
+    for i in range(12):
+        words = prose(300 + i, 40 + 30 * i).split()
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join([*words[: len(words) // 2], *["lake"] * (1 + i // 4), *words[len(words) // 2 :]])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            if b > a and jaccard(sets[a], sets[b]) >= 0.8 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    want = sorted(set(label.values()))
+    assert sorted(r["doc_id"] for r in C.near(spark, docs, str(tmp_path)).collect()) == want
+    # pairs beyond four bits are among them
+    assert len(want) < S.simhash_dedup(docs).count()
+
+
+def test_near_stage_keeps_other_texts_of_an_id(spark, tmp_path):
+    a, b = prose(401, 200), prose(402, 200)
+    rows = [(1, a), (7, a + " lake"), (7, b), (None, a), (9, b + " lake")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = C.near(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (7, b), (0, a)])
