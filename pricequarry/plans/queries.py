@@ -312,6 +312,17 @@ def nested_prices(spark, sf_dir):
     return n.select("s_suppkey", F.array_join(F.transform("list", lambda x: x["p"]), ",").alias("prices"))
 
 
+@query(
+    """WITH l AS (SELECT l_suppkey, l_orderkey // 1000 AS part, array_to_string(list_sort(list(format('{:012.2f}:{}', l_extendedprice, l_orderkey))), ',') AS prices FROM lineitem GROUP BY 1, 2)
+SELECT s_suppkey, coalesce(part, 0) AS part, coalesce(prices, '') AS prices FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey"""
+)
+def nested_prices_all(spark, sf_dir):
+    """Every price of every supplier, nested in parts of 1000 order keys, so that no supplier is one array."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.expr("l_orderkey div 1000").alias("part"), F.format_string("%012.2f:%d", "l_extendedprice", "l_orderkey").alias("p"))
+    parts = lines.groupBy("s_suppkey", "part").agg(F.array_join(F.array_sort(F.collect_list("p")), ",").alias("prices"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey").join(parts, "s_suppkey", "left").select("s_suppkey", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("prices", F.lit("")).alias("prices"))
+
+
 @query(
     """SELECT s_suppkey, s_name, n_name, r_name, R2(sum(l_extendedprice)) AS amount FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
 )

@@ -48,3 +48,9 @@ def test_similar_names(spark):
     got = {(r["q"], r["p_name"]): r["score"] for r in plans.similar_products(spark, SF).collect()}
     assert got and all(0 < s <= 100 for s in got.values())
     assert all(s == 100 for (q, p), s in got.items() if q == p.lower())
+
+
+def test_nested_prices_hold_every_line(spark):
+    got = plans.nested_prices_all(spark, SF).collect()
+    assert sum(len(r["prices"].split(",")) for r in got if r["prices"]) == plans.table(spark, SF, "lineitem").count()
+    assert len({(r["s_suppkey"], r["part"]) for r in got}) == len(got)
