@@ -132,6 +132,23 @@ def price_status(spark, sf_dir):
     return items.join(market, "l_partkey").select("l_orderkey", "l_partkey", half_up(F.col("p"), 2).alias("scanned_price"), verdict.alias("v")).select("l_orderkey", "l_partkey", "scanned_price", "v.status", "v.deviation")
 
 
+@query(
+    """WITH m AS (SELECT l_partkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS mean FROM lineitem GROUP BY l_partkey),
+i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * 1.3 AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, i.l_partkey, R2(p) AS scanned_price,
+  CASE WHEN p < low * 0.7 THEN 'suspiciously_low' WHEN p > high * 1.15 THEN 'overpriced' WHEN p > mean * 1.05 THEN 'above_average' WHEN p < mean * 0.95 THEN 'below_average' ELSE 'normal' END AS status,
+  CASE WHEN p < low * 0.7 THEN R1(-((low - p) * 100.0 / low)) WHEN p > high * 1.15 THEN R1((p - high) * 100.0 / high) WHEN p > mean * 1.05 THEN R1((p - mean) * 100.0 / mean) WHEN p < mean * 0.95 THEN R1(-((mean - p) * 100.0 / mean)) ELSE 0.0 END AS deviation
+FROM i JOIN m ON i.l_partkey = m.l_partkey"""
+)
+def price_status_all(spark, sf_dir):
+    """Every line judged by its market, repeated ones too."""
+    lines = table(spark, sf_dir, "lineitem")
+    market = lines.groupBy("l_partkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_extendedprice").alias("mean"))
+    items = lines.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") * 1.3).alias("p"))
+    verdict = compare.price_status(F.col("p"), F.col("low"), F.col("high"), F.col("mean"))
+    return items.join(market, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", half_up(F.col("p"), 2).alias("scanned_price"), verdict.alias("v")).select("l_orderkey", "l_linenumber", "l_partkey", "scanned_price", "v.status", "v.deviation")
+
+
 @query(
     f"""WITH {OFFERS}, i AS (SELECT l_partkey AS item, max(price) AS asked FROM o GROUP BY l_partkey),
 d AS (SELECT item, l_suppkey, price, (asked - price) * 100.0 / asked AS saving FROM i JOIN o ON item = l_partkey),

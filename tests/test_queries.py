@@ -54,3 +54,7 @@ def test_nested_prices_hold_every_line(spark):
     got = plans.nested_prices_all(spark, SF).collect()
     assert sum(len(r["prices"].split(",")) for r in got if r["prices"]) == plans.table(spark, SF, "lineitem").count()
     assert len({(r["s_suppkey"], r["part"]) for r in got}) == len(got)
+
+
+def test_every_line_has_a_price_status(spark):
+    assert plans.price_status_all(spark, SF).count() == plans.table(spark, SF, "lineitem").count()
