@@ -541,6 +541,14 @@ def name_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", names.matching_name(F.substring("text", 1, 200)).alias("name"))
 
 
+@query(
+    """SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), 1, 200) AS name FROM (SELECT doc_id, text FROM documents)"""
+)
+def embedding_names(spark, sf_dir):
+    """The text that an embedding of a name is made of: the whole text is cleaned, and 200 characters are taken last."""
+    return table(spark, sf_dir, "documents").select("doc_id", similarity.embedding_text(F.col("text")).alias("name"))
+
+
 @query(
     """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'gear') THEN 'Metal' WHEN contains(lower(p_name), 'small') THEN 'Small' ELSE 'Other' END AS category FROM part"""
 )

@@ -58,3 +58,9 @@ def test_nested_prices_hold_every_line(spark):
 
 def test_every_line_has_a_price_status(spark):
     assert plans.price_status_all(spark, SF).count() == plans.table(spark, SF, "lineitem").count()
+
+
+def test_embedding_names_are_cut_after_they_are_cleaned(spark, tmp_path):
+    text = "  " + "!? \n" * 60 + "Red  Ring " * 40
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.embedding_names(spark, str(tmp_path)).first()["name"] == (" red ring" * 40)[:200]
