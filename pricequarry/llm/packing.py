@@ -36,9 +36,9 @@ def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(at, min(capacity, length - at)) for at in range(0, length, capacity)]
 
 
-def _cut(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int, id_column: str, text_column: str):
+def _cut(tokenizer: str, end_id: int, capacity: int, id_column: str, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer, keeps_blanks), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             keys = b.column(b.schema.get_field_index(id_column))
             column = texts(b, text_column)
@@ -55,10 +55,10 @@ def _cut(tokenizer: str, keeps_blanks: bool, end_id: int, capacity: int, id_colu
     return run
 
 
-def cut_documents(df: DataFrame, tokenizer: str, keeps_blanks: bool = False, end_id: int = 0, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def cut_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each piece of each row of ``df``: doc_id, piece, start, length, ids_crc32. A null text is empty: the end id alone."""
     kind = df.schema[id_column].dataType.simpleString()
-    return df.select(id_column, text_column).mapInArrow(_cut(tokenizer, keeps_blanks, end_id, capacity, id_column, text_column), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return df.select(id_column, text_column).mapInArrow(_cut(tokenizer, end_id, capacity, id_column, text_column), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
@@ -184,7 +184,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 def pack_documents(df: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Cuts and packs all rows of ``df``; an empty table gives an empty result."""
-    pieces = written(cut_documents(df, tokenizer or tokenizer_path("word_bpe_49k.json"), False, 0, capacity, id_column, text_column), "pieces")
+    pieces = written(cut_documents(df, tokenizer or tokenizer_path("word_bpe_49k.json"), 0, capacity, id_column, text_column), "pieces")
     return pack(pieces, capacity)
 
 

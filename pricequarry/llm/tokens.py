@@ -5,7 +5,8 @@ pre-token, so the stretches between such spaces are encoded on their own, each
 distinct one once, and a text's ids are those of its stretches joined. So does a line's
 end between other characters. A stretch that is new is cut further where letters meet
 marks, for its parts may be known. Texts where a blank has another beside it go to the
-library whole.
+library whole, and so do all texts of a tokenizer whose normalizer, pre-tokenizer or added
+tokens are not of the two kinds that this is known to hold for.
 
 Files: the ids of a partition's documents in ascending doc_id order, in blocks of
 BLOCK_IDS ids. A block is a run of 64-bit words: four bits select how many ids of
@@ -19,6 +20,7 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -35,13 +37,24 @@ from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of,
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
 MOST_STRETCHES, MOST_PARTS = 360_000, 100_000
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 #: Texts that are split and looked up together.
 TEXTS = 2_000
 #: What stands before a text's first stretch while it is looked up; a text that holds it goes whole.
 HEAD = "\x02"
 _BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"^[{_BLANKS}]|[ \n](?:[{_BLANKS}]|$)|\x02"
+#: The normalizer and pre-tokenizer of a tokenizer that drops white space. Fixed values.
+_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -51,39 +64,60 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _structure(tokenizer: dict) -> str | None:
+    """"bytes" for a byte-level tokenizer that keeps white space, "words" for one that drops it and lower-cases; None where stretches are not known to be independent."""
+    shapes = tokenizer.get("normalizer"), tokenizer.get("pre_tokenizer") or {}
+    plain = tokenizer["model"].get("type") == "BPE" and not tokenizer["model"].get("dropout")
+    for t in tokenizer.get("added_tokens") or ():
+        # found in a text before all else, and nothing beside them changes
+        plain &= not (t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")) and not re.search(r"[\s\x00-\x1f]", t["content"])
+    if plain and shapes[0] is None and shapes[1].get("type") == "ByteLevel" and shapes[1].get("use_regex") and not shapes[1].get("add_prefix_space"):
+        return "bytes"
+    if plain and shapes == _WORDS:
+        return "words"
+    return None
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+    """Ids of texts as little-endian unsigned 32-bit integers: those that the tokenizers library gives with ``add_special_tokens=False``.
 
-    ``keeps_blanks``: whether white space makes ids. Without them (a tokenizer that
-    drops white space) every space is a border.
+    A special token's string in a text is that token, as the library has it. Whether white
+    space makes ids (``keeps_blanks``) is read from the file. Without them (a tokenizer that drops white
+    space) every space is a border.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.keeps_blanks = keeps_blanks
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            read = json.load(f)
+        kind = _structure(read)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in read.get("added_tokens") or ()) or r"(?!)")
+        self.keeps_blanks = kind == "bytes"
+        self.letters: dict[str, bool] = {}
         # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
-        self.most = MOST_STRETCHES if keeps_blanks else MOST_STRETCHES // 2
+        self.most = MOST_STRETCHES if self.keeps_blanks else MOST_STRETCHES // 2
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # a line's end between other characters, or a control character between spaces that are dropped, is one pre-token and one id
-        mark = "\n" if keeps_blanks else " \x01 "
+        mark = "\n" if self.keeps_blanks else " \x01 "
         ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
-        if len(ids) != 1:
-            raise ValueError("the tokenizer has no mark of one id")
-        if keeps_blanks:
-            self.parts["\n"] = self.whole(["\n"])[0]
-        self.mark = mark, ids[0]
+        self.splits = kind is not None and len(ids) == 1
+        if self.splits:
+            self.mark = mark, ids[0]
+            if self.keeps_blanks:
+                self.parts["\n"] = self.whole(["\n"])[0]
 
     @classmethod
-    def of(cls, path: str, keeps_blanks: bool) -> Encoder:
-        if (path, keeps_blanks) not in _ENCODERS:
-            _ENCODERS[path, keeps_blanks] = cls(path, keeps_blanks)
-        return _ENCODERS[path, keeps_blanks]
+    def of(cls, path: str) -> Encoder:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
     def whole(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
@@ -99,8 +133,8 @@ class Encoder:
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
             text = mark.join(some)
-            # a part that is blank, or holds the mark, would run into the marks beside it
-            if not any(map(str.isspace, some)) and text.count(mark.strip(" ")) == len(some) - 1:
+            # a part that is blank, or holds the mark, would run into the marks beside it; a special token would end what is before it
+            if not any(map(str.isspace, some)) and text.count(mark.strip(" ")) == len(some) - 1 and not self.special.search(text):
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 cuts = np.flatnonzero(ids == mark_id)
                 if len(cuts) == len(some) - 1:
@@ -110,12 +144,27 @@ class Encoder:
             out += self.whole(some)
         return out
 
+    def ends(self, word: str) -> bool:
+        """Whether marks after a word are a pre-token of their own: all its characters are letters to the library too, once normalized (some letters come apart into a letter and a mark)."""
+        if word.isascii():
+            return word.isalpha()
+        if not word.isalpha():
+            return False
+        for c in word:
+            sure = self.letters.get(c)
+            if sure is None:
+                text = self.tokenizer.normalizer.normalize_str(f"{c}.") if self.tokenizer.normalizer else f"{c}."
+                sure = self.letters[c] = [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)][1:] == ["."]
+            if not sure:
+                return False
+        return True
+
     def cut(self, stretch: str, lead: str) -> list[str]:
         """Parts of a stretch that can be encoded on their own, the first with the space before it: a line's end before all, and a word and the marks after it."""
         start = stretch[0] if self.keeps_blanks and stretch[0] in ("\n", HEAD) else ""
         text = stretch[len(start) :]
         word = text.rstrip(_MARKS)
-        parts = [word, text[len(word) :]] if word != text and word.isalpha() else [text]
+        parts = [word, text[len(word) :]] if word != text and self.ends(word) else [text]
         return [*(["\n"] if start == "\n" else []), *parts] if start else [lead + parts[0], *parts[1:]]
 
     def learn(self, stretches: list[str], lead: str) -> None:
@@ -130,7 +179,7 @@ class Encoder:
                 fresh.add(s)
                 continue
             word = s.rstrip(_MARKS)
-            if word.isalpha():
+            if self.ends(word):
                 ids, marks = known.get(word) or older.get(word), s[len(word) :]
                 if ids is None:
                     fresh.add(word)
@@ -167,6 +216,8 @@ class Encoder:
         return out
 
     def _encode(self, column: pa.Array) -> list[bytes]:
+        if not self.splits:
+            return self.whole(column.to_pylist())
         whole: dict[int, bytes] = {}
         if self.keeps_blanks:
             # a line's end between other characters is a border too; a stretch after one begins with it, a text's first one with HEAD, in place of the space
@@ -307,12 +358,12 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- files
 
 
-def _write(root: str, path: str, keeps_blanks: bool, end_id: int):
+def _write(root: str, path: str, end_id: int):
     """From rows sorted by doc_id to one file, and one row about it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder.of(path, keeps_blanks)
+        encoder = Encoder.of(path)
         doc_ids: list = []
         lengths: list[np.ndarray] = []
         offsets: list[np.ndarray] = [np.zeros(1, np.int64)]
@@ -383,7 +434,7 @@ def _write(root: str, path: str, keeps_blanks: bool, end_id: int):
     return run
 
 
-def write_token_files(df: DataFrame, root: str, tokenizer: str, keeps_blanks: bool = True, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", rows_per_file: int = 20_000) -> DataFrame:
+def write_token_files(df: DataFrame, root: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", rows_per_file: int = 20_000) -> DataFrame:
     """Writes the ids of all texts, each followed by ``end_id``, to files under ``root`` whose names sort as the doc_ids do, and returns one row a file: part, uri, docs, ids, bytes.
 
     Null texts are empty (the end id alone). Null ids come first; rows that repeat an
@@ -396,7 +447,7 @@ def write_token_files(df: DataFrame, root: str, tokenizer: str, keeps_blanks: bo
     bounds = id_bounds(rows, "doc_id", fitting(spark, df.count(), rows_per_file))
     part = ranges_of(F.col("doc_id"), bounds)
     ordered = rows.repartitionById(len(bounds) + 1, part).sortWithinPartitions("doc_id")
-    return written(ordered.mapInArrow(_write(root, tokenizer, keeps_blanks, end_id), "part int, uri string, docs long, ids long, bytes long"), "manifest")
+    return written(ordered.mapInArrow(_write(root, tokenizer, end_id), "part int, uri string, docs long, ids long, bytes long"), "manifest")
 
 
 def _parts_of(uri: str):

@@ -1,12 +1,14 @@
 import random
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from pricequarry.llm import packing as P
-from pricequarry.llm.tokens import Encoder, tokenizer_path
+from pricequarry.llm.tokens import tokenizer_path
+from tokenizers import Tokenizer
 
 
 def fewest(lengths, capacity):
@@ -73,10 +75,10 @@ def test_groups_of_the_usual_size_come_close_to_the_bound(spark):
 
 def test_documents_become_pieces(docs, edge_rows):
     got = P.pack_documents(docs).collect()
-    e = Encoder.of(tokenizer_path("word_bpe_49k.json"), False)
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     want = []
-    for r, ids in zip(edge_rows, e.whole([r[1] or "" for r in edge_rows]), strict=True):
-        ids += b"\0\0\0\0"
+    for r, e in zip(edge_rows, library.encode_batch([r[1] or "" for r in edge_rows], add_special_tokens=False), strict=True):
+        ids = array("I", [*e.ids, 0]).tobytes()
         for k, at in enumerate(range(0, len(ids), 4 * 2048)):
             piece = ids[at : at + 4 * 2048]
             want.append((r[0], k, at // 4, len(piece) // 4, zlib.crc32(piece)))
