@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import json
 import math
 import shutil
 import tempfile
@@ -149,19 +150,34 @@ MOST_RANGES = 1 << 15
 
 
 def id_bounds(df: DataFrame, column: str, parts: int) -> list:
-    """At most ``parts - 1`` values, and fewer than MOST_RANGES, that cut ``column`` into ranges of about as many rows each."""
+    """At most ``parts - 1`` values, and fewer than MOST_RANGES, that cut ``column`` (numbers or strings) into ranges of about as many rows each.
+
+    Of strings, about eight for each range come to the driver, chosen by their hash.
+    Bounds decide where rows go, never what a result holds.
+    """
     parts = min(parts, MOST_RANGES)
+    kind = df.schema[column].dataType
+    if not isinstance(kind, (T.NumericType, T.StringType)):
+        raise TypeError(f"{column} is {kind.simpleString()}: ids are numbers or strings")
     if parts < 2:
         return []
-    return sorted(set(df.select(F.col(column).cast("double")).na.drop().approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts)))
+    if isinstance(kind, T.NumericType):
+        return sorted(set(df.select(F.col(column).cast("double")).na.drop().approxQuantile(column, [i / parts for i in range(1, parts)], 0.1 / parts)))
+    known = df.select(column).na.drop()
+    share = 8 * parts / max(1, known.count())
+    some = sorted(r[0] for r in known.where(F.pmod(F.xxhash64(column), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))).toLocalIterator())
+    return sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
 
 
-def ranges_of(column: Column, bounds: list[float]) -> Column:
+def ranges_of(column: Column, bounds: list) -> Column:
     """The number of bounds that a column reaches; 0 for null. Found by halving in one array literal, so that the plan is small for any number of bounds."""
     if not bounds:
         return F.lit(0)
     depth = len(bounds).bit_length()
-    held = F.lit(np.array([*bounds, *[math.inf] * ((1 << depth) - 1 - len(bounds))]))
+    spare = (1 << depth) - 1 - len(bounds)
+    if isinstance(bounds[0], str):
+        held, value = F.from_json(F.lit(json.dumps([*bounds, *[None] * spare])), "array<string>"), column
+    else:
+        held, value = F.lit(np.array([*bounds, *[math.inf] * spare])), column.cast("double")
     steps = F.lit(np.array([1 << k for k in reversed(range(depth))], np.int32))
-    value = column.cast("double")
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(value >= F.element_at(held, at + step), at + step).otherwise(at))

@@ -240,7 +240,7 @@ def fingerprint_documents(df: DataFrame, id_column: str = "doc_id", text_column:
     """Fingerprints of every whole text, of its edited text, and how alike they and the next document's are.
 
     The next document is the next in ascending id (after the last, the first; a
-    single document is its own next). Null ids come first; rows with equal ids follow
+    single document is its own next). Ids are numbers or strings (by code points). Null ids come first; rows with equal ids follow
     each other by text. Null texts are empty. A text without words has the fingerprint of
     the empty set, which is like only itself (likeness 1). An empty table gives an empty result.
     """

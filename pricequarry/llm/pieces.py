@@ -13,6 +13,7 @@ the prefix before it, by which the ids are exactly the model's. Characters witho
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -107,18 +108,37 @@ class PieceModel:
     # ------------------------------------------------ one word
 
     def merged(self, word: str) -> list[str]:
-        """The pieces of a word by merging: the neighbours whose join has the best score, the leftmost first, until none has a piece."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The pieces of a word by merging: the neighbours whose join has the best score, the leftmost first, until none has a piece. Joins wait in a heap, so that a long word takes n log n steps."""
+        n = len(word)
+        ends = list(range(1, n + 1))  # where the piece that starts here ends; 0 once it is part of another
+        before = list(range(-1, n - 1))
+        waiting: list[tuple[float, int, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = ends[i]
+            if j < n:
+                k = self.ids.get(word[i : ends[j]])
+                if k is not None:
+                    heapq.heappush(waiting, (-self.scores[k], i, j, ends[j]))
+
+        for i in range(n - 1):
+            offer(i)
+        while waiting:
+            _, i, j, end = heapq.heappop(waiting)
+            # an offer counts only while both pieces are as they were
+            if ends[i] != j or ends[j] != end:
+                continue
+            ends[i], ends[j] = end, 0
+            if end < n:
+                before[end] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            out.append(word[i : ends[i]])
+            i = ends[i]
+        return out
 
     def agrees(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters gives the two pieces again; before the first piece (-1) whether merging gives the piece."""

@@ -437,7 +437,7 @@ def _write(root: str, path: str, end_id: int):
 def write_token_files(df: DataFrame, root: str, tokenizer: str, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", rows_per_file: int = 20_000) -> DataFrame:
     """Writes the ids of all texts, each followed by ``end_id``, to files under ``root`` whose names sort as the doc_ids do, and returns one row a file: part, uri, docs, ids, bytes.
 
-    Null texts are empty (the end id alone). Null ids come first; rows that repeat an
+    Null texts are empty (the end id alone). Ids are numbers or strings (by code points). Null ids come first; rows that repeat an
     id are documents of their own, side by side. Rows are dealt out by ranges of the id, so no
     key is hot. A task that runs twice writes a file of its own name, and the returned table
     (written once) names the one to read. An empty table makes no file.

@@ -24,3 +24,19 @@ def test_null_is_in_the_first_range(spark):
 
 def test_bounds_are_fewer_than_asked_for_beyond_the_most(spark):
     assert len(id_bounds(spark.range(100), "id", 10 * MOST_RANGES)) <= 100
+
+
+def test_ranges_of_strings(spark):
+    rng = random.Random(3)
+    ids = ["".join(rng.choice("aäß\u4e2d0'\"") for _ in range(rng.randint(0, 6))) for _ in range(3000)]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id string")
+    bounds = id_bounds(df, "id", 9)
+    assert 4 <= len(bounds) <= 8
+    rows = df.select("id", ranges_of(F.col("id"), bounds).alias("r")).collect()
+    assert all(r["r"] == (0 if r["id"] is None else bisect.bisect_right(bounds, r["id"])) for r in rows)
+    assert id_bounds(df.where("id IS NULL"), "id", 9) == []
+
+
+def test_ids_of_other_types_are_refused(spark):
+    with pytest.raises(TypeError, match="numbers or strings"):
+        id_bounds(spark.sql("SELECT DATE '2024-01-01' AS id"), "id", 4)

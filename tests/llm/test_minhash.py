@@ -55,6 +55,38 @@ def test_each_document_beside_the_next(docs, edge_rows):
             assert same.setdefault(text[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
 
 
+def likeness_of(a, b):
+    """From two hexadecimal fingerprints, by the definition."""
+    a, b = bytes.fromhex(a), bytes.fromhex(b)
+    share = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    return min(1.0, max(0.0, (share - 1 / 256) / (1 - 1 / 256)))
+
+
+def test_likenesses_are_those_of_the_fingerprints_and_near_jaccard(spark):
+    rows = [(i, prose(60 + i // 3, 400).replace("river", "lake", 4 * (i % 3))) for i in range(30)] + [(30, None), (31, "one two")]
+    got = M.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    text = dict(rows)
+    for r, n in zip(got, [*got[1:], got[0]], strict=True):
+        own, following = text[r["doc_id"]] or "", text[n["doc_id"]] or ""
+        cut = len(own) // 4
+        edited = own[: len(own) - cut] + following[:cut]
+        # the edited text's fingerprint is what that text has as a document of its own
+        alone = M.fingerprint(M.Permutations().signatures(M.shingle_hashes([edited.encode()])))[0].tobytes().hex()
+        assert r["edited_fingerprint"] == alone
+        assert r["near_edited"] == pytest.approx(likeness_of(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(likeness_of(r["fingerprint"], n["fingerprint"]))
+        # four standard deviations of 128 permutations
+        assert abs(r["near_edited"] - jaccard(shingles(own), shingles(edited))) < 0.18
+        assert abs(r["near_next"] - jaccard(shingles(own), shingles(following))) < 0.18
+
+
+def test_string_ids(spark):
+    rows = [("b", "one two three"), ("a", "four five six"), (None, "x"), ("ä", None)]
+    got = {r["doc_id"]: r for r in M.fingerprint_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert set(got) == {"a", "b", "ä", None}
+    assert got["a"]["edited_sha256"] == hashlib.sha256(b"four five one").hexdigest()
+
+
 def test_near_copies_are_the_components_of_exact_similarity(docs, edge_rows, spark):
     rows = [(i, prose(50 + i % 4, 200).replace("river", "lake", i // 4)) for i in range(40)] + [(100, None), (101, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

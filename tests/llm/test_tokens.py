@@ -104,3 +104,12 @@ def test_files_hold_every_document(docs, edge_rows, tmp_path, library):
 
 def test_empty_table(empty, tmp_path):
     assert T.read_token_files(T.write_token_files(empty, f"file://{tmp_path}", T.tokenizer_path(BYTE))).count() == 0
+
+
+def test_string_ids(spark, tmp_path, library):
+    rows = [(x, f"text of {x}") for x in ("b", "a", "ä", "", "aa", "B")]
+    manifest = T.write_token_files(spark.createDataFrame(rows, "doc_id string, text string"), f"file://{tmp_path}", T.tokenizer_path(BYTE), rows_per_file=1)
+    got = T.read_token_files(manifest, "string").orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(x for x, _ in rows)
+    want = dict(zip([x for x, _ in rows], library(BYTE, [t for _, t in rows]), strict=True))
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["doc_id"]] + struct.pack("<I", 0)) for r in got)
