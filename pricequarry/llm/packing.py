@@ -3,10 +3,13 @@
 Documents longer than a sequence are cut; what is left over is packed into sequences
 of CAPACITY tokens. Groups of pieces are packed by best-fit decreasing. A lower bound
 from dual feasible functions certifies a group's count of sequences where they meet.
-Where they do not, the group has a gap. Then pieces are exchanged: each group gives up
-the sequences with room for 1/64 or more, its emptiest one, and two more for each
-sequence over its bound; their pieces are dealt to half as many groups and packed again,
-until a bound over all pieces certifies the whole or one group holds all that is left.
+Where they do not, the group has a gap, and pieces are exchanged: it gives up the sequences with room for 1/64 or more, and its emptiest ones, two for each sequence over
+its bound and one more; their pieces are dealt to fewer groups and packed again. A certified
+group keeps its sequences and takes no part. When no group has a gap, or one holds all that
+is left of those that have, a bound over all pieces certifies the whole; where it does not, the
+whole has a gap that no group shows (each rounds up to whole sequences by itself), and
+the sequences with room of the certified groups are packed together once, in place of what they
+were if that takes fewer.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ CAPACITY = 2048
 GROUP_PIECES, MOST_PIECES = 4096, 1 << 18
 #: Sequences with this share of room are given up.
 LOOSE = 1 / 64
+#: What becomes of a sequence: it stays, its pieces are exchanged, or it has room in a certified group.
+KEPT, GIVEN, TAIL = 0, 1, 2
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -120,10 +125,13 @@ def _pack(capacity: int, round_no: int):
         n_bins = int(bins.max()) + 1
         used = np.bincount(bins, weights=lengths, minlength=n_bins).astype(np.int64)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        given = np.zeros(n_bins, bool)
-        given[np.argsort(used, kind="stable")[: 1 + 2 * (n_bins - bound)]] = True
-        given |= capacity - used >= capacity * LOOSE
-        given &= used < capacity
+        emptiest = np.argsort(used, kind="stable")
+        state = np.full(n_bins, KEPT, np.int32)
+        # a certified group keeps its sequences; what it could give once the whole falls short is marked
+        open_ = GIVEN if n_bins > bound else TAIL
+        state[emptiest[: 1 + 2 * (n_bins - bound)]] = open_
+        state[capacity - used >= capacity * LOOSE] = open_
+        state[used == capacity] = KEPT
         order = np.lexsort((np.arange(len(bins)), bins))
         sizes = lengths[order]
         ends = np.cumsum(sizes)
@@ -135,7 +143,7 @@ def _pack(capacity: int, round_no: int):
         return pdf.drop(columns="group").assign(
             sequence_id=(np.int64(round_no) << 56) + (np.int64(key[0]) << 24) + bins,
             offset=offset,
-            loose=given[bins],
+            state=state[bins],
         )
 
     return run
@@ -145,37 +153,60 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     """``pieces`` (a written table: doc_id, piece, start, length, ids_crc32) with sequence_id, offset and bound.
 
     ``bound`` is the proven least number of sequences for all pieces. In each round,
-    groups of pieces dealt at random are packed in tasks of their own, and what they
+    groups of pieces dealt at random are packed in tasks of their own, and what those with a gap
     give up goes to the next. No piece is dropped; ties are broken by length, id and
     piece number. Repeated rows are pieces of their own.
     """
     kind = pieces.schema["doc_id"].dataType.simpleString()
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, state int"
     counts = np.zeros(capacity + 1, np.int64)  # at most capacity + 1 rows reach the driver
     for r in pieces.groupBy("length").count().toLocalIterator():
         counts[r["length"]] = r["count"]
     bound = lower_bound(counts, capacity)
     # a whole sequence needs no packing
     whole = pieces.where(F.col("length") == capacity).select(*columns, (F.lit(0xFF << 54).cast("long") + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    final = [written(whole, "whole")]
-    left = int(counts[:capacity].sum())
-    rest = pieces.where(F.col("length") < capacity)
-    groups, round_no, kept = math.ceil(left / group_pieces), 1, int(counts[capacity])
-    while left:
+    final, tails = [written(whole, "whole")], []
+    kept = int(counts[capacity])
+
+    def packed_in(rest: DataFrame, groups: int, round_no: int) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+        """The pieces packed in groups dealt at random, and the number of sequences and pieces in each state."""
         # rows of a written table, so that their numbers are the same when a task runs again; equal rows are dealt apart
         key = F.pmod(F.xxhash64(F.lit(round_no), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
-        packed = written(rest.select(*columns, key.alias("group")).groupBy("group").applyInPandas(_pack(capacity, round_no), schema), "packed")
-        state = packed.groupBy("loose", "sequence_id").agg(F.count(F.lit(1)).alias("pieces")).groupBy("loose").agg(F.count(F.lit(1)).alias("n"), F.sum("pieces").alias("pieces")).collect()
-        n = {r["loose"]: r["n"] for r in state}
-        after = max(groups // 2, math.ceil({r["loose"]: r["pieces"] for r in state}.get(True, 0) / MOST_PIECES))
-        if kept + sum(n.values()) == bound or groups == 1 or True not in n or after >= groups:
-            final.append(packed)
+        out = written(rest.select(*columns, key.alias("group")).groupBy("group").applyInPandas(_pack(capacity, round_no), schema), "packed")
+        sizes = out.groupBy("state", "sequence_id").agg(F.count(F.lit(1)).alias("pieces")).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("pieces").alias("pieces"))
+        return out, {r["state"]: (r["n"], r["pieces"]) for r in sizes.collect()}
+
+    def counted(state: int, n: dict[int, tuple[int, int]]) -> tuple[int, int]:
+        return n.get(state, (0, 0))
+
+    rest, left, round_no = pieces.where(F.col("length") < capacity), int(counts[:capacity].sum()), 1
+    groups = math.ceil(left / group_pieces)
+    ended = None
+    while left:
+        packed, n = packed_in(rest, groups, round_no)
+        final.append(packed.where(F.col("state") == KEPT))
+        kept += counted(KEPT, n)[0]
+        if counted(TAIL, n)[0]:
+            tails.append((packed.where(F.col("state") == TAIL), *counted(TAIL, n)))
+        rest, (given, left) = packed.where(F.col("state") == GIVEN), counted(GIVEN, n)
+        after = max(1, math.ceil(left / MOST_PIECES), min(groups // 2, math.ceil(left / group_pieces)))
+        round_no += 1
+        if left and after >= groups:
+            ended = (rest, given, left)
             break
-        final.append(packed.where("NOT loose"))
-        kept += n.get(False, 0)
-        rest, left = packed.where("loose"), {r["loose"]: r["pieces"] for r in state}[True]
-        groups, round_no = max(1, after), round_no + 1
+        groups = after
+    # what is left of the gaps, and the certified groups' sequences with room
+    last = [*tails, *([ended] if ended else [])]
+    open_, left = sum(n for _, n, _ in last), sum(n for _, _, n in last)
+    if last and kept + open_ > bound and len(last) + open_ > 2:
+        rest = last[0][0]
+        for more, _, _ in last[1:]:
+            rest = rest.unionByName(more)
+        packed, n = packed_in(rest, math.ceil(left / MOST_PIECES), round_no)
+        if sum(x for x, _ in n.values()) < open_:
+            last = [(packed, 0, 0)]
+    final += [df for df, _, _ in last]
     out = final[0].select(*columns, "sequence_id", "offset")
     for part in final[1:]:
         out = out.unionByName(part.select(*columns, "sequence_id", "offset"))
