@@ -57,3 +57,22 @@ def test_places_are_uniform(spark):
             seen[r["doc_id"], 4 * r["shard"] + r["slot"]] += 1
     # chi-squared over 144 places with 121 degrees of freedom
     assert ((seen - 5) ** 2 / 5).sum() < 190
+
+
+def test_groups_of_partitions_draw_what_all_together_would(spark):
+    few = spark.createDataFrame([(i,) for i in range(12)], "doc_id long").repartition(4).cache()
+    seen = np.zeros((12, 3))
+    for seed in range(60):
+        rows = H.shuffle_into_shards(few, 3, seed=seed, groups=2).collect()
+        assert sorted(Counter(r["shard"] for r in rows).values()) == [4, 4, 4]
+        for r in rows:
+            seen[r["doc_id"], r["shard"]] += 1
+    # chi-squared over 36 counts of 20 each with 22 degrees of freedom
+    assert ((seen - 20) ** 2 / 20).sum() < 55
+
+
+def test_long_texts_make_more_blocks(spark):
+    rows = [(i, "x" * (50_000 if i % 10 == 0 else 10)) for i in range(200)]
+    got = H.shuffle_into_shards(spark.createDataFrame(rows, "doc_id long, text string"), 2, block_bytes=100_000).collect()
+    for s in (0, 1):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(100))
