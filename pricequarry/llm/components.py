@@ -25,7 +25,7 @@ def union_pairs(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = up
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node of ``edges`` (a, b; longs) the least node it is linked with.
 
     Rounds of large-star (hang each larger neighbour on the least one) and small-star
@@ -33,13 +33,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Minima are taken before the shuffle, and a node with many links is joined by
     broadcast (:func:`join_skewed`), so a hub costs no task more than others. Each
     round's links are a written table; only their number and a hash sum reach the driver.
+    Links with a null end join nothing and go; repeated ones count once.
     """
     big, small = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = written(edges.where("a <> b").select(big, small).distinct(), "links")
     state = _signature(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:  # the sum of the links' ends falls with every round that changes one
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
         hung = join_skewed(both, least, "u", "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -51,8 +50,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now, before, state = after, state, _signature(after)
         if state == before:
             break
-    else:
-        raise RuntimeError(f"links still change after {most_rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 

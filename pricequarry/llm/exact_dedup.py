@@ -124,7 +124,7 @@ def maybe_repeated(digests: pa.Array, bits: np.ndarray, slots: int) -> np.ndarra
 
 
 def _found(df: DataFrame, id_column: str, text_column: str, most_slots: int):
-    """The result of :func:`exact_copies`, and the filter it was made with."""
+    """The result of :func:`exact_copies`, the filter it was made with, and the tables that it reads."""
     kind = df.schema[id_column].dataType.simpleString()
     base = written(df.select(id_column, text_column).mapInArrow(_digests(text_column, id_column), f"doc_id {kind}, n_chars long, digest binary"), "digests")
     rows = base.count()
@@ -146,7 +146,7 @@ def _found(df: DataFrame, id_column: str, text_column: str, most_slots: int):
     joined = join_skewed(some, groups, "digest", "group_size", rows)
     kept = F.col("doc_id").eqNullSafe(F.col("best.i")) & (F.col("n_chars") == -F.col("best.n"))
     out = alone.unionByName(joined.select("doc_id", "n_chars", "digest", F.col("best.i").alias("keep_id"), "group_size", kept.alias("kept")))
-    return out, bits, slots
+    return out, bits, slots, (flagged, groups)
 
 
 def exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", most_slots: int = MOST_SLOTS) -> DataFrame:
@@ -168,8 +168,9 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     A row whose hash the filter calls unrepeated goes straight from the scan to the
     result. Only the others are held against the rows to drop.
     """
-    found, bits, slots = _found(df, id_column, text_column, most_slots)
+    found, bits, slots, parts = _found(df, id_column, text_column, most_slots)
     groups = written(found.where("group_size > 1").select("doc_id", "n_chars", "digest", "kept").groupBy("digest", "doc_id", "n_chars").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("times")), "copies")
+    dropped(*parts)
     many, most = groups.agg(F.count(F.lit(1)), F.max("times")).first()
     hashed, maybe = free_name(df.columns, "digest"), free_name(df.columns, "maybe")
     length = free_name(df.columns, "length")

@@ -307,7 +307,9 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     the least one of each of its buckets; those links join most near copies, in
     proportion to the rows. Then only the pairs of a bucket that are not yet joined are
     compared, so that no pair in a bucket goes without a link or a comparison. Only the
-    candidates' shingles are ever written.
+    candidates' shingles are ever written. A null text is an empty one; texts without a word
+    are one class, which is near no other. Repeated rows and rows with a null id are rows like any other
+    (``also`` names rows by ids that are not null). An empty table gives an empty result.
     """
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_of(text_column)).alias("key"), text_of(text_column).alias("text"))
@@ -334,14 +336,14 @@ def near_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         return out
 
     links = verified(candidates)
-    roots = written(components(links).withColumnRenamed("node", "class"), "roots")
-    named = shared.join(roots, "class", "left").select("v", "class", F.coalesce("root", "class").alias("root"))
+    first = written(components(links).withColumnRenamed("node", "class"), "roots")
+    named = shared.join(first, "class", "left").select("v", "class", F.coalesce("root", "class").alias("root"))
     a, b = (named.select("v", F.col("class").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
     more = verified(a.join(b, "v").where("ra < rb").select("a", "b"))
     roots = written(components(links.unionByName(more)).withColumnRenamed("node", "class"), "roots")
     size = base.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     table = written(size.join(roots, "class", "left").select("class", F.coalesce("root", "class").alias("component"), "n"), "components")
-    dropped(shared, links, more)
+    dropped(shared, links, more, first, roots)
     return join_skewed(base.select("doc_id", "key", "class"), table, "class", "n", base.count()).select("doc_id", "key", "class", "component")
 
 
@@ -356,8 +358,10 @@ def near_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     named = written(join_skewed(found, least, "component", "n", found.count()).select("doc_id", "key", "least"), "named")
     gone, twice, text = free_name(df.columns, "gone"), free_name(df.columns, "twice"), free_name(df.columns, "key")
     away = named.where("doc_id <> least").select(F.col("doc_id").alias(gone), F.col("key").alias(text)).distinct()
-    out = df.join(away, (F.col(id_column) == F.col(gone)) & (F.xxhash64(text_of(text_column)) == F.col(text)), "left_anti")
     again = written(named.where("doc_id = least").groupBy(F.col("doc_id").alias(twice)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(twice), "twice")
+    away = written(away, "gone")
+    dropped(found, least, named)
+    out = df.join(away, (F.col(id_column) == F.col(gone)) & (F.xxhash64(text_of(text_column)) == F.col(text)), "left_anti")
     if again.isEmpty():
         return out
     repeated = F.col(id_column) == F.col(twice)

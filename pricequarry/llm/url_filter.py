@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._common import extended, free_name, read, texts
 
 TOKEN = re.compile(r"[a-z0-9]+")
-#: Rules are broadcast; more than this many must be split over several calls.
+#: Rules that are broadcast at once. More of them are held against the URLs in several passes, which hand on the best rule so far.
 MOST_RULES = 100_000
 
 
@@ -134,55 +134,70 @@ def token_counts(df: DataFrame, url_column: str, rules: tuple[Rule, ...]) -> dic
     if not known:
         return {}
     held = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(url_column).cast("string"), F.lit(""))), F.lit("([a-z0-9]+)"), 1))
-    tokens = df.select(F.explode(F.filter(held, lambda t: t.isin(known))).alias("token"))
-    return {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
+    tokens = df.select(F.explode(held).alias("token"))
+    asked = df.sparkSession.createDataFrame([(t,) for t in known], "token string")
+    return {r["token"]: r["count"] for r in tokens.join(F.broadcast(asked), "token", "left_semi").groupBy("token").count().collect()}
 
 
-def judge_urls(df: DataFrame, url_column: str = "url", sites: tuple[Rule, ...] = SITES, pages: tuple[Rule, ...] = PAGES, otherwise: str = "allow") -> DataFrame:
+def judge_urls(df: DataFrame, url_column: str = "url", sites: tuple[Rule, ...] = SITES, pages: tuple[Rule, ...] = PAGES, otherwise: str = "allow", most_rules: int = MOST_RULES) -> DataFrame:
     """``df`` with host, path, rule, pattern and verdict.
 
     ``rule`` is the longest site rule that fits (ties: the first in order), else
     null; ``pattern`` the longest page pattern. The verdict is the rule's, else the
     pattern's, else ``otherwise``. A null URL, an empty one or one without ``://``
-    has an empty host and path, which no site rule fits. New columns whose names
-    are taken get underscores in front.
+    has an empty host and path, which no site rule fits. URLs of any length are read whole;
+    repeated rows are judged each by themselves and alike; an empty table gives an empty result.
+    New columns whose names are taken get underscores in front. Any number of rules is held
+    against the URLs, ``most_rules`` of them in a pass.
     """
-    rules = (*sites, *pages)
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; split them into calls of at most {MOST_RULES}")
-    filed = file_rules(rules, token_counts(df, url_column, rules))
     names = [free_name(df.columns, n) for n in ("host", "path", "rule", "pattern", "verdict")]
     schema = extended(df, *((n, "string") for n in names))
-    names = schema.names
-    n_sites = len(sites)
+    width = len(df.columns)
+    rules = [(r, True) for r in sites] + [(r, False) for r in pages]
+    out = df
+    for at in range(0, max(1, len(rules)), most_rules):
+        some = rules[at : at + most_rules]
+        out = out.mapInArrow(_judge(df, url_column, tuple(some), otherwise, schema.names, width, at == 0), schema)
+    return out
+
+
+def _judge(df: DataFrame, url_column: str, rules: tuple[tuple[Rule, bool], ...], otherwise: str, names: list[str], width: int, first: bool):
+    """One pass: rows without (``first``) or with the columns that the passes before filled."""
+    only = tuple(r for r, _ in rules)
+    filed = file_rules(only, token_counts(df, url_column, only))
+    shared = df.sparkSession.sparkContext.broadcast((rules, filed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules, filed = shared.value
         compiled: dict[int, re.Pattern] = {}
         always = filed.get("", [])
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for url in texts(b, url_column).to_pylist():
+            before = [[None] * b.num_rows] * 3 if first else [b.column(width + k).to_pylist() for k in (2, 3, 4)]
+            for url, *(rule, page, verdict) in zip(texts(b, url_column).to_pylist(), *before, strict=True):
                 host, path = split_url(url)
                 target = f"{host}{path}"
-                best: list[int | None] = [None, None]
+                best: list[str | None] = [rule, page]
+                taken: dict[int, int] = {}  # the numbers of the best rules, where this pass found them
                 for i in [*always, *(i for t in {*TOKEN.findall(target.lower())} & filed.keys() for i in filed[t])]:
-                    kind = i >= n_sites
-                    held = best[kind]
-                    if held is not None and (-len(rules[held].name), held) <= (-len(rules[i].name), i):
+                    own, site = rules[i]
+                    kind, now = (0, best[0]) if site else (1, best[1])
+                    # the longest name wins, of equal ones the first in order; candidates come in any order
+                    if now is not None and (len(now) > len(own.name) or (len(now) == len(own.name) and taken.get(kind, -1) < i)):
                         continue
-                    if not kind and not host:
+                    if site and not host:
                         continue
                     if i not in compiled:
-                        compiled[i] = re.compile(rules[i].pattern)
+                        compiled[i] = re.compile(own.pattern)
                     if compiled[i].search(target):
-                        best[kind] = i
-                rule, page = (rules[i] if i is not None else None for i in best)
-                won = rule or page
-                for column, value in zip(out, (host, path, rule and rule.name, page and page.name, won.verdict if won else otherwise), strict=True):
+                        best[kind], taken[kind] = own.name, i
+                        if site or best[0] is None:
+                            verdict = own.verdict
+                for column, value in zip(out, (host, path, *best, verdict if verdict is not None else otherwise), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.string()) for c in out)], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], *(pa.array(c, pa.string()) for c in out)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return run
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

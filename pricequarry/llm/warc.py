@@ -23,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting, join_skewed, new_path, opened, put_whole, raw, read, texts, written
+from ._common import dropped, fitting, join_skewed, new_path, opened, put_whole, raw, read, texts, written
 
 #: Index lines in a compressed block.
 BLOCK_LINES = 500
+#: Ranges of keys that look-ups are dealt out by, at most, and questions that one task answers, about.
+MOST_RANGES, QUESTIONS = 10_000, 1_000
 #: Revisit records are written for equal payloads of at least so many bytes.
 LEAST_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -188,7 +190,9 @@ def write_archive(df: DataFrame, root: str, rows_per_file: int = 5_000) -> DataF
     held = pages.mapInArrow(with_key, f"key string, page_id {kind}, digest string, kind string, first {kind}, url string, html string")
     bounds = fitting(spark, rows, rows_per_file)
     ordered = held.unionByName(roles).repartitionByRange(bounds, "key", F.col("page_id").asc_nulls_last()).sortWithinPartitions("key", F.col("page_id").asc_nulls_last(), "digest", "kind")
-    return written(ordered.mapInArrow(_write(root), "first_key string, last_key string, archive string, index string, at long, bytes long, lines long"), "directory")
+    out = written(ordered.mapInArrow(_write(root), "first_key string, last_key string, archive string, index string, at long, bytes long, lines long"), "directory")
+    dropped(keyed, groups)
+    return out
 
 
 # ---------------------------------------------------------------- reading
@@ -260,15 +264,22 @@ def read_archive(directory: DataFrame, kind: str = "bigint", payloads: bool = Tr
     return blocks.repartition(n, "archive", "at").mapInArrow(run, _schema(kind))
 
 
-def look_up(directory: DataFrame, urls: DataFrame, kind: str = "bigint", block_share: int = 64) -> DataFrame:
+def look_up(directory: DataFrame, urls: DataFrame, kind: str = "bigint", most_ranges: int = MOST_RANGES, questions: int = QUESTIONS) -> DataFrame:
     """The captures of the ``url`` s asked for: (asked, page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload).
 
     Questions and index blocks meet by ranges of the key, never by pairs of all: each
-    question goes to the range of the directory (a few bounds) that its key falls in,
+    question goes to the range of the directory (at most ``most_ranges`` bounds) that its key falls in,
     and is searched there by halving, first among the blocks, then in the block. A range
-    whose blocks end within a run of equal keys hands the question on to the next one.
+    whose blocks end within a run of equal keys hands the question on to the next one. A range with
+    more questions than ``questions`` is searched by several tasks, each with its blocks' directory rows.
+    A null question is the empty URL; repeated ones are answered once; an empty table of
+    questions or an empty directory gives an empty result.
     """
-    ranges = directory.sparkSession.sparkContext.broadcast(sorted(r["k"] for r in directory.groupBy("archive").agg(F.min("first_key").alias("k")).collect()))
+    # archives stand in the order of their keys, so that every so many-th begins a range
+    number = F.regexp_extract("archive", r"pages-(\d+)-", 1).cast("int")
+    archives = directory.agg(F.countDistinct("archive")).first()[0]
+    starts = directory.where(number % max(1, -(-archives // most_ranges)) == 0).groupBy("archive").agg(F.min("first_key").alias("k"))
+    ranges = directory.sparkSession.sparkContext.broadcast(sorted({"", *(r["k"] for r in starts.toLocalIterator())}))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = ranges.value
@@ -291,7 +302,11 @@ def look_up(directory: DataFrame, urls: DataFrame, kind: str = "bigint", block_s
 
     schema = "part int, first_key string, last_key string, archive string, index string, at long, bytes long"
     blocks = directory.select("first_key", "last_key", "archive", "index", "at", "bytes").mapInArrow(place, schema)
-    asked = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(numbered, "part int, key string, asked string")
+    asked = written(urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(numbered, "part int, key string, asked string"), "asked")
+    # a row for each range that is asked in
+    shares = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / questions).cast("int").alias("shares"))
+    asked = asked.join(F.broadcast(shares), "part").withColumn("share", F.pmod(F.xxhash64("asked"), F.col("shares")).cast("int")).drop("shares")
+    blocks = blocks.join(F.broadcast(shares), "part").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         known = sorted(right.select(["first_key", "last_key", "archive", "index", "at", "bytes"]).to_pylist(), key=lambda r: r["first_key"])
@@ -302,7 +317,7 @@ def look_up(directory: DataFrame, urls: DataFrame, kind: str = "bigint", block_s
             for i in range(max(0, bisect.bisect_left(firsts, k) - 1), bisect.bisect_right(firsts, k)):
                 if known[i]["last_key"] < k:
                     continue
-                if i not in held:
+                if i not in held:  # one block at a time
                     held = {i: read_block(known[i]["index"], known[i]["at"], known[i]["bytes"])}
                 lines = held[i]
                 lo = bisect.bisect_left(lines, k, key=lambda x: x[0])
@@ -311,7 +326,7 @@ def look_up(directory: DataFrame, urls: DataFrame, kind: str = "bigint", block_s
         batch = _batch([r for _, r in out], _ARROW[kind])
         return pa.Table.from_arrays([pa.array([a for a, _ in out], pa.string()), *batch.columns], names=["asked", *batch.schema.names])
 
-    return asked.groupBy("part").cogroup(blocks.groupBy("part")).applyInArrow(search, "asked string, " + _schema(kind))
+    return asked.groupBy("part", "share").cogroup(blocks.groupBy("part", "share")).applyInArrow(search, "asked string, " + _schema(kind))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,25 @@ def test_no_rules_and_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert U.judge_urls(df, sites=(), pages=()).first()["verdict"] == "allow"
     assert U.judge_urls(df.limit(0)).count() == 0
+
+
+def test_many_rules_in_passes(spark):
+    """As one pass has it, whatever the size of a pass."""
+    sites = (*U.SITES, U.Rule.site("block", "a.net/x"), U.Rule("allow", "b.net/x", r"^a\.net/x"), U.Rule("block", "a.net/y", r"^a\.net/"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    want = sorted(map(str, U.judge_urls(df, sites=sites).collect()))
+    assert any("a.net/x" in w for w in want)
+    for n in (1, 2, 3):
+        assert sorted(map(str, U.judge_urls(df, sites=sites, most_rules=n).collect())) == want
+    thousands = (*sites, *(U.Rule.site("block", f"h{i}.example/p{i}/") for i in range(3000)))
+    got = U.judge_urls(df.unionByName(spark.createDataFrame([(99, "http://h7.example/p7/x")], "page_id long, url string")), sites=thousands).collect()
+    assert next(r for r in got if r["page_id"] == 99)["rule"] == "h7.example/p7/"
+    assert sorted(str(r) for r in got if r["page_id"] != 99) == want
+
+
+def test_very_long_urls_and_repeated_rows(spark):
+    long = "http://a.net/" + "x/" * 200_000 + "cart"
+    df = spark.createDataFrame([(1, long), (1, long), (2, "http://a.org/" + "y" * 500_000)], "page_id long, url string")
+    got = sorted(U.judge_urls(df).collect(), key=lambda r: r["page_id"])
+    assert [(r["rule"], r["pattern"], r["verdict"]) for r in got] == [("net/", "shop page", "block")] * 2 + [(None, None, "allow")]
+    assert len(got[0]["path"]) == len(long) - len("http://a.net")

@@ -69,3 +69,14 @@ def test_damage_is_noticed():
 def test_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([], SCHEMA)
     assert W.read_archive(W.write_archive(pages, f"file://{tmp_path}")).count() == 0
+
+
+def test_look_up_splits_ranges_and_hot_questions(spark, directory, rows):
+    urls = [r[1] for r in rows] + [None, "", "http://absent.example/"]
+    asked = spark.createDataFrame([(u,) for u in [*urls, *urls]], "url string")
+    seen = {(W.capture_key(u or ""), str(i)) for i, u, _ in rows}
+    for most, each in ((1, 7), (2, 50), (10_000, 1)):
+        got = W.look_up(directory, asked, most_ranges=most, questions=each).collect()
+        assert {(W.capture_key(r["asked"]), str(r["page_id"])) for r in got} == seen
+        assert all(r["asked"] is not None for r in got)
+    assert W.look_up(directory, asked.limit(0)).count() == 0
