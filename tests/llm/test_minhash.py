@@ -103,6 +103,25 @@ def test_near_copies_are_the_components_of_exact_similarity(docs, edge_rows, spa
             assert (got[a] == got[b]) == (label[a] == label[b])
 
 
+def test_documents_that_share_a_passage_are_not_near_and_hide_none(spark, monkeypatch):
+    """Buckets of many classes that are not near their least one, with near pairs among them, in chunks and in one."""
+    passage = prose(9, 300)
+    rows = [(i, f"{passage} {prose(700 + i // 2, 120 if i < 60 else 100)}{' lake' * (i % 2)}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b > a and jaccard(sets[a], sets[b]) >= 0.75 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    assert 1 < len(set(label.values())) < 120
+    for chunk in (10_000, 7):
+        monkeypatch.setattr(M, "CHUNK_CLASSES", chunk)
+        got = {r["doc_id"]: r["component"] for r in M.near_copies(df, similarity=0.75).collect()}
+        assert all((got[a] == got[b]) == (label[a] == label[b]) for a in sets for b in sets)
+
+
 def test_one_document_and_none(spark, empty):
     one = spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")
     r = M.fingerprint_documents(one).collect()[0]
