@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 
 def half_up(x: Column, places: int = 0) -> Column:
-    """Rounds halves up (-2.5 to -2). What is within a millionth of a half in the last place counts as that half, so that sums in another order round alike."""
+    """Rounds halves of the double up (-2.5 to -2): what the domain's own figures are rounded by."""
     scale = float(10**places)
-    return F.floor(x * scale + 0.500001) / scale
+    return F.floor(x * scale + 0.5) / scale
+
+
+def rounded(x: Column, places: int = 2) -> Column:
+    """A sum or mean for a report: to the eighth place, where the order of its terms shows no more, and then halves away from zero, as decimals are."""
+    return F.round(x.cast("decimal(38,8)"), places).cast("double")
 
 
 def lookup(table: Mapping, key: Column) -> Column:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expressions import contains_any, lookup
-from .lexicon import HEADING_WORDS, NOUN_DESCRIPTIVE, NOUN_EXCLUSIVE, PRICE_BOUNDS, PRODUCT_WORDS, TRANSLATIONS
+from .lexicon import HEADING_WORDS, NOUN_DESCRIPTIVE, NOUN_EXCLUSIVE, PRICE_BOUNDS, PRODUCT_WORDS, TRANSLATIONS, UPLOAD_CATEGORIES
 
 #: Units that no price list means as such: K is thousand. Fixed values.
 NOT_UNITS = ("k", "K")
@@ -44,13 +44,13 @@ def data_name(name: Column) -> Column:
 def core_noun(name: Column) -> Column:
     """The first word that is no modifier, of the translated name; empty without one."""
     words = F.split(translated_name(name), " ")
-    rest = F.filter(words, lambda w: ~w.isin(NOUN_EXCLUSIVE) & ~w.isin(NOUN_DESCRIPTIVE) & (w != ""))
+    rest = F.filter(words, lambda w: ~w.isin(*NOUN_EXCLUSIVE) & ~w.isin(*NOUN_DESCRIPTIVE) & (w != ""))
     return F.coalesce(F.try_element_at(rest, F.lit(1)), F.lit(""))
 
 
 def modifiers(name: Column) -> Column:
     words = F.split(translated_name(name), " ")
-    return F.struct(F.filter(words, lambda w: w.isin(NOUN_EXCLUSIVE)).alias("exclusive"), F.filter(words, lambda w: w.isin(NOUN_DESCRIPTIVE)).alias("descriptive"))
+    return F.struct(F.filter(words, lambda w: w.isin(*NOUN_EXCLUSIVE)).alias("exclusive"), F.filter(words, lambda w: w.isin(*NOUN_DESCRIPTIVE)).alias("descriptive"))
 
 
 def different_core_noun(a: Column, b: Column) -> Column:
@@ -73,30 +73,34 @@ def bound_category(name: Column, hint: Column | None = None) -> Column:
     return out
 
 
-def categorize(name: Column, rules: Mapping[str, list[str]] | None = None, otherwise: str = "Other") -> Column:
-    """The first rule with a word that the name contains."""
-    rules = rules or {c.title(): words for c, (words, *_) in PRICE_BOUNDS.items()}
+def categorize(name: Column, rules: Mapping[str, Sequence[str]] | None = None, otherwise: str = "Other", whole_words: bool = False) -> Column:
+    """The first rule with a word that the name contains (as a whole word, if asked for). Without rules those of the upload."""
     s = F.lower(name)
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for category, words in rules.items():
-        out = out.when(contains_any(s, words), category)
+    for category, words in (rules or UPLOAD_CATEGORIES).items():
+        out = out.when(s.rlike(rf"\b(?:{'|'.join(words)})\b") if whole_words else contains_any(s, words), category)
     return F.coalesce(out, F.lit(otherwise))
 
 
 def name_fault(name: Column) -> Column:
-    """What is wrong with a name: empty, number, weight, currency, short, or null."""
-    s = F.trim(F.coalesce(name, F.lit("")))
+    """What is suspicious about a name: number, weight, currency or short (at most two characters, but for units and a few words); null for others and for an empty name."""
     return (
-        F.when(s == "", "empty")
-        .when(s.rlike(r"^[\d.,\s]+$"), "number")
-        .when(s.rlike(r"(?i)^\d+(?:[.,]\d+)?\s*(?:kg|gr?|ml|l|pcs)$"), "weight")
-        .when(s.rlike(r"(?i)^(?:rp|idr|usd|eur|gbp)\.?$"), "currency")
-        .when(F.length(s) <= 2, "short")
+        F.when(name.isNull() | (name == ""), F.lit(None).cast("string"))
+        .when(name.rlike(r"^\d+$"), "number")
+        .when(name.rlike(r"(?i)^\d+\s*(?:gr|g|kg|ml|l|oz|lb)$"), "weight")
+        .when(name.rlike(r"(?i)^(?:idr|usd|eur|gbp|aud|sgd|myr)$"), "currency")
+        .when((F.length(name) <= 2) & ~name.rlike(r"(?i)^(?:ok|id|kg|ml|gr|oz|lb)$"), "short")
     )
 
 
 def is_product_name(name: Column) -> Column:
-    return name_fault(name).isNull() & name.rlike(r"\p{L}{2}")
+    """Whether a text may be a product's name: three characters or more with a letter, no number, no amount of a unit, no code of digits and letters; false for null."""
+    s = F.regexp_replace(name, r"^\s+|\s+$", "")
+    low = F.lower(s)
+    amount = low.rlike(r"^\d+\s*(?:x\s*)?\d*\s*(?:kg|gr|g|ltr|l|ml|pcs|pc|pack|box|bottle)s?$")
+    measure = low.rlike(r"^\d+[.,]?\d*\s*(?:x\s*\d+[.,]?\d*\s*)?[a-z]+$")
+    coded = (F.length(s) <= 3) & s.rlike(r"\d")
+    return F.coalesce((F.length(name) >= 2) & ~coded & ~amount & ~measure & s.rlike(r"\p{L}") & (F.length(s) >= 3), F.lit(False))
 
 
 def title_words(name: Column, words: Mapping[str, str] = TRANSLATIONS) -> Column:

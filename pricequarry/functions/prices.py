@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .expressions import extract, half_up, lookup
-from .lexicon import TOKEN_RATES
+from .lexicon import MODEL_NAMES, SERVICE_RATES, TOKEN_RATES
 
 #: Currency marks before or after an amount. Fixed values.
 MARKS = r"(?i)rp\.?\s*|idr\.?\s*|\$\s*|rupiah\.?\s*|€\s*|£\s*"
@@ -76,6 +78,36 @@ def trailing_price(line: Column) -> Column:
     return value * F.when(F.regexp_extract(line, r"(\d+(?:\.\d{3})*)([Kk]?)\s*$", 2) != "", 1e3).otherwise(1.0)
 
 
+def appended_price(text: Column) -> Column:
+    """Marks, points and commas go, and a suffix stands for zeros: ``1.5jt`` is 15 and six zeros. 0 without a leading number; a capital R, a small p or s go too, wherever they stand."""
+    s = F.trim(F.regexp_replace(text, r"[Rp$€£¥₹,.\\s]", ""))
+    for suffix, zeros in (("rb", "000"), ("jt", "000000"), ("juta", "000000"), ("ribu", "000")):
+        s = F.regexp_replace(s, rf"(?i){suffix}$", zeros)
+    s = F.regexp_replace(s, r"(?i)k$", "000")
+    return F.coalesce(extract(s, r"^\s*([+-]?\d+(?:[eE][+-]?\d+)?)").try_cast("double"), F.lit(0.0))
+
+
+def pdf_price(text: Column) -> Column:
+    """A price in a text of several numbers: one after or before ``IDR``, else one with points for thousands, else the first of at least 1000, else what digits and points are left; 0 without any."""
+    grouped = r"\d+(?:,\d{3})*"
+    marked = F.coalesce(extract(text, rf"(?i)IDR\s*({grouped})"), extract(text, rf"(?i)({grouped})\s*IDR"))
+    pointed = F.replace(extract(text, r"(\d+(?:\.\d{3})+)"), F.lit("."), F.lit(""))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(rf"({grouped})"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+    large = F.try_element_at(F.filter(numbers, lambda x: x >= 1000), F.lit(1))
+    bare = F.trim(F.regexp_replace(text, r"Rp|\$|,", ""))
+    thousands = F.contains(bare, F.lit(".")) & F.forall(F.slice(F.split(bare, r"\."), 2, 100_000), lambda x: F.length(x) == 3)
+    rest = F.regexp_replace(F.when(thousands, F.replace(bare, F.lit("."), F.lit(""))).otherwise(bare), r"[^\d.]", "")
+    left = F.when(rest.rlike(r"^(?:\d+\.?\d*|\.\d+)$"), rest.cast("double"))
+    return F.coalesce(F.replace(marked, F.lit(","), F.lit("")).cast("double"), pointed.cast("double"), large, left, F.lit(0.0))
+
+
+def table_price(text: Column) -> Column:
+    """A cell of a PDF's table: marks go, and points and commas before three last digits; then the first number, with one or two decimals; null without one."""
+    s = F.regexp_replace(F.trim(text), r"(?i)Rp\.?\s*|IDR\.?\s*|\$\s*|rupiah\.?\s*", "")
+    s = F.regexp_replace(s, r"[,.](?=\d{3}(?!\d))", "")
+    return F.replace(extract(s, r"(\d+(?:[.,]\d{1,2})?)"), F.lit(","), F.lit(".")).cast("double")
+
+
 def _written_number(digits: Column) -> Column:
     """``15.000``, ``15,000.50`` or ``15.000,50``: of two marks the last is the decimal one; a single kind before three digits each separates thousands."""
     plain = (
@@ -201,8 +233,35 @@ def long_price(price: Column) -> Column:
     return F.concat(F.lit("Rp "), F.replace(F.format_number(half_up(price), 0), F.lit(","), F.lit(".")))
 
 
+def _model_rates(model: Column) -> tuple[Column, Column]:
+    name = model
+    for part, known in reversed(MODEL_NAMES):
+        name = F.when(F.contains(model, F.lit(part)), known).otherwise(name)
+    return _rates(TOKEN_RATES, name)
+
+
+def _rates(table: Mapping[str, tuple[float, float]], model: Column) -> tuple[Column, Column]:
+    first = next(iter(table.values()))
+    return tuple(F.coalesce(lookup({m: r[i] for m, r in table.items()}, model), F.lit(first[i])) for i in (0, 1))
+
+
 def token_cost(model: Column, prompt: Column, answer: Column) -> Column:
-    """Dollars for a model call."""
-    first = next(iter(TOKEN_RATES))
-    rate = [F.coalesce(lookup({m: r[i] for m, r in TOKEN_RATES.items()}, model), F.lit(TOKEN_RATES[first][i])) for i in (0, 1)]
-    return prompt / 1000 * rate[0] + answer / 1000 * rate[1]
+    """Dollars for a model call; the model is told by a part of its name."""
+    rates = _model_rates(model)
+    return prompt / 1000 * rates[0] + answer / 1000 * rates[1]
+
+
+def total_token_cost(model: Column, tokens: Column) -> Column:
+    """Dollars for a number of tokens, all of them answers."""
+    return tokens / 1000 * _model_rates(model)[1]
+
+
+def service_cost(model: Column, prompt: Column, answer: Column) -> Column:
+    """Dollars for a call of the second service, whose models go by their whole names."""
+    rates = _rates(SERVICE_RATES, model)
+    return prompt / 1000 * rates[0] + answer / 1000 * rates[1]
+
+
+def shown_cost(cost: Column) -> Column:
+    """Dollars with six places under a tenth of a cent, five under a cent, else four."""
+    return F.concat(F.lit("$"), F.when(cost < 0.001, F.format_string("%.6f", cost)).when(cost < 0.01, F.format_string("%.5f", cost)).otherwise(F.format_string("%.4f", cost)))

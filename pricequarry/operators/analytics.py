@@ -113,6 +113,19 @@ def upload_metrics(uploads: DataFrame) -> DataFrame:
     )
 
 
+def stuck_uploads(uploads: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
+    """Uploads that have been processing without a change for longer than that."""
+    return uploads.where((F.col("status") == "processing") & (F.col("updated_at") < now - F.make_dt_interval(mins=F.lit(minutes))))
+
+
+def classification_stats(uploads: DataFrame, kind: str, status: str, means: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Uploads of a known kind by (kind, status) with their number and means, and those again by kind: the number, and the means of the last status by name (0 without any)."""
+    by = uploads.where(F.col(kind).isNotNull()).groupBy(kind, status).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"avg_{m}") for m in means])
+    last = F.max(F.struct(status, *[F.coalesce(f"avg_{m}", F.lit(0.0)).alias(f"avg_{m}") for m in means])).alias("last")
+    kinds = by.groupBy(kind).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("statuses"), last)
+    return by, kinds.select(kind, "total", "statuses", *[f"last.avg_{m}" for m in means])
+
+
 def monthly_cost(calls: DataFrame, at: str, model: str, cost: str) -> DataFrame:
     return calls.groupBy(F.date_format(at, "yyyy-MM").alias("month"), model).agg(F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("calls"))
 
@@ -124,9 +137,12 @@ def relation_counts(parents: DataFrame, key: str, **children: DataFrame) -> Data
     return parents
 
 
-def nested(parents: DataFrame, children: DataFrame, key: str, fields: Sequence[str], name: str) -> DataFrame:
-    """Parents with their children as a sorted array of structs; an empty one without any."""
-    lists = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+def nested(parents: DataFrame, children: DataFrame, key: str, fields: Sequence[str], name: str, part: str | None = None) -> DataFrame:
+    """Parents with their children as a sorted array of structs; an empty one without any.
+
+    ``part``, a column of the children, nests each parent in several rows, so that one with very many children is no single array.
+    """
+    lists = children.groupBy(key, *([part] if part else [])).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
     return parents.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import half_up, share
 from ..functions.names import tokens
 from ..functions.similarity import modifier_clash
-from ..functions.units import unit_price
+from ..functions.units import canonical_unit, unit_price
 from .search import best_match, candidates
 
 
@@ -46,12 +46,12 @@ def price_status(price: Column, low: Column, high: Column, mean: Column, limits:
 
 
 def compare_prices(items: DataFrame, products: DataFrame, prices: DataFrame, suppliers: DataFrame, as_of: Column, aliases: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
-    """One row for each item: its match, the market's prices, a status, and better deals.
+    """One row for each item: its match, the market's prices, a status, and better deals; without a match, none of these.
 
     Prices of all candidates count, not just the best match's, but for those of another
     product by its modifiers and those that are not fresh. Deals are by unit price where
-    the item has a unit and the price one that matches, else by total, at least ``saving_percent`` cheaper,
-    of another supplier. One plan for all items; they are broadcast, the price table is read once.
+    the item's unit and the price's (else the product's) are the same canonical one, else by total, at least ``saving_percent`` cheaper,
+    of another supplier. One plan for all items; the price table is read once.
     """
     asked = items.withColumn("scanned_unit_price", F.coalesce(unit_price(F.col("scanned_price"), F.col("quantity"), F.col("unit")), F.col("scanned_price")))
     found = candidates(asked, products, aliases)
@@ -59,10 +59,11 @@ def compare_prices(items: DataFrame, products: DataFrame, prices: DataFrame, sup
     entries = (
         found.select("item_id", "product_id")
         .join(products.select(F.col("id").alias("product_id"), F.col("name").alias("p_name"), F.col("standardized_unit").alias("p_unit")), "product_id")
-        .join(prices.where("valid_to IS NULL").select("product_id", F.col("supplier_id").alias("by"), F.col("amount").cast("double").alias("amount"), F.col("unit_price").cast("double").alias("u_price"), "created_at"), "product_id")
-        .join(F.broadcast(asked.select("item_id", "product_name", "unit", "scanned_price", "scanned_unit_price", "supplier_id")), "item_id")
+        .join(prices.where("valid_to IS NULL").select("product_id", F.col("supplier_id").alias("by"), F.col("amount").cast("double").alias("amount"), F.col("unit").alias("price_unit"), F.col("unit_price").cast("double").alias("u_price"), "created_at"), "product_id")
+        .join(asked.select("item_id", "product_name", "unit", "scanned_price", "scanned_unit_price", "supplier_id"), "item_id")
         .where(is_fresh(F.col("created_at"), as_of, limits.fresh_days) & ~modifier_clash(tokens(F.col("product_name")), tokens(F.col("p_name"))))
-        .withColumn("unit_match", F.coalesce(F.col("unit") == F.col("p_unit"), F.lit(False)))
+        .withColumn("own_unit", F.coalesce("price_unit", "p_unit"))
+        .withColumns({"unit_match": F.coalesce(canonical_unit(F.col("unit")) == canonical_unit(F.col("own_unit")), F.lit(False)), "u_price": F.coalesce(F.nullif("u_price", F.lit(0.0)), unit_price(F.col("amount"), F.lit(1.0), F.col("own_unit")))})
     )
     market = entries.groupBy("item_id").agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.avg("amount").alias("mean"), F.count(F.lit(1)).alias("supplier_count"))
     by_unit = F.col("unit_match") & F.col("u_price").isNotNull()
@@ -74,22 +75,23 @@ def compare_prices(items: DataFrame, products: DataFrame, prices: DataFrame, sup
         .dropDuplicates(["item_id", "by", "amount", "product_id"])
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= limits.deals)
-        .join(F.broadcast(suppliers.select(F.col("id").alias("by"), F.col("name").alias("supplier_name"))), "by", "left")
+        .join(suppliers.select(F.col("id").alias("by"), F.col("name").alias("supplier_name")), "by", "left")
         .groupBy("item_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("by").alias("supplier_id"), "supplier_name", "product_id", "amount", F.col("u_price").alias("unit_price"), half_up(F.col("saving"), 1).alias("saving_percent")))).alias("better_deals"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("by").alias("supplier_id"), "supplier_name", "product_id", "amount", F.col("u_price").alias("unit_price"), half_up(F.col("saving")).alias("saving_percent")))).alias("better_deals"))
     )
     out = asked.join(match, "item_id").join(market, "item_id", "left").join(deals, "item_id", "left")
+    known = F.col("matched_id").isNotNull()
     status = price_status(F.col("scanned_price"), F.col("low"), F.col("high"), F.col("mean"), limits)
     return out.select(
         *items.columns,
         "matched_id",
         half_up(F.col("score"), 1).alias("score"),
         F.when(F.col("matched_id").isNull(), F.struct(F.lit("not_found").alias("status"), F.lit(None).cast("double").alias("deviation"))).otherwise(status).alias("verdict"),
-        "low",
-        "high",
-        half_up(F.col("mean")).alias("mean"),
-        F.coalesce("supplier_count", F.lit(0)).alias("supplier_count"),
-        F.coalesce("better_deals", F.array().cast("array<struct<rank:int,supplier_id:string,supplier_name:string,product_id:string,amount:double,unit_price:double,saving_percent:double>>")).alias("better_deals"),
+        F.when(known, F.col("low")).alias("low"),
+        F.when(known, F.col("high")).alias("high"),
+        F.when(known, half_up(F.col("mean"))).alias("mean"),
+        F.when(known, F.coalesce("supplier_count", F.lit(0))).otherwise(0).alias("supplier_count"),
+        F.coalesce(F.when(known, F.col("better_deals")), F.array().cast("array<struct<rank:int,supplier_id:string,supplier_name:string,product_id:string,amount:double,unit_price:double,saving_percent:double>>")).alias("better_deals"),
     ).select("*", "verdict.status", "verdict.deviation").drop("verdict")
 
 

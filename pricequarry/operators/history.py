@@ -41,24 +41,43 @@ def latest(prices: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFr
     return prices.groupBy(*by).agg(best).select(*by, "b.*").select(*prices.columns)
 
 
-def store(incoming: DataFrame, prices: DataFrame, now: Column, by: Sequence[str] = ("product_id", "supplier_id"), upload_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+def store(incoming: DataFrame, prices: DataFrame, now: Column, by: Sequence[str] = ("product_id", "supplier_id"), upload_id: str | None = None, skip_equal: bool = True) -> tuple[DataFrame, DataFrame]:
     """The new price table and the history rows after an upload.
 
-    ``incoming``: the key, amount, unit, unit_price. Prices that are not positive go; of a key's
-    the cheapest stays. A price like the current one changes nothing; another ends the
-    current one at ``now`` and begins a new one. The expiry key is ``by``: product alone, with supplier, or
-    with unit too. A full new table, as a table without transactions needs.
+    ``incoming``: product_id, supplier_id, amount, unit, unit_price. Prices that are not positive go; of those
+    that share ``by`` the cheapest stays, with its own product, supplier and unit. ``by`` says what a
+    new price ends: the current prices of the product alone, with supplier, or with unit too. A price like a
+    current one of the same ``by`` changes nothing (unless ``skip_equal`` is false); another ends the current ones at ``now`` and begins
+    a new one, and the history gets a row for each that it ends, or an initial one. A full new table, as a
+    table without transactions needs.
     """
     by = list(by)
-    fresh = incoming.where(F.col("amount") > 0).groupBy(*by).agg(F.min(F.struct("amount", "unit", "unit_price")).alias("n")).select(*by, *[F.col(f"n.{c}").alias(f"new_{c}") for c in ("amount", "unit", "unit_price")])
-    # several rows of a key may be current where the key is coarser than the table's; the latest is what the new one is held against
-    current = active(prices).groupBy(*by).agg(F.max_by(F.struct("amount", "unit"), "valid_from").alias("c"))
-    held = fresh.join(current, by, "left")
-    changed = held.where(F.col("c").isNull() | ~(F.col("c.amount").eqNullSafe(F.col("new_amount").cast(prices.schema["amount"].dataType)) & F.col("c.unit").eqNullSafe(F.col("new_unit"))))
-    ended = prices.join(changed.select(*by, F.lit(True).alias("ends")), by, "left").withColumn("valid_to", F.when(F.col("valid_to").isNull() & F.col("ends"), now).otherwise(F.col("valid_to"))).select(*prices.columns)
-    made = {"id": F.sha2(F.concat_ws("|", *by, now.cast("string"), F.col("new_amount").cast("string")), 256), "amount": F.col("new_amount"), "unit": F.col("new_unit"), "unit_price": F.col("new_unit_price"), "upload_id": F.lit(upload_id), "valid_from": now, "valid_to": F.lit(None), "created_at": now}
-    added = changed.select(*[(F.col(f.name) if f.name in by else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in prices.schema])
-    log = changed.select(*by, F.col("new_amount").alias("price"), F.col("new_unit").alias("unit"), F.col("new_unit_price").alias("unit_price"), F.col("c.amount").alias("changed_from"), change_percent(F.col("new_amount").cast("double"), F.col("c.amount").cast("double")).alias("change_percentage"), F.when(F.col("c").isNull(), "initial").otherwise("upload").alias("change_reason"), F.lit(upload_id).alias("upload_id"), now.alias("created_at"))
+    keys = ["product_id", "supplier_id", "unit"]
+    fresh = incoming.where(F.col("amount") > 0).groupBy(*by).agg(F.min(F.struct("amount", "unit_price", *[k for k in keys if k not in by])).alias("n"))
+    fresh = fresh.select(*by, "n.*").select(*keys, F.col("amount").cast(prices.schema["amount"].dataType).alias("amount"), "unit_price")
+    on = [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in by]
+    current = active(prices).alias("c")
+    n = fresh.alias("n")
+    equal = [F.col("n.amount") == F.col("c.amount"), F.col("n.unit").eqNullSafe(F.col("c.unit"))]
+    changed = n.join(current, [*on, *equal], "left_anti") if skip_equal else n
+    changed = changed.alias("n")
+    ends = changed.select(*[F.col(f"n.{k}").alias(f"e_{k}") for k in by], F.lit(True).alias("ends"))
+    open_ = F.when(F.col("valid_to").isNull() & F.col("ends"), now).otherwise(F.col("valid_to"))
+    ended = prices.join(ends, [F.col(k).eqNullSafe(F.col(f"e_{k}")) for k in by], "left").withColumn("valid_to", open_.cast(prices.schema["valid_to"].dataType)).select(*prices.columns)
+    made = {"id": F.sha2(F.concat_ws("|", *keys, now.cast("string"), F.col("amount").cast("string")), 256), "upload_id": F.lit(upload_id), "valid_from": now, "valid_to": F.lit(None), "created_at": now}
+    added = changed.select(*[(F.col(f"n.{f.name}") if f.name in fresh.columns else made.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in prices.schema])
+    old, new = F.col("c.amount").cast("double"), F.col("n.amount").cast("double")
+    log = changed.join(current, on, "left").select(
+        *[F.col(f"n.{k}").alias(k) for k in ("product_id", "supplier_id")],
+        F.col("n.amount").alias("price"),
+        F.col("n.unit").alias("unit"),
+        F.col("n.unit_price").alias("unit_price"),
+        F.col("c.amount").alias("changed_from"),
+        F.when(old > 0, share(new - old, old)).when(old.isNotNull(), F.lit(0.0)).alias("change_percentage"),
+        F.when(old.isNull(), "initial").otherwise("api").alias("change_reason"),
+        F.lit(upload_id).alias("upload_id"),
+        now.alias("created_at"),
+    )
     return ended.unionByName(added), log
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .search import against
+
 
 def deleted(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     return df.join(keys.select(key).distinct(), key, "left_anti").select(*df.columns)
@@ -71,8 +73,13 @@ def without_supplier(supplier_id: str, suppliers: DataFrame, prices: DataFrame,
 
 
 def found_or_made(names: DataFrame, suppliers: DataFrame, contact: Sequence[str] = ("email", "phone", "address")) -> DataFrame:
-    """Suppliers after an upload: a known one (equal name, case aside) gets the contact fields it lacks, others are added."""
-    new = names.withColumn("k", F.lower(F.trim("name"))).groupBy("k").agg(F.min("name").alias("new_name"), *[F.max(c).alias(f"new_{c}") for c in contact])
-    both = suppliers.withColumn("k", F.lower(F.trim("name"))).join(new, "k", "full_outer")
+    """Suppliers after an upload: a known one (the least id of those whose name contains the new one, case aside) gets the contact fields it lacks, others are added. Names that are null or empty are passed over."""
+    given = names.where(F.coalesce(F.trim("name"), F.lit("")) != "").groupBy(F.lower(F.trim("name")).alias("k")).agg(F.min(F.trim("name")).alias("new_name"), *[F.max(c).alias(f"new_{c}") for c in contact])
+    pairs = against(suppliers.select("id", F.lower("name").alias("known")), given.select("k"), "k").where(F.contains("known", F.col("k")))
+    met = pairs.groupBy("k").agg(F.min("id").alias("met"))
+    held = given.join(met, "k", "left")
+    news = held.where("met IS NOT NULL").groupBy("met").agg(*[F.max(f"new_{c}").alias(f"new_{c}") for c in contact])
+    known = suppliers.join(news, suppliers.id == news.met, "left").select(*[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"new_{c}"), F.col(c)).alias(c) if c in contact else suppliers[c] for c in suppliers.columns])
     made = {"id": F.sha2("k", 256), "name": F.col("new_name"), **{c: F.col(f"new_{c}") for c in contact}}
-    return both.select(*[F.coalesce(c, made[c]).alias(c) if c in made else F.col(c) for c in suppliers.columns])
+    added = held.where("met IS NULL").select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in suppliers.schema])
+    return known.unionByName(added)

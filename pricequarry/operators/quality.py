@@ -24,6 +24,7 @@ def validate_price(name: Column, price: Column, unit: Column | None = None, hint
     category = bound_category(name, hint)
     least, most = (lookup({c: float(v[i]) for c, v in PRICE_BOUNDS.items()}, category) for i in (1, 2))
     shown = plain_number(price)
+    # the texts of errors and warnings are fixed values
     error = (
         F.when(price.isNull() | (price <= 0), F.lit("Price must be greater than 0"))
         .when(price < LEAST_PRICE, F.concat(F.lit("Price "), shown, F.lit(f" is below absolute minimum {LEAST_PRICE}")))
@@ -152,7 +153,7 @@ def clean_catalogue(products: DataFrame, prices: DataFrame, suppliers: DataFrame
 
 
 def merge_products(products: DataFrame, prices: DataFrame, by: Sequence[str] = ("standardized_name", "standardized_unit")) -> tuple[DataFrame, DataFrame]:
-    """Products of one key as the oldest of them, with the longest name, the first category and the longest description; their prices point to it, and of a supplier's and unit's current ones the latest stays.
+    """Products of one key as the oldest of them, with the longest name, the first category and the longest description (ties: the older one's, then by id); their prices point to it, and of a supplier's and unit's current ones the latest stays.
 
     Keys compare with nulls equal; a null name is never merged.
     """
@@ -162,9 +163,9 @@ def merge_products(products: DataFrame, prices: DataFrame, by: Sequence[str] = (
 
     named = products.withColumn("kept_id", kept_id)
     best = named.groupBy("kept_id").agg(
-        F.max_by("name", F.length(F.coalesce("name", F.lit("")))).alias("b_name"),
-        F.min_by("category", F.when(F.col("category").isNotNull(), F.col("created_at"))).alias("b_category"),
-        F.max_by("description", F.length(F.coalesce("description", F.lit("")))).alias("b_description"),
+        F.min(F.struct(-F.length(F.coalesce("name", F.lit(""))), "created_at", "id", "name"))["name"].alias("b_name"),
+        F.min(F.when(F.col("category").isNotNull(), F.struct("created_at", "id", "category")))["category"].alias("b_category"),
+        F.min(F.struct(-F.length(F.coalesce("description", F.lit(""))), "created_at", "id", "description"))["description"].alias("b_description"),
     )
     merged = named.where("id = kept_id").join(best, "kept_id").withColumns({"name": F.col("b_name"), "category": F.coalesce("category", "b_category"), "description": F.col("b_description")}).select(*products.columns)
     moved = prices.join(named.select(F.col("id").alias("product_id"), "kept_id"), "product_id").withColumn("product_id", F.col("kept_id")).select(*prices.columns)

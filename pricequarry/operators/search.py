@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of, any_of
 from ..functions.names import matching_name, tokens, translated_name
-from ..functions.similarity import cosine, cosine_limit, misreadings, name_similarity, trigram_similarity, trigrams
+from ..functions.similarity import cosine, cosine_limit, misreadings, name_parts, parts_similarity, trigram_similarity, trigrams
+from ..functions.units import canonical_unit
 
-#: A side of fewer rows may be broadcast; the search questions of one call stay under it.
+#: Questions that are broadcast at once; more are dealt out in blocks.
 MOST_QUESTIONS = 10_000
 #: Candidates of a question that are scored.
 CANDIDATES = 20
@@ -35,11 +37,15 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int = 1, size: in
     return df.orderBy(*order).offset((number - 1) * size).limit(size), total, -(-total // size)
 
 
-def _few(df: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
-    """``df`` for broadcast, if it is small."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} questions: search in several calls, or join by tokens (candidates_by_token)")
-    return F.broadcast(df)
+def _blocks(questions: DataFrame, key: str, most: int = MOST_QUESTIONS) -> list[DataFrame]:
+    """The questions in blocks of about ``most`` rows by a hash of the key, each for broadcast; one block if they are few."""
+    n = -(-questions.count() // most)
+    return [F.broadcast(questions if n <= 1 else questions.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(max(1, n))]
+
+
+def against(rows: DataFrame, questions: DataFrame, key: str, most: int = MOST_QUESTIONS) -> DataFrame:
+    """Every row beside every question: a stated query set against all rows, a block of questions at a time."""
+    return reduce(DataFrame.unionByName, [rows.crossJoin(b) for b in _blocks(questions, key, most)])
 
 
 def candidates(questions: DataFrame, products: DataFrame, aliases: DataFrame | None = None, name: str = "product_name", key: str = "item_id", most: int = CANDIDATES) -> DataFrame:
@@ -47,12 +53,12 @@ def candidates(questions: DataFrame, products: DataFrame, aliases: DataFrame | N
 
     Tiers: 1 an alias of the translated name, 2 the translated name within a product's names, 3 the
     name as it is, 4 all of several words, 5 any word of more than two letters, 6 a name of
-    at least four letters as a whole, 7 a misreading undone. One pass holds every product against the broadcast questions; of
+    at least four letters as a whole, 7 a misreading undone. A pass holds every product against a broadcast block of questions; of
     a tier's products the first ``most`` by id are kept.
     """
     asked = questions.select(F.col(key), F.col(name).alias("q"), translated_name(F.col(name)).alias("t"), F.lower(F.col(name)).alias("l"), tokens(F.col(name)).alias("w"), misreadings(F.col(name)).alias("o"))
     names = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "standardized_name", "raw_name")]
-    pairs = products.select(F.col("id").alias("product_id"), F.array(*names).alias("names")).crossJoin(_few(asked))
+    pairs = against(products.select(F.col("id").alias("product_id"), F.array(*names).alias("names")), asked, key)
 
     def within(text: Column) -> Column:
         return (text != "") & F.exists("names", lambda n: F.contains(n, text))
@@ -69,7 +75,7 @@ def candidates(questions: DataFrame, products: DataFrame, aliases: DataFrame | N
     found = pairs.select(key, "product_id", tier.alias("tier")).where("tier IS NOT NULL")
     if aliases is not None:
         known = aliases.select(F.lower(F.trim("alias")).alias("alias"), "product_id")
-        found = found.unionByName(known.join(_few(asked), F.col("alias") == F.col("t")).select(key, "product_id", F.lit(1).alias("tier")))
+        found = found.unionByName(known.join(asked, F.col("alias") == F.col("t")).select(key, "product_id", F.lit(1).alias("tier")))
     best = found.groupBy(key).agg(F.min("tier").alias("tier"))
     kept = found.join(best, [key, "tier"]).distinct()
     return kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("product_id"))).where(F.col("position") <= most)
@@ -85,13 +91,14 @@ def candidates_by_token(questions: DataFrame, products: DataFrame, name: str = "
 
 
 def best_match(questions: DataFrame, products: DataFrame, found: DataFrame, name: str = "product_name", key: str = "item_id") -> DataFrame:
-    """One row for each question: the product of the highest similarity, of the same unit first (two missing units are the same), then by position; null product and score 0 without one."""
+    """One row for each question: the product of the highest similarity, of the same canonical unit first where the question has a unit (two unknown units are the same), then by position; null product and score 0 without one."""
     scored = (
-        found.join(products.select(F.col("id").alias("product_id"), F.col("name").alias("p_name"), F.col("standardized_unit").alias("p_unit")), "product_id")
-        .join(F.broadcast(questions.select(key, F.col(name).alias("q_name"), F.col("unit").alias("q_unit"))), key)
-        .select(key, "product_id", "position", name_similarity(F.col("q_name"), F.col("p_name")).alias("score"), F.col("p_unit").eqNullSafe(F.col("q_unit")).alias("same_unit"))
+        found.join(products.select(F.col("id").alias("product_id"), name_parts(F.col("name")).alias("p"), F.col("standardized_unit").alias("p_unit")), "product_id")
+        .join(questions.select(key, name_parts(F.col(name)).alias("q"), F.col("unit").alias("q_unit")), key)
+        .select(key, "product_id", "position", parts_similarity(F.col("q"), F.col("p")).alias("score"), "q_unit", canonical_unit(F.col("p_unit")).eqNullSafe(canonical_unit(F.col("q_unit"))).alias("same_unit"))
     )
-    order = Window.partitionBy(key).orderBy((F.col("score") > 0).desc(), F.col("same_unit").desc(), F.col("score").desc(), "position")
+    unit_first = F.col("same_unit") & F.col("q_unit").isNotNull()
+    order = Window.partitionBy(key).orderBy((F.col("score") > 0).desc(), unit_first.desc(), F.col("score").desc(), "position")
     top = scored.withColumn("r", F.row_number().over(order)).where("r = 1 AND score > 0").select(key, "product_id", "score", "same_unit")
     return questions.select(key).join(top, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
@@ -101,7 +108,7 @@ def match_supplier(questions: DataFrame, suppliers: DataFrame, name: str = "name
     asked = questions.select(key, F.lower(F.trim(name)).alias("q"))
     words = F.split("q", " ")
     s = F.lower("s_name")
-    pairs = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("s_name")).crossJoin(_few(asked))
+    pairs = against(suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("s_name")), asked, key)
     tier = F.when(s == F.col("q"), 1).when(F.contains(s, F.col("q")), 2).when(F.contains(s, F.element_at(words, 1)) | F.contains(s, F.element_at(words, -1)), 3)
     found = pairs.withColumn("tier", tier).where("tier IS NOT NULL AND q <> ''")
     w = Window.partitionBy(key)
@@ -134,12 +141,13 @@ def sounds_like(column: str, query: Column) -> Column:
     return F.soundex(column) == F.soundex(query)
 
 
-def nearest_vector(questions: DataFrame, references: DataFrame, key: str, id_column: str, vector: str, category: str | None = None) -> DataFrame:
-    """(key, id, similarity): the reference of the largest cosine, if it passes the category's limit; ties by id. The questions are broadcast (checked)."""
+def nearest_vector(questions: DataFrame, references: DataFrame, key: str, id_column: str, vector: str, category: str | None = None, limit: Callable[[Column], Column] = cosine_limit, others_only: bool = False) -> DataFrame:
+    """(key, id, similarity): the reference of the largest cosine, if it passes the category's limit; ties by id. The questions are held against all references in blocks of 2,000. ``others_only``: both are of one table, and no row is its own neighbour."""
     asked = questions.select(key, F.col(vector).alias("v"), (F.col(category) if category else F.lit(None).cast("string")).alias("c"))
-    pairs = references.select(id_column, F.col(vector).alias("w"), *([F.col(category).alias("rc")] if category else [])).crossJoin(_few(asked, 2_000))
-    if category:
-        pairs = pairs.where("rc = c")
+    held = references.select(id_column, F.col(vector).alias("w"), *([F.col(category).alias("rc")] if category else []))
+    pairs = reduce(DataFrame.unionByName, [held.join(b, F.col("rc") == F.col("c")) if category else held.crossJoin(b) for b in _blocks(asked, key, 2_000)])
+    if others_only:
+        pairs = pairs.where(F.col(key) != F.col(id_column))
     near = pairs.select(key, id_column, "c", cosine(F.col("v"), F.col("w")).alias("similarity"))
     best = near.groupBy(key).agg(F.max_by(F.struct(id_column, "c", "similarity"), F.struct("similarity", -F.col(id_column))).alias("b")).select(key, "b.*")
-    return best.where(F.col("similarity") >= cosine_limit(F.col("c"))).select(key, id_column, "similarity")
+    return best.where(F.col("similarity") >= limit(F.col("c"))).select(key, id_column, "similarity")

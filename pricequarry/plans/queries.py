@@ -2,53 +2,19 @@
 
 Suppliers are ``supplier``, products ``part``, prices ``lineitem`` (amount
 l_extendedprice, quantity l_quantity, valid from l_shipdate), uploads ``orders`` and
-``events``. Doubles are rounded half up, alike in both engines.
+``events``. Sums and means are rounded as decimals, by each engine's own function.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, prices, similarity, units
-from ..functions.expressions import half_up, share
+from ..functions.expressions import half_up, rounded, share
 from ..operators import analytics, compare, history, mutations, quality, search
 from ..sources import documents, grids
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL. ``R2(x)`` and ``R0(x)`` in it stand for rounding half up."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = _rounded(sql)
-        return f
-
-    return add
-
-
-def _rounded(sql: str) -> str:
-    for n, scale in (("R0", 1), ("R1", 10), ("R2", 100), ("R4", 10_000)):
-        while (at := sql.find(f"{n}(")) >= 0:
-            depth, i = 0, at + 2
-            while True:
-                depth += {"(": 1, ")": -1}.get(sql[i], 0)
-                if not depth:
-                    break
-                i += 1
-            sql = f"{sql[:at]}(floor(({sql[at + 3 : i]}) * {scale}.0 + 0.500001::DOUBLE) / {scale}.0){sql[i + 1 :]}"
-    return sql
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import QUERIES, SQL, query, table
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best unit price of each supplier for each part, to the cent."""
@@ -56,7 +22,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.best_offers(lines, "l_partkey", "l_suppkey", "price")
 
 
-OFFERS = "o AS (SELECT l_partkey, l_suppkey, min(R2(l_extendedprice / l_quantity)) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY l_partkey, l_suppkey)"
+OFFERS = "o AS (SELECT l_partkey, l_suppkey, min(J2(l_extendedprice / l_quantity)) AS price FROM lineitem WHERE l_quantity > 0 GROUP BY l_partkey, l_suppkey)"
 
 
 # ---------------------------------------------------------------- market
@@ -66,12 +32,12 @@ OFFERS = "o AS (SELECT l_partkey, l_suppkey, min(R2(l_extendedprice / l_quantity
     f"""WITH {OFFERS},
 m AS (SELECT *, count(*) OVER w AS n, avg(price) OVER w AS mean, min(price) OVER w AS lo, max(price) OVER w AS hi,
              row_number() OVER (PARTITION BY l_partkey ORDER BY price, l_suppkey) AS rank FROM o WINDOW w AS (PARTITION BY l_partkey))
-SELECT l_partkey, l_suppkey, price, rank, CASE WHEN hi = lo THEN 100.0::DOUBLE ELSE R0((hi - price) * 100.0 / (hi - lo)) END AS market_share,
+SELECT l_partkey, l_suppkey, price, rank, CASE WHEN hi = lo THEN 100.0::DOUBLE ELSE J0((hi - price) * 100.0 / (hi - lo)) END AS market_share,
        R2(price - mean) AS difference, R2((price - mean) * 100.0 / mean) AS percent_diff FROM m WHERE n > 1"""
 )
 def supplier_price_ranking(spark, sf_dir):
     m = analytics.market_position(offers(spark, sf_dir), "l_partkey", "l_suppkey", "price")
-    return m.withColumns({c: half_up(F.col(c), 2) for c in ("difference", "percent_diff")})
+    return m.withColumns({c: rounded(F.col(c), 2) for c in ("difference", "percent_diff")})
 
 
 @query(
@@ -81,7 +47,7 @@ SELECT l_suppkey, count(*) AS products, R2(avg(diff)) AS avg_diff, R2(avg(rank))
 )
 def supplier_competitiveness(spark, sf_dir):
     m = analytics.market_position(offers(spark, sf_dir), "l_partkey", "l_suppkey", "price")
-    return analytics.supplier_competitiveness(m, "l_suppkey").withColumns({c: half_up(F.col(c), 2) for c in ("avg_diff", "avg_rank")})
+    return analytics.supplier_competitiveness(m, "l_suppkey").withColumns({c: rounded(F.col(c), 2) for c in ("avg_diff", "avg_rank")})
 
 
 @query(
@@ -89,14 +55,15 @@ def supplier_competitiveness(spark, sf_dir):
 FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey"""
 )
 def product_price_stats(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return analytics.price_stats(lines, ["p_partkey"], "l_extendedprice").withColumns({c: half_up(F.col(c), 2) for c in ("avg_price", "spread")})
+    # aggregated before the join, so that one row for each part meets the parts
+    stats = analytics.price_stats(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_extendedprice").withColumnRenamed("l_partkey", "p_partkey")
+    return stats.join(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", "left_semi").withColumns({c: rounded(F.col(c), 2) for c in ("avg_price", "spread")})
 
 
 @query(
     f"""WITH {OFFERS}, b AS (SELECT l_partkey, min(price) AS best_price, max(price) AS highest_price, count(*) AS offers FROM o GROUP BY l_partkey),
 s AS (SELECT o.l_partkey, min(o.l_suppkey) AS best_key FROM o JOIN b ON o.l_partkey = b.l_partkey AND o.price = b.best_price GROUP BY o.l_partkey)
-SELECT p_partkey, p_name, s_name AS best_supplier, best_price, highest_price, offers, R1((highest_price - best_price) * 100.0 / highest_price) AS savings_percent
+SELECT p_partkey, p_name, s_name AS best_supplier, best_price, highest_price, offers, J1((highest_price - best_price) * 100.0 / highest_price) AS savings_percent
 FROM b JOIN s ON b.l_partkey = s.l_partkey JOIN part ON p_partkey = b.l_partkey JOIN supplier ON s_suppkey = best_key"""
 )
 def best_supplier_savings(spark, sf_dir):
@@ -113,21 +80,21 @@ SELECT count(*) AS groups, R2(avg((hi - lo) * 100.0 / hi)) AS avg_savings FROM g
 def avg_savings_by_name(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     named = offers(spark, sf_dir).join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return analytics.average_savings(named, "p_name", "price").withColumn("avg_savings", half_up(F.col("avg_savings"), 2))
+    return analytics.average_savings(named, "p_name", "price").withColumn("avg_savings", rounded(F.col("avg_savings"), 2))
 
 
 @query(
     """WITH m AS (SELECT l_partkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS mean FROM lineitem GROUP BY l_partkey),
-i AS (SELECT DISTINCT l_orderkey, l_partkey, l_extendedprice * 1.3 AS p FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, i.l_partkey, R2(p) AS scanned_price,
+i AS (SELECT DISTINCT l_orderkey, l_partkey, l_extendedprice * 1.3 AS p FROM lineitem)
+SELECT l_orderkey, i.l_partkey, J2(p) AS scanned_price,
   CASE WHEN p < low * 0.7 THEN 'suspiciously_low' WHEN p > high * 1.15 THEN 'overpriced' WHEN p > mean * 1.05 THEN 'above_average' WHEN p < mean * 0.95 THEN 'below_average' ELSE 'normal' END AS status,
-  CASE WHEN p < low * 0.7 THEN R1(-((low - p) * 100.0 / low)) WHEN p > high * 1.15 THEN R1((p - high) * 100.0 / high) WHEN p > mean * 1.05 THEN R1((p - mean) * 100.0 / mean) WHEN p < mean * 0.95 THEN R1(-((mean - p) * 100.0 / mean)) ELSE 0.0 END AS deviation
+  CASE WHEN p < low * 0.7 THEN J1(-((low - p) * 100.0 / low)) WHEN p > high * 1.15 THEN J1((p - high) * 100.0 / high) WHEN p > mean * 1.05 THEN J1((p - mean) * 100.0 / mean) WHEN p < mean * 0.95 THEN J1(-((mean - p) * 100.0 / mean)) ELSE 0.0 END AS deviation
 FROM i JOIN m ON i.l_partkey = m.l_partkey"""
 )
 def price_status(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     market = lines.groupBy("l_partkey").agg(F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.avg("l_extendedprice").alias("mean"))
-    items = lines.where("l_linenumber = 1").select("l_orderkey", "l_partkey", (F.col("l_extendedprice") * 1.3).alias("p")).distinct()
+    items = lines.select("l_orderkey", "l_partkey", (F.col("l_extendedprice") * 1.3).alias("p")).distinct()
     verdict = compare.price_status(F.col("p"), F.col("low"), F.col("high"), F.col("mean"))
     return items.join(market, "l_partkey").select("l_orderkey", "l_partkey", half_up(F.col("p"), 2).alias("scanned_price"), verdict.alias("v")).select("l_orderkey", "l_partkey", "scanned_price", "v.status", "v.deviation")
 
@@ -135,9 +102,9 @@ def price_status(spark, sf_dir):
 @query(
     """WITH m AS (SELECT l_partkey, min(l_extendedprice) AS low, max(l_extendedprice) AS high, avg(l_extendedprice) AS mean FROM lineitem GROUP BY l_partkey),
 i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * 1.3 AS p FROM lineitem)
-SELECT l_orderkey, l_linenumber, i.l_partkey, R2(p) AS scanned_price,
+SELECT l_orderkey, l_linenumber, i.l_partkey, J2(p) AS scanned_price,
   CASE WHEN p < low * 0.7 THEN 'suspiciously_low' WHEN p > high * 1.15 THEN 'overpriced' WHEN p > mean * 1.05 THEN 'above_average' WHEN p < mean * 0.95 THEN 'below_average' ELSE 'normal' END AS status,
-  CASE WHEN p < low * 0.7 THEN R1(-((low - p) * 100.0 / low)) WHEN p > high * 1.15 THEN R1((p - high) * 100.0 / high) WHEN p > mean * 1.05 THEN R1((p - mean) * 100.0 / mean) WHEN p < mean * 0.95 THEN R1(-((mean - p) * 100.0 / mean)) ELSE 0.0 END AS deviation
+  CASE WHEN p < low * 0.7 THEN J1(-((low - p) * 100.0 / low)) WHEN p > high * 1.15 THEN J1((p - high) * 100.0 / high) WHEN p > mean * 1.05 THEN J1((p - mean) * 100.0 / mean) WHEN p < mean * 0.95 THEN J1(-((mean - p) * 100.0 / mean)) ELSE 0.0 END AS deviation
 FROM i JOIN m ON i.l_partkey = m.l_partkey"""
 )
 def price_status_all(spark, sf_dir):
@@ -153,14 +120,13 @@ def price_status_all(spark, sf_dir):
     f"""WITH {OFFERS}, i AS (SELECT l_partkey AS item, max(price) AS asked FROM o GROUP BY l_partkey),
 d AS (SELECT item, l_suppkey, price, (asked - price) * 100.0 / asked AS saving FROM i JOIN o ON item = l_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY price, l_suppkey) AS rank FROM d WHERE saving >= 5)
-SELECT item, l_suppkey, price, R1(saving) AS saving_percent, rank FROM r WHERE rank <= 3"""
+SELECT item, l_suppkey, price, J1(saving) AS saving_percent, rank FROM r WHERE rank <= 3"""
 )
 def better_deals(spark, sf_dir):
-    o = offers(spark, sf_dir)
-    asked = o.groupBy("l_partkey").agg(F.max("price").alias("asked"))
-    d = o.join(asked, "l_partkey").withColumn("saving", share(F.col("asked") - F.col("price"), F.col("asked"))).where("saving >= 5")
-    rank = F.row_number().over(Window.partitionBy("l_partkey").orderBy("price", "l_suppkey")).cast("long")
-    return d.withColumn("rank", rank).where("rank <= 3").select(F.col("l_partkey").alias("item"), "l_suppkey", "price", half_up(F.col("saving"), 1).alias("saving_percent"), "rank")
+    part = Window.partitionBy("l_partkey")
+    o = offers(spark, sf_dir).withColumns({"asked": F.max("price").over(part), "rank": F.row_number().over(part.orderBy("price", "l_suppkey")).cast("long")})
+    # who saves enough stands before who does not, so ranks among all are ranks among those
+    return o.withColumn("saving", share(F.col("asked") - F.col("price"), F.col("asked"))).where("saving >= 5 AND rank <= 3").select(F.col("l_partkey").alias("item"), "l_suppkey", "price", half_up(F.col("saving"), 1).alias("saving_percent"), "rank")
 
 
 @query(
@@ -172,7 +138,7 @@ def invoice_totals(spark, sf_dir):
     best = offers(spark, sf_dir).groupBy("l_partkey").agg(F.min("price").alias("best"))
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 0").join(best, "l_partkey").withColumn("price", F.col("l_extendedprice") / F.col("l_quantity"))
     t = compare.invoice_totals(lines, "l_orderkey", "price", "l_quantity", "best")
-    return t.select("l_orderkey", half_up(F.col("total"), 2).alias("total"), half_up(F.col("savings"), 2).alias("savings"), half_up(F.col("savings_percent"), 1).alias("savings_percent"))
+    return t.select("l_orderkey", rounded(F.col("total"), 2).alias("total"), rounded(F.col("savings"), 2).alias("savings"), rounded(F.col("savings_percent"), 1).alias("savings_percent"))
 
 
 # ---------------------------------------------------------------- prices over time
@@ -187,19 +153,19 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.change_log(lines, ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "price"], "price")
 
 
-@query(f"WITH {CHANGES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, changed_from, R2(pct) AS change_percentage FROM h")
+@query(f"WITH {CHANGES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, changed_from, J2(pct) AS change_percentage FROM h")
 def price_change_log(spark, sf_dir):
     return changes(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price", "changed_from", half_up(F.col("change_percentage"), 2).alias("change_percentage"))
 
 
 @query(f"WITH {CHANGES} SELECT l_suppkey, count(*) AS total_changes, count(*) FILTER (pct > 0) AS increases, count(*) FILTER (pct < 0) AS decreases, R2(avg(pct)) AS avg_change FROM h WHERE pct IS NOT NULL GROUP BY l_suppkey")
 def supplier_change_report(spark, sf_dir):
-    return analytics.change_report(changes(spark, sf_dir), ["l_suppkey"]).withColumn("avg_change", half_up(F.col("avg_change"), 2))
+    return analytics.change_report(changes(spark, sf_dir), ["l_suppkey"]).withColumn("avg_change", rounded(F.col("avg_change"), 2))
 
 
 @query(f"WITH {CHANGES} SELECT l_partkey, R2(coalesce(sqrt(avg(nullif(pct, 0) * nullif(pct, 0))), 0.0)) AS volatility, count(*) AS changes FROM h WHERE pct IS NOT NULL GROUP BY l_partkey")
 def product_volatility(spark, sf_dir):
-    return analytics.volatility(changes(spark, sf_dir), ["l_partkey"]).withColumn("volatility", half_up(F.col("volatility"), 2))
+    return analytics.volatility(changes(spark, sf_dir), ["l_partkey"]).withColumn("volatility", rounded(F.col("volatility"), 2))
 
 
 @query(
@@ -208,7 +174,7 @@ SELECT l_partkey, R2(v) AS volatility, changes FROM v ORDER BY v DESC, l_partkey
 )
 def volatile_products(spark, sf_dir):
     top = analytics.volatility(changes(spark, sf_dir), ["l_partkey"]).orderBy(F.col("volatility").desc(), "l_partkey").limit(10)
-    return top.withColumn("volatility", half_up(F.col("volatility"), 2))
+    return top.withColumn("volatility", rounded(F.col("volatility"), 2))
 
 
 @query(
@@ -221,13 +187,13 @@ SELECT l_suppkey, R2(a) AS avg_price, lo AS min_price, hi AS max_price, R2(v) AS
 def price_trend_summary(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("tie", F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))
     t = analytics.trend_summary(lines, ["l_suppkey"], "l_shipdate", "l_extendedprice", "tie")
-    return t.withColumns({c: half_up(F.col(c), 2) for c in ("avg_price", "volatility", "overall_change")})
+    return t.withColumns({c: rounded(F.col(c), 2) for c in ("avg_price", "volatility", "overall_change")})
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, R2(avg(value)) AS avg_price, min(value) AS min_price, max(value) AS max_price, R2(max(value) - min(value)) AS spread, count(value) AS price_count FROM events GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, J2(avg(value)) AS avg_price, min(value) AS min_price, max(value) AS max_price, R2(max(value) - min(value)) AS spread, count(value) AS price_count FROM events GROUP BY 1")
 def daily_average(spark, sf_dir):
     d = analytics.daily_average(table(spark, sf_dir, "events"), "ts", "value")
-    return d.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "spread": half_up(F.col("spread"), 2)})
+    return d.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "spread": rounded(F.col("spread"), 2)})
 
 
 INTERVALS = """v AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice, l_shipdate AS valid_from,
@@ -285,21 +251,22 @@ def duplicate_prices(spark, sf_dir):
     return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)")
 def orphan_parts(spark, sf_dir):
-    sold = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    sold = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
     return quality.orphans(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", sold)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')")
 def customers_without_orders(spark, sf_dir):
-    made = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order that is pending."""
+    made = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return quality.orphans(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", made)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 10)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 28)")
 def semi_multi_supplier(spark, sf_dir):
-    many = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 10")
+    many = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).where("n > 28")
     return table(spark, sf_dir, "part").join(many, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_name")
 
 
@@ -314,19 +281,20 @@ def left_join_counts(spark, sf_dir):
 )
 def related_products(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    b = p.groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("related"), half_up(F.min("p_retailprice"), 2).alias("best"))
+    b = p.groupBy("p_name", "p_brand").agg(F.count(F.lit(1)).alias("related"), rounded(F.min("p_retailprice"), 2).alias("best"))
     a = p.select("p_partkey", F.col("p_name").alias("n"), F.col("p_brand").alias("b"))
     return a.join(b, (F.col("n") == F.col("p_name")) & F.col("b").eqNullSafe(F.col("p_brand"))).select("p_partkey", "related", "best")
 
 
 @query(
-    """WITH l AS (SELECT l_suppkey, array_to_string(list_sort(list(format('{:012.2f}:{}', l_extendedprice, l_orderkey))), ',') AS prices FROM lineitem WHERE l_quantity >= 50 GROUP BY l_suppkey)
-SELECT s_suppkey, coalesce(prices, '') AS prices FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey"""
+    """WITH l AS (SELECT l_suppkey, l_partkey // 100 AS part, array_to_string(list_sort(list(format('{:012.2f}:{}', l_extendedprice, l_orderkey))), ',') AS prices FROM lineitem GROUP BY 1, 2)
+SELECT s_suppkey, part, coalesce(prices, '') AS prices FROM supplier LEFT JOIN l ON l_suppkey = s_suppkey"""
 )
 def nested_prices(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("s_suppkey"), F.format_string("%012.2f:%d", "l_extendedprice", "l_orderkey").alias("p"))
-    n = analytics.nested(table(spark, sf_dir, "supplier").select("s_suppkey"), lines, "s_suppkey", ["p"], "list")
-    return n.select("s_suppkey", F.array_join(F.transform("list", lambda x: x["p"]), ",").alias("prices"))
+    """Every supplier with all its prices, nested in parts of 100 products."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.expr("l_partkey div 100").alias("part"), F.format_string("%012.2f:%d", "l_extendedprice", "l_orderkey").alias("p"))
+    n = analytics.nested(table(spark, sf_dir, "supplier").select("s_suppkey"), lines, "s_suppkey", ["p"], "list", "part")
+    return n.select("s_suppkey", "part", F.array_join(F.transform("list", lambda x: x["p"]), ",").alias("prices"))
 
 
 @query(
@@ -345,7 +313,7 @@ def nested_prices_all(spark, sf_dir):
 )
 def supplier_turnover(spark, sf_dir):
     # the sum comes before the joins, so one row for each supplier meets the dimensions
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(half_up(F.sum("l_extendedprice"), 2).alias("amount"))
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(rounded(F.sum("l_extendedprice"), 2).alias("amount"))
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     return sums.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "s_name", "n_name", "r_name", "amount")
 
@@ -383,7 +351,7 @@ TRIGRAMS = """g AS (SELECT s_suppkey AS k, list_distinct(flatten(list_transform(
 
 @query(
     f"""WITH {TRIGRAMS}, q AS (SELECT k, t FROM g WHERE k % 20 = 0)
-SELECT q.k AS asked, g.k AS found, R4(len(list_intersect(q.t, g.t))::DOUBLE / (len(q.t) + len(g.t) - len(list_intersect(q.t, g.t)))) AS similarity FROM q, g
+SELECT q.k AS asked, g.k AS found, J4(len(list_intersect(q.t, g.t))::DOUBLE / (len(q.t) + len(g.t) - len(list_intersect(q.t, g.t)))) AS similarity FROM q, g
 WHERE len(list_intersect(q.t, g.t))::DOUBLE / (len(q.t) + len(g.t) - len(list_intersect(q.t, g.t))) > 0.3"""
 )
 def trigram_suppliers(spark, sf_dir):
@@ -394,22 +362,24 @@ def trigram_suppliers(spark, sf_dir):
     return m.withColumn("similarity", half_up(F.col("similarity"), 4))
 
 
-@query("WITH n AS (SELECT DISTINCT lower(p_name) AS n FROM part) SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n)::BIGINT AS distance, R4(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))) AS similarity FROM n a JOIN n b ON a.n < b.n AND substr(a.n, 1, 1) = substr(b.n, 1, 1)")
+@query("WITH q AS (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_partkey % 20 = 0), n AS (SELECT DISTINCT lower(p_name) AS n FROM part) SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n)::BIGINT AS distance, J4(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n))) AS similarity FROM q a JOIN n b ON a.n <> b.n")
 def edit_distance(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.lower("p_name").alias("n")).distinct()
-    a, b = n.select(F.col("n").alias("a"), F.substring("n", 1, 1).alias("f")), n.select(F.col("n").alias("b"), F.substring("n", 1, 1).alias("f"))
-    return a.join(b, "f").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), half_up(similarity.edit_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
+    """A stated set of questions (names of parts whose key is divisible by 20) against all names, whatever letter they begin with."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("n"))
+    asked = p.where("p_partkey % 20 = 0").select(F.col("n").alias("a")).distinct()
+    return search.against(p.select(F.col("n").alias("b")).distinct(), asked, "a").where("a <> b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), half_up(similarity.edit_similarity(F.col("a"), F.col("b")), 4).alias("similarity"))
 
 
 @query(
-    """WITH n AS (SELECT DISTINCT p_name AS n, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part)
-SELECT a.n AS a, b.n AS b, R4(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w)))) AS jaccard FROM n a JOIN n b ON a.n < b.n WHERE len(list_intersect(a.w, b.w)) > 0"""
+    """WITH n AS (SELECT DISTINCT p_name AS n, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), q AS (SELECT DISTINCT p_name AS n, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 20 = 0)
+SELECT a.n AS a, b.n AS b, J4(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w)))) AS jaccard FROM q a JOIN n b ON a.n <> b.n WHERE len(list_intersect(a.w, b.w)) > 0"""
 )
 def token_jaccard(spark, sf_dir):
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("n")).distinct()
-    words = n.select("n", F.explode(F.array_distinct(names.tokens(F.col("n")))).alias("w"))
-    pairs = words.select(F.col("n").alias("a"), "w").join(words.select(F.col("n").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
-    return pairs.withColumn("jaccard", half_up(similarity.token_jaccard(F.col("a"), F.col("b")), 4))
+    """A stated set of questions (names of parts whose key is divisible by 20) against all names; no pair is made by a frequent word."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = p.where("p_partkey % 20 = 0").select(F.col("p_name").alias("a")).distinct()
+    pairs = search.against(p.select(F.col("p_name").alias("b")).distinct(), asked, "a").where("a <> b")
+    return pairs.withColumn("jaccard", half_up(similarity.token_jaccard(F.col("a"), F.col("b")), 4)).where("jaccard > 0")
 
 
 @query()
@@ -426,24 +396,23 @@ def similar_products(spark, sf_dir):
     """Fixed questions against all distinct names by the domain's similarity; tests hold it against worked examples."""
     n = table(spark, sf_dir, "part").select("p_name").distinct()
     asked = spark.createDataFrame([(q,) for q in QUESTIONS], "q string")
-    score = similarity.name_similarity(F.col("q"), F.col("p_name"))
-    return n.crossJoin(F.broadcast(asked)).select("q", "p_name", half_up(score, 2).alias("score")).where("score > 0")
+    score = similarity.parts_similarity(F.col("qp"), F.col("np"))
+    asked, n = asked.withColumn("qp", similarity.name_parts(F.col("q"))), n.withColumn("np", similarity.name_parts(F.col("p_name")))
+    return search.against(n, asked, "q").select("q", "p_name", rounded(score, 2).alias("score")).where("score > 0")
 
 
 @query(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
 c AS (SELECT q.vec_id AS asked, e.vec_id AS found, list_cosine_similarity(q.v, e.v) AS s FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY R4(s) DESC, found) AS rn FROM c)
-SELECT asked, found, R4(s) AS similarity FROM r WHERE rn = 1"""
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY s DESC, found) AS rn FROM c)
+SELECT asked, found, R4(s) AS similarity FROM r WHERE rn = 1 AND s >= 0.2"""
 )
 def nearest_vectors(spark, sf_dir):
-    """A stated set of questions (ids divisible by 20) against all vectors of their label."""
+    """A stated set of questions (ids divisible by 20) against all vectors of their label, in blocks; the nearest from a cosine of 0.2 on."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), "label", F.col("embedding").alias("v"))
-    pairs = e.select(F.col("vec_id").alias("found"), "label", "embedding").join(asked, "label").where("asked <> found")
-    near = pairs.select("asked", "found", half_up(similarity.cosine(F.col("v"), F.col("embedding")), 4).alias("similarity"))
-    best = near.groupBy("asked").agg(F.max(F.struct("similarity", (-F.col("found")).alias("k"))).alias("b"))
-    return best.select("asked", (-F.col("b.k")).alias("found"), "b.similarity")
+    asked = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "asked")
+    near = search.nearest_vector(asked, e.withColumnRenamed("vec_id", "found"), "asked", "found", "embedding", "label", lambda _: F.lit(0.2), others_only=True)
+    return near.withColumn("similarity", rounded(F.col("similarity"), 4))
 
 
 # ---------------------------------------------------------------- quality and reports
@@ -481,22 +450,26 @@ def quality_report(spark, sf_dir):
 
 
 @query(
-    """WITH v AS (SELECT l_extendedprice AS p FROM lineitem)
-SELECT count(*) AS products, count(*) FILTER (p >= 500 AND p <= 50000000) AS valid, count(*) FILTER (p < 500) AS with_errors, count(*) FILTER (p < 1e4) AS below_10k, count(*) FILTER (p >= 1e4 AND p < 1e5) AS from_10k, count(*) FILTER (p >= 1e5 AND p < 1e6) AS from_100k, count(*) FILTER (p >= 1e6) AS from_1m FROM v"""
+    """WITH l AS (SELECT l_extendedprice AS p, l_linenumber % 4 AS k, l_extendedprice - floor(l_extendedprice) AS rest FROM lineitem),
+b AS (SELECT *, CASE k WHEN 0 THEN 50000 WHEN 1 THEN 5000 WHEN 2 THEN 2000 END AS lo, CASE k WHEN 0 THEN 5000000 WHEN 1 THEN 200000 WHEN 2 THEN 1000000 END AS hi,
+  (p < 1000 AND abs(p * 100 - round(p * 100)) < 1e-6 AND abs(p * 10 - round(p * 10)) >= 1e-6) OR (rest > 0.09 AND abs(p - round(p)) >= 1e-6) AS misread FROM l),
+v AS (SELECT p, p >= 500 AND p <= 50000000 AS fine, coalesce(p < lo, false) AS below, coalesce(p > hi, false) AS above, k = 3 AND p < 1000 AS low, k = 3 AND p > 10000000 AS high, misread FROM b)
+SELECT count(*) AS products, count(*) FILTER (fine) AS valid, count(*) FILTER (fine AND (below OR above OR low OR high OR misread)) AS with_warnings,
+R4(avg(CASE WHEN fine THEN (CASE WHEN below OR above THEN 0.7 ELSE 1 END) * (CASE WHEN low OR high THEN 0.8 ELSE 1 END) * (CASE WHEN misread THEN 0.6 ELSE 1 END) ELSE 0 END)) AS avg_confidence, count(*) FILTER (NOT fine) AS with_errors, count(*) FILTER (p < 1e4) AS below_10k, count(*) FILTER (p >= 1e4 AND p < 1e5) AS from_10k, count(*) FILTER (p >= 1e5 AND p < 1e6) AS from_100k, count(*) FILTER (p >= 1e6) AS from_1m FROM v"""
 )
 def price_validation(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("p"), quality.validate_price(F.lit("thing"), F.col("l_extendedprice")).alias("v"))
-    return quality.validation_summary(lines, "v", "p").drop("with_warnings", "avg_confidence")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("p"), quality.validate_price(F.element_at(F.array(*map(F.lit, ("Cheddar cheese", "Fresh tomato", "Beef steak", "thing"))), (F.col("l_linenumber") % 4 + 1).cast("int")), F.col("l_extendedprice")).alias("v"))
+    return quality.validation_summary(lines, "v", "p").withColumn("avg_confidence", rounded(F.col("avg_confidence"), 4))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, R2(avg(o_totalprice)) AS mean FROM orders GROUP BY o_orderstatus")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("o_totalprice"), 2).alias("mean"))
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("o_totalprice"), 2).alias("mean"))
 
 
 @query(
-    """WITH u AS (SELECT CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS s, CASE WHEN value > 50 THEN value / 100 END AS c, value / 1000 AS cost, user_id::INTEGER AS t, CASE WHEN value > 10 THEN value::INTEGER END AS ms FROM events)
-SELECT count(*) AS uploads, R2(count(*) FILTER (s = 'completed') * 100.0 / count(*)) AS success_rate, R4(avg(coalesce(c, 0.0))) AS avg_completeness, R2(sum(cost)) AS total_cost, sum(t)::BIGINT AS total_tokens FROM u"""
+    """WITH u AS (SELECT CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS s, CASE WHEN value > 50 THEN value / 100 END AS c, value / 1000 AS cost, user_id::INTEGER AS t, CASE WHEN value > 10 THEN floor(value)::INTEGER END AS ms FROM events)
+SELECT count(*) AS uploads, R2(count(*) FILTER (s = 'completed') * 100.0 / count(*)) AS success_rate, R4(avg(coalesce(c, 0.0))) AS avg_completeness, R2(sum(cost)) AS total_cost, sum(t)::BIGINT AS total_tokens, R2(avg(coalesce(ms, 0))) AS avg_time_ms FROM u"""
 )
 def upload_metrics(spark, sf_dir):
     u = table(spark, sf_dir, "events").select(
@@ -504,20 +477,31 @@ def upload_metrics(spark, sf_dir):
         F.when(F.col("value") > 50, F.col("value") / 100).alias("completeness_ratio"),
         (F.col("value") / 1000).alias("processing_cost_usd"),
         F.col("user_id").cast("int").alias("tokens_used"),
-        F.lit(None).cast("int").alias("processing_time_ms"),
+        F.when(F.col("value") > 10, F.floor("value").cast("int")).alias("processing_time_ms"),
     )
     m = analytics.upload_metrics(u)
-    return m.select("uploads", half_up(F.col("success_rate"), 2).alias("success_rate"), half_up(F.col("avg_completeness"), 4).alias("avg_completeness"), half_up(F.col("total_cost"), 2).alias("total_cost"), "total_tokens")
+    return m.select("uploads", rounded(F.col("success_rate"), 2).alias("success_rate"), rounded(F.col("avg_completeness"), 4).alias("avg_completeness"), rounded(F.col("total_cost"), 2).alias("total_cost"), "total_tokens", rounded(F.col("avg_time_ms"), 2).alias("avg_time_ms"))
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, event_type, R2(sum(value)) AS cost, count(*) AS calls FROM events GROUP BY 1, 2")
 def monthly_cost(spark, sf_dir):
-    return analytics.monthly_cost(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("cost", half_up(F.col("cost"), 2))
+    return analytics.monthly_cost(table(spark, sf_dir, "events"), "ts", "event_type", "value").withColumn("cost", rounded(F.col("cost"), 2))
 
 
-@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, R2(avg(o_totalprice)) AS mean FROM orders GROUP BY 1, 2")
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, R2(avg(o_totalprice)) AS mean, R2(avg(o_custkey)) AS mean_customer, R2(avg(nullif(o_orderkey % 10, 0))) AS mean_digit FROM orders GROUP BY 1, 2")
 def two_key_averages(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), half_up(F.avg("o_totalprice"), 2).alias("mean"))
+    o = table(spark, sf_dir, "orders").withColumn("digit", F.nullif(F.col("o_orderkey") % 10, F.lit(0)))
+    by, _ = analytics.classification_stats(o, "o_orderpriority", "o_orderstatus", ["o_totalprice", "o_custkey", "digit"])
+    return by.select("o_orderpriority", "o_orderstatus", "n", *[rounded(F.col(f"avg_{a}"), 2).alias(b) for a, b in (("o_totalprice", "mean"), ("o_custkey", "mean_customer"), ("digit", "mean_digit"))])
+
+
+@query(
+    """WITH s AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1, 2)
+SELECT o_orderpriority, sum(n)::BIGINT AS total, count(*) AS statuses, R2(arg_max(mean, o_orderstatus)) AS last_mean FROM s GROUP BY 1"""
+)
+def kinds_of_uploads(spark, sf_dir):
+    _, kinds = analytics.classification_stats(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["o_totalprice"])
+    return kinds.select("o_orderpriority", "total", "statuses", rounded(F.col("avg_o_totalprice"), 2).alias("last_mean"))
 
 
 @query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers, count(*) AS rows FROM lineitem")
@@ -534,11 +518,11 @@ def json_props(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM (SELECT doc_id, text FROM documents)"""
+    """SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM (SELECT doc_id, text FROM documents)"""
 )
 def name_clean(spark, sf_dir):
-    """The text that an embedding of a name is made of: its first 200 characters, cleaned (the feature's own limit)."""
-    return table(spark, sf_dir, "documents").select("doc_id", names.matching_name(F.substring("text", 1, 200)).alias("name"))
+    """Whole texts as names for matching."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.matching_name(F.col("text")).alias("name"))
 
 
 @query(
@@ -563,7 +547,7 @@ def canonical_units(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, l_extendedprice, R2(CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice / l_quantity WHEN 1 THEN l_extendedprice / (l_quantity * 0.001) WHEN 2 THEN l_extendedprice / (l_quantity * 12) END) AS unit_price FROM lineitem"""
+    """SELECT l_orderkey, l_linenumber, l_extendedprice, J2(CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice / l_quantity WHEN 1 THEN l_extendedprice / (l_quantity * 0.001) WHEN 2 THEN l_extendedprice / (l_quantity * 12) END) AS unit_price FROM lineitem"""
 )
 def unit_prices(spark, sf_dir):
     u = F.element_at(F.array(F.lit("kg"), F.lit("ML"), F.lit("dozen"), F.lit("?")), (F.col("l_linenumber") % 4 + 1).cast("int"))
@@ -578,10 +562,11 @@ def parsed_prices(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", prices.normalize_price(text).alias("parsed"))
 
 
-@query("SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'html' ELSE 'other' END AS kind FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'excel' WHEN 1 THEN 'pdf' WHEN 2 THEN 'image' ELSE 'unknown' END AS kind FROM pages")
 def page_kinds(spark, sf_dir):
-    kind = documents.route(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when((kind == "unknown") & F.col("url").endswith(".html"), "html").otherwise("other").alias("kind"))
+    """What a page's files would be routed to, by endings of all kinds."""
+    ending = F.element_at(F.array(*map(F.lit, (".XLSX", ".pdf", ".Jpg", ".exe"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", documents.route(F.concat("url", ending)).alias("kind"))
 
 
 # ---------------------------------------------------------------- changes, feeds
@@ -617,7 +602,7 @@ def hourly_events(spark, sf_dir):
     from ..streaming.uploads import tumbling
 
     t = tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", "event_type", "value")
-    return t.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", half_up(F.col("mean"), 2).alias("mean"))
+    return t.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", rounded(F.col("mean"), 2).alias("mean"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

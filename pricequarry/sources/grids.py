@@ -6,6 +6,7 @@ A grid is (source, sheet, row_idx, cells array<string>).
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -32,6 +33,24 @@ def _column_number(ref: str) -> int:
     return n - 1
 
 
+def _parts(z: zipfile.ZipFile, space: str) -> Iterator[tuple[str, str]]:
+    """(title, file) of a workbook's sheets in their order: the workbook names a relationship for each, and that the file. Without relationships the files stand in the order of their numbers."""
+    names = set(z.namelist())
+    listed = list(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet"))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+    numbered = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    for i, sheet in enumerate(listed):
+        part = targets.get(sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"))
+        if part is None and not targets:
+            part = numbered[i] if i < len(numbered) else None
+        if part in names and part.startswith("xl/worksheets/"):  # charts are sheets without rows
+            yield sheet.get("name"), part
+
+
 def sheets_of(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """(sheet, row number, cells) of a workbook's bytes; formulas by their stored values."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -40,9 +59,7 @@ def sheets_of(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
         shared = []
         if "xl/sharedStrings.xml" in names:
             shared = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet")]
-        parts = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for title, part in zip(titles, parts, strict=False):
+        for title, part in _parts(z, space):
             for row in ElementTree.fromstring(z.read(part)).iter(f"{space}row"):
                 cells: list[str | None] = []
                 for c in row.iter(f"{space}c"):
@@ -74,9 +91,10 @@ def split_line(line: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files, blank ones left out, numbered in their file from 0."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("row_idx", "line"))
-    return text.select("source", F.lit("csv").alias("sheet"), "row_idx", split_line(F.col("line")).alias("cells"))
+    """Lines of all files, blank ones left out, numbered in their file from 0. Tasks read splits of files; a line's place is that of its split in the file and its own in the split."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")).where(F.trim("line") != "")
+    row = F.row_number().over(Window.partitionBy("source").orderBy("block", "at")) - 1
+    return lines.select("source", F.lit("csv").alias("sheet"), row.alias("row_idx"), split_line(F.col("line")).alias("cells"))
 
 
 def price_like(grid: DataFrame) -> DataFrame:
@@ -123,7 +141,7 @@ def products(grid: DataFrame, unit: str = "pcs") -> DataFrame:
     def cell(at: str) -> Column:
         return F.trim(F.try_element_at("cells", F.col(at) + 1))
 
-    rows = grid.join(F.broadcast(roles(grid)), ["source", "sheet"]).where(F.col("row_idx") > F.col("header_row"))
+    rows = grid.join(roles(grid), ["source", "sheet"]).where(F.col("row_idx") > F.col("header_row"))
     out = rows.select(cell("name_at").alias("name"), sheet_price(cell("price_at")).alias("price"), F.coalesce(F.nullif(cell("unit_at"), F.lit("")), F.lit(unit)).alias("unit"), cell("category_at").alias("category"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("description"), F.col("sheet").alias("source_sheet"), F.col("row_idx").alias("source_row"), "source")
     return out.where((F.length("name") >= 2) & (F.col("price") > 0))
 
