@@ -30,6 +30,8 @@ SEED = 42
 BLOCK_ROWS = 500_000
 #: Fingerprints that are streamed past it at once, and pairs compared at once.
 TILE_ROWS, PAIRS = 32_768, 1 << 20
+#: Cells of a tile that are held against a block's cells at once.
+CELLS = 64
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -123,12 +125,17 @@ class Block:
         order = np.lexsort((fps, cells))
         fps = fps[order]
         tiles, starts = _runs(cells[order])
-        # boxes first: cells of the tile against cells of the block, each pair once
-        near = (np.abs(self.counts[:, None, :] - _counts_of_cells(tiles)[None, :, :]).sum(axis=2) <= self.radius) & (tiles[None, :] >= self.cells[:, None])
         labels = np.concatenate([self.labels, len(self.fps) + np.arange(len(fps))])
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in np.flatnonzero(near.any(axis=0)):
-            rows = np.flatnonzero(np.repeat(near[:, k], self.sizes))
+        for k in range(len(tiles)):
+            # boxes first: a cell of the tile against the cells of the block, each pair once; few at a time are in memory
+            if k % CELLS == 0:
+                some = tiles[k : k + CELLS]
+                near = (np.abs(self.counts[:, None, :] - _counts_of_cells(some)[None, :, :]).sum(axis=2, dtype=np.int16) <= self.radius) & (some[None, :] >= self.cells[:, None])
+                any_near = near.any(axis=0)
+            if not any_near[k % CELLS]:
+                continue
+            rows = np.flatnonzero(np.repeat(near[:, k % CELLS], self.sizes))
             mine = self.fps[rows]
             tile = fps[starts[k] : starts[k + 1]]
             step = max(1, PAIRS // len(mine))
