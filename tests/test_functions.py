@@ -45,7 +45,7 @@ def test_misread_prices(spark):
     check(spark, prices.short_price(F.col("a")), [(1.5e6, "1.5M"), (25e3, "25K"), (999.0, "999")], "a double")
     check(spark, prices.long_price(F.col("a")), [(1.5e6, "Rp 1.500.000")], "a double")
     check(spark, half_up(F.col("a")), [(-2.5, -2.0), (2.5, 3.0), (None, None)], "a double")
-    check(spark, half_up(F.col("a"), 2), [(1.005, 1.01), (35050.325, 35050.33)], "a double")
+    check(spark, half_up(F.col("a"), 2), [(1.005, 1.0), (1.00499999, 1.0), (2.675, 2.68), (1.015, 1.01)], "a double")
 
 
 def test_unit_prices(spark):
@@ -69,7 +69,7 @@ def test_names(spark):
     check(spark, names.translated_name(F.col("a")), [("Wortel Lokal!", "carrot lokal"), ("Champiñón champiñones", "mushroom"), ("kangkung", "water spinach"), ("red red wine", "red wine")])
     check(spark, names.core_noun(F.col("a")), [("local fresh carrot", "carrot"), ("chicken", ""), ("ayam", ""), ("sweet potato", "potato")])
     check(spark, names.data_name(F.col("a")), [("  “Baby” –  corn. ", 'Baby" - corn'), (None, "")])
-    check(spark, names.name_fault(F.col("a")), [("12.5", "number"), ("500 gr", "weight"), ("IDR", "currency"), ("ab", "short"), ("", "empty"), (None, "empty"), ("Tomato", None)])
+    check(spark, names.name_fault(F.col("a")), [("125", "number"), ("12.5", None), ("500 gr", "weight"), ("2 LB", "weight"), ("3 pcs", None), ("IDR", "currency"), ("sgd", "currency"), ("ab", "short"), ("OK", None), ("kg", None), ("", None), (None, None), ("Tomato", None)])
     check(spark, names.is_category_heading(F.col("a"), F.lit(False)), [("VEGETABLES", True), ("Red onion", False), ("ab", False), ("Box 12", False)])
     check(spark, names.bound_category(F.col("a")), [("Cheddar cheese", "cheese"), ("Kopi Bali", "beverages"), ("thing", None)])
     check(spark, names.supplier_from_file(F.col("a")), [("/x/PT_Sayur-Bali_price list 2024.xlsx", "Pt Sayur Bali"), ("Island Organics (1).pdf", "Island Organics")])
@@ -85,6 +85,32 @@ def test_name_similarity(spark):
     check(spark, similarity.name_similarity(F.col("a"), F.col("b")), PAIRS, "a string, b string")
 
 
+def test_product_names(spark):
+    check(spark, names.is_product_name(F.col("a")), [("10 x 5 kg", False), ("3 box", False), ("12", False), ("1A", False), ("250gr", False), ("5x6 pcs", False), ("Tomato", True), (" Tea ", True), ("to", False), ("%%%", False), ("Tomato 5 kg", True), ("", False), (None, False), ("2.5 x 3 abc", False), ("Ä!b", True)])
+
+
+def test_categories(spark):
+    from pricequarry.functions import lexicon as W
+
+    check(spark, names.categorize(F.col("a")), [("Baby Corn", "Vegetables"), ("Peanut", "Vegetables"), ("Smoked bacon", "Meat"), ("Oat milk", "Grains"), ("Whipping CREAM", "Dairy"), ("Soap", "Other")])
+    check(spark, names.categorize(F.col("a"), W.SHARED_CATEGORIES, whole_words=True), [("Susu segar", "Dairy"), ("Eggplant", "Other"), ("2 eggs", "Eggs"), ("ice cream", "Dairy"), ("es krim", "Dairy"), ("Frozen peas", "Frozen"), ("teh botol", "Beverages")])
+    check(spark, names.categorize(F.col("a"), W.REPAIR_CATEGORIES, "OTHER"), [("Plantain", "FRUIT"), ("Meat pepper", "VEGETABLE"), ("tuna", "SEAFOOD"), ("x", "OTHER")])
+    check(spark, names.categorize(F.col("a"), W.DAIRY_CATEGORIES, "OTHER"), [("Kefir", "DAIRY"), ("dumpling", "MEAT"), ("cheese cake", "DAIRY"), ("cookie", "OTHER")])
+
+
+def test_more_price_readers(spark):
+    check(spark, prices.appended_price(F.col("a")), [("39rb", 39000.0), ("1.5jt", 15e6), ("Rp 25.000", 25000.0), ("2 juta", 2.0), ("10ribu", 10000.0), ("39K", 39000.0), ("abc", 0.0), ("", 0.0), (None, 0.0)])
+    check(spark, prices.pdf_price(F.col("a")), [("1000ML IDR 104,000", 104000.0), ("104,000 IDR", 104000.0), ("Beef 316.350", 316350.0), ("2 pcs 15000", 15000.0), ("Rp 250", 250.0), ("12.5", 12.5), ("1.2.3", 0.0), ("none", 0.0), ("", 0.0), (None, 0.0)])
+    check(spark, prices.table_price(F.col("a")), [("Rp. 50.000", 50000.0), ("IDR 12,50", 12.5), ("$ 7.255", 7255.0), ("12.3456", 12.34), ("x", None), ("", None), (None, None)])
+
+
+def test_costs(spark):
+    cost = prices.token_cost(F.col("m"), F.lit(1000.0), F.lit(2000.0))
+    check(spark, cost, [("gpt-4o-mini-x", 0.00135), ("gpt-4o", 0.0225), ("gpt-o3-mini", 0.00135), ("gpt-o3", 0.0225), ("gpt-4", 0.0225), ("gpt-3.5-turbo", 0.0035), ("other", 0.00135)], "m string")
+    check(spark, prices.service_cost(F.col("m"), F.lit(1000.0), F.lit(1000.0)), [("gemini-1.5-pro", 0.00625), ("gemini-2.0-flash-exp", 0.0), ("gemini-9", 0.00009375)], "m string")
+    check(spark, prices.shown_cost(F.col("c")), [(0.0001234, "$0.000123"), (0.00512, "$0.00512"), (1.5, "$1.5000")], "c double")
+
+
 def test_other_similarities(spark):
     two = "a string, b string"
     check(spark, similarity.edit_similarity(F.col("a"), F.col("b")), [(("kitten", "Sitting"), 1 - 3 / 7), (("", ""), 1.0)], two)

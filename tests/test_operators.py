@@ -78,13 +78,21 @@ def test_store_keeps_one_current_price(spark, prices):
     assert after.count() == prices.count() + 2
     assert quality.duplicates(after.where("valid_to IS NULL"), ["product_id", "supplier_id"]).count() == 0
     logged = {(r["product_id"], r["supplier_id"]): (r["change_reason"], r["change_percentage"]) for r in log.collect()}
-    assert logged == {("p1", "s1"): ("upload", pytest.approx(-100 / 12)), ("p9", "s1"): ("initial", None)}
+    assert logged == {("p1", "s1"): ("api", pytest.approx(-100 / 12)), ("p9", "s1"): ("initial", None)}
     assert history.backfill(prices, log).count() == prices.count() - 2
     # again: nothing changes
     again, log = history.store(new, after, F.lit(day(21)).cast("timestamp_ntz"))
     assert log.count() == 0 and again.count() == after.count()
 
 
+def test_a_price_by_product_ends_all_suppliers_and_keeps_its_own(spark, prices):
+    new = spark.createDataFrame([("p1", "s9", 70.0, "kg", 70.0), ("p1", "s1", 80.0, "kg", 80.0)], "product_id string, supplier_id string, amount double, unit string, unit_price double")
+    after, log = history.store(new, prices, F.lit(day(20)).cast("timestamp_ntz"), by=("product_id",), skip_equal=False)
+    current = [(r["supplier_id"], float(r["amount"])) for r in after.where("valid_to IS NULL AND product_id = 'p1'").collect()]
+    assert current == [("s9", 70.0)]
+    assert {r["supplier_id"] for r in log.collect()} == {"s9"}
+
+
 def test_expiry_and_intervals(prices):
     both = history.expire_duplicates(prices, ["product_id"], [F.col("valid_from").desc(), F.col("id")])
     current = both.where("valid_to IS NULL").collect()
@@ -144,9 +152,11 @@ def test_mutations(spark, suppliers):
     new = spark.createDataFrame([(" foo",), ("bar",), ("bar",)], "raw_name string")
     got = {(r["normalized_name"], r["status"], r["frequency"]) for r in mutations.count_unmatched(queue, new).collect()}
     assert got == {("foo", "pending", 3), ("bar", "ignored", 1), ("bar", "pending", 2)}
-    named = spark.createDataFrame([("BALI boga", "x@y.z", None, None), ("New", None, "1", None)], "name string, email string, phone string, address string")
+    named = spark.createDataFrame([("BALI boga", "x@y.z", None, None), ("New", None, "1", None), (" ", "no", None, None), ("organics", "other@b.co", "77", None)], "name string, email string, phone string, address string")
     made = {r["name"]: r["email"] for r in mutations.found_or_made(named, suppliers).collect()}
-    assert made["Bali Boga"] == "x@y.z" and made["Island Organics"] == "a@b.co" and "New" in made
+    # the name given is part of the one known; what is known stays
+    assert made["Bali Boga"] == "x@y.z" and made["Island Organics"] == "a@b.co" and "New" in made and len(made) == suppliers.count() + 1
+    assert {r["name"]: r["phone"] for r in mutations.found_or_made(named, suppliers).collect()}["Island Organics"] == "77"
     uploads = spark.createDataFrame([("u1",), ("u2",)], "id string").select("id", F.lit("pending_review").alias("approval_status"), F.lit("processing").alias("status"))
     out, late = mutations.reviewed(uploads, spark.createDataFrame([("u1",), ("u9",)], "id string"), "approved")
     assert {(r["id"], r["status"]) for r in out.collect()} == {("u1", "completed"), ("u2", "processing")} and late.count() == 1
@@ -167,8 +177,10 @@ def test_vectors_and_pages(spark):
     assert [(r["k"], r["id"]) for r in search.nearest_vector(a, b, "k", "id", "v", "c").collect()] == [(1, 7)]
     rows, total, pages = search.page(spark.range(25), ["id"], 3, 10)
     assert ([r["id"] for r in rows.collect()], total, pages) == ([20, 21, 22, 23, 24], 25, 3)
-    with pytest.raises(ValueError, match="more than"):
-        search._few(spark.range(10), 5)
+    # more questions than one block holds: the same answers
+    few, many = search.against(b, spark.range(10).withColumnRenamed("id", "n"), "n"), search.against(b, spark.range(10).withColumnRenamed("id", "n"), "n", 3)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) and many.count() == 20
+    assert [r["k"] for r in search.nearest_vector(a, a.withColumnRenamed("k", "id"), "k", "id", "v", "c", lambda _: F.lit(0.5), others_only=True).orderBy("k").collect()] == [1, 2]
 
 
 def test_data_quality_report(products, prices, suppliers):

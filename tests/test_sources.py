@@ -32,6 +32,31 @@ def test_workbook_to_products(spark, book):
     assert files["kind"] == "excel" and len(files["file_hash"]) == 64
 
 
+def test_sheets_go_by_their_relationships(tmp_path):
+    """Titles in another order than the files' numbers, and a chart between them."""
+    r, m = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="Prices" r:id="a"/><sheet name="Chart" r:id="c"/><sheet name="Info" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="b" Target="worksheets/sheet1.xml"/><Relationship Id="a" Target="/xl/worksheets/sheet2.xml"/><Relationship Id="c" Target="chartsheets/sheet1.xml"/></Relationships>')
+        for i, text in ((1, "about"), (2, "Tomato")):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{m}"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>')
+        z.writestr("xl/chartsheets/sheet1.xml", "<x/>")
+    assert list(grids.sheets_of((tmp_path / "b.xlsx").read_bytes())) == [("Prices", 0, ["Tomato"]), ("Info", 0, ["about"])]
+
+
+def test_csv_lines_keep_their_order_over_splits(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("\r\n".join(f"name {i};{1000 + i}" + ("\r\n" if i % 50 == 0 else "") for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 8192)
+    try:
+        got = grids.read_csv(spark, f"{tmp_path}/long.csv")
+        assert got.rdd.getNumPartitions() >= 1
+        rows = got.orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["row_idx"] for r in rows] == list(range(3000))
+    assert [r["cells"] for r in rows] == [[f"name {i}", str(1000 + i)] for i in range(3000)]
+
+
 def test_csv_without_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,y\n\n"Tomato, red";25000\nBasil;12000\nThyme;9000\nSage;8000\nMint;7000\n')
     grid = grids.read_csv(spark, f"{tmp_path}/a.csv")
