@@ -5,7 +5,9 @@ Products are ``part``, suppliers ``supplier``, prices ``lineitem``; keys become
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, prices, similarity, standardize, units
@@ -233,3 +235,242 @@ SELECT event_id, model, printf('%.9f', CASE WHEN model IN ('gpt-4o', 'gpt-o3', '
 def token_costs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", pick(F.col("event_id"), *MODELS).alias("model"), F.col("user_id").alias("prompt"), F.floor("value").alias("answer"))
     return e.select("event_id", "model", F.format_string("%.9f", prices.token_cost(F.col("model"), F.col("prompt"), F.col("answer"))).alias("cost"))
+
+
+# ---------------------------------------------------------------- names, prices, units
+
+#: Strings of every form that the readers are for, by a line's remainder; {} is the line's whole amount, with points for thousands where it says {.}.
+TEXTS = ("Rp {}", "{}rb", "IDR {}", "{} IDR each", "Beef {.}", "{.}", "{}k", "1.5jt", "", "12.5 pcs")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey % 10 AS k, floor(l_extendedprice)::BIGINT AS n FROM lineitem), g AS (SELECT *, CASE WHEN n >= 1000 THEN n // 1000 || '.' || lpad((n % 1000)::VARCHAR, 3, '0') ELSE n::VARCHAR END AS p FROM t),
+s AS (SELECT l_orderkey, l_linenumber, k, n, CASE k WHEN 0 THEN 'Rp ' || n WHEN 1 THEN n || 'rb' WHEN 2 THEN 'IDR ' || n WHEN 3 THEN n || ' IDR each' WHEN 4 THEN 'Beef ' || p WHEN 5 THEN p WHEN 6 THEN n || 'k' WHEN 7 THEN '1.5jt' WHEN 8 THEN '' ELSE '12.5 pcs' END AS text FROM g)
+SELECT l_orderkey, l_linenumber, text,
+  CASE k WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 THEN 0 WHEN 3 THEN n WHEN 4 THEN 0 WHEN 5 THEN n WHEN 6 THEN n * 1000 WHEN 7 THEN 15000000 WHEN 8 THEN 0 ELSE 125 END::DOUBLE AS appended,
+  CASE WHEN k IN (0, 1, 2, 3, 4, 5, 6) THEN n WHEN k = 7 THEN 15 WHEN k = 8 THEN 0 ELSE 12.5 END::DOUBLE AS from_pdf,
+  CASE WHEN k IN (0, 1, 2, 3, 4, 5, 6) THEN n WHEN k = 7 THEN 1.5 WHEN k = 9 THEN 12.5 END::DOUBLE AS from_table,
+  CASE WHEN k IN (0, 2, 5) THEN n WHEN k = 1 THEN NULL END::DOUBLE AS from_sheet,
+  CASE k WHEN 1 THEN n * 1000.0 WHEN 6 THEN n * 1000.0 WHEN 0 THEN n WHEN 2 THEN n WHEN 5 THEN n WHEN 7 THEN 15000000 END::DOUBLE AS by_suffix,
+  CASE WHEN k IN (0, 2, 3, 4, 5) THEN 'IDR' ELSE 'IDR' END AS currency FROM s"""
+)
+def price_readers(spark, sf_dir):
+    """Every reader of prices on strings of ten forms."""
+    n = F.floor("l_extendedprice").cast("string")
+    pointed = F.regexp_replace(n, r"(\d+)(\d{3})$", "$1.$2")
+    forms = F.array(*[F.concat(*[{"{}": n, "{.}": pointed}.get(x, F.lit(x)) for x in re.split(r"(\{\.?\})", t)]) for t in TEXTS])
+    text = F.element_at(forms, (F.col("l_orderkey") % len(TEXTS) + 1).cast("int"))
+    read = {"appended": prices.appended_price, "from_pdf": prices.pdf_price, "from_table": prices.table_price, "from_sheet": prices.sheet_price, "by_suffix": prices.suffix_price, "currency": prices.extract_currency}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text")).select("*", *[f(F.col("text")).alias(c) for c, f in read.items()])
+
+
+FOODS = ("asparagus", "bacon", "prawn", "oat", "yogurt", "telur", "kopi", "keripik", "plantain", "kefir", "dumpling", "soap")
+
+
+@query(
+    f"""SELECT p_partkey, p_name || ' ' || {chosen("p_partkey", *FOODS)} AS name, {chosen("p_partkey", "Vegetables", "Meat", "Seafood", "Grains", "Dairy", "Other", "Other", "Other", "Other", "Other", "Other", "Other")} AS upload,
+{chosen("p_partkey", "Other", "Other", "Other", "Grains & Cereals", "Dairy", "Eggs", "Beverages", "Snacks", "Other", "Other", "Other", "Other")} AS shared, {chosen("p_partkey", "OTHER", "OTHER", "OTHER", "OTHER", "DAIRY", "OTHER", "OTHER", "OTHER", "FRUIT", "OTHER", "OTHER", "OTHER")} AS repair,
+{chosen("p_partkey", "OTHER", "OTHER", "OTHER", "OTHER", "DAIRY", "OTHER", "OTHER", "OTHER", "OTHER", "DAIRY", "MEAT", "OTHER")} AS dairy FROM part"""
+)
+def food_categories(spark, sf_dir):
+    """The four lists of categories on names with a food in them."""
+    named = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), pick(F.col("p_partkey"), *FOODS)).alias("name"))
+    return named.select("*", names.categorize(F.col("name"), UPLOAD_CATEGORIES).alias("upload"), names.categorize(F.col("name"), SHARED_CATEGORIES, whole_words=True).alias("shared"), names.categorize(F.col("name"), REPAIR_CATEGORIES, "OTHER").alias("repair"), names.categorize(F.col("name"), DAIRY_CATEGORIES, "OTHER").alias("dairy"))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN p_name WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size || ' kg' WHEN 3 THEN 'IDR' WHEN 4 THEN 'ab' WHEN 5 THEN 'ok' WHEN 6 THEN p_size || ' x 5 kg' WHEN 7 THEN '3 box' WHEN 8 THEN '' END AS name FROM part)
+SELECT p_partkey, name, CASE p_partkey % 10 WHEN 1 THEN 'number' WHEN 2 THEN 'weight' WHEN 3 THEN 'currency' WHEN 4 THEN 'short' END AS fault, p_partkey % 10 IN (0, 3) AS product, CASE WHEN length(name) > 8 THEN name[:5] || '...' ELSE name END AS short,
+  upper(name) = name AND p_partkey % 10 IN (1, 3, 8) AS plain FROM n"""
+)
+def name_checks(spark, sf_dir):
+    """What is wrong with names, and which may be products'."""
+    size, name = F.col("p_size").cast("string"), F.col("name")
+    forms = F.array(F.col("p_name"), size, F.concat(size, F.lit(" kg")), F.lit("IDR"), F.lit("ab"), F.lit("ok"), F.concat(size, F.lit(" x 5 kg")), F.lit("3 box"), F.lit(""), F.lit(None).cast("string"))
+    n = table(spark, sf_dir, "part").select("p_partkey", F.element_at(forms, (F.col("p_partkey") % 10 + 1).cast("int")).alias("name"))
+    return n.select("*", names.name_fault(name).alias("fault"), names.is_product_name(name).alias("product"), names.shortened(name, 8).alias("short"), ((F.upper("name") == name) & (F.col("p_partkey") % 10).isin(1, 3, 8)).alias("plain"))
+
+
+@query(
+    """SELECT fault, count(*) AS n FROM (SELECT CASE p_size % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'weight' WHEN 2 THEN 'short' END AS fault FROM part) WHERE fault IS NOT NULL GROUP BY fault"""
+)
+def name_fault_counts(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    forms = F.array(size, F.concat(size, F.lit("ML")), F.lit("xy"), F.col("p_name"))
+    named = table(spark, sf_dir, "part").select(F.element_at(forms, F.col("p_size") % 4 + 1).alias("name"))
+    return quality.name_faults(named, "name")
+
+
+@query(
+    """WITH u AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_linenumber % 5 AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, J4(CASE k WHEN 0 THEN p / q WHEN 1 THEN p / (q * 0.001) WHEN 2 THEN p / (q * 12) WHEN 3 THEN p / (q * 0.000001) END) AS unit_price, J4(CASE k WHEN 0 THEN p / q WHEN 1 THEN p / (q * 0.001) ELSE p / q END) AS old_price,
+  J4(CASE k WHEN 1 THEN p / (q * 0.001) WHEN 2 THEN p / (q * 12) WHEN 3 THEN p / (q * 0.000001) ELSE p / q END) AS simple_price, CASE k WHEN 0 THEN 'weight' WHEN 1 THEN 'volume' WHEN 2 THEN 'count' WHEN 3 THEN 'weight' END AS kind,
+  J4(CASE k WHEN 0 THEN q * 1.0 / 1.0 WHEN 3 THEN q * 0.000001 / 1.0 END) AS in_kg, CASE k WHEN 0 THEN 'kg' WHEN 1 THEN 'mL' WHEN 2 THEN 'pcs' WHEN 3 THEN 'mg' ELSE 'crate' END AS shown, CASE k WHEN 0 THEN 'KG' WHEN 1 THEN 'ML' WHEN 2 THEN 'DOZEN' WHEN 3 THEN 'MG' ELSE 'CRATE' END AS upper FROM u"""
+)
+def unit_conversions(spark, sf_dir):
+    """All converters on five units."""
+    p, q, u = F.col("l_extendedprice"), F.col("l_quantity"), pick(F.col("l_linenumber"), "kg", "ml", "dozen", "mg", "crate")
+    made = {"unit_price": units.unit_price(p, q, u), "old_price": F.when(u == "dozen", units.old_unit_price(p, q, u)).otherwise(units.old_unit_price(p, q, u)), "simple_price": units.simple_unit_price(p, q, u), "in_kg": units.convert_quantity(q, u, F.lit("kg"))}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[half_up(c, 4).alias(n) for n, c in made.items()], units.unit_kind(u).alias("kind"), units.standard_unit(u).alias("shown"), standardize.upper_unit(u).alias("upper"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_extendedprice AS price, (p < 1000 AND abs(p * 100 - round(p * 100)) < 1e-6 AND abs(p * 10 - round(p * 10)) >= 1e-6) OR (p - floor(p) > 0.09 AND abs(p - round(p)) >= 1e-6) AS misread,
+  CASE WHEN p >= 1000000 THEN printf('%.1f', floor(p / 1000000 * 10 + 0.5) / 10) || 'M' WHEN p >= 1000 THEN printf('%.0f', floor(p / 1000 + 0.5)) || 'K' END AS short, 'Rp ' || CASE WHEN r >= 1000 THEN r // 1000 || '.' || lpad((r % 1000)::VARCHAR, 3, '0') ELSE r::VARCHAR END AS long
+FROM (SELECT *, l_extendedprice AS p, floor(l_extendedprice + 0.5)::BIGINT AS r FROM lineitem)"""
+)
+def price_formats(spark, sf_dir):
+    p = F.col("l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p.alias("price"), prices.looks_misread(p).alias("misread"), F.when(p >= 1000, prices.short_price(p)).alias("short"), prices.long_price(p).alias("long"))
+
+
+# ---------------------------------------------------------------- checks and repairs
+
+
+@query(
+    """WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE upper(p_name) END AS raw FROM part)
+SELECT p_partkey, coalesce(nullif(trim(name), ''), nullif(trim(raw), '')) AS name FROM x WHERE coalesce(nullif(trim(name), ''), nullif(trim(raw), '')) IS NOT NULL"""
+)
+def repaired_names(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 1, " ").when(F.col("p_partkey") % 4 > 1, F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 != 0, F.upper("p_name")).alias("raw_name"))
+    return quality.repaired_names(x).select("p_partkey", "name")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, J4(CASE WHEN l_linenumber % 3 = 2 THEN l_tax + 1 WHEN l_linenumber % 2 = 0 THEN l_extendedprice / l_quantity ELSE l_extendedprice / (l_quantity * 0.001) END) AS unit_price FROM lineitem"""
+)
+def backfilled_units(spark, sf_dir):
+    k = F.col("l_linenumber")
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"), pick(k, "kg", "g").alias("unit"), F.when(k % 3 == 1, 0.0).when(k % 3 == 2, F.col("l_tax") + 1).alias("unit_price"))
+    return quality.backfilled_units(x).select("l_orderkey", "l_linenumber", half_up(F.col("unit_price"), 4).alias("unit_price"))
+
+
+CATALOGUE = """p AS (SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_name END AS sn, p_brand AS su, p_type AS category FROM part),
+m AS (SELECT *, CASE WHEN sn IS NULL THEN id ELSE min(id) OVER (PARTITION BY sn, su) END AS kept_id FROM p)"""
+
+
+def catalogue_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as products (older ones with smaller keys), and the last line of each part and supplier as their prices."""
+    created = F.lit("2000-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.col("p_partkey").cast("int"))
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_partkey") % 11 != 0, F.col("p_name")).alias("standardized_name"), F.col("p_brand").alias("standardized_unit"), F.col("p_type").alias("category"), F.repeat("p_name", F.col("p_size")).alias("description"), created.alias("created_at"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    last = history.latest(lines, ["l_partkey", "l_suppkey"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice"])
+    held = last.select(F.concat_ws("-", F.col("l_partkey"), F.col("l_suppkey")).alias("id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.lit("kg").alias("unit"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("valid_from"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate")).alias("valid_to"))
+    return products, held
+
+
+@query(
+    f"""WITH {CATALOGUE}, d AS (SELECT m.*, repeat(m.name, p_size) AS description FROM m JOIN part ON p_partkey = id)
+SELECT kept_id AS id, arg_min(category, id) AS category, max(length(description)) AS longest, count(*) AS merged FROM d GROUP BY kept_id"""
+)
+def merged_products(spark, sf_dir):
+    products, held = catalogue_of(spark, sf_dir)
+    merged, _ = quality.merge_products(products, held)
+    counts = products.groupBy("standardized_name", "standardized_unit").agg(F.count(F.lit(1)).alias("n"))
+    out = merged.alias("m").join(counts.alias("c"), F.col("m.standardized_name").eqNullSafe(F.col("c.standardized_name")) & F.col("m.standardized_unit").eqNullSafe(F.col("c.standardized_unit")))
+    return out.select("m.id", "m.category", F.length("m.description").alias("longest"), F.when(F.col("m.standardized_name").isNull(), 1).otherwise(F.col("c.n")).cast("long").alias("merged"))
+
+
+LAST = """l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1)"""
+
+
+@query(
+    f"""WITH {CATALOGUE}, {LAST}, v AS (SELECT kept_id, l.*, CASE WHEN l_returnflag = 'R' THEN 1 END AS ended, l_partkey || '-' || l_suppkey AS pid FROM l JOIN m ON m.id = l_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY kept_id, l_suppkey, ended IS NULL ORDER BY l_shipdate DESC, pid) AS rn FROM v)
+SELECT kept_id AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM r WHERE ended IS NOT NULL OR rn = 1"""
+)
+def merged_prices(spark, sf_dir):
+    products, held = catalogue_of(spark, sf_dir)
+    return quality.merge_products(products, held)[1].select("product_id", "supplier_id", "amount")
+
+
+@query(
+    f"""WITH {CATALOGUE}, {LAST}, t AS (SELECT kept_id, l.*, l_partkey || '-' || l_suppkey AS pid FROM l JOIN m ON m.id = l_partkey),
+s AS (SELECT * FROM t WHERE kept_id = l_partkey),
+f AS (SELECT * FROM t WHERE kept_id <> l_partkey AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_partkey = t.kept_id AND s.l_suppkey = t.l_suppkey) QUALIFY row_number() OVER (PARTITION BY kept_id, l_suppkey ORDER BY l_shipdate DESC, pid) = 1)
+SELECT kept_id AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM s UNION ALL SELECT kept_id, l_suppkey, l_extendedprice FROM f"""
+)
+def repointed_prices(spark, sf_dir):
+    products, held = catalogue_of(spark, sf_dir)
+    w = Window.partitionBy("standardized_name", "standardized_unit")
+    mapping = products.select("id", F.when(F.col("standardized_name").isNull(), F.col("id")).otherwise(F.min("id").over(w)).alias("kept_id"))
+    return quality.repointed(held, mapping).select("product_id", "supplier_id", "amount")
+
+
+@query(
+    """WITH n AS (SELECT p_partkey, p_name, p_brand, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE string_split(p_name, ' ')[2] END AS target FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY target, p_brand ORDER BY (target = p_name) DESC, p_partkey) AS rn FROM n)
+SELECT p_partkey, CASE WHEN rn > 1 THEN p_name ELSE target END AS standardized_name FROM r"""
+)
+def renamed_products(spark, sf_dir):
+    products, _ = catalogue_of(spark, sf_dir)
+    p = products.withColumn("standardized_name", F.col("name"))
+    target = F.when(F.col("id") % 3 == 0, F.col("name")).otherwise(F.split("name", " ")[1])
+    return quality.renamed(p, target).select(F.col("id").alias("p_partkey"), "standardized_name")
+
+
+@query(
+    """WITH k AS (SELECT p_partkey FROM part WHERE p_partkey % 5 <> 0 AND p_partkey IN (SELECT l_partkey FROM lineitem)), g AS (SELECT l_partkey, l_suppkey FROM lineitem JOIN k ON l_partkey = p_partkey WHERE l_tax > 0)
+SELECT (SELECT count(*) FROM k) AS products, (SELECT count(*) FROM g) AS prices, (SELECT count(*) FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM g UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) AS suppliers"""
+)
+def cleaned_catalogue(spark, sf_dir):
+    """What is left of products, prices and suppliers: every fifth product has a number for a name, and lines without tax no price."""
+    products = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey").cast("string")).otherwise(F.col("p_name")).alias("name"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.when(F.col("l_tax") > 0, F.col("l_extendedprice")).otherwise(0.0).alias("amount"))
+    uploads = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("supplier_id"))
+    left = quality.clean_catalogue(products, lines, table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "id"), uploads)
+    counts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in zip(left, ("products", "prices", "suppliers"), strict=True)]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # one row each
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x))::INTEGER AS flags, CASE WHEN len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x)) > 2 THEN 'high' WHEN len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x)) > 0 THEN 'medium' ELSE 'none' END AS severity
+FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE 'tomato' END AS n, nullif(l_extendedprice * sign(l_tax), 0) AS p, CASE WHEN l_quantity > 25 THEN '' ELSE 'kg' END AS u FROM lineitem)"""
+)
+def review_flags(spark, sf_dir):
+    n, p, u = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("tomato"), F.nullif(F.col("l_extendedprice") * F.signum("l_tax"), F.lit(0.0)), F.when(F.col("l_quantity") > 25, "").otherwise("kg")
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quality.review_flags(n, p, u).alias("v"))
+    return v.select("l_orderkey", "l_linenumber", F.size("v.flags").alias("flags"), "v.severity")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 4 <> 0 AND l_tax > 0.01 AND p_size % 7 <> 0")
+def accepted_rows(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 4 == 0, F.lit("3 box")).otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("brand"))
+    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    return quality.accepted(rows, "name", "l_tax", ["brand"])[0].select("l_orderkey", "l_linenumber")
+
+
+@query(
+    """WITH q AS (SELECT p_name AS raw, lower(trim(p_name)) AS k, CASE WHEN p_size % 2 = 0 THEN 'pending' ELSE 'ignored' END AS status, p_size AS f FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
+n AS (SELECT lower(string_split(p_name, ' ')[2] || ' ' || p_type) AS k, count(*) AS more FROM part WHERE p_partkey % 2 = 0 GROUP BY 1 UNION ALL SELECT lower(p_name), count(*) FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT coalesce(q.k, n.k) AS normalized_name, (coalesce(q.f, 0) + coalesce(n.more, 0))::INTEGER AS frequency, 'pending' AS status FROM (SELECT * FROM q WHERE status = 'pending') q FULL JOIN n ON q.k = n.k
+UNION ALL SELECT k, f, status FROM q WHERE status = 'ignored'"""
+)
+def unmatched_counts(spark, sf_dir):
+    """The queue of unmatched names after more of them came in."""
+    part = table(spark, sf_dir, "part")
+    first = history.latest(part.select("p_name", (-F.col("p_partkey")).alias("at"), "p_size"), ["p_name"], ["at"])
+    none = F.lit(None).cast("string")
+    queue = first.select(F.col("p_name").alias("raw_name"), F.lower(F.trim("p_name")).alias("normalized_name"), none.alias("context"), none.alias("supplier_id"), F.col("p_size").alias("frequency"), F.when(F.col("p_size") % 2 == 0, "pending").otherwise("ignored").alias("status"), none.alias("assigned_product_id"))
+    new = part.select(F.when(F.col("p_partkey") % 2 == 0, F.concat_ws(" ", F.split("p_name", " ")[1], "p_type")).otherwise(F.upper("p_name")).alias("raw_name"))
+    return mutations.count_unmatched(queue, new).select("normalized_name", "frequency", "status")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN hit THEN 'completed' ELSE 'waiting' END AS status, CASE WHEN hit THEN 'approved' WHEN o_orderstatus = 'P' THEN 'pending_review' ELSE 'approved' END AS approval_status FROM (SELECT *, o_orderstatus = 'P' AND o_orderkey % 2 = 0 AS hit FROM orders)"""
+)
+def reviewed_uploads(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending_review").otherwise("approved").alias("approval_status"), F.lit("waiting").alias("status"))
+    return mutations.reviewed(o, o.where("id % 2 = 0"), "approved")[0].select(F.col("id").alias("o_orderkey"), "status", "approval_status")
+
+
+@query(
+    """SELECT s_suppkey::VARCHAR AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 1 THEN 'old' WHEN EXISTS (SELECT 1 FROM supplier t WHERE t.s_suppkey % 10 = 0 AND t.s_suppkey = supplier.s_suppkey) THEN 'new ' || s_suppkey END AS email FROM supplier
+UNION ALL SELECT 'made', 'Nobody ' || c_custkey, 'mail' FROM customer WHERE c_custkey % 10 = 3"""
+)
+def found_suppliers(spark, sf_dir):
+    """Suppliers after contact details came in for every tenth of them, and for names that none has."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 1, "old").alias("email"))
+    come = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.upper(F.substring("s_name", 4, 100)).alias("name"), F.concat(F.lit("new "), F.col("s_suppkey").cast("string")).alias("email"))
+    come = come.unionByName(table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.concat(F.lit("Nobody "), F.col("c_custkey").cast("string")).alias("name"), F.lit("mail").alias("email")))
+    return mutations.found_or_made(come, suppliers, ("email",)).select(F.when(F.col("name").startswith("Nobody"), "made").otherwise(F.col("id")).alias("id"), "name", "email")

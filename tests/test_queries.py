@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pricequarry.plans import domain, registry
 from pricequarry.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -28,10 +29,10 @@ def rows(frame):
     return sorted(tuple(plain(x) for x in r) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(plans.SQL))
+@pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_same_rows_as_sql(spark, tables, name):
-    got = plans.QUERIES[name](spark, SF).toPandas()
-    want = tables.execute(plans.SQL[name]).df()
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    want = tables.execute(registry.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -40,6 +41,18 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_compared_prices_find_and_miss(spark):
+    got = domain.compared_prices(spark, SF).collect()
+    assert len(got) == registry.table(spark, SF, "part").where("p_partkey % 20 = 0").count()
+    assert any(r["status"] == "not_found" for r in got) and any(r["deals"] for r in got)
+    assert all(r["matched_id"] is None for r in got if r["product_name"] == "qqq")
+
+
+def test_a_store_leaves_no_price_without_a_supplier(spark):
+    for q in (domain.stored_prices, domain.product_price_update, domain.unit_price_update):
+        assert q(spark, SF).where("supplier_id IS NULL OR product_id IS NULL").count() == 0
+
+
 def test_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
@@ -52,12 +65,12 @@ def test_similar_names(spark):
 
 def test_nested_prices_hold_every_line(spark):
     got = plans.nested_prices_all(spark, SF).collect()
-    assert sum(len(r["prices"].split(",")) for r in got if r["prices"]) == plans.table(spark, SF, "lineitem").count()
+    assert sum(len(r["prices"].split(",")) for r in got if r["prices"]) == registry.table(spark, SF, "lineitem").count()
     assert len({(r["s_suppkey"], r["part"]) for r in got}) == len(got)
 
 
 def test_every_line_has_a_price_status(spark):
-    assert plans.price_status_all(spark, SF).count() == plans.table(spark, SF, "lineitem").count()
+    assert plans.price_status_all(spark, SF).count() == registry.table(spark, SF, "lineitem").count()
 
 
 def test_embedding_names_are_cut_after_they_are_cleaned(spark, tmp_path):
