@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,3 +57,8 @@ def share(part: Column, whole: Column) -> Column:
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out a single time, which also keeps the generated code small."""
+    return F.element_at(F.transform(F.array(value), use), 1)

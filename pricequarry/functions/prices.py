@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expressions import extract, half_up, lookup
+from .expressions import extract, half_up, lookup, once
 from .lexicon import MODEL_NAMES, SERVICE_RATES, TOKEN_RATES
 
 #: Currency marks before or after an amount. Fixed values.
@@ -130,11 +130,6 @@ def detect_currency(text: Column) -> Column:
     return F.when(s.rlike(r"s\$|sgd"), "SGD").when(s.rlike(r"\brm\b|myr"), "MYR").when(s.rlike(r"\$|usd"), "USD").when(s.rlike("€|eur"), "EUR").when(s.rlike("£|gbp"), "GBP").otherwise("IDR")
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out a single time, which also keeps the generated code small."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def parse_price_text(text: Column) -> Column:
     """The rich grammar: a struct of kind, primary, secondary, low, high, quantity, unit, discount and currency.
 
@@ -184,7 +179,7 @@ def parse_price_text(text: Column) -> Column:
         return F.struct(F.when(fits, r["kind"]).otherwise("unknown").alias("kind"), *[F.when(fits, v).alias(f) for f, v in values.items()], detect_currency(text).alias("currency"))
 
     bare = F.trim(F.regexp_replace(F.lower(cleaned_price_text(text)), r"rp\.?\s*|idr|\brm\b|[su]?s?\$|€|£", ""))
-    return _once(_once(_once(bare, parts), amounts), result)
+    return once(once(once(bare, parts), amounts), result)
 
 
 def extract_currency(text: Column) -> Column:

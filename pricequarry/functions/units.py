@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionary import MORE_UNITS, SERVICE_UNITS
 from .expressions import extract, lookup
 from .lexicon import MEASURES, OLD_UNITS, UNITS
 
@@ -65,6 +66,13 @@ def standard_unit(unit: Column, litre: str = "L", millilitre: str = "mL") -> Col
     return F.when(F.coalesce(F.trim(unit), F.lit("")) == "", "pcs").otherwise(F.coalesce(shown, key))
 
 
+def service_unit(unit: Column) -> Column:
+    """The unit as the service shows it: points and slashes go; a known unit, else the one after a number (``330ml``), else what is left; nothing is ``pcs``."""
+    key = F.trim(F.regexp_replace(F.lower(unit), r"[./]", ""))
+    inner = lookup(SERVICE_UNITS, extract(key, r"\d+\s*([a-z]+)"))
+    return F.when(F.coalesce(unit, F.lit("")) == "", "pcs").otherwise(F.coalesce(lookup(SERVICE_UNITS, key), lookup(MORE_UNITS, key), inner, key))
+
+
 def normalize_weight(text: Column) -> Column:
     """``500 gr`` or ``1,5 kg`` as a struct of value (grams, millilitres or pieces) and unit."""
     s = F.lower(F.trim(text))

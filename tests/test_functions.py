@@ -123,9 +123,22 @@ def test_other_similarities(spark):
 def test_standard_names(spark):
     from pricequarry.functions import standardize as S
 
-    got = evaluate(spark, S.standardize(F.col("a"), F.col("u"), brands=["Heinz"]), [("Wortel Segar 500 gr", "gram"), ("poteto", None), ("Heinz Ketchup 1kg & relish", "box"), (None, None)], "a string, u string")
-    assert [(g["name"], g["size"], g["language"], g["brand"]) for g in got] == [("carrot fresh 500gr", "500gr", "id", None), ("potato", None, "en", None), ("ketchup heinz relish 1kg", "1kg", "en", "heinz"), ("", None, "en", None)]
-    assert [g["confidence"] for g in got] == pytest.approx([0.9, 0.6, 0.7, 0.5])
+    cases = [
+        (("Wortel Segar 500 gr", "gram"), ("carrot fresh 500 gr", "g", None, "500 gr", "id", 0.8)),
+        (("poteto", None), ("potato", "pcs", None, None, "en", 0.5)),
+        (("Indomie Mie Instan 5 pcs", None), ("instant-noodle indomie 5 pcs", "pcs", "indomie", "5 pcs", "en", 0.8)),
+        (("Fresh chiken  breast & wing 1kg", "Dus"), ("chicken breast fresh wing 1kg", "box", None, "1kg", "en", 0.7)),
+        (("Kecap manis ABC 600ml", ""), ("sweet-soy-sauce abc 600ml", "mL", "abc", "600ml", "mixed", 0.6)),
+        (("Susu UHT", "ltr."), ("milk uht", "L", None, None, "mixed", 0.6)),
+        (("bananas bananas the", None), ("bananas", "pcs", None, None, "en", 0.7)),
+        (("", "330ml"), ("", "mL", None, None, "en", 0.5)),
+        ((None, "crate/"), ("", "crate", None, None, "en", 0.5)),
+    ]
+    got = evaluate(spark, S.standardize(F.col("a"), F.col("u")), [k for k, _ in cases], "a string, u string")
+    for g, ((_, _), want) in zip(got, cases, strict=True):
+        assert tuple(g[f] for f in ("name", "unit", "brand", "size", "language")) == want[:5]
+        assert g["confidence"] == pytest.approx(want[5])
+    check(spark, units.service_unit(F.col("a")), [("Kg.", "kg"), ("ons", "oz"), ("ijs", "pcs"), ("5 kg", "kg"), ("rb", "1000"), ("lusin", "dozen"), ("kodi", "score"), ("x9", "x9"), ("", "pcs"), (None, "pcs")])
     check(spark, S.upper_unit(F.col("a")), [("500g", "500GRAM"), ("pcs", "PIECE"), ("crate", "CRATE"), (None, "PIECE"), (" 1.5 kg ", "1.5KG")])
     critical, wrong = {"kangkung": "water spinach"}, {"kangkung": ["kale"]}
     check(spark, S.translation_quality(F.col("a"), F.col("b"), critical, wrong), [(("Kangkung", "water spinach"), 100), (("kangkung", "kale"), 50), (("x", "kale"), 100)], "a string, b string")
