@@ -117,13 +117,23 @@ def match_supplier(questions: DataFrame, suppliers: DataFrame, name: str = "name
 
 
 def trigram_matches(questions: DataFrame, names: DataFrame, key: str, text: str, id_column: str, name: str, least: float = 0.3) -> DataFrame:
-    """(key, id, similarity): pairs of a trigram similarity over ``least``, met by shared trigrams (an equi-join), never all pairs."""
+    """(key, id, similarity): pairs of a trigram similarity over ``least``.
+
+    Of each text's trigrams, the rarest first, only so many make candidates that similar texts must share
+    one of them; a trigram that most names hold makes none. Candidates are then compared whole.
+    """
     a = questions.select(key, trigrams(F.col(text)).alias("ga"))
     b = names.select(id_column, trigrams(F.col(name)).alias("gb"))
-    shared = a.select(key, F.explode("ga").alias("g")).join(b.select(id_column, F.explode("gb").alias("g")), "g").groupBy(key, id_column).agg(F.count(F.lit(1)).alias("s"))
-    sizes = shared.join(a.select(key, F.size("ga").alias("na")), key).join(b.select(id_column, F.size("gb").alias("nb")), id_column)
-    ratio = F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))
-    return sizes.select(key, id_column, ratio.alias("similarity")).where(F.col("similarity") > least)
+    held = b.select(F.explode("gb").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(df: DataFrame, own: str, grams: str) -> DataFrame:
+        ranked = df.select(own, F.explode(grams).alias("g")).join(held, "g", "left").groupBy(own).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("r"))
+        size = F.size("r")
+        return ranked.select(own, F.explode(F.slice("r", 1, (size - F.ceil(size * least - 1e-9) + 1).cast("int"))).alias("x")).select(own, "x.g")
+
+    pairs = rarest(a, key, "ga").join(rarest(b, id_column, "gb"), "g").select(key, id_column).distinct()
+    both = pairs.join(a, key).join(b, id_column)
+    return both.select(key, id_column, trigram_similarity(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") > least)
 
 
 def best_trigram_match(questions: DataFrame, names: DataFrame, key: str, text: str, id_column: str, name: str, least: float = 0.3) -> DataFrame:

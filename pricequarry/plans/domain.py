@@ -485,3 +485,62 @@ def found_suppliers(spark, sf_dir):
     come = table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select(F.upper(F.substring("s_name", 4, 100)).alias("name"), F.concat(F.lit("new "), F.col("s_suppkey").cast("string")).alias("email"))
     come = come.unionByName(table(spark, sf_dir, "customer").where("c_custkey % 10 = 3").select(F.concat(F.lit("Nobody "), F.col("c_custkey").cast("string")).alias("name"), F.lit("mail").alias("email")))
     return mutations.found_or_made(come, suppliers, ("email",)).select(F.when(F.col("name").startswith("Nobody"), "made").otherwise(F.col("id")).alias("id"), "name", "email")
+
+
+# ---------------------------------------------------------------- the catalogue
+
+
+@query(
+    f"""WITH {LAST}, s AS (SELECT a.p_partkey AS for_id, b.p_partkey AS product_id FROM part a JOIN part b ON a.p_name = b.p_name AND nullif(a.p_brand, 'Brand#1') IS NOT DISTINCT FROM nullif(b.p_brand, 'Brand#1'))
+SELECT for_id, l_partkey AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM s JOIN l ON l_partkey = product_id WHERE l_returnflag <> 'R'"""
+)
+def related_prices(spark, sf_dir):
+    """Current prices of each product and of all of its name and unit, a missing unit being one too."""
+    products, held = catalogue_of(spark, sf_dir)
+    named = products.withColumns({"standardized_name": F.col("name"), "standardized_unit": F.nullif("standardized_unit", F.lit("Brand#1"))})
+    return catalogue.related_prices(named, held.withColumn("unit_price", F.lit(None).cast("double"))).select("for_id", "product_id", "supplier_id", "amount")
+
+
+@query(
+    f"""WITH {LAST}, s AS (SELECT a.p_partkey AS id, b.p_partkey AS other FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE contains(lower(a.p_name), 'ring')),
+o AS (SELECT id, l_suppkey AS supplier, min(l_extendedprice) AS price FROM s JOIN l ON l_partkey = other WHERE l_returnflag <> 'R' GROUP BY 1, 2),
+b AS (SELECT id, min(price) AS lo, max(price) AS hi, count(*) AS n FROM o GROUP BY id)
+SELECT p_partkey AS id, p_name AS name, lo AS best_price, s_name AS best_supplier, hi AS highest_price, coalesce(n, 0) AS supplier_count, coalesce(J1((hi - lo) * 100.0 / hi), 0) AS savings_percent
+FROM part LEFT JOIN b ON b.id = p_partkey LEFT JOIN (SELECT o.id, min(s_name) AS s_name FROM o JOIN b ON o.id = b.id AND o.price = b.lo JOIN supplier ON s_suppkey = supplier GROUP BY o.id) w ON w.id = p_partkey WHERE contains(lower(p_name), 'ring')"""
+)
+def listed_products(spark, sf_dir):
+    """The catalogue's page of a search: products with their offers from all suppliers, and those without."""
+    products, held = catalogue_of(spark, sf_dir)
+    named = products.withColumn("standardized_name", F.col("name")).withColumn("description", F.lit(None).cast("string"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    out = catalogue.listing(named, held.withColumn("unit_price", F.lit(None).cast("double")), suppliers, search="RING")
+    return out.select("id", "name", "best_price", "best_supplier", "highest_price", "supplier_count", "savings_percent")
+
+
+@query(
+    """WITH q AS (SELECT c_custkey AS item_id, CASE c_custkey % 4 WHEN 0 THEN 'supplier#00000000' || c_custkey % 10 WHEN 1 THEN '00000' || c_custkey % 10 WHEN 2 THEN 'zz 00' || c_custkey % 10 ELSE 'none' END AS q FROM customer WHERE c_custkey % 20 < 4),
+m AS (SELECT item_id, s_suppkey, s_name, CASE WHEN lower(s_name) = q THEN 1 WHEN contains(lower(s_name), q) THEN 2 WHEN contains(lower(s_name), string_split(q, ' ')[1]) OR contains(lower(s_name), string_split(q, ' ')[-1]) THEN 3 END AS tier FROM q, supplier),
+r AS (SELECT *, min(tier) OVER (PARTITION BY item_id) AS least, row_number() OVER (PARTITION BY item_id ORDER BY tier, s_name, s_suppkey::VARCHAR) AS rn FROM m WHERE tier IS NOT NULL)
+SELECT item_id, s_suppkey::VARCHAR AS supplier_id, tier FROM r WHERE tier = least AND rn <= 5"""
+)
+def supplier_matches(spark, sf_dir):
+    """Suppliers by tiers of names: equal, contained, and the first or last word."""
+    k = F.col("c_custkey")
+    digit = (k % 10).cast("string")
+    asked = table(spark, sf_dir, "customer").where("c_custkey % 20 < 4").select(k.alias("item_id"), F.when(k % 4 == 0, F.concat(F.lit(" Supplier#00000000"), digit)).when(k % 4 == 1, F.concat(F.lit("00000"), digit)).when(k % 4 == 2, F.concat(F.lit("zz 00"), digit)).otherwise("none").alias("name"))
+    return search.match_supplier(asked, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name")))
+
+
+@query(
+    """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'carrot ' || lower(p_name) WHEN 1 THEN lower(p_name) || ' mushroom' ELSE 'water spinach ' || lower(p_name) END AS translated,
+CASE p_partkey % 3 WHEN 0 THEN 'Carrot ' ELSE '' END || upper(p_name[1]) || string_split(p_name, ' ')[1][2:] || ' ' || upper(string_split(p_name, ' ')[2][1]) || string_split(p_name, ' ')[2][2:] || CASE p_partkey % 3 WHEN 1 THEN ' Mushroom Mushroom' ELSE '' END AS title,
+CASE WHEN p_partkey % 3 = 0 THEN 'carrot' WHEN p_partkey % 3 = 1 THEN coalesce(list_filter(string_split(lower(p_name), ' '), lambda x: x NOT IN ('red', 'new', 'small', 'large'))[1], '') ELSE 'spinach' END AS core FROM part"""
+)
+def translated_names(spark, sf_dir):
+    """Names with a word of another language, in English."""
+    k, n = F.col("p_partkey"), F.col("p_name")
+    text = F.when(k % 3 == 0, F.concat(F.lit("WORTEL "), n)).when(k % 3 == 1, F.concat(n, F.lit(" Champiñón champiñones"))).otherwise(F.concat(F.lit("Kangkung, "), n))
+    p = table(spark, sf_dir, "part").select("p_partkey", text.alias("t"), n.alias("n"))
+    title = F.when(k % 3 == 2, names.title_words(F.col("n"))).otherwise(names.title_words(F.col("t")))
+    core = names.core_noun(F.col("t"))
+    return p.select("p_partkey", names.translated_name(F.col("t")).alias("translated"), title.alias("title"), F.when(k % 3 == 2, F.regexp_extract(names.translated_name(F.col("t")), r"^\S+ (\S+)", 1)).otherwise(core).alias("core"))

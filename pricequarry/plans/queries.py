@@ -587,13 +587,13 @@ def chunks(spark, sf_dir):
 
 
 @query(
-    """SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN event_id END AS own, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events"""
+    """SELECT user_id, event_id, carried FROM (SELECT user_id, event_id, event_type, max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events) WHERE event_type <> 'click'"""
 )
 def filled_forward(spark, sf_dir):
     """The heading above a row, as category rows of a price list are carried down."""
-    own = F.when(F.col("event_type") == "click", F.col("event_id"))
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("user_id", "event_id", own.alias("own"), F.last(own, ignorenulls=True).over(w).alias("carried"))
+    click = F.col("event_type") == "click"
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(click, F.col("event_id").cast("string")).alias("name"), F.when(~click, F.col("value")).alias("price"))
+    return grids.with_headings(rows, ["user_id"], "event_id", "name", "price", "carried").select("user_id", "event_id", F.col("carried").cast("long").alias("carried"))
 
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, R2(avg(value)) AS mean FROM events GROUP BY 1, 2")

@@ -22,7 +22,7 @@ def process(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
 
 def with_words(stream: DataFrame, spark: SparkSession, words_path: str, key: str) -> DataFrame:
     """A stream with a dictionary that is read anew for every batch."""
-    return stream.join(F.broadcast(spark.read.parquet(words_path)), key, "left")
+    return stream.join(spark.read.parquet(words_path), key, "left")
 
 
 def _timed(stream: DataFrame, at: str) -> DataFrame:

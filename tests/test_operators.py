@@ -1,5 +1,6 @@
 """Order-sensitive operators on small hand-built tables."""
 
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -186,3 +187,18 @@ def test_vectors_and_pages(spark):
 def test_data_quality_report(products, prices, suppliers):
     got = {r["issue"]: r["n"] for r in quality.data_quality_report(products, prices, suppliers).collect()}
     assert got == {"missing_standard_name": 0, "faulty_name": 1, "price_not_positive": 0, "missing_unit_price": 0, "product_without_price": 1, "supplier_without_price": 0}
+
+
+def test_trigram_matches_by_rarest_find_what_all_pairs_do(spark):
+    rng = random.Random(8)
+    names = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(1, 3))) for _ in range(80)] + ["", "Supplier common a", "Supplier common b"]
+    a = spark.createDataFrame(list(enumerate(names[::3])), "k long, q string")
+    b = spark.createDataFrame(list(enumerate(names)), "id long, n string")
+
+    def grams(text):
+        return {f"  {w} "[i : i + 3] for w in text.lower().split() for i in range(len(w) + 1)}
+
+    for least in (0.3, 0.5, 0.8):
+        want = {(i, j) for i, x in enumerate(names[::3]) for j, y in enumerate(names) if grams(x) and grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) > least}
+        got = search.trigram_matches(a, b, "k", "q", "id", "n", least).collect()
+        assert {(r["k"], r["id"]) for r in got} == want and len(got) == len(want)
