@@ -8,11 +8,14 @@ from .test_minhash import jaccard, shingles
 
 
 def test_stages_keep_the_columns_and_drop_what_they_should(spark, stored, edge_rows):
-    docs = spark.read.parquet(f"{stored}/documents.parquet").withColumn("rejected", F.lit(1))
+    # names that the stages use for columns of their own, in other cases too
+    clashing = ("rejected", "LANG_pred", "score", "bits", "digest", "Maybe", "length", "gone", "twice", "key", "class", "kept", "piece", "fp")
+    docs = spark.read.parquet(f"{stored}/documents.parquet").withColumns({c: F.lit(i) for i, c in enumerate(clashing)})
     counts = [docs.count()]
     for _, stage in C.STAGES[:-1]:
         docs_next = stage(spark, docs, stored)
         assert docs_next.columns == docs.columns
+        assert all(docs_next.where(F.col(c) != i).isEmpty() for i, c in enumerate(clashing) if c in ("rejected", "Maybe", "key"))
         docs = docs_next.cache()
         counts.append(docs.count())
     texts = [r["text"] for r in docs.collect()]
