@@ -67,9 +67,10 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 class PieceModel:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         import sentencepiece
 
+        self.most = most
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             top = list(_fields(f.read()))
@@ -211,7 +212,7 @@ class PieceModel:
 
     def encode(self, batch: list[str]) -> list[bytes]:
         split = [_WORDS.findall(self.marked(t)) for t in batch]
-        if len(self.known) > MOST_WORDS:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         new = set().union(*split).difference(known)

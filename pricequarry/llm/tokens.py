@@ -44,6 +44,8 @@ TEXTS = 2_000
 HEAD = "\x02"
 _BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"^[{_BLANKS}]|[ \n](?:[{_BLANKS}]|$)|\x02"
+#: The same for texts that all begin with a space, which is then a border like others.
+_ODD_LED = rf"[ \n](?:[{_BLANKS}]|$)|\x02"
 #: The normalizer and pre-tokenizer of a tokenizer that drops white space. Fixed values.
 _WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -81,26 +83,29 @@ def _structure(tokenizer: dict) -> str | None:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers: those that the tokenizers library gives with ``add_special_tokens=False``.
 
-    A special token's string in a text is that token, as the library has it. Whether white
+    A special token's string in a text is that token, as the library has it, unless ``plain``: then it is ordinary text,
+    and all texts begin with a space. Whether white
     space makes ids (``keeps_blanks``) is read from the file. Without them (a tokenizer that drops white
     space) every space is a border.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False, most: int = MOST_STRETCHES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
+        self.odd = _ODD_LED if plain else _ODD
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             read = json.load(f)
         kind = _structure(read)
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in read.get("added_tokens") or ()) or r"(?!)")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in (not plain and read.get("added_tokens")) or ()) or r"(?!)")
         self.keeps_blanks = kind == "bytes"
         self.letters: dict[str, bool] = {}
         # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
-        self.most = MOST_STRETCHES if self.keeps_blanks else MOST_STRETCHES // 2
+        self.most = most if self.keeps_blanks else most // 2
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -221,7 +226,7 @@ class Encoder:
         whole: dict[int, bytes] = {}
         if self.keeps_blanks:
             # a line's end between other characters is a border too; a stretch after one begins with it, a text's first one with HEAD, in place of the space
-            odd = pc.match_substring_regex(column, _ODD)
+            odd = pc.match_substring_regex(column, self.odd)
             rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
             if rows:
                 whole = dict(zip(rows, self.whole([column[i].as_py() for i in rows]), strict=True))
