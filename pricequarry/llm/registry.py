@@ -1,8 +1,8 @@
 """All queries of this subpackage."""
 
-from . import alignment, exact_dedup, filter_audit, language_id, minhash, packing, pieces, sharding, simhash, tokens, url_filter, warc
+from . import alignment, embedding_dedup, exact_dedup, filter_audit, language_id, minhash, packing, pieces, sharding, simhash, tokens, url_filter, warc
 
-MODULES = (minhash, packing, simhash, language_id, pieces, sharding, exact_dedup, tokens, warc, url_filter, filter_audit, alignment)
+MODULES = (minhash, packing, simhash, language_id, pieces, sharding, exact_dedup, tokens, warc, url_filter, filter_audit, alignment, embedding_dedup)
 
 
 def queries() -> dict:
