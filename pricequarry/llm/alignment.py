@@ -6,7 +6,9 @@ next id. Where nothing is left over, both end at the same byte and a group of id
 The leading bytes are always the end of one id's bytes, so there are few states, and
 what a state and a next id lead to is worked out once and remembered. Groups that come
 again are remembered too, with their links: all pairs of an id of one side and an id
-of the other.
+of the other. A space before a character that is not blank begins an id on either side,
+so nothing is left over there: a stretch between such spaces always falls into the same groups, and the
+transducer runs once over each distinct one that a worker remembers.
 
 How many documents link a pair is counted in Spark. The pairs that most documents
 hold are then joined by a broadcast of bounded size, all others by shuffling.
@@ -14,28 +16,39 @@ hold are then joined by a broadcast of bounded size, all others by shuffling.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import dropped, read, texts, written
 from .pieces import MARK, PieceModel
-from .tokens import Encoder, tokenizer_path
+from .tokens import BLANKS, Encoder, tokenizer_path
 
 #: An A id and a B id as one number, and the id that a state is joined with.
 SHIFT = 20
-#: Distinct stretches and words that a worker remembers of each tokenizer, transitions, and ids in the groups.
-MOST_STRETCHES, MOST_WORDS, MOST_STEPS, MOST_IDS = 150_000, 100_000, 500_000, 1_000_000
+#: What a worker remembers: distinct stretches with their groups (so many of the latest, and as many from before), transitions, and ids in the groups.
+MOST_STRETCHES, MOST_STEPS, MOST_IDS = 250_000, 500_000, 1_000_000
+#: Texts whose spaces are not all borders, or that the mark of the piece model spells otherwise, are taken whole.
+_WHOLE = rf"^ | (?:[{BLANKS}]|$)|{MARK}"
 #: Pairs that are broadcast, at most (about 40 bytes each).
 MOST_PAIRS = 1 << 19
 #: Documents aligned together.
-DOCS = 256
-_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+DOCS = 1000
+#: A text of a batch and a pair or a group as one number.
+ROW, MASK = 40, (1 << 40) - 1
+#: Ids of either side, and the numbers of the groups.
+Aligned = tuple[int, int, tuple]
+NOTHING: Aligned = (0, 0, ())
+_ALIGNERS: dict[tuple[str, str], "Aligner"] = {}
 
 
 class Apart(Exception):
@@ -145,13 +158,18 @@ _BYTES = {chr(b): b for b in _SELF} | {chr(256 + n): b for n, b in enumerate(b f
 
 
 class Aligner:
+    """Both tokenizers, by their libraries, and the transducer over their ids."""
+
     def __init__(self, bpe_path: str, piece_path: str):
-        self.encoder = Encoder(bpe_path, plain=True, most=MOST_STRETCHES)
-        self.model = PieceModel(piece_path, MOST_WORDS)
+        self.encoder = Encoder(bpe_path, plain=True)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         vocabulary = self.encoder.tokenizer
         added = vocabulary.get_added_tokens_decoder()
         a = [added[i].content.encode() if i in added else byte_level(vocabulary.id_to_token(i)) for i in range(vocabulary.get_vocab_size())]
-        self.transducer = Transducer(a, [x.replace(MARK.encode(), b" ") for x in self.model.by_id])
+        self.transducer = Transducer(a, [x.replace(MARK.encode(), b" ") for x in PieceModel(piece_path).by_id])
+        self.sizes = np.array(list(map(len, a)), np.int64)
+        self.known: dict[str, Aligned | None] = {"": NOTHING}
+        self.older: dict[str, Aligned | None] = {}
 
     @classmethod
     def of(cls, bpe_path: str, piece_path: str) -> Aligner:
@@ -159,49 +177,121 @@ class Aligner:
             _ALIGNERS[bpe_path, piece_path] = cls(bpe_path, piece_path)
         return _ALIGNERS[bpe_path, piece_path]
 
-    def align(self, batch: list[str]) -> list[tuple[int, int, list[int]]]:
-        """(A ids, B ids, groups) of each text; 0, 0 and none where there are no tokens."""
+    def tidy(self) -> None:
+        """Forgets, between texts, what is too much to remember."""
         machine = self.transducer
-        out = []
-        a = self.encoder.encode([f" {t}" if t else "" for t in batch])
-        b = self.model.encode(batch)
-        for text, x, y in zip(batch, a, b, strict=True):
-            xs, ys = np.frombuffer(x, "<u4").tolist(), np.frombuffer(y, "<u4").tolist()
+        if len(machine.steps) + len(machine.opened) > MOST_STEPS:
+            machine.clear_steps()
+        if machine.ids > MOST_IDS:
+            machine.clear_kinds()
+            self.known, self.older = {"": NOTHING}, {}
+        if len(self.known) > MOST_STRETCHES:
+            self.known, self.older = {"": NOTHING}, self.known
+
+    def run(self, parts: list[str]) -> dict[str, Aligned | None]:
+        """Of each part with a space before it: (A ids, B ids, groups), or None if a side spells other bytes."""
+        machine, out = self.transducer, {}
+        # those without a line's end are encoded together, with ends of lines between them
+        parts = sorted(parts, key=lambda t: "\n" in t)
+        lines = sum("\n" not in t for t in parts)
+        led = [f" {t}" for t in parts]
+        a = self.encoder.many(led[:lines]) + self.encoder.whole(led[lines:])
+        ends = np.cumsum([len(x) // 4 for x in a]).tolist()
+        ids = np.frombuffer(b"".join(a), "<u4")
+        spelled = self.sizes[ids]
+        wanted = np.array([len(t.encode()) for t in led], np.int64)
+        ids = ids.tolist()
+        # side A is held against the texts, all at once if it can be, and side B against side A
+        sure = (np.diff(np.r_[0, np.cumsum(spelled)][np.r_[0, ends].astype(int)]) == wanted).all() and b"".join(map(machine.a.__getitem__, ids)) == "".join(led).encode()
+        start = 0
+        for text, end, ys in zip(parts, ends, self.pieces.encode(parts, num_threads=1), strict=True):
+            xs, start = ids[start:end], end
             try:
-                # side A is held against the text, and side B against side A
-                if not text or b"".join(map(machine.a.__getitem__, xs)) != b" " + text.encode():
+                if not sure and b"".join(map(machine.a.__getitem__, xs)) != b" " + text.encode():
                     raise Apart
-                out.append((len(xs), len(ys), machine.groups(xs, ys)))
+                out[text] = len(xs), len(ys), tuple(machine.groups(xs, ys))
             except Apart:
-                out.append((0, 0, []))
+                out[text] = None
         return out
 
-
-def _aligned(bpe_path: str, piece_path: str, schema: pa.Schema):
+    def stretches(self, column: pa.Array, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Aligned | None], np.ndarray]:
+        """The texts as runs of stretches: where each text's begin (with the end), their numbers, and what each number stands for; and the texts with a stretch that is apart."""
+        odd = np.flatnonzero(whole)
+        lists = pc.split_pattern(pc.if_else(pa.array(whole), "", column), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, flat, starts = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.asarray(lists.offsets).astype(np.int64)
+        known, older = self.known, self.older
+        new = [w for w in words if w not in known]
+        known.update({w: older[w] for w in new if w in older})
+        known.update(self.run([w for w in new if w not in known]))
+        found = list(map(known.__getitem__, words))
+        # a text that is taken whole is one stretch, which is not remembered
+        flat[starts[odd]] = len(found) + np.arange(len(odd))
+        texts_ = column.take(pa.array(odd)).to_pylist()
+        results = self.run(list(set(texts_)))
+        found += [results[t] or NOTHING for t in texts_]
+        apart = np.array([x is None for x in found], bool)
+        return starts, flat, found, np.unique(np.repeat(np.arange(len(column)), np.diff(starts))[apart[flat]])
+
+    def align(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of the texts of a column without nulls: A ids, B ids, groups, the groups as they are written; where each text's links begin (with the end), their pairs and times. Nothing where there are no tokens."""
+        machine = self.transducer
+        whole = pc.match_substring_regex(column, _WHOLE).to_numpy(zero_copy_only=False)
+        starts, flat, found, apart = self.stretches(column, whole)
+        if len(apart):
+            whole[apart] = True
+            starts, flat, found, _ = self.stretches(column, whole)
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            return np.diff(np.r_[0, np.cumsum(values[flat])][starts])
+
+        n_a, n_b = (sums(np.array([x[k] for x in found], np.int64)) for k in (0, 1))
+        sizes = np.array([len(x[2]) for x in found], np.int64)
+        n_groups = sums(sizes)
+        said = pa.array([";".join(map(machine.written.__getitem__, x[2])) for x in found], pa.string())
+        written = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), said.take(pa.array(flat))), ";").to_pylist()
+
+        kinds = np.fromiter(itertools.chain.from_iterable(x[2] for x in found), np.int64, int(sizes.sum()))
+        rows = np.repeat(np.arange(len(column)), n_groups)
+        held, times = np.unique(rows << ROW | kinds[ragged(np.cumsum(sizes) - sizes, sizes, flat)], return_counts=True)
+        distinct, at = np.unique(held & MASK, return_inverse=True)
+        links = [machine.links[k] for k in distinct.tolist()]
+        many = np.array(list(map(len, links)), np.int64)
+        pairs = np.fromiter((v for x in links for v in x), np.dtype((np.int64, 2)), int(many.sum()))
+        of = ragged(np.cumsum(many) - many, many, at)
+        each = np.repeat(times, many[at]) * pairs[of, 1]
+        keys, back = np.unique(np.repeat(held >> ROW, many[at]) << ROW | pairs[of, 0], return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, each)
+        ends = np.searchsorted(keys >> ROW, np.arange(len(column) + 1))
+        return n_a, n_b, n_groups, written, ends, keys & MASK, total
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The places of the items of these rows, one row's after another's."""
+    n = sizes[rows]
+    return np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _aligned(bpe_path: str, piece_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(bpe_path, piece_path)
-        machine = aligner.transducer
+        gc.disable()  # what is remembered holds no cycles, and looking for some takes a tenth of the time
+        try:
+            yield from work(aligner, batches)
+        finally:
+            gc.enable()
+
+    def work(aligner: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
-                if len(machine.steps) + len(machine.opened) > MOST_STEPS:
-                    machine.clear_steps()
-                if machine.ids > MOST_IDS:
-                    machine.clear_kinds()
-                rows, pairs, times, ends = [], [], [], [0]
-                for n_a, n_b, groups in aligner.align(texts(part, "text").to_pylist()):
-                    links: dict[int, int] = {}
-                    for kind, n in Counter(groups).items():
-                        for pair, m in machine.links[kind]:
-                            links[pair] = links.get(pair, 0) + n * m
-                    written = ";".join(map(machine.written.__getitem__, groups))
-                    rows.append((n_a, n_b, len(groups), sum(links.values()), hashlib.sha256(written.encode()).hexdigest() if groups else ""))
-                    pairs += links
-                    times += links.values()
-                    ends.append(len(pairs))
-                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs, pa.int64()), pa.array(times, pa.int64())], names=["pair", "times"]))
-                counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, schema.field(k + 1).type) for k, c in enumerate(counts)), listed], names=schema.names)
+                aligner.tidy()
+                n_a, n_b, n_groups, written, ends, pairs, times = aligner.align(texts(part, "text"))
+                n_links = np.diff(np.r_[0, np.cumsum(times)][ends])
+                digests = [hashlib.sha256(w.encode()).hexdigest() if n else "" for w, n in zip(written, n_groups.tolist(), strict=True)]
+                links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(pairs), pa.array(times)], names=["pair", "times"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, (n_a, n_b, n_groups, n_links)), pa.array(digests, pa.string()), links], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"])
 
     return run
 
@@ -216,11 +306,8 @@ def align_documents(df: DataFrame, bpe_path: str, piece_path: str, id_column: st
     text of any length is aligned whole. An empty table gives an empty result.
     """
     kind = df.schema[id_column].dataType.simpleString()
-    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"]
-    types = [pa.null(), *[pa.int64()] * 4, pa.string(), pa.null()]
-    schema = pa.schema(list(zip(names, types, strict=True)))
     out = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair: long, times: long>>"
-    return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_aligned(bpe_path, piece_path, schema), out)
+    return df.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_aligned(bpe_path, piece_path), out)
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:

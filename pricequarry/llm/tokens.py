@@ -42,10 +42,10 @@ _ENCODERS: dict[str, Encoder] = {}
 TEXTS = 2_000
 #: What stands before a text's first stretch while it is looked up; a text that holds it goes whole.
 HEAD = "\x02"
-_BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_ODD = rf"^[{_BLANKS}]|[ \n](?:[{_BLANKS}]|$)|\x02"
+BLANKS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"^[{BLANKS}]|[ \n](?:[{BLANKS}]|$)|\x02"
 #: The same for texts that all begin with a space, which is then a border like others.
-_ODD_LED = rf"[ \n](?:[{_BLANKS}]|$)|\x02"
+_ODD_LED = rf"[ \n](?:[{BLANKS}]|$)|\x02"
 #: The normalizer and pre-tokenizer of a tokenizer that drops white space. Fixed values.
 _WORDS = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -89,7 +89,7 @@ class Encoder:
     space) every space is a border.
     """
 
-    def __init__(self, path: str, plain: bool = False, most: int = MOST_STRETCHES):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -105,7 +105,7 @@ class Encoder:
         self.keeps_blanks = kind == "bytes"
         self.letters: dict[str, bool] = {}
         # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
-        self.most = most if self.keeps_blanks else most // 2
+        self.most = MOST_STRETCHES if self.keeps_blanks else MOST_STRETCHES // 2
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}

@@ -2,11 +2,12 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from pricequarry.llm.alignment import Aligner, Apart, Transducer, align_corpus, align_documents, op12_alignment
+from pricequarry.llm.alignment import NOTHING, Aligner, Apart, Transducer, align_corpus, align_documents, op12_alignment
 from pricequarry.llm.tokens import tokenizer_path
 
 BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -133,13 +134,13 @@ def test_forgetting_changes_nothing(spark):
     often = Aligner(BPE, PIECES)
 
     def seen(aligner, text):
-        n_a, n_b, groups = aligner.align([text])[0]
-        return n_a, n_b, [(aligner.transducer.written[g], aligner.transducer.links[g]) for g in groups]
+        return [x.tolist() if hasattr(x, "tolist") else x for x in aligner.align(pa.array([text, "", text[:5]]))]
 
     for t in some * 2:
         expected = seen(once, t)
         often.transducer.clear_steps()
         often.transducer.clear_kinds()
+        often.known, often.older = {"": NOTHING}, {}
         assert seen(often, t) == expected
 
 
