@@ -11,7 +11,7 @@ from ..functions.expressions import half_up, share
 from ..functions.names import tokens
 from ..functions.similarity import modifier_clash
 from ..functions.units import canonical_unit, unit_price
-from .search import best_match, candidates
+from .search import candidates, scored
 
 
 @dataclass(frozen=True)
@@ -51,35 +51,38 @@ def compare_prices(items: DataFrame, products: DataFrame, prices: DataFrame, sup
     Prices of all candidates count, not just the best match's, but for those of another
     product by its modifiers and those that are not fresh. Deals are by unit price where
     the item's unit and the price's (else the product's) are the same canonical one, else by total, at least ``saving_percent`` cheaper,
-    of another supplier. One plan for all items; the price table is read once.
+    of another supplier. Candidates are found once, and all that is said of an item comes from
+    one exchange of its entries: what the market's prices are, which candidate is best, and its deals.
     """
     asked = items.withColumn("scanned_unit_price", F.coalesce(unit_price(F.col("scanned_price"), F.col("quantity"), F.col("unit")), F.col("scanned_price")))
-    found = candidates(asked, products, aliases)
-    match = best_match(asked, products, found).select("item_id", F.col("product_id").alias("matched_id"), "score")
-    entries = (
-        found.select("item_id", "product_id")
-        .join(products.select(F.col("id").alias("product_id"), F.col("name").alias("p_name"), F.col("standardized_unit").alias("p_unit")), "product_id")
-        .join(prices.where("valid_to IS NULL").select("product_id", F.col("supplier_id").alias("by"), F.col("amount").cast("double").alias("amount"), F.col("unit").alias("price_unit"), F.col("unit_price").cast("double").alias("u_price"), "created_at"), "product_id")
-        .join(asked.select("item_id", "product_name", "unit", "scanned_price", "scanned_unit_price", "supplier_id"), "item_id")
-        .where(is_fresh(F.col("created_at"), as_of, limits.fresh_days) & ~modifier_clash(tokens(F.col("product_name")), tokens(F.col("p_name"))))
-        .withColumn("own_unit", F.coalesce("price_unit", "p_unit"))
-        .withColumns({"unit_match": F.coalesce(canonical_unit(F.col("unit")) == canonical_unit(F.col("own_unit")), F.lit(False)), "u_price": F.coalesce(F.nullif("u_price", F.lit(0.0)), unit_price(F.col("amount"), F.lit(1.0), F.col("own_unit")))})
-    )
-    market = entries.groupBy("item_id").agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.avg("amount").alias("mean"), F.count(F.lit(1)).alias("supplier_count"))
+    found = scored(asked, products, candidates(asked, products, aliases))
+    current = prices.where("valid_to IS NULL").select("product_id", F.col("supplier_id").alias("by"), F.col("amount").cast("double").alias("amount"), F.col("unit").alias("price_unit"), F.col("unit_price").cast("double").alias("u_price"), "created_at").where(is_fresh(F.col("created_at"), as_of, limits.fresh_days))
+    entries = found.join(current, "product_id", "left").join(asked.select("item_id", "product_name", "unit", "scanned_price", "scanned_unit_price", "supplier_id"), "item_id")
+    entries = entries.withColumn("counts", F.col("amount").isNotNull() & ~modifier_clash(tokens(F.col("product_name")), tokens(F.col("p_name")))).withColumn("own_unit", F.coalesce("price_unit", "p_unit"))
+    entries = entries.withColumns({"unit_match": F.coalesce(canonical_unit(F.col("unit")) == canonical_unit(F.col("own_unit")), F.lit(False)), "u_price": F.coalesce(F.nullif("u_price", F.lit(0.0)), unit_price(F.col("amount"), F.lit(1.0), F.col("own_unit")))})
     by_unit = F.col("unit_match") & F.col("u_price").isNotNull()
     saving = F.when(by_unit, share(F.col("scanned_unit_price") - F.col("u_price"), F.col("scanned_unit_price"))).otherwise(share(F.col("scanned_price") - F.col("amount"), F.col("scanned_price")))
-    order = Window.partitionBy("item_id").orderBy(F.col("unit_match").desc(), F.when(by_unit, F.col("u_price")).asc_nulls_last(), "amount", "by", "product_id")
-    deals = (
-        entries.withColumn("saving", saving)
-        .where((F.col("saving") >= limits.saving_percent) & ~F.coalesce(F.col("by") == F.col("supplier_id"), F.lit(False)))
-        .dropDuplicates(["item_id", "by", "amount", "product_id"])
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= limits.deals)
-        .join(suppliers.select(F.col("id").alias("by"), F.col("name").alias("supplier_name")), "by", "left")
-        .groupBy("item_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("by").alias("supplier_id"), "supplier_name", "product_id", "amount", F.col("u_price").alias("unit_price"), half_up(F.col("saving")).alias("saving_percent")))).alias("better_deals"))
+    deal = F.col("counts") & (F.col("saving") >= limits.saving_percent) & ~F.coalesce(F.col("by") == F.col("supplier_id"), F.lit(False))
+    entries = entries.withColumn("saving", saving).withColumn("deal", F.coalesce(deal, F.lit(False)))
+    # the same price of a supplier for a product is one deal; all windows are over the entries as dealt out by item
+    order = [F.col("unit_match").desc(), F.when(by_unit, F.col("u_price")).asc_nulls_last(), F.col("amount"), F.col("by"), F.col("product_id")]
+    again = F.row_number().over(Window.partitionBy("item_id", "by", "amount", "product_id").orderBy(F.col("deal").desc(), *order[:2]))
+    dealt = entries.repartition("item_id").withColumn("deal", F.col("deal") & (again == 1))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("deal").desc(), *order))
+    ranked = dealt.withColumn("rank", rank).join(suppliers.select(F.col("id").alias("by"), F.col("name").alias("supplier_name")), "by", "left")
+    offered = F.struct("rank", F.col("by").alias("supplier_id"), "supplier_name", "product_id", "amount", F.col("u_price").alias("unit_price"), half_up(F.col("saving")).alias("saving_percent"))
+    amount = F.when(F.col("counts"), F.col("amount"))
+    said = ranked.groupBy("item_id").agg(
+        F.max_by(F.struct("product_id", "score"), "better").alias("match"),
+        F.min(amount).alias("low"),
+        F.max(amount).alias("high"),
+        F.avg(amount).alias("mean"),
+        F.count(amount).alias("supplier_count"),
+        F.array_sort(F.collect_list(F.when(F.col("deal") & (F.col("rank") <= limits.deals), offered))).alias("better_deals"),
     )
-    out = asked.join(match, "item_id").join(market, "item_id", "left").join(deals, "item_id", "left")
+    matched = F.col("match.score") > 0
+    said = said.withColumns({"matched_id": F.when(matched, F.col("match.product_id")), "score": F.when(matched, F.col("match.score"))}).drop("match")
+    out = asked.join(said, "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     known = F.col("matched_id").isNotNull()
     status = price_status(F.col("scanned_price"), F.col("low"), F.col("high"), F.col("mean"), limits)
     return out.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_of, any_of
-from ..functions.names import matching_name, tokens, translated_name
+from ..functions.names import tokens, translated_name
 from ..functions.similarity import cosine, cosine_limit, misreadings, name_parts, parts_similarity, trigram_similarity, trigrams
 from ..functions.units import canonical_unit
 
@@ -48,37 +48,71 @@ def against(rows: DataFrame, questions: DataFrame, key: str, most: int = MOST_QU
     return reduce(DataFrame.unionByName, [rows.crossJoin(b) for b in _blocks(questions, key, most)])
 
 
+#: The longest run of letters by which names are looked up.
+GRAM = 3
+
+
+def grams(text: Column) -> Column:
+    """The distinct runs of one to GRAM characters of a text."""
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+
+    return F.filter(F.array_distinct(F.flatten(F.array(*map(runs, range(1, GRAM + 1))))), lambda g: g != "")
+
+
+def products_with(needles: DataFrame, products: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """(texts, product_id): for each array of texts, each once in ``needles``, the first ``most`` products by id of which each text is within a name.
+
+    An index of runs of letters: each needle asks for the products of the rarest run that its texts have, and
+    only those are looked through. A run of the needle that no name has ends its search. Equi-joins
+    throughout; a run that many names have is split by the skew join.
+    """
+    names = products.select(F.col("id").alias("product_id"), F.transform(F.array("name", "standardized_name", "raw_name"), lambda n: F.lower(F.coalesce(n, F.lit("")))).alias("names"))
+    index = names.select("product_id", F.explode(F.array_distinct(F.flatten(F.transform("names", grams)))).alias("gram"))
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # of a text only its longest runs: they are the rarest
+    longest = F.flatten(F.transform("texts", lambda t: F.filter(grams(t), lambda g: F.length(g) == F.least(F.length(t), F.lit(GRAM)))))
+    asked = needles.select("texts", F.explode(F.array_distinct(longest)).alias("gram")).join(held, "gram", "left")
+    rarest = asked.groupBy("texts").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    pairs = rarest.join(index, "gram").select("texts", "product_id").join(names, "product_id")
+    found = pairs.where(F.forall("texts", lambda t: F.exists("names", lambda n: F.contains(n, t)))).select("texts", "product_id")
+    first = F.row_number().over(Window.partitionBy("texts").orderBy("product_id"))
+    return found.withColumn("r", first).where(F.col("r") <= most).drop("r")
+
+
 def candidates(questions: DataFrame, products: DataFrame, aliases: DataFrame | None = None, name: str = "product_name", key: str = "item_id", most: int = CANDIDATES) -> DataFrame:
     """(key, product id, tier, position): the catalogue entries of the first tier that finds any for a question.
 
     Tiers: 1 an alias of the translated name, 2 the translated name within a product's names, 3 the
-    name as it is, 4 all of several words, 5 any word of more than two letters, 6 a name of
-    at least four letters as a whole, 7 a misreading undone. A pass holds every product against a broadcast block of questions; of
-    a tier's products the first ``most`` by id are kept.
+    name as it is, as an alias and then within, 4 all of several words, 5 any word of more than two letters, 7 a misreading
+    undone, the first that finds any. (A sixth, a name of at least four letters as a whole, can find
+    nothing that the third has not.) What is searched for is looked up once, however many questions
+    ask for it (:func:`products_with`); of a tier's products the first ``most`` by id are kept.
     """
-    asked = questions.select(F.col(key), F.col(name).alias("q"), translated_name(F.col(name)).alias("t"), F.lower(F.col(name)).alias("l"), tokens(F.col(name)).alias("w"), misreadings(F.col(name)).alias("o"))
-    names = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "standardized_name", "raw_name")]
-    pairs = against(products.select(F.col("id").alias("product_id"), F.array(*names).alias("names")), asked, key)
-
-    def within(text: Column) -> Column:
-        return (text != "") & F.exists("names", lambda n: F.contains(n, text))
-
-    long_words = F.filter("w", lambda x: F.length(x) > 2)
-    tier = (
-        F.when(within(F.col("t")), 2)
-        .when(within(F.col("l")), 3)
-        .when((F.size("w") > 1) & F.forall("w", within), 4)
-        .when(F.exists(long_words, within), 5)
-        .when((F.length("l") >= 4) & within(matching_name(F.col("l"))), 6)
-        .when(F.exists("o", within), 7)
+    lower, words = F.lower(F.col(name)), tokens(F.col(name))
+    undone = F.transform(misreadings(F.col(name)), lambda x, i: F.struct((F.lit(70) + i).alias("order"), F.array(x).alias("texts")))
+
+    def ask(order: int, texts: Column) -> Column:
+        return F.array(F.struct(F.lit(order).alias("order"), texts.alias("texts")))
+
+    long_words = F.filter(F.split(lower, r"\s+"), lambda w: F.length(w) > 2)
+    asks = F.concat(
+        ask(20, F.array(translated_name(F.col(name)))),
+        ask(31, F.array(lower)),
+        F.when(F.size(words) > 1, ask(40, F.array_sort(F.array_distinct(words)))).otherwise(F.array().cast("array<struct<order:int,texts:array<string>>>")),
+        F.transform(long_words, lambda w: F.struct(F.lit(50).alias("order"), F.array(w).alias("texts"))),
+        F.filter(undone, lambda x: x["texts"][0] != lower),
     )
-    found = pairs.select(key, "product_id", tier.alias("tier")).where("tier IS NOT NULL")
+    asked = questions.where(F.col(name).isNotNull()).select(F.col(key), F.explode(asks).alias("a")).select(key, "a.order", "a.texts").where(F.forall("texts", lambda t: t != ""))
+    hits = asked.join(products_with(asked.select("texts").distinct(), products, most), "texts").select(key, "product_id", "order")
     if aliases is not None:
         known = aliases.select(F.lower(F.trim("alias")).alias("alias"), "product_id")
-        found = found.unionByName(known.join(asked, F.col("alias") == F.col("t")).select(key, "product_id", F.lit(1).alias("tier")))
-    best = found.groupBy(key).agg(F.min("tier").alias("tier"))
-    kept = found.join(best, [key, "tier"]).distinct()
-    return kept.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("product_id"))).where(F.col("position") <= most)
+        named = questions.select(key, F.explode(F.array(F.struct(F.lit(10).alias("order"), translated_name(F.col(name)).alias("alias")), F.struct(F.lit(30).alias("order"), F.trim(lower).alias("alias")))).alias("a"))
+        hits = hits.unionByName(named.select(key, "a.*").join(known, "alias").select(key, "product_id", "order"))
+    first = F.rank().over(Window.partitionBy(key).orderBy("order"))
+    best = hits.withColumn("r", first).where("r = 1").groupBy(key, "product_id").agg(F.floor(F.min("order") / 10).cast("int").alias("tier"))
+    return best.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy("product_id"))).where(F.col("position") <= most)
 
 
 def candidates_by_token(questions: DataFrame, products: DataFrame, name: str = "product_name", key: str = "item_id") -> DataFrame:
@@ -90,16 +124,19 @@ def candidates_by_token(questions: DataFrame, products: DataFrame, name: str = "
     return index(questions, F.col(name), key, key).join(index(products, F.col("name"), "id", "product_id"), "token").groupBy(key, "product_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
-def best_match(questions: DataFrame, products: DataFrame, found: DataFrame, name: str = "product_name", key: str = "item_id") -> DataFrame:
-    """One row for each question: the product of the highest similarity, of the same canonical unit first where the question has a unit (two unknown units are the same), then by position; null product and score 0 without one."""
-    scored = (
-        found.join(products.select(F.col("id").alias("product_id"), name_parts(F.col("name")).alias("p"), F.col("standardized_unit").alias("p_unit")), "product_id")
-        .join(questions.select(key, name_parts(F.col(name)).alias("q"), F.col("unit").alias("q_unit")), key)
-        .select(key, "product_id", "position", parts_similarity(F.col("q"), F.col("p")).alias("score"), "q_unit", canonical_unit(F.col("p_unit")).eqNullSafe(canonical_unit(F.col("q_unit"))).alias("same_unit"))
-    )
+def scored(questions: DataFrame, products: DataFrame, found: DataFrame, name: str = "product_name", key: str = "item_id") -> DataFrame:
+    """The candidates ``found`` with ``score``, ``same_unit``, the product's name and unit, and ``better``, by which the best match has the largest: a similarity at all, of the same canonical unit where the question has a unit (two unknown units are the same), the similarity, the earliest position."""
+    pairs = found.join(products.select(F.col("id").alias("product_id"), F.col("name").alias("p_name"), name_parts(F.col("name")).alias("p"), F.col("standardized_unit").alias("p_unit")), "product_id")
+    pairs = pairs.join(questions.select(key, name_parts(F.col(name)).alias("q"), F.col("unit").alias("q_unit")), key)
+    pairs = pairs.withColumns({"score": parts_similarity(F.col("q"), F.col("p")), "same_unit": canonical_unit(F.col("p_unit")).eqNullSafe(canonical_unit(F.col("q_unit")))})
     unit_first = F.col("same_unit") & F.col("q_unit").isNotNull()
-    order = Window.partitionBy(key).orderBy((F.col("score") > 0).desc(), unit_first.desc(), F.col("score").desc(), "position")
-    top = scored.withColumn("r", F.row_number().over(order)).where("r = 1 AND score > 0").select(key, "product_id", "score", "same_unit")
+    better = F.struct((F.col("score") > 0).alias("any"), unit_first.alias("unit"), "score", (-F.col("position")).alias("position"))
+    return pairs.select(key, "product_id", "position", "p_name", "p_unit", "score", "same_unit", better.alias("better"))
+
+
+def best_match(questions: DataFrame, products: DataFrame, found: DataFrame, name: str = "product_name", key: str = "item_id") -> DataFrame:
+    """One row for each question: the best of its candidates by :func:`scored`; null product and score 0 without one."""
+    top = scored(questions, products, found, name, key).where("score > 0").groupBy(key).agg(F.max_by(F.struct("product_id", "score", "same_unit"), "better").alias("m")).select(key, "m.*")
     return questions.select(key).join(top, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

@@ -111,6 +111,32 @@ def unmatched_names(spark, sf_dir):
     return compare.not_found(compared(spark, sf_dir)).groupBy("raw_name", "normalized_name", "supplier_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    f"""WITH p AS (SELECT p_partkey::VARCHAR AS id, lower(p_name) AS n FROM part),
+item AS (SELECT p_partkey AS item_id, {chosen("p_partkey // 20", "name", "turned", "more", "last", "none", "alias", "doubled", "letters")} AS kind, lower(p_name) AS n, string_split(lower(p_name), ' ') AS w FROM part WHERE p_partkey % 20 = 0),
+q AS (SELECT item_id, CASE kind WHEN 'name' THEN n WHEN 'turned' THEN w[2] || ' ' || w[1] WHEN 'more' THEN n || ' lot' WHEN 'last' THEN w[2] WHEN 'none' THEN 'qqq' WHEN 'alias' THEN 'ware' || item_id % 7 WHEN 'doubled' THEN replace(replace(w[2], 'n', 'nn'), 'z', 'zz') ELSE w[1][1] || ' ' || w[2][1:2] END AS q FROM item),
+nick AS (SELECT DISTINCT 'ware' || p_partkey % 7 AS alias, p_partkey::VARCHAR AS id FROM part WHERE p_partkey BETWEEN 10 AND 14),
+hit AS (SELECT item_id, id, 10 AS o FROM q JOIN nick ON alias = q UNION ALL SELECT item_id, id, 20 FROM q JOIN p ON contains(n, q)
+  UNION ALL SELECT item_id, id, 40 FROM q JOIN p ON contains(n, string_split(q, ' ')[1]) AND contains(n, string_split(q, ' ')[2]) AND coalesce(contains(n, string_split(q, ' ')[3]), true) WHERE contains(q, ' ')
+  UNION ALL SELECT item_id, id, 50 FROM q JOIN p ON len(list_filter(string_split(q, ' '), lambda x: length(x) > 2 AND contains(n, x))) > 0
+  UNION ALL SELECT item_id, id, 70 FROM q JOIN p ON contains(n, replace(q, 'z', 'zz')) WHERE contains(q, 'z') UNION ALL SELECT item_id, id, 71 FROM q JOIN p ON contains(n, replace(q, 'zz', 'z')) WHERE contains(q, 'zz')
+  UNION ALL SELECT item_id, id, 72 FROM q JOIN p ON contains(n, replace(q, 'nn', 'n')) WHERE contains(q, 'nn')),
+best AS (SELECT *, min(o) OVER (PARTITION BY item_id) AS least FROM hit)
+SELECT item_id, id AS product_id, o // 10 AS tier, row_number() OVER (PARTITION BY item_id ORDER BY id) AS position FROM (SELECT DISTINCT item_id, id, o FROM best WHERE o = least) QUALIFY position <= 20"""
+)
+def candidate_products(spark, sf_dir):
+    """Every twentieth part asked for in eight ways: by its name, turned round, with a word more, its last word, a word that is none, an alias, letters doubled, and its words' first letters."""
+    part = table(spark, sf_dir, "part")
+    low, words, kind = F.lower("p_name"), F.split(F.lower("p_name"), " "), F.floor(F.col("p_partkey") / 20) % 8
+    nick = F.concat(F.lit("ware"), (F.col("p_partkey") % 7).cast("string"))
+    ways = [low, F.concat(words[1], F.lit(" "), words[0]), F.concat(low, F.lit(" lot")), words[1], F.lit("qqq"), nick, F.regexp_replace(F.regexp_replace(words[1], "n", "nn"), "z", "zz"), F.concat(F.substring(words[0], 1, 1), F.lit(" "), F.substring(words[1], 1, 2))]
+    asked = F.element_at(F.array(*ways), (kind + 1).cast("int"))
+    items = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("item_id"), asked.alias("product_name"))
+    products = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), low.alias("standardized_name"), F.lit(None).cast("string").alias("raw_name"))
+    aliases = part.where("p_partkey BETWEEN 10 AND 14").select(nick.alias("alias"), F.col("p_partkey").cast("string").alias("product_id"))
+    return search.candidates(items, products, aliases)
+
+
 # ---------------------------------------------------------------- the store
 
 STORE = """f AS (SELECT *, lead(l_shipdate) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS until FROM lineitem WHERE l_linestatus = 'F'),

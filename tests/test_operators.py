@@ -46,6 +46,25 @@ def test_candidates_by_tier(items, products, spark):
     assert {r["position"] for r in found if r["item_id"] == 1} == {1, 2, 3}
 
 
+def test_candidates_take_the_first_that_finds_any(spark):
+    products = spark.createDataFrame([("p1", "Pizzanna"), ("p2", "Pizana"), ("p3", "Café Crème"), ("p4", None), ("p5", "ab cd"), ("p6", "x")], "id string, name string").withColumns({"standardized_name": F.lit(None).cast("string"), "raw_name": F.lit("").cast("string")})
+    asked = spark.createDataFrame([(1, "pizanna"), (2, "x"), (3, "d a"), (4, ""), (5, None), (6, "crème, fresh"), (7, "nick"), (8, "Pizana")], "item_id long, product_name string")
+    aliases = spark.createDataFrame([("p5", "nick"), ("p6", " Nick ")], "product_id string, alias string")
+    found = {(r["item_id"], r["product_id"], r["tier"], r["position"]) for r in search.candidates(asked, products, aliases).collect()}
+    # the first variant of pizanna that any product has is pizzanna; words of less than three letters only count together
+    assert found == {(1, "p1", 7, 1), (2, "p6", 2, 1), (3, "p5", 4, 1), (7, "p5", 1, 1), (7, "p6", 1, 2), (8, "p2", 2, 1)}
+    assert search.candidates(asked, products.limit(0)).collect() == search.candidates(asked.limit(0), products).collect() == []
+
+
+def test_products_with_looks_up_the_rarest_letters(spark):
+    products = spark.createDataFrame([(f"{i:03}", f"common {'rare' if i == 77 else 'name'} {i}") for i in range(100)], "id string, name string").withColumns({"standardized_name": F.lit(""), "raw_name": F.lit(None).cast("string")})
+    needles = spark.createDataFrame([(["common"],), (["common", "rare"],), (["e 5"],), (["7", "m"],), (["zzz"],)], "texts array<string>")
+    got = {}
+    for r in search.products_with(needles, products, 5).collect():
+        got.setdefault(tuple(r["texts"]), []).append(r["product_id"])
+    assert {k: sorted(v) for k, v in got.items()} == {("common",): ["000", "001", "002", "003", "004"], ("common", "rare"): ["077"], ("e 5",): ["005", "050", "051", "052", "053"], ("7", "m"): ["007", "017", "027", "037", "047"]}
+
+
 def test_compare(items, products, prices, suppliers):
     got = {r["item_id"]: r for r in compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz")).collect()}
     one = got[1]
