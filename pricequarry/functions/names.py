@@ -66,11 +66,16 @@ def is_category_heading(text: Column, priced: Column) -> Column:
 
 def bound_category(name: Column, hint: Column | None = None) -> Column:
     """The first category of the price bounds that the hint names or a word of the name belongs to."""
-    s, h = F.lower(name), F.lower(F.coalesce(hint, F.lit(""))) if hint is not None else F.lit("")
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for category, (words, *_) in PRICE_BOUNDS.items():
-        out = out.when(F.contains(h, F.lit(category)) | contains_any(s, words), category)
-    return out
+    h = F.lower(F.coalesce(hint, F.lit(""))) if hint is not None else F.lit("")
+
+    def first(s: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for category, (words, *_) in PRICE_BOUNDS.items():
+            out = out.when((F.contains(h, F.lit(category)) | contains_any(s, words)) if hint is not None else contains_any(s, words), category)
+        return out
+
+    # the name is put in lower case once, not for each word
+    return F.element_at(F.transform(F.array(F.lower(name)), first), 1)
 
 
 def categorize(name: Column, rules: Mapping[str, Sequence[str]] | None = None, otherwise: str = "Other", whole_words: bool = False) -> Column:

@@ -21,7 +21,13 @@ def validate_price(name: Column, price: Column, unit: Column | None = None, hint
     multiply the confidence: 0.7 outside the category's bounds, 0.8 for an unusual unit, or
     without a category for a suspicious price, 0.6 for what a misplaced point would give.
     """
-    category = bound_category(name, hint)
+    # the category is looked up in the name once: as an argument of a lambda it is a value, not an expression copied into each check
+    once = F.transform(F.array(F.struct(bound_category(name, hint).alias("category"))), lambda x: price_verdict(x["category"], price, unit))
+    return F.element_at(once, 1)
+
+
+def price_verdict(category: Column, price: Column, unit: Column | None = None, texts: bool = True) -> Column:
+    """:func:`validate_price` for a category that is known, best a column of its own. Without ``texts`` errors and warnings are true for each, for counting."""
     least, most = (lookup({c: float(v[i]) for c, v in PRICE_BOUNDS.items()}, category) for i in (1, 2))
     shown = plain_number(price)
     # the texts of errors and warnings are fixed values
@@ -42,8 +48,10 @@ def validate_price(name: Column, price: Column, unit: Column | None = None, hint
         (category.isNull() & (price > HIGH_PRICE), 0.8, F.concat(F.lit("Price "), shown, F.lit(" seems suspiciously high"))),
         (looks_misread(price), 0.6, F.lit("Price might have decimal point parsing error")),
     ]
+    if not texts:
+        error = F.when(price.isNull() | (price <= 0) | (price < LEAST_PRICE) | (price > MOST_PRICE), True)
     fine = error.isNull()
-    warnings = F.array_compact(F.array(*[F.when(fine & F.coalesce(c, F.lit(False)), text) for c, _, text in found]))
+    warnings = F.array_compact(F.array(*[F.when(fine & F.coalesce(c, F.lit(False)), text if texts else F.lit(True)) for c, _, text in found]))
     confidence = F.lit(1.0)
     for c, factor, _ in found:
         confidence = confidence * F.when(F.coalesce(c, F.lit(False)), factor).otherwise(1.0)
@@ -153,36 +161,45 @@ def clean_catalogue(products: DataFrame, prices: DataFrame, suppliers: DataFrame
 
 
 def merge_products(products: DataFrame, prices: DataFrame, by: Sequence[str] = ("standardized_name", "standardized_unit")) -> tuple[DataFrame, DataFrame]:
-    """Products of one key as the oldest of them, with the longest name, the first category and the longest description (ties: the older one's, then by id); their prices point to it, and of a supplier's and unit's current ones the latest stays.
+    """Products of one key as the oldest of them, with the first name and the first description that are longer than its own, and the first category, in the order of their age, then of their ids.
 
+    Of all prices of a supplier in a unit, ended ones too, the latest begun goes to the product that is kept (ties: the
+    oldest product's, then by id); that product's own prices all stay, and the others' other prices go.
     Keys compare with nulls equal; a null name is never merged.
     """
     w = Window.partitionBy(*by).orderBy("created_at", "id")
     mergeable = F.col(by[0]).isNotNull()
-    kept_id = F.when(mergeable, F.first("id").over(w)).otherwise(F.col("id"))
 
-    named = products.withColumn("kept_id", kept_id)
-    best = named.groupBy("kept_id").agg(
-        F.min(F.struct(-F.length(F.coalesce("name", F.lit(""))), "created_at", "id", "name"))["name"].alias("b_name"),
-        F.min(F.when(F.col("category").isNotNull(), F.struct("created_at", "id", "category")))["category"].alias("b_category"),
-        F.min(F.struct(-F.length(F.coalesce("description", F.lit(""))), "created_at", "id", "description"))["description"].alias("b_description"),
-    )
-    merged = named.where("id = kept_id").join(best, "kept_id").withColumns({"name": F.col("b_name"), "category": F.coalesce("category", "b_category"), "description": F.col("b_description")}).select(*products.columns)
-    moved = prices.join(named.select(F.col("id").alias("product_id"), "kept_id"), "product_id").withColumn("product_id", F.col("kept_id")).select(*prices.columns)
-    current = Window.partitionBy("product_id", "supplier_id", "unit", F.col("valid_to").isNull()).orderBy(F.col("valid_from").desc(), "id")
-    kept = moved.withColumn("r", F.row_number().over(current)).where("valid_to IS NOT NULL OR r = 1").drop("r")
+    def of_kept(column: str) -> Column:
+        return F.when(mergeable, F.first(column).over(w)).otherwise(F.col(column))
+
+    def longer(column: str) -> Column:
+        is_longer = F.length(F.coalesce(column, F.lit(""))) > F.length(F.coalesce(f"kept_{column}", F.lit("")))
+        return F.min(F.when(is_longer, F.struct("created_at", "id", column)))[column].alias(f"b_{column}")
+
+    named = products.withColumns({f"kept_{c}": of_kept(c) for c in ("id", "name", "description")})
+    best = named.groupBy("kept_id").agg(longer("name"), longer("description"), F.min(F.when(F.col("category").isNotNull(), F.struct("created_at", "id", "category")))["category"].alias("b_category"))
+    merged = named.where("id = kept_id").join(best, "kept_id").withColumns({"name": F.coalesce("b_name", "name"), "category": F.coalesce("b_category", "category"), "description": F.coalesce("b_description", "description")}).select(*products.columns)
+    theirs = prices.join(named.select(F.col("id").alias("product_id"), "kept_id", F.col("created_at").alias("made")), "product_id")
+    latest = F.row_number().over(Window.partitionBy("kept_id", "supplier_id", "unit").orderBy(F.col("valid_from").desc_nulls_last(), "made", "product_id", "id"))
+    kept = theirs.withColumn("r", latest).where("product_id = kept_id OR r = 1").withColumn("product_id", F.col("kept_id")).select(*prices.columns)
     return merged, kept
 
 
-def repointed(prices: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Prices of merged products under the kept one; one goes where the kept product has a price of that supplier already. ``mapping``: id, kept_id."""
+def repointed(prices: DataFrame, mapping: DataFrame, order: Sequence[str] = ("product_id", "id")) -> DataFrame:
+    """Prices of merged products under the kept one, unless that has a current price of the supplier by then. ``mapping``: id, kept_id.
+
+    The prices are gone through in the given order: where the kept product has no current price of its
+    own they move, ended ones too, until a current one has; those after it go, and so do all where it has.
+    """
     moves = mapping.where("id <> kept_id").select(F.col("id").alias("product_id"), "kept_id")
     theirs = prices.join(moves, "product_id")
     stay = prices.join(moves, "product_id", "left_anti")
-    free = theirs.join(stay.select(F.col("product_id").alias("kept_id"), "supplier_id").distinct(), ["kept_id", "supplier_id"], "left_anti")
-    first = Window.partitionBy("kept_id", "supplier_id").orderBy(F.col("valid_from").desc(), "id")
-    one = free.withColumn("r", F.row_number().over(first)).where("r = 1")
-    return stay.unionByName(one.withColumn("product_id", F.col("kept_id")).select(*prices.columns))
+    current = stay.where("valid_to IS NULL").select(F.col("product_id").alias("kept_id"), "supplier_id").distinct()
+    free = theirs.join(current, ["kept_id", "supplier_id"], "left_anti")
+    before = Window.partitionBy("kept_id", "supplier_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.max(F.col("valid_to").isNull()).over(before), F.lit(False))
+    return stay.unionByName(free.withColumn("taken", taken).where("NOT taken").withColumn("product_id", F.col("kept_id")).select(*prices.columns))
 
 
 def renamed(products: DataFrame, new_name: Column, name: str = "standardized_name", unit: str = "standardized_unit") -> DataFrame:

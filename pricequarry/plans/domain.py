@@ -217,12 +217,12 @@ def backfilled_history(spark, sf_dir):
 
 @query(
     """WITH r AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN l_shipdate + INTERVAL 30 DAY END AS until FROM lineitem),
-w AS (SELECT *, row_number() OVER v AS rn, first_value(l_shipdate) OVER v AS first FROM r WINDOW v AS (PARTITION BY l_partkey, l_suppkey, until IS NULL ORDER BY l_extendedprice, l_shipdate, l_orderkey, l_linenumber))
+w AS (SELECT *, row_number() OVER v AS rn, first_value(l_shipdate) OVER v AS first FROM r WINDOW v AS (PARTITION BY l_partkey, l_suppkey, until IS NULL ORDER BY l_shipdate DESC, l_orderkey, l_linenumber))
 SELECT l_partkey, l_suppkey, l_extendedprice, strftime(CASE WHEN until IS NULL AND rn > 1 THEN first - INTERVAL 1 SECOND ELSE until END, '%Y-%m-%d %H:%M:%S') AS valid_to FROM w"""
 )
 def expired_duplicates(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_shipdate").alias("valid_from"), F.when(F.col("l_returnflag") == "R", F.col("l_shipdate") + F.expr("INTERVAL 30 DAYS")).alias("valid_to"))
-    kept = history.expire_duplicates(lines, ["l_partkey", "l_suppkey"], [F.col(c) for c in ("l_extendedprice", "valid_from", "l_orderkey", "l_linenumber")])
+    kept = history.expire_duplicates(lines, ["l_partkey", "l_suppkey"], [F.col("valid_from").desc(), "l_orderkey", "l_linenumber"])
     return kept.select("l_partkey", "l_suppkey", "l_extendedprice", F.date_format("valid_to", "yyyy-MM-dd HH:mm:ss").alias("valid_to"))
 
 
@@ -397,8 +397,9 @@ def catalogue_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 @query(
-    f"""WITH {CATALOGUE}, d AS (SELECT m.*, repeat(m.name, p_size) AS description FROM m JOIN part ON p_partkey = id)
-SELECT kept_id AS id, arg_min(category, id) AS category, max(length(description)) AS longest, count(*) AS merged FROM d GROUP BY kept_id"""
+    f"""WITH {CATALOGUE}, d AS (SELECT m.*, repeat(m.name, p_size) AS description FROM m JOIN part ON p_partkey = id),
+k AS (SELECT id, length(description) AS own FROM d WHERE id = kept_id)
+SELECT kept_id AS id, arg_min(category, d.id) AS category, coalesce(arg_min(length(description), d.id) FILTER (length(description) > own), any_value(own)) AS longest, count(*) AS merged FROM d JOIN k ON k.id = kept_id GROUP BY kept_id"""
 )
 def merged_products(spark, sf_dir):
     products, held = catalogue_of(spark, sf_dir)
@@ -412,9 +413,10 @@ LAST = """l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l
 
 
 @query(
-    f"""WITH {CATALOGUE}, {LAST}, v AS (SELECT kept_id, l.*, CASE WHEN l_returnflag = 'R' THEN 1 END AS ended, l_partkey || '-' || l_suppkey AS pid FROM l JOIN m ON m.id = l_partkey),
-r AS (SELECT *, row_number() OVER (PARTITION BY kept_id, l_suppkey, ended IS NULL ORDER BY l_shipdate DESC, pid) AS rn FROM v)
-SELECT kept_id AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM r WHERE ended IS NOT NULL OR rn = 1"""
+    f"""WITH {CATALOGUE}, {LAST}, v AS (SELECT kept_id, l.*, max(l_shipdate) OVER (PARTITION BY kept_id, l_suppkey) AS newest FROM l JOIN m ON m.id = l_partkey),
+moved AS (SELECT kept_id, l_suppkey, arg_min(l_extendedprice, l_partkey) AS amount, min(l_partkey) AS of FROM v WHERE l_shipdate = newest GROUP BY kept_id, l_suppkey)
+SELECT kept_id AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM v WHERE l_partkey = kept_id
+UNION ALL SELECT kept_id, l_suppkey, amount FROM moved WHERE of <> kept_id"""
 )
 def merged_prices(spark, sf_dir):
     products, held = catalogue_of(spark, sf_dir)
@@ -424,7 +426,8 @@ def merged_prices(spark, sf_dir):
 @query(
     f"""WITH {CATALOGUE}, {LAST}, t AS (SELECT kept_id, l.*, l_partkey || '-' || l_suppkey AS pid FROM l JOIN m ON m.id = l_partkey),
 s AS (SELECT * FROM t WHERE kept_id = l_partkey),
-f AS (SELECT * FROM t WHERE kept_id <> l_partkey AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_partkey = t.kept_id AND s.l_suppkey = t.l_suppkey) QUALIFY row_number() OVER (PARTITION BY kept_id, l_suppkey ORDER BY l_shipdate DESC, pid) = 1)
+c AS (SELECT kept_id, l_suppkey, min(l_partkey) AS first FROM t WHERE kept_id <> l_partkey AND l_returnflag <> 'R' GROUP BY kept_id, l_suppkey),
+f AS (SELECT t.* FROM t LEFT JOIN c USING (kept_id, l_suppkey) WHERE kept_id <> l_partkey AND NOT EXISTS (SELECT 1 FROM s WHERE s.l_partkey = t.kept_id AND s.l_suppkey = t.l_suppkey AND s.l_returnflag <> 'R') AND l_partkey <= coalesce(first, l_partkey))
 SELECT kept_id AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount FROM s UNION ALL SELECT kept_id, l_suppkey, l_extendedprice FROM f"""
 )
 def repointed_prices(spark, sf_dir):

@@ -458,7 +458,9 @@ SELECT count(*) AS products, count(*) FILTER (fine) AS valid, count(*) FILTER (f
 R4(avg(CASE WHEN fine THEN (CASE WHEN below OR above THEN 0.7 ELSE 1 END) * (CASE WHEN low OR high THEN 0.8 ELSE 1 END) * (CASE WHEN misread THEN 0.6 ELSE 1 END) ELSE 0 END)) AS avg_confidence, count(*) FILTER (NOT fine) AS with_errors, count(*) FILTER (p < 1e4) AS below_10k, count(*) FILTER (p >= 1e4 AND p < 1e5) AS from_10k, count(*) FILTER (p >= 1e5 AND p < 1e6) AS from_100k, count(*) FILTER (p >= 1e6) AS from_1m FROM v"""
 )
 def price_validation(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("p"), quality.validate_price(F.element_at(F.array(*map(F.lit, ("Cheddar cheese", "Fresh tomato", "Beef steak", "thing"))), (F.col("l_linenumber") % 4 + 1).cast("int")), F.col("l_extendedprice")).alias("v"))
+    name = F.element_at(F.array(*map(F.lit, ("Cheddar cheese", "Fresh tomato", "Beef steak", "thing"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("p"), name.alias("name")).withColumn("category", names.bound_category(F.col("name")))
+    lines = lines.select("p", quality.price_verdict(F.col("category"), F.col("p"), texts=False).alias("v"))
     return quality.validation_summary(lines, "v", "p").withColumn("avg_confidence", rounded(F.col("avg_confidence"), 4))
 
 

@@ -127,7 +127,7 @@ def test_merge_and_clean_up(products, prices, suppliers, spark):
     merged, kept = quality.merge_products(products, prices)
     rows = {r["id"]: r for r in merged.collect()}
     assert set(rows) == {"p1", "p2", "p3", "p5"} and rows["p1"]["description"] == "longer text"
-    assert sorted((r["product_id"], r["id"]) for r in kept.where("valid_to IS NULL AND supplier_id = 's1'").collect()) == [("p1", "g"), ("p2", "d")]
+    assert sorted((r["product_id"], r["id"]) for r in kept.where("valid_to IS NULL AND supplier_id = 's1'").collect()) == [("p1", "a"), ("p1", "g"), ("p2", "d")]  # the kept product's own price stays beside the latest
     uploads = spark.createDataFrame([], schemas.UPLOADS)
     p, a, s = quality.clean_catalogue(products, prices.where("supplier_id <> 's3'"), suppliers, uploads)
     assert {r["id"] for r in p.collect()} == {"p1", "p2", "p3", "p4"} and a.count() == 6 and {r["id"] for r in s.collect()} == {"s1", "s2"}
@@ -135,6 +135,46 @@ def test_merge_and_clean_up(products, prices, suppliers, spark):
     assert {r["id"] for r in quality.repointed(prices, mapping).where("product_id = 'p1'").collect()} == {"a", "b", "c", "e"}
 
 
+PRICE = "id string, product_id string, supplier_id string, unit string, amount double, valid_from timestamp_ntz, valid_to timestamp_ntz"
+
+
+def test_repointing_loses_no_current_price(spark):
+    rows = [
+        ("a", "k", "s1", "kg", 1.0, day(0), day(1)),  # the kept product's price has ended
+        ("b", "d1", "s1", "kg", 2.0, day(1), None),
+        ("c", "d2", "s1", "kg", 3.0, day(2), None),
+        ("d", "k", "s2", "kg", 4.0, day(0), None),
+        ("e", "d1", "s2", "kg", 5.0, day(1), None),
+        ("f", "d1", "s3", "kg", 6.0, day(0), day(1)),  # ended ones move until a current one has
+        ("g", "d1", "s3", "kg", 7.0, day(1), None),
+        ("h", "d2", "s3", "kg", 8.0, day(2), day(3)),
+        ("i", "other", "s1", "kg", 9.0, day(0), None),
+    ]
+    mapping = spark.createDataFrame([("d1", "k"), ("d2", "k"), ("k", "k")], "id string, kept_id string")
+    got = {(r["id"], r["product_id"]) for r in quality.repointed(spark.createDataFrame(rows, PRICE), mapping).collect()}
+    assert got == {("a", "k"), ("b", "k"), ("d", "k"), ("f", "k"), ("g", "k"), ("i", "other")}
+
+
+def test_merging_takes_the_latest_price_and_leaves_the_kept_product_its_own(spark):
+    products = spark.createDataFrame(
+        [("k", "ab", "n", "kg", None, None, day(0)), ("d1", "abc", "n", "kg", "c1", "text", day(1)), ("d2", "abcd", "n", "kg", "c2", "longer text", day(2)), ("x", "q", None, "kg", None, None, day(0)), ("y", "q", None, "kg", None, None, day(1))],
+        "id string, name string, standardized_name string, standardized_unit string, category string, description string, created_at timestamp_ntz",
+    )
+    rows = [
+        ("a", "k", "s1", "kg", 1.0, day(0), None),
+        ("b", "d1", "s1", "kg", 2.0, day(5), day(6)),  # the latest, though it has ended
+        ("c", "d2", "s1", "kg", 3.0, day(1), None),
+        ("d", "d1", "s2", "kg", 4.0, day(1), None),
+        ("e", "d2", "s2", "kg", 5.0, day(1), None),
+        ("f", "d2", "s2", "g", 6.0, day(0), None),
+        ("g", "y", "s1", "kg", 7.0, day(0), None),
+    ]
+    merged, kept = quality.merge_products(products, spark.createDataFrame(rows, PRICE))
+    # the first name and description that are longer than the oldest product's
+    assert {(r["id"], r["name"], r["category"], r["description"]) for r in merged.collect()} == {("k", "abc", "c1", "text"), ("x", "q", None, None), ("y", "q", None, None)}
+    assert {(r["id"], r["product_id"]) for r in kept.collect()} == {("a", "k"), ("b", "k"), ("d", "k"), ("f", "k"), ("g", "y")}
+
+
 def test_listing(products, prices, suppliers):
     got = {r["id"]: r for r in catalogue.listing(products, prices, suppliers).collect()}
     assert (got["p1"]["best_price"], got["p1"]["best_supplier"], got["p1"]["supplier_count"], got["p1"]["highest_price"]) == (9000.0, "Boga Jaya", 3, 9600.0)
