@@ -93,3 +93,41 @@ def expire_duplicates(prices: DataFrame, by: Sequence[str], order: Sequence[Colu
     until = F.first("valid_from").over(w) - F.expr("INTERVAL 1 SECOND") if end == "kept" else F.lit(end).cast("timestamp_ntz")
     surplus = F.col("valid_to").isNull() & (F.row_number().over(w) > 1)
     return prices.withColumn("valid_to", F.when(surplus, until).otherwise(F.col("valid_to")))
+
+
+def table_changes(before: DataFrame, after: DataFrame, key: Sequence[str]) -> DataFrame:
+    """What changed between two versions of a table: the key, ``change`` (created, updated, deleted) and the row ``before`` and ``after`` it.
+
+    Rows are compared with nulls equal, in the columns that both versions have; a null key is a key like any other. Of
+    rows that repeat a key the greatest by those columns counts. Both versions are reduced in the tasks and meet in one exchange.
+    """
+    rest = [c for c in before.columns if c not in key and c in after.columns]
+
+    def side(df: DataFrame, old: bool) -> DataFrame:
+        row = F.struct(*rest)
+        return df.select(*key, row.alias("before") if old else F.lit(None).alias("before"), F.lit(None).alias("after") if old else row.alias("after"))
+
+    both = side(before, True).unionByName(side(after, False)).groupBy(*key).agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    change = F.when(F.col("before").isNull(), "created").when(F.col("after").isNull(), "deleted").otherwise("updated")
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).select(*key, change.alias("change"), "before", "after")
+
+
+def history_of_changes(changes: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """History rows for the :func:`table_changes` of prices (amount, unit, unit_price, product_id, supplier_id): one for each price created, and for each whose amount is another now.
+
+    ``changed_from`` is the last price of the pair in ``history`` (product_id, supplier_id, price, created_at), else the amount before. Prices that were deleted, or changed in other columns only, leave none.
+    """
+    new = F.col("change") == "created"
+    kept = changes.where(new | ((F.col("change") == "updated") & (F.col("before.amount") != F.col("after.amount"))))
+    rows = kept.select(
+        *[F.col(f"after.{c}").alias(c) for c in ("product_id", "supplier_id")],
+        F.col("after.amount").alias("price"),
+        *[F.col(f"after.{c}").alias(c) for c in ("unit", "unit_price")],
+        F.col("before.amount").alias("changed_from"),
+        F.lit("api").alias("change_reason"),
+        F.when(new, "New price created via API").otherwise("Price updated via API").alias("notes"),
+    )
+    if history is not None:
+        last = history.groupBy("product_id", "supplier_id").agg(F.max(F.struct("created_at", "price"))["price"].alias("last"))
+        rows = rows.join(last, ["product_id", "supplier_id"], "left").withColumn("changed_from", F.coalesce("last", "changed_from")).drop("last")
+    return rows.withColumn("change_percentage", change_percent(F.col("price"), F.col("changed_from")))

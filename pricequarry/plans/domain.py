@@ -226,6 +226,35 @@ def expired_duplicates(spark, sf_dir):
     return kept.select("l_partkey", "l_suppkey", "l_extendedprice", F.date_format("valid_to", "yyyy-MM-dd HH:mm:ss").alias("valid_to"))
 
 
+VERSIONS = """l AS (SELECT l_orderkey, l_linenumber, l_partkey AS product_id, l_suppkey AS supplier_id, l_extendedprice AS amount, l_returnflag AS unit, l_extendedprice / l_quantity AS unit_price FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC, l_returnflag DESC, l_extendedprice / l_quantity DESC) = 1),
+a AS (SELECT * FROM l WHERE l_orderkey % 5 <> 0),
+b AS (SELECT * REPLACE (CASE WHEN l_orderkey % 11 = 0 THEN amount + 1000 ELSE amount END AS amount, CASE WHEN l_orderkey % 13 = 0 THEN 'box' ELSE unit END AS unit) FROM l WHERE l_orderkey % 7 <> 0),
+c AS (SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber, CASE WHEN a.l_orderkey IS NULL THEN 'created' WHEN b.l_orderkey IS NULL THEN 'deleted' ELSE 'updated' END AS change,
+  a.amount AS old, b.amount AS new, b.product_id, b.supplier_id, b.unit FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.amount IS DISTINCT FROM b.amount OR a.unit IS DISTINCT FROM b.unit)"""
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes between two versions of the lines as a price table: rows that come, go, and have another price or unit."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("supplier_id"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("unit"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"))
+    after = lines.where("l_orderkey % 7 <> 0").withColumns({"amount": F.when(F.col("l_orderkey") % 11 == 0, F.col("amount") + 1000).otherwise(F.col("amount")), "unit": F.when(F.col("l_orderkey") % 13 == 0, "box").otherwise(F.col("unit"))})
+    return history.table_changes(lines.where("l_orderkey % 5 <> 0"), after, ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH {VERSIONS} SELECT l_orderkey, l_linenumber, change, old, new FROM c")
+def changed_prices(spark, sf_dir):
+    return versions(spark, sf_dir).select("l_orderkey", "l_linenumber", "change", F.col("before.amount").alias("old"), F.col("after.amount").alias("new"))
+
+
+@query(
+    f"""WITH {VERSIONS} SELECT product_id, supplier_id, new AS price, unit, old AS changed_from, 'api' AS change_reason, CASE change WHEN 'created' THEN 'New price created via API' ELSE 'Price updated via API' END AS notes,
+  CASE WHEN old <> 0 AND old <> new THEN R2((new - old) * 100.0 / old) END AS change_percentage FROM c WHERE change = 'created' OR (change = 'updated' AND old <> new)"""
+)
+def price_change_history(spark, sf_dir):
+    rows = history.history_of_changes(versions(spark, sf_dir))
+    return rows.drop("unit_price").withColumn("change_percentage", rounded(F.col("change_percentage"), 2))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-06-01' - INTERVAL 10 MINUTE")
 def stuck_uploads(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "P", "processing").otherwise("completed").alias("status"), F.col("o_orderdate").alias("updated_at"))

@@ -175,6 +175,20 @@ def test_merging_takes_the_latest_price_and_leaves_the_kept_product_its_own(spar
     assert {(r["id"], r["product_id"]) for r in kept.collect()} == {("a", "k"), ("b", "k"), ("d", "k"), ("f", "k"), ("g", "y")}
 
 
+def test_table_changes(spark):
+    schema = "id string, product_id string, supplier_id string, amount double, unit string, unit_price double"
+    before = [("a", "p", "s", 1.0, "kg", 1.0), ("b", "p", "s", 2.0, "kg", None), ("c", "p", "t", 3.0, "kg", 1.0), ("d", "p", "u", 4.0, None, None), ("d", "p", "u", 5.0, None, None), (None, "q", "s", 6.0, "g", None)]
+    after = [("a", "p", "s", 1.0, "kg", 1.0), ("b", "p", "s", 2.5, "kg", None), ("d", "p", "u", 5.0, "g", None), ("d", "p", "u", 5.0, "g", None), ("e", "r", "s", 7.0, "kg", 7.0), (None, "q", "s", 0.0, "g", None)]
+    changes = history.table_changes(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema).withColumn("extra", F.lit(1)), ["id"])
+    assert {(r["id"], r["change"], r["before"] and r["before"]["amount"], r["after"] and r["after"]["amount"]) for r in changes.collect()} == {("b", "updated", 2.0, 2.5), ("c", "deleted", 3.0, None), ("d", "updated", 5.0, 5.0), ("e", "created", None, 7.0), (None, "updated", 6.0, 0.0)}
+    log = spark.createDataFrame([("p", "s", 1.25, day(0)), ("p", "s", 2.0, day(1)), ("r", "s", 5.0, day(0))], "product_id string, supplier_id string, price double, created_at timestamp_ntz")
+    got = {(r["product_id"], r["price"], r["changed_from"], r["change_percentage"], r["notes"][:3]) for r in history.history_of_changes(changes, log).collect()}
+    assert got == {("p", 2.5, 2.0, 25.0, "Pri"), ("r", 7.0, 5.0, 40.0, "New"), ("q", 0.0, 6.0, -100.0, "Pri")}
+    assert {r["changed_from"] for r in history.history_of_changes(changes).collect()} == {2.0, None, 6.0}
+    none = spark.createDataFrame([], schema)
+    assert history.table_changes(none, none, ["id"]).collect() == []
+
+
 def test_listing(products, prices, suppliers):
     got = {r["id"]: r for r in catalogue.listing(products, prices, suppliers).collect()}
     assert (got["p1"]["best_price"], got["p1"]["best_supplier"], got["p1"]["supplier_count"], got["p1"]["highest_price"]) == (9000.0, "Boga Jaya", 3, 9600.0)
