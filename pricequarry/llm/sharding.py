@@ -27,6 +27,8 @@ from ._common import extended, free_name, new_path, opened, read, text_of, writt
 BLOCK_ROWS, BLOCK_BYTES = 20_000, 64 << 20
 #: Groups of partitions, at most, whose counts the driver draws.
 GROUPS = 1_000
+#: Populations from which numpy draws exactly, and the standard deviations within which larger ones are drawn.
+NUMPY_MOST, SPREAD = 1_000_000_000, 12
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -38,21 +40,34 @@ def communication_matrix(parts: np.ndarray, shards: np.ndarray, rng: np.random.G
     """(partitions, shards) counts with these row and column sums, as a uniform shuffle would give."""
     left, out = shards.astype(np.int64).copy(), np.zeros((len(parts), len(shards)), np.int64)
     for p, n in enumerate(parts):
-        # numpy's exact "marginals" method holds for populations under 1e9; beyond it, one shard is drawn after another
-        if left.sum() < 1_000_000_000:
-            out[p] = rng.multivariate_hypergeometric(left, n, method="marginals")
-        else:
-            out[p] = _one_by_one(left, int(n), rng)
+        out[p] = rng.multivariate_hypergeometric(left, n, method="marginals") if left.sum() < NUMPY_MOST else _marginals(left, int(n), rng)
         left -= out[p]
     return out
 
 
-def _one_by_one(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """A draw for populations beyond numpy's limit: positions in the remaining rows, without repeats."""
-    total, ends, seen = int(left.sum()), np.cumsum(left), np.empty(0, np.int64)
-    while len(seen) < n:
-        seen = np.unique(np.concatenate([seen, rng.integers(0, total, n - len(seen))]))
-    return np.bincount(np.searchsorted(ends, seen, side="right"), minlength=len(left))
+def _marginals(left: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """A draw for populations beyond numpy's limit, a shard after another given those before it. No row is drawn by itself: time and memory grow with the standard deviation of a count."""
+    out, rest = np.zeros(len(left), np.int64), int(left.sum())
+    for s, good in enumerate(map(int, left)):
+        rest -= good
+        out[s] = hypergeometric(good, rest, n, rng)
+        n -= int(out[s])
+    return out
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` drawn rows are good ones. By the chances of all counts within SPREAD standard deviations of the likeliest one, as products of the ratios of neighbours: what lies beyond weighs less than a double resolves."""
+    total, low, high = good + bad, max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = int(SPREAD * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5) + 100
+    low, high = max(low, mode - spread), min(high, mode + spread)
+    up, down = np.arange(mode, high, dtype=np.float64), np.arange(mode, low, -1, dtype=np.float64)
+    more = np.cumprod((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1)))
+    less = np.cumprod(down / (good - down + 1) * ((bad - n + down) / (n - down + 1)))
+    sums = np.cumsum(np.concatenate([less[::-1], [1.0], more]))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def _draw(shards: int, seed: int):

@@ -1,6 +1,9 @@
+import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pricequarry.llm import sharding as H
@@ -45,8 +48,26 @@ def test_matrix_has_the_law_of_a_uniform_shuffle():
 def test_large_populations_are_drawn_exactly():
     rng = np.random.default_rng(1)
     left = np.array([2_000_000_000, 1_000_000_000])
-    drawn = sum(H._one_by_one(left, 300, rng) for _ in range(50))
+    drawn = sum(H._marginals(left, 300, rng) for _ in range(50))
     assert drawn.sum() == 15_000 and abs(drawn[0] / 15_000 - 2 / 3) < 0.03
+    # 1e12 rows in groups of a billion: in time that does not grow with the rows, sums exact
+    began = time.monotonic()
+    parts, shards = np.full(20, 10**9, np.int64), H.shard_sizes(2 * 10**10, 40)
+    m = H.communication_matrix(parts, shards, rng)
+    assert (m.sum(axis=1) == parts).all() and (m.sum(axis=0) == shards).all() and (m >= 0).all()
+    assert time.monotonic() - began < 20
+    # four standard deviations of 800 counts of mean 2.5e7
+    assert abs(m - 25_000_000).max() < 5 * 25_000_000**0.5
+
+
+@pytest.mark.parametrize("good, bad, n", [(7, 5, 4), (3, 9, 12), (50, 2, 30), (1, 1, 1), (0, 6, 3), (6, 0, 3), (40, 60, 0), (100, 300, 77)])
+def test_hypergeometric_chances(good, bad, n):
+    rng = np.random.default_rng(5)
+    draws = 20_000
+    seen = np.bincount([H.hypergeometric(good, bad, n, rng) for _ in range(draws)], minlength=n + 1)
+    chance = np.array([math.comb(good, k) * math.comb(bad, n - k) for k in range(n + 1)], float) / math.comb(good + bad, n)
+    assert (seen[chance == 0] == 0).all()
+    assert np.abs(seen - draws * chance).max() < 5 * (draws / 4) ** 0.5
 
 
 def test_places_are_uniform(spark):
