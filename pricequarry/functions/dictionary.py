@@ -94,3 +94,30 @@ SERVICE_UNITS = {
 MORE_UNITS = {
     "ijs": "pcs", "ijas": "pcs", "ijasan": "pcs", "ssr": "pcs", "sst": "pcs", "sheet": "sheet",
 }
+
+#: Units as an upload's store keeps them. Fixed values.
+INGESTED_UNITS = {
+    "kg": "kg", "kilogram": "kg", "kilograms": "kg", "kilo": "kg", "g": "g", "gram": "g", "grams": "g", "gr": "g", "lb": "lb", "pound": "lb",
+    "pounds": "lb", "lbs": "lb", "oz": "oz", "ounce": "oz", "ounces": "oz", "l": "l", "liter": "l", "litre": "l", "liters": "l", "litres": "l",
+    "ltr": "l", "ml": "ml", "milliliter": "ml", "milliliters": "ml", "pcs": "pcs", "piece": "pcs", "pieces": "pcs", "pc": "pcs", "each": "pcs",
+    "item": "pcs", "unit": "pcs", "box": "box", "boxes": "box", "pack": "pack", "package": "pack", "packet": "pack", "bottle": "bottle",
+    "bottles": "bottle", "btl": "bottle", "can": "can", "cans": "can", "sisir": "bunch", "ikat": "bunch", "bunch": "bunch", "bundle": "bunch",
+}
+
+#: Standard units that the quality checks accept. Fixed values.
+VALID_UNITS = ("kg", "g", "mg", "lb", "oz", "L", "mL", "pcs", "sheet", "pack", "box", "carton", "bottle", "can", "bag", "bunch", "bundle", "1000", "dozen", "score", "gross", "ream")
+
+#: Words that an English standard name should not hold. Fixed values.
+UNTRANSLATED = ("apel", "wortel", "tomat", "bawang", "kentang", "ayam", "sapi", "ikan", "sayur", "buah", "daging", "telur", "gula", "garam", "minyak", "tepung", "beras")
+
+#: Words by which a name is told to be Indonesian. Fixed values.
+INDONESIAN = ("merah", "hijau", "putih", "kuning", "biru", "besar", "kecil", "sedang", "segar", "organik", "lokal", "buah", "sayur", "daging", "ikan")
+
+#: How canonical units are shown where that differs. Fixed values.
+SHOWN_UNITS = {"ltr": "L", "pak": "pack", "dus": "box"}
+
+#: Suppliers that go by another name than their files'. Fixed values, the first that fits counts.
+KNOWN_SUPPLIERS = {
+    "Widi Wiguna": "Widi Wiguna", "Bali Boga Sejati": "Bali Boga", "Sai Fresh": "Sai Fresh", "Milk Up": "Milk Up", "Lestari Pangan": "Lestari Pangan",
+    "Pangan Lestari": "Lestari Pangan", "Sutria Pangan Sejati": "Sutria Pangan Sejati", "Bali Seafood": "Bali_seafood", "Island Organics": "Island Organics Bali",
+}

@@ -7,12 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dictionary import INDONESIAN, KNOWN_SUPPLIERS
 from .expressions import contains_any, lookup
 from .lexicon import HEADING_WORDS, NOUN_DESCRIPTIVE, NOUN_EXCLUSIVE, PRICE_BOUNDS, PRODUCT_WORDS, TRANSLATIONS, UPLOAD_CATEGORIES
 
-#: Units that no price list means as such: K is thousand. Fixed values.
-NOT_UNITS = ("k", "K")
-
 
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -130,13 +128,60 @@ def is_phone(text: Column) -> Column:
     return F.regexp_replace(text, r"[\s().\-]", "").rlike(r"^\+?\d{8,15}$")
 
 
-def supplier_from_file(path: Column) -> Column:
-    """The supplier's name that a price list's file name holds: without folders, extension, dates, and words for price lists."""
-    s = F.regexp_replace(F.regexp_replace(path, r"^.*[/\\]", ""), r"\.[A-Za-z0-9]+$", "")
-    s = F.regexp_replace(s, r"[_\-.]+", " ")
-    s = F.regexp_replace(s, r"(?i)\b(?:price ?list|prices?|daftar harga|harga|quotation|catalogu?e|list|updated?|new|final|copy|v\d+)\b", " ")
-    s = F.regexp_replace(s, r"\(\d+\)|\b\d{1,4}\b|(?i)\b(?:jan|feb|mar|apr|may|mei|jun|jul|aug|agu|sep|oct|okt|nov|dec|des)[a-z]*\b", " ")
-    return F.initcap(squeezed(s))
+def safe_file_name(name: Column) -> Column:
+    """A file name for storage: ASCII letters, digits, ``_``, ``.`` and ``-`` in lower case, blanks as one ``_``."""
+    kept = F.regexp_replace(F.regexp_replace(name, r"[^\w\s.-]", ""), r"\s+", "_")
+    return F.lower(F.regexp_replace(kept, r"_{2,}", "_"))
+
+
+def needs_translation(original: Column, standard: Column) -> Column:
+    """Whether a name should be shown with its standard name: they differ (case aside), and it holds an Indonesian word. False without a standard name."""
+    differs = (F.coalesce(standard, F.lit("")) != "") & (F.lower(original) != F.lower(standard))
+    return F.coalesce(differs & original.rlike(rf"(?i)\b(?:{'|'.join(INDONESIAN)})\b"), F.lit(False))
+
+
+def first_word_of_file(name: Column) -> Column:
+    """The supplier by the sheets' rule: a file name's first word, its marks as blanks."""
+    base = F.regexp_replace(name, r"(?i)\.(?:xlsx?|csv)$", "")
+    return F.trim(F.regexp_replace(F.element_at(F.split(base, r"[-_\s]+"), 1), r"[^a-zA-Z0-9\s]", " "))
+
+
+def title_of_file(name: Column) -> Column:
+    """The supplier by the shared rule: a file name without extension, dates, versions and words for price lists; all of it if nothing is left, null for an empty one."""
+    base = F.regexp_replace(name, r"\.[^/.]+$", "")
+    # what is taken out, in this order; fixed values
+    out = base
+    for pattern in (
+        r"(?i)price[\s_-]?list",
+        r"(?i)catalog",
+        r"(?i)inventory",
+        r"(?i)products",
+        r"\d{4}[-_]\d{2}[-_]\d{2}",
+        r"\d{2}[-_]\d{2}[-_]\d{4}",
+        r"(?i)\bv\d+\b",
+        r"(?i)\bfinal\b",
+        r"(?i)\bdraft\b",
+        r"(?i)\bupdated?\b",
+        r"(?i)\bnew\b",
+        r"(?i)\bcopy\b",
+    ):
+        out = F.regexp_replace(out, pattern, " ")
+    # of numbers in brackets only the first goes
+    out = F.regexp_replace(out, r"^(.*?)\(\d+\)", "$1 ")
+    bare = squeezed(F.regexp_replace(out, r"[_-]+", " "))
+    return F.coalesce(F.nullif(bare, F.lit("")), F.nullif(F.trim(F.regexp_replace(base, r"[_-]+", " ")), F.lit("")))
+
+
+def supplier_from_file(name: Column) -> Column:
+    """The supplier by the upload's rule: without extension, a date and what follows it, a last number and the legal form, in capitals; known suppliers by their own name, ``Temporary Processing`` for nothing."""
+    s = F.regexp_replace(name, r"(?i)\.(?:pdf|xlsx|xls|csv|jpg|jpeg|png|docx)$", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"\s+\d{2}_\d{2}.*$", ""), r"\s+\d+$", "")
+    s = F.replace(F.regexp_replace(squeezed(s), r"^(?i:PT\.?|CV)\s*", ""), F.lit("+"), F.lit(" "))
+    shown = F.initcap(F.lower(s))
+    known = F.when(F.lit(False), F.lit(None).cast("string"))
+    for part, supplier in KNOWN_SUPPLIERS.items():
+        known = known.when(F.contains(F.lower(s), F.lit(part.lower())), supplier)
+    return F.coalesce(known, F.nullif(shown, F.lit("")), F.lit("Temporary Processing"))
 
 
 def supplier_from_text(text: Column) -> Column:

@@ -228,6 +228,16 @@ def long_price(price: Column) -> Column:
     return F.concat(F.lit("Rp "), F.replace(F.format_number(half_up(price), 0), F.lit(","), F.lit(".")))
 
 
+def shown_price(price: Column) -> Column:
+    """:func:`long_price`, ``N/A`` for none."""
+    return F.coalesce(long_price(price), F.lit("N/A"))
+
+
+def idr_price(price: Column) -> Column:
+    """``25.000 IDR``."""
+    return F.concat(F.replace(F.format_number(half_up(price), 0), F.lit(","), F.lit(".")), F.lit(" IDR"))
+
+
 def _model_rates(model: Column) -> tuple[Column, Column]:
     name = model
     for part, known in reversed(MODEL_NAMES):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionary import MORE_UNITS, SERVICE_UNITS
+from .dictionary import INGESTED_UNITS, MORE_UNITS, SERVICE_UNITS, SHOWN_UNITS
 from .expressions import extract, lookup
 from .lexicon import MEASURES, OLD_UNITS, UNITS
 
@@ -35,8 +35,8 @@ def comparable_units(a: Column, b: Column) -> Column:
 
 
 def convert_quantity(quantity: Column, a: Column, b: Column) -> Column:
-    """A quantity of unit ``a`` in unit ``b``; null if they don't compare."""
-    return F.when(comparable_units(a, b), quantity * unit_factor(a) / unit_factor(b))
+    """A quantity of unit ``a`` in unit ``b``; null if they don't compare or it is not positive."""
+    return F.when(comparable_units(a, b) & (quantity > 0), quantity * unit_factor(a) / unit_factor(b))
 
 
 def unit_price(amount: Column, quantity: Column, unit: Column) -> Column:
@@ -73,6 +73,25 @@ def service_unit(unit: Column) -> Column:
     return F.when(F.coalesce(unit, F.lit("")) == "", "pcs").otherwise(F.coalesce(lookup(SERVICE_UNITS, key), lookup(MORE_UNITS, key), inner, key))
 
 
+def ingested_unit(unit: Column) -> Column:
+    """The unit as the store of an upload keeps it: plurals and other spellings by the table, litres in lower case; others as they are, null for null."""
+    key = F.lower(F.trim(unit))
+    return F.coalesce(lookup(INGESTED_UNITS, key), key)
+
+
+def formatted_unit(unit: Column) -> Column:
+    """The canonical unit as it is shown (``L``, ``pack``, ``box``); an unknown one as given."""
+    canonical = canonical_unit(unit)
+    return F.coalesce(lookup(SHOWN_UNITS, canonical), canonical, unit)
+
+
+def units_of_kind(kind: Column) -> Column:
+    """All unit names of a kind, in the table's order; empty for an unknown kind."""
+    kinds = dict.fromkeys(v[2] for v in UNITS.values())
+    named = F.create_map(*[x for k in kinds for x in (F.lit(k), F.array(*[F.lit(u) for u, v in UNITS.items() if v[2] == k]))])
+    return F.coalesce(F.try_element_at(named, kind), F.array().cast("array<string>"))
+
+
 def normalize_weight(text: Column) -> Column:
     """``500 gr`` or ``1,5 kg`` as a struct of value (grams, millilitres or pieces) and unit."""
     s = F.lower(F.trim(text))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import any_of, half_up, lookup, share
+from ..functions.dictionary import UNTRANSLATED, VALID_UNITS
 from ..functions.lexicon import HIGH_PRICE, LEAST_PRICE, LOW_PRICE, MOST_PRICE, PRICE_BOUNDS
-from ..functions.names import NOT_UNITS, bound_category, is_product_name, name_fault
+from ..functions.names import bound_category, is_product_name, name_fault
 from ..functions.prices import looks_misread, plain_number
-from ..functions.units import unit_price
+from ..functions.units import service_unit, unit_price
 
 
 def validate_price(name: Column, price: Column, unit: Column | None = None, hint: Column | None = None) -> Column:
@@ -74,29 +75,30 @@ def validation_summary(validated: DataFrame, verdict: str, price: str) -> DataFr
     )
 
 
-def issues(products: DataFrame, key: str, name: str, price: str, unit: str) -> DataFrame:
-    """(key, issue, severity): a row for each fault of each product."""
+def issues(products: DataFrame, key: str, price: str, unit: str, standard_unit: str | None = None, quantity: str | None = None) -> DataFrame:
+    """(key, issue, severity): a row for each fault of each product. The unit checked is the standard one, where there is one, else what the service makes of the unit."""
 
     def issue(kind: str, severity: str) -> Column:
         return F.struct(F.lit(kind).alias("issue"), F.lit(severity).alias("severity"))
 
-    p, u = F.col(price), F.col(unit)
-    all_ = F.array_compact(
-        F.array(
-            F.when(p.isNull(), issue("null_price", "critical")),
-            F.when(u.isin(*NOT_UNITS), issue("bad_unit", "critical")),
-            F.when(p.isNotNull() & ((p < 100) | (p > 1e7)), issue("price_out_of_range", "warning")),
-            F.when(F.coalesce(F.trim(name), F.lit("")) == "", issue("missing_name", "critical")),
-        )
-    )
-    return products.select(key, F.explode(all_).alias("i")).select(key, "i.*")
+    p, u = F.col(price), service_unit(F.col(unit))
+    if standard_unit:
+        u = F.coalesce(F.nullif(F.col(standard_unit), F.lit("")), u)
+    all_ = [
+        F.when(p.isNull(), issue("null_price", "critical")),
+        F.when((p < 100) | (p > 1e7), issue("out_of_range_price", "warning")),
+        F.when(~u.isin(*VALID_UNITS), issue("invalid_unit", "warning")),
+    ]
+    if quantity:
+        all_.append(F.when(F.col(quantity) == 0, issue("zero_quantity", "critical")))
+    return products.select(key, F.explode(F.array_compact(F.array(*all_))).alias("i")).select(key, "i.*")
 
 
 def quality_report(products: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: products, issues of each kind, and whether people should look (a missing name, or missing prices and bad units over a tenth)."""
-    counts = found.agg(*[F.count_if(F.col("issue") == k).alias(k) for k in ("null_price", "bad_unit", "price_out_of_range", "missing_name")])
+    """One row: products, issues of each kind, critical ones, and whether people should look (any critical issue, or missing prices and invalid units over a tenth)."""
+    counts = found.agg(*[F.count_if(F.col("issue") == k).alias(k) for k in ("null_price", "invalid_unit", "out_of_range_price", "zero_quantity")], F.count_if(F.col("severity") == "critical").alias("critical"))
     total = products.agg(F.count(F.lit(1)).alias("total"))
-    return total.crossJoin(counts).withColumn("needs_review", (F.col("missing_name") > 0) | ((F.col("null_price") + F.col("bad_unit")) > 0.1 * F.col("total")))
+    return total.crossJoin(counts).withColumn("needs_review", (F.col("critical") > 0) | ((F.col("null_price") + F.col("invalid_unit")) > 0.1 * F.col("total")))
 
 
 def name_faults(products: DataFrame, name: str) -> DataFrame:
@@ -105,26 +107,49 @@ def name_faults(products: DataFrame, name: str) -> DataFrame:
 
 
 def review_flags(name: Column, price: Column, unit: Column) -> Column:
-    """A struct of flags and severity (high for more than two flags, medium for one or two) for the review of an upload."""
+    """A struct of flags and severity (high for more than two flags, medium for one or two, else low) for the review of an upload. A null counts as an empty name, a price of 0, no unit."""
+    n, p = F.coalesce(name, F.lit("")), F.coalesce(price, F.lit(0))
     flags = F.array_compact(
         F.array(
-            F.when(F.length(F.coalesce(name, F.lit(""))) < 3, F.lit("short name")),
-            F.when(name.rlike(r"\d+\s*[xX]\s*\d+"), F.lit("pack code in name")),
-            F.when(name.rlike(r"(?i)rp\s*\d|\d{1,3}\.\d{3}"), F.lit("price in name")),
-            F.when(price.isNull() | (price <= 0), F.lit("no price")),
-            F.when(price > 1e7, F.lit("high price")),
+            F.when(F.length(n) < 3, F.lit("short name")),
+            F.when(n.rlike(r"^\d+\s+\w+\s+\d+\s+\w+"), F.lit("pack code in name")),
+            F.when(F.contains(F.lower(n), F.lit("rp ")) | F.contains(F.lower(n), F.lit("idr")), F.lit("price in name")),
+            F.when(p <= 0, F.lit("no price")),
+            F.when(p > 1e7, F.lit("high price")),
             F.when(F.coalesce(unit, F.lit("")) == "", F.lit("no unit")),
         )
     )
-    return F.struct(flags.alias("flags"), F.when(F.size(flags) > 2, "high").when(F.size(flags) > 0, "medium").otherwise("none").alias("severity"))
+    return F.struct(flags.alias("flags"), F.when(F.size(flags) > 2, "high").when(F.size(flags) > 0, "medium").otherwise("low").alias("severity"))
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(F.trim(text), F.lit("")) == ""
+
+
+def product_errors(name: Column, standard_name: Column, unit: Column) -> Column:
+    """Why a product may not be stored (an array, empty if it may): a name, a standard name and a unit are required."""
+    # the texts are fixed values
+    return F.array_compact(
+        F.array(
+            F.when(_blank(name), F.lit("Product name is required and cannot be empty")),
+            F.when(_blank(standard_name), F.lit("Standardized product name is required")),
+            F.when(_blank(unit), F.lit("Product unit is required")),
+        )
+    )
+
 
+def price_errors(amount: Column, supplier_id: Column, product_id: Column | None = None, least: float = 0.01) -> Column:
+    """Why a price may not be stored: no more than the least amount, no supplier, no product (where its column is given)."""
+    ids = [F.when(_blank(supplier_id), F.lit("Supplier ID is required"))]
+    if product_id is not None:
+        ids.append(F.when(_blank(product_id), F.lit("Product ID is required")))
+    return F.array_compact(F.array(F.when(~F.coalesce((amount > least) & ~F.isnan(amount.cast("double")), F.lit(False)), F.lit(f"Price amount must be greater than {least}")), *ids))
 
-def accepted(rows: DataFrame, name: str, amount: str, required: Sequence[str], least: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Rows that may be stored (all required fields, a product's name, more than a cent), and the rest."""
-    fine = F.coalesce(is_product_name(F.col(name)) & (F.col(amount) > least), F.lit(False))
-    for c in required:
-        fine = fine & F.col(c).isNotNull()
-    return rows.where(fine), rows.where(~fine)
+
+def accepted(rows: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows without errors (of :func:`product_errors` and :func:`price_errors`), and the rest with theirs in a column ``errors``."""
+    judged = rows.withColumn("errors", errors)
+    return judged.where(F.size("errors") == 0).drop("errors"), judged.where(F.size("errors") > 0)
 
 
 def repaired_names(products: DataFrame, name: str = "name", raw: str = "raw_name") -> DataFrame:
@@ -233,11 +258,25 @@ def extraction_quality(rows: DataFrame, by: Sequence[str], confidence: str = "co
     return rows.groupBy(*by).agg(half_up(F.avg(F.coalesce(confidence, F.lit(0.9))), 2).alias("quality"), F.count(F.lit(1)).alias("rows"))
 
 
-def data_quality_report(products: DataFrame, prices: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(issue, n): products without a standard name, with a faulty name or without prices; prices not positive or without a unit price; suppliers without prices. One pass over each table, and anti-joins of distinct keys."""
-    product_issues = products.agg(F.count_if(F.coalesce(F.trim("standardized_name"), F.lit("")) == "").alias("missing_standard_name"), F.count_if(name_fault(F.col("name")).isNotNull()).alias("faulty_name"))
-    price_issues = prices.agg(F.count_if(F.col("amount") <= 0).alias("price_not_positive"), F.count_if(F.col("unit_price").isNull() | (F.col("unit_price") == 0)).alias("missing_unit_price"))
-    lonely = orphans(products.select(F.col("id").alias("product_id")), "product_id", prices).agg(F.count(F.lit(1)).alias("product_without_price"))
-    idle = orphans(suppliers.select(F.col("id").alias("supplier_id")), "supplier_id", prices).agg(F.count(F.lit(1)).alias("supplier_without_price"))
-    whole = product_issues.crossJoin(price_issues).crossJoin(lonely).crossJoin(idle)  # one row each
-    return whole.unpivot([], whole.columns, "issue", "n")
+def data_quality_report(products: DataFrame, prices: DataFrame) -> DataFrame:
+    """(issue, n, percent): the six classes of the data report, and their share.
+
+    Of products: standard names with an Indonesian word, standard units that are not valid or not what the service makes of
+    the unit, and products beyond the first of their standard name and unit. Of prices: 0, no unit
+    price, out of range. The percent, the same in each row, is that of the three counts of products among all
+    products (0 without any), so it may exceed 100. One pass over each table; products are counted by name and unit in the tasks first.
+    """
+    unit, shown = F.col("standardized_unit"), service_unit(F.col("unit"))
+    low = F.lower("standardized_name")
+    faults = products.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(any_of(F.contains(low, F.lit(w)) for w in UNTRANSLATED)).alias("indonesian_names"),
+        F.count_if(~F.coalesce(unit.isin(*VALID_UNITS) & (unit == shown), F.lit(False))).alias("invalid_units"),
+    )
+    groups = products.where("standardized_name IS NOT NULL AND standardized_unit IS NOT NULL").groupBy("standardized_name", "standardized_unit").agg((F.count(F.lit(1)) - 1).alias("n"))
+    doubled = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_products"))
+    amount = F.col("amount")
+    faulty = prices.agg(F.count_if(amount == 0).alias("null_prices"), F.count_if(F.col("unit_price").isNull() | (F.col("unit_price") == 0)).alias("missing_unit_prices"), F.count_if((amount < 100) | (amount > 1e7)).alias("out_of_range_prices"))
+    whole = faults.crossJoin(doubled).crossJoin(faulty)  # one row each
+    whole = whole.withColumn("percent", F.coalesce(share(F.col("indonesian_names") + F.col("invalid_units") + F.col("duplicate_products"), F.col("total")), F.lit(0.0)))
+    return whole.unpivot(["percent"], ["indonesian_names", "null_prices", "invalid_units", "missing_unit_prices", "duplicate_products", "out_of_range_prices"], "issue", "n").select("issue", "n", "percent")

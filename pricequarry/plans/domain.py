@@ -493,20 +493,38 @@ def cleaned_catalogue(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, l_linenumber, len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x))::INTEGER AS flags, CASE WHEN len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x)) > 2 THEN 'high' WHEN len(list_filter([length(n) < 3, p IS NULL OR p <= 0, u = ''], lambda x: x)) > 0 THEN 'medium' ELSE 'none' END AS severity
-FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag ELSE 'tomato' END AS n, nullif(l_extendedprice * sign(l_tax), 0) AS p, CASE WHEN l_quantity > 25 THEN '' ELSE 'kg' END AS u FROM lineitem)"""
+    """WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN l_returnflag WHEN 1 THEN '10 pack 5 kg' WHEN 2 THEN 'Tomato IDR 5000' WHEN 3 THEN 'Rp 5' ELSE 'tomato' END AS n, nullif(l_extendedprice * sign(l_tax), 0) * CASE WHEN l_discount = 0 THEN 1000000 ELSE 1 END AS p, CASE WHEN l_quantity > 25 THEN '' ELSE 'kg' END AS u FROM lineitem),
+f AS (SELECT *, list_filter([CASE WHEN length(n) < 3 THEN 'short name' END, CASE WHEN n = '10 pack 5 kg' THEN 'pack code in name' END, CASE WHEN n IN ('Tomato IDR 5000', 'Rp 5') THEN 'price in name' END, CASE WHEN p IS NULL THEN 'no price' END, CASE WHEN p > 10000000 THEN 'high price' END, CASE WHEN u = '' THEN 'no unit' END], lambda x: x IS NOT NULL) AS f FROM x)
+SELECT l_orderkey, l_linenumber, array_to_string(f, '; ') AS flags, CASE WHEN len(f) > 2 THEN 'high' WHEN len(f) > 0 THEN 'medium' ELSE 'low' END AS severity FROM f"""
 )
 def review_flags(spark, sf_dir):
-    n, p, u = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise("tomato"), F.nullif(F.col("l_extendedprice") * F.signum("l_tax"), F.lit(0.0)), F.when(F.col("l_quantity") > 25, "").otherwise("kg")
-    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quality.review_flags(n, p, u).alias("v"))
-    return v.select("l_orderkey", "l_linenumber", F.size("v.flags").alias("flags"), "v.severity")
+    """All six flags on extracted rows."""
+    name = pick(F.col("l_linenumber"), "", "10 pack 5 kg", "Tomato IDR 5000", "Rp 5", "tomato")
+    n = F.when(name == "", F.col("l_returnflag")).otherwise(name)
+    p = F.nullif(F.col("l_extendedprice") * F.signum("l_tax"), F.lit(0.0)) * F.when(F.col("l_discount") == 0, 1000000).otherwise(1)
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", quality.review_flags(n, p, F.when(F.col("l_quantity") > 25, "").otherwise("kg")).alias("v"))
+    return v.select("l_orderkey", "l_linenumber", F.array_join("v.flags", "; ").alias("flags"), "v.severity")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 4 <> 0 AND l_tax > 0.01 AND p_size % 7 <> 0")
+ACCEPTED = """x AS (SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey % 4 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 6 <> 0 THEN lower(p_name) END AS std, CASE WHEN p_size % 7 <> 0 THEN 'kg' ELSE '' END AS unit, l_tax AS amount, CASE WHEN l_linenumber <> 7 THEN l_suppkey::VARCHAR END AS s FROM lineitem JOIN part ON l_partkey = p_partkey),
+e AS (SELECT *, list_filter([CASE WHEN name = ' ' THEN 'Product name is required and cannot be empty' END, CASE WHEN std IS NULL THEN 'Standardized product name is required' END, CASE WHEN unit = '' THEN 'Product unit is required' END, CASE WHEN amount <= 0.01 THEN 'Price amount must be greater than 0.01' END, CASE WHEN s IS NULL THEN 'Supplier ID is required' END], lambda x: x IS NOT NULL) AS errors FROM x)"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 4 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 6 != 0, F.lower("p_name")).alias("std"), F.when(F.col("p_size") % 7 != 0, "kg").otherwise("").alias("unit"))
+    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey").withColumn("s", F.when(F.col("l_linenumber") != 7, F.col("l_suppkey").cast("string")))
+    return quality.accepted(rows, F.concat(quality.product_errors(F.col("name"), F.col("std"), F.col("unit")), quality.price_errors(F.col("l_tax"), F.col("s"), F.col("l_partkey").cast("string"))))
+
+
+@query(f"WITH {ACCEPTED} SELECT l_orderkey, l_linenumber FROM e WHERE len(errors) = 0")
 def accepted_rows(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_partkey") % 4 == 0, F.lit("3 box")).otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("brand"))
-    rows = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
-    return quality.accepted(rows, "name", "l_tax", ["brand"])[0].select("l_orderkey", "l_linenumber")
+    return judged(spark, sf_dir)[0].select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {ACCEPTED} SELECT array_to_string(errors, '; ') AS errors, count(*) AS n FROM e WHERE len(errors) > 0 GROUP BY 1")
+def rejected_rows(spark, sf_dir):
+    """Rows that may not be stored, by what is wrong with them."""
+    return judged(spark, sf_dir)[1].groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -426,27 +426,29 @@ def price_histogram(spark, sf_dir):
     return analytics.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice")
 
 
-ISSUES = """x AS (SELECT l_orderkey, l_linenumber, nullif(l_extendedprice, 0) AS p, CASE WHEN l_quantity < 2 THEN 'K' ELSE 'kg' END AS u, CASE WHEN l_tax = 0 THEN ' ' ELSE l_returnflag END AS n FROM lineitem),
-i AS (SELECT l_orderkey, l_linenumber, 'null_price' AS issue, 'critical' AS severity FROM x WHERE p IS NULL UNION ALL SELECT l_orderkey, l_linenumber, 'bad_unit', 'critical' FROM x WHERE u = 'K'
-UNION ALL SELECT l_orderkey, l_linenumber, 'price_out_of_range', 'warning' FROM x WHERE p < 2000 * 0.05 OR p > 10000000 UNION ALL SELECT l_orderkey, l_linenumber, 'missing_name', 'critical' FROM x WHERE trim(n) = '')"""
+ISSUES = """x AS (SELECT l_orderkey, l_linenumber, nullif(l_extendedprice, 0) AS p, CASE l_linenumber % 5 WHEN 0 THEN 'K' WHEN 1 THEN 'Kg.' WHEN 2 THEN 'furlong' WHEN 3 THEN '330ml' ELSE 'karton' END AS u, CASE WHEN l_linenumber % 5 = 2 AND l_tax = 0 THEN 'box' END AS std, CASE WHEN l_discount = 0 THEN 0 ELSE l_quantity END AS q FROM lineitem),
+i AS (SELECT l_orderkey, l_linenumber, 'null_price' AS issue, 'critical' AS severity FROM x WHERE p IS NULL UNION ALL SELECT l_orderkey, l_linenumber, 'out_of_range_price', 'warning' FROM x WHERE p < 100 OR p > 10000000
+UNION ALL SELECT l_orderkey, l_linenumber, 'invalid_unit', 'warning' FROM x WHERE u = 'furlong' AND std IS NULL UNION ALL SELECT l_orderkey, l_linenumber, 'zero_quantity', 'critical' FROM x WHERE q = 0)"""
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("key"), F.nullif("l_extendedprice", F.lit(0.0)).alias("p"), F.when(F.col("l_quantity") < 2, "K").otherwise("kg").alias("u"), F.when(F.col("l_tax") == 0, " ").otherwise(F.col("l_returnflag")).alias("n"))
+    unit = F.element_at(F.array(*map(F.lit, ("K", "Kg.", "furlong", "330ml", "karton"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    standard = F.when((F.col("l_linenumber") % 5 == 2) & (F.col("l_tax") == 0), "box")
+    return table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("key"), F.nullif("l_extendedprice", F.lit(0.0)).alias("p"), unit.alias("u"), standard.alias("std"), F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_quantity")).alias("q"))
 
 
 @query(f"WITH {ISSUES} SELECT * FROM i")
 def quality_issues(spark, sf_dir):
-    return quality.issues(checked(spark, sf_dir), "key", "n", "p", "u").select("key.*", "issue", "severity")
+    return quality.issues(checked(spark, sf_dir), "key", "p", "u", "std", "q").select("key.*", "issue", "severity")
 
 
 @query(
-    f"""WITH {ISSUES}, c AS (SELECT count(*) FILTER (issue = 'null_price') AS null_price, count(*) FILTER (issue = 'bad_unit') AS bad_unit, count(*) FILTER (issue = 'price_out_of_range') AS price_out_of_range, count(*) FILTER (issue = 'missing_name') AS missing_name FROM i)
-SELECT (SELECT count(*) FROM x) AS total, c.*, missing_name > 0 OR null_price + bad_unit > 0.1 * (SELECT count(*) FROM x) AS needs_review FROM c"""
+    f"""WITH {ISSUES}, c AS (SELECT count(*) FILTER (issue = 'null_price') AS null_price, count(*) FILTER (issue = 'invalid_unit') AS invalid_unit, count(*) FILTER (issue = 'out_of_range_price') AS out_of_range_price, count(*) FILTER (issue = 'zero_quantity') AS zero_quantity, count(*) FILTER (severity = 'critical') AS critical FROM i)
+SELECT (SELECT count(*) FROM x) AS total, c.*, critical > 0 OR null_price + invalid_unit > 0.1 * (SELECT count(*) FROM x) AS needs_review FROM c"""
 )
 def quality_report(spark, sf_dir):
     rows = checked(spark, sf_dir)
-    return quality.quality_report(rows, quality.issues(rows, "key", "n", "p", "u"))
+    return quality.quality_report(rows, quality.issues(rows, "key", "p", "u", "std", "q"))
 
 
 @query(

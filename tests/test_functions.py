@@ -60,6 +60,10 @@ def test_units(spark):
     check(spark, units.canonical_unit(F.col("a")), [("K.G.", "kg"), (" Litre ", "ltr"), ("lusin", "pcs"), ("ikat", "bunch"), ("x", None), (None, None)])
     check(spark, units.standard_unit(F.col("a")), [("", "pcs"), (None, "pcs"), ("liter", "L"), ("500ml", "mL"), ("gram", "g"), ("foo", "foo"), ("Dozen", "pcs")])
     check(spark, units.convert_quantity(F.lit(500.0), F.col("a"), F.lit("kg")), [("g", 0.5), ("l", None)])
+    check(spark, units.convert_quantity(F.lit(0.0), F.col("a"), F.lit("kg")), [("g", None)])
+    check(spark, units.ingested_unit(F.col("a")), [("Box", "box"), (" packet ", "pack"), ("DOZEN", "dozen"), ("lbs", "lb"), ("Litres", "l"), ("ikat", "bunch"), (None, None)])
+    check(spark, units.formatted_unit(F.col("a")), [("kotak", "box"), ("ml", "L"), ("paket", "pack"), ("lb", "lb")])
+    check(spark, units.units_of_kind(F.col("a")), [("volume", ["l", "ltr", "liter", "litre", "ml", "milliliter"]), ("x", [])])
     got = evaluate(spark, units.normalize_weight(F.col("a")), [("500 gr",), ("1,5 kg",), ("2 lb",), ("3",), ("per kilo",), ("x",), (None,)], "a string")
     assert [(g["value"], g["unit"]) for g in got] == [(500.0, "g"), (1500.0, "kg"), (907.184, "lb"), (3.0, "pcs"), (1000.0, "kg"), (None, "pcs"), (None, "pcs")]
 
@@ -72,7 +76,11 @@ def test_names(spark):
     check(spark, names.name_fault(F.col("a")), [("125", "number"), ("12.5", None), ("500 gr", "weight"), ("2 LB", "weight"), ("3 pcs", None), ("IDR", "currency"), ("sgd", "currency"), ("ab", "short"), ("OK", None), ("kg", None), ("", None), (None, None), ("Tomato", None)])
     check(spark, names.is_category_heading(F.col("a"), F.lit(False)), [("VEGETABLES", True), ("Red onion", False), ("ab", False), ("Box 12", False)])
     check(spark, names.bound_category(F.col("a")), [("Cheddar cheese", "cheese"), ("Kopi Bali", "beverages"), ("thing", None)])
-    check(spark, names.supplier_from_file(F.col("a")), [("/x/PT_Sayur-Bali_price list 2024.xlsx", "Pt Sayur Bali"), ("Island Organics (1).pdf", "Island Organics")])
+    check(spark, names.supplier_from_file(F.col("a")), [("PT. Sayur Bali 12_05 x.pdf", "Sayur Bali"), ("widi WIGUNA 3.xlsx", "Widi Wiguna"), ("Bali Seafood.csv", "Bali_seafood"), ("island+organics.jpg", "Island Organics Bali"), (".pdf", "Temporary Processing"), ("", "Temporary Processing")])
+    check(spark, names.title_of_file(F.col("a")), [("Bali Boga_price-list 2024-01-05 (1) (2).xlsx", "Bali Boga (2)"), ("catalog final.pdf", "catalog final"), ("Sai v2 updated.csv", "Sai"), ("", None)])
+    check(spark, names.first_word_of_file(F.col("a")), [("milk.up-2024.xls", "milk up"), ("Bali_x.pdf", "Bali")])
+    check(spark, names.safe_file_name(F.col("a")), [("My  Liste é (1)__x.XLSX", "my_liste_1_x.xlsx")])
+    check(spark, names.needs_translation(F.col("a"), F.lit("Red carrot")), [("Wortel MERAH", True), ("red CARROT", False), ("merahan", False), (None, False)])
     check(spark, names.supplier_from_text(F.col("a")), [("Prices\nSupplier: Bali Boga\nx", "Bali Boga"), ("from PT. Maju Jaya, Denpasar", "PT. Maju Jaya"), ("none", None)])
     check(spark, names.is_email(F.col("a")), [("a@b.co", True), ("a b@c", False)])
     check(spark, names.shortened(F.lit("abcdefghij"), 8), [("x", "abcde...")])

@@ -237,12 +237,31 @@ def test_mutations(spark, suppliers):
 
 
 def test_quality_report(spark):
-    df = spark.createDataFrame([(1, "Tomato", None, "kg"), (2, "", 500.0, "K"), (3, "Ok", 50.0, "kg")], "k int, n string, p double, u string")
-    found = quality.issues(df, "k", "n", "p", "u")
-    assert {(r["k"], r["issue"]) for r in found.collect()} == {(1, "null_price"), (2, "bad_unit"), (2, "missing_name"), (3, "price_out_of_range")}
-    assert quality.quality_report(df, found).first()["needs_review"]
-    flags = df.select(quality.review_flags(F.col("n"), F.col("p"), F.col("u")).alias("f")).collect()
-    assert [r["f"]["severity"] for r in flags] == ["medium", "medium", "medium"]
+    df = spark.createDataFrame([(1, None, "kg", None, 1.0), (2, 500.0, "furlong", None, 0.0), (3, 50.0, "K", "crate", None), (4, 2e7, "5 kg", "", 2.0)], "k int, p double, u string, s string, q double")
+    found = quality.issues(df, "k", "p", "u", "s", "q")
+    assert {(r["k"], r["issue"], r["severity"]) for r in found.collect()} == {(1, "null_price", "critical"), (2, "invalid_unit", "warning"), (2, "zero_quantity", "critical"), (3, "out_of_range_price", "warning"), (3, "invalid_unit", "warning"), (4, "out_of_range_price", "warning")}
+    report = quality.quality_report(df, found).first()
+    assert (report["critical"], report["invalid_unit"], report["needs_review"]) == (2, 2, True)
+    fine = df.where("k = 4")
+    assert not quality.quality_report(fine, quality.issues(fine, "k", "p", "u")).first()["needs_review"]
+    assert not quality.quality_report(df.limit(0), quality.issues(df.limit(0), "k", "p", "u")).first()["needs_review"]
+
+
+def test_review_flags(spark):
+    df = spark.createDataFrame([("10 pack 5 kg", 5.0, "kg"), ("Tomato IDR 5000", 5.0, "kg"), ("Beef Rp 5", 5.0, "kg"), ("ab", 0.0, ""), (None, None, None), ("Tomato", 2e7, "kg"), ("Tomato 2 x 5", 5.0, "kg")], "n string, p double, u string")
+    got = [(r["f"]["flags"], r["f"]["severity"]) for r in df.select(quality.review_flags(F.col("n"), F.col("p"), F.col("u")).alias("f")).collect()]
+    worst = (["short name", "no price", "no unit"], "high")
+    assert got == [(["pack code in name"], "medium"), (["price in name"], "medium"), (["price in name"], "medium"), worst, worst, (["high price"], "medium"), ([], "low")]
+
+
+def test_export_rows_compare_amounts(spark):
+    items = spark.createDataFrame([("p", "tea", "Drinks", "kg"), ("q", "salt", "Other", "g")], "id string, standardized_name string, category string, unit string")
+    held = spark.createDataFrame([("p", "s1", 300.0, 3.0, None), ("p", "s2", 200.0, 9.0, None), ("p", "s1", 50.0, 1.0, "2020-01-01")], "product_id string, supplier_id string, amount double, unit_price double, valid_to string")
+    by = spark.createDataFrame([("s1", "A"), ("s2", "B")], "id string, name string")
+    got = {r["standardized_name"]: r for r in catalogue.export_rows(items, held, by).collect()}
+    assert [got["tea"][c] for c in ("best_price", "best_supplier", "highest_price", "highest_supplier", "supplier_count", "savings_percent")] == [200.0, "B", 300.0, "A", 2, 33.3]
+    assert (got["salt"]["best_price"], got["salt"]["supplier_count"], got["salt"]["savings_percent"]) == (None, 0, 0.0)
+    assert [r["standardized_name"] for r in catalogue.export_rows(items, held, by, "Other").collect()] == ["salt"]
 
 
 def test_vectors_and_pages(spark):
@@ -257,9 +276,12 @@ def test_vectors_and_pages(spark):
     assert [r["k"] for r in search.nearest_vector(a, a.withColumnRenamed("k", "id"), "k", "id", "v", "c", lambda _: F.lit(0.5), others_only=True).orderBy("k").collect()] == [1, 2]
 
 
-def test_data_quality_report(products, prices, suppliers):
-    got = {r["issue"]: r["n"] for r in quality.data_quality_report(products, prices, suppliers).collect()}
-    assert got == {"missing_standard_name": 0, "faulty_name": 1, "price_not_positive": 0, "missing_unit_price": 0, "product_without_price": 1, "supplier_without_price": 0}
+def test_data_quality_report(spark):
+    items = spark.createDataFrame([("Wortel", "kg", "kg"), ("tea", "K", "1000"), ("tea", "ribu", "1000"), ("salt", "g", "kg"), (None, "kg", None)], "standardized_name string, unit string, standardized_unit string")
+    held = spark.createDataFrame([(0.0, 1.0), (500.0, None), (2e7, 0.0)], "amount double, unit_price double")
+    got = {r["issue"]: (r["n"], r["percent"]) for r in quality.data_quality_report(items, held).collect()}
+    assert got == {k: (n, 80.0) for k, n in {"indonesian_names": 1, "invalid_units": 2, "duplicate_products": 1, "null_prices": 1, "missing_unit_prices": 2, "out_of_range_prices": 2}.items()}
+    assert {(r["n"], r["percent"]) for r in quality.data_quality_report(items.limit(0), held.limit(0)).collect()} == {(0, 0.0)}
 
 
 def test_trigram_matches_by_rarest_find_what_all_pairs_do(spark):
