@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, prices, similarity, units
 from ..functions.expressions import half_up, rounded, share
-from ..operators import analytics, compare, history, mutations, quality, search
+from ..operators import analytics, compare, history, mutations, quality, search, vectors
 from ..sources import documents, grids
 from .registry import QUERIES, SQL, query, table
 
@@ -415,6 +415,26 @@ def nearest_vectors(spark, sf_dir):
     return near.withColumn("similarity", rounded(F.col("similarity"), 4))
 
 
+@query(
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, CASE label % 6 WHEN 0 THEN 'Vegetables' WHEN 1 THEN 'Meat' WHEN 2 THEN 'Seafood' WHEN 3 THEN 'Dairy' WHEN 4 THEN 'Grains' ELSE 'Other' END AS c FROM embeddings WHERE label IS NOT NULL),
+q AS (SELECT vec_id AS asked, c, list_transform(v, lambda x, i: CASE WHEN i <= vec_id // 20 % 26 THEN 0.0 ELSE x END) AS w FROM e WHERE vec_id % 20 = 0),
+s AS (SELECT asked, vec_id AS found, c, list_cosine_similarity(w, v) AS s FROM q JOIN e USING (c)),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY s DESC, found) AS rn FROM s)
+SELECT asked, found, c AS category, R4(s) AS similarity FROM r WHERE rn = 1 AND s >= CASE c WHEN 'Vegetables' THEN 0.85 WHEN 'Meat' THEN 0.82 WHEN 'Seafood' THEN 0.82 WHEN 'Dairy' THEN 0.83 ELSE 0.8 END"""
+)
+def matched_vectors(spark, sf_dir):
+    """Every twentieth vector with up to 25 of its numbers missing, matched by the index of angles under the limit of its category."""
+    category = F.element_at(F.array(*map(F.lit, ("Vegetables", "Meat", "Seafood", "Dairy", "Grains", "Other"))), F.col("label") % 6 + 1)
+    e = table(spark, sf_dir, "embeddings").where("label IS NOT NULL").select("vec_id", "embedding", category.alias("category"))
+    missing = F.floor(F.col("vec_id") / 20) % 26
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), "category", F.transform("embedding", lambda x, i: F.when(i < missing, 0.0).otherwise(x)).alias("embedding"))
+    index = vectors.angular_index(e, "vec_id", "embedding", "category")
+    if index is None:
+        return spark.createDataFrame([], "asked long, found long, category string, similarity double")
+    near = vectors.nearest_by_angle(asked, index, "asked", "found", "embedding", "category")
+    return near.join(asked.select("asked", "category"), "asked").select("asked", "found", "category", rounded(F.col("similarity"), 4).alias("similarity"))
+
+
 # ---------------------------------------------------------------- quality and reports
 
 

@@ -91,10 +91,20 @@ def split_line(line: Column) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of all files, blank ones left out, numbered in their file from 0. Tasks read splits of files; a line's place is that of its split in the file and its own in the split."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")).where(F.trim("line") != "")
-    row = F.row_number().over(Window.partitionBy("source").orderBy("block", "at")) - 1
-    return lines.select("source", F.lit("csv").alias("sheet"), row.alias("row_idx"), split_line(F.col("line")).alias("cells"))
+    """Lines of all files, blank ones left out, numbered in their file from 0.
+
+    Tasks read splits of files, and lines are numbered in two passes: each within its split, and the splits by how many
+    lines those before them in the file hold. So no task orders more than a split's lines, however long the file is.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block")).alias("s")
+    lines = spark.read.text(path).select(at, F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")).where(F.trim("line") != "").select("s.source", "s.block", "at", "line")
+    counts = lines.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each split
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("source", "block", before.alias("start"))
+    local = F.row_number().over(Window.partitionBy("source", "block").orderBy("at")) - 1
+    row = (F.col("start") + F.col("local")).cast("int")
+    return lines.withColumn("local", local).join(starts, ["source", "block"]).select("source", F.lit("csv").alias("sheet"), row.alias("row_idx"), split_line(F.col("line")).alias("cells"))
 
 
 def price_like(grid: DataFrame) -> DataFrame:
