@@ -288,7 +288,8 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     Counts of rows and characters take in all labelled rows; the n-grams are those of
     a sample of about ``learn_chars`` characters of each language, chosen by a hash of
     the id from three quarters of the rows, and the limits come from about ``calibrate_rows`` rows of
-    each language in the last quarter. Rows without a text or label count for nothing, rows
+    each language in the last quarter. A language of fewer than 8 rows is learned from all of
+    them, and its limit is what a letter drawn at random from its alphabet costs. Rows without a text or label count for nothing, rows
     with a null id are one for the hash, and repeated rows count as often as they stand.
     """
     spark = df.sparkSession
@@ -304,7 +305,7 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
         rate = F.element_at(F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, share * width)]), F.col("lang"))
         return rows.where((drawn >= start) & (drawn < F.lit(start) + rate)).select("lang", "text")
 
-    # of a language with few rows all are learned from, so that none goes unknown
+    # of a language with few rows all are learned from, so that none goes unknown; its limits come from its alphabet then
     few = [lang for lang in langs if sizes[lang][0] < 8]
     sample = chosen({lang: min(1.0, learn_chars / max(1, sizes[lang][1]) / 0.75) for lang in langs if lang not in few}, 0.0, 0.75) if len(few) < len(langs) else None
     if few:
@@ -328,7 +329,8 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
             own, band, bits = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(band, pa.int32()), pa.array(bits, pa.float64())], names=["lang", "band", "bits"])
 
-    rest = chosen({lang: min(1.0, calibrate_rows / sizes[lang][0] / 0.25) for lang in langs}, 0.75, 0.25)
+    # a share of 0 for languages without rows to spare: what is learned from sets no limits
+    rest = chosen({lang: 0.0 if lang in few else min(1.0, calibrate_rows / sizes[lang][0] / 0.25) for lang in langs}, 0.75, 0.25)
     seen = rest.mapInArrow(measure, "lang string, band int, bits double").groupBy("lang", "band").agg(F.percentile("bits", F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
     found = {(r["lang"], r["band"]): r["q"] for r in seen.collect()}  # a row for each language and band
     for lang, i in at.items():
