@@ -138,3 +138,11 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     rate = got.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
     assert rate[0] > 0.98 and rate[1] < 0.01
+
+
+def test_a_language_of_few_rows_sets_no_limit_by_what_it_is_learned_from(spark):
+    rows = [(i, "the cat sat on the mat and the dog ran after it " * 3, "en") for i in range(40)] + [(100 + i, "abcd efgh", "xx") for i in range(3)]
+    model = L.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    at = model.langs.index("xx")
+    # eight letters and the space
+    assert set(model.limits[at]) == {np.log2(1 + 9)}
