@@ -297,3 +297,21 @@ def test_trigram_matches_by_rarest_find_what_all_pairs_do(spark):
         want = {(i, j) for i, x in enumerate(names[::3]) for j, y in enumerate(names) if grams(x) and grams(y) and len(grams(x) & grams(y)) / len(grams(x) | grams(y)) > least}
         got = search.trigram_matches(a, b, "k", "q", "id", "n", least).collect()
         assert {(r["k"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_never_broadcast_the_catalogue(spark):
+    # files of repeated names look small enough for a broadcast, however many products they hold
+    products = spark.range(300).select(F.format_string("p%03d", "id").alias("id"), F.concat(F.lit("ring "), (F.col("id") % 3).cast("string")).alias("name"), F.lit(None).cast("string").alias("standardized_name"), F.lit("").alias("raw_name"))
+    asked = spark.createDataFrame([(1, "Ring 1"), (1, "ring"), (2, "Ring 1"), (3, "ring"), (4, None)], "item_id long, product_name string")
+    aliases = spark.createDataFrame([("p005", "ring")], "product_id string, alias string")
+    found = search.candidates(asked, products, aliases)
+    assert "Broadcast" not in planned(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r["item_id"], r["tier"]), {})[r["position"]] = r["product_id"]
+    # an item with two names takes the first tier that either finds
+    assert got == {(1, 1): {1: "p005"}, (2, 2): {i + 1: f"p{3 * i + 1:03}" for i in range(20)}, (3, 1): {1: "p005"}}
