@@ -315,3 +315,11 @@ def test_candidates_never_broadcast_the_catalogue(spark):
         got.setdefault((r["item_id"], r["tier"]), {})[r["position"]] = r["product_id"]
     # an item with two names takes the first tier that either finds
     assert got == {(1, 1): {1: "p005"}, (2, 2): {i + 1: f"p{3 * i + 1:03}" for i in range(20)}, (3, 1): {1: "p005"}}
+
+
+def broadcasts(df):
+    return planned(df).count("BroadcastHashJoin") + planned(df).count("BroadcastNestedLoopJoin")
+
+
+def test_a_comparison_broadcasts_suppliers_only(items, products, prices, suppliers):
+    assert broadcasts(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz"))) <= 1
