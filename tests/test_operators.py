@@ -323,3 +323,7 @@ def broadcasts(df):
 
 def test_a_comparison_broadcasts_suppliers_only(items, products, prices, suppliers):
     assert broadcasts(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz"))) <= 1
+
+
+def test_a_summary_broadcasts_suppliers_only(items, products, prices, suppliers):
+    assert broadcasts(compare.summarize(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz")))) <= 1
