@@ -327,3 +327,8 @@ def test_a_comparison_broadcasts_suppliers_only(items, products, prices, supplie
 
 def test_a_summary_broadcasts_suppliers_only(items, products, prices, suppliers):
     assert broadcasts(compare.summarize(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz")))) <= 1
+
+
+def test_unmatched_names_broadcast_suppliers_only(items, products, prices, suppliers):
+    found = compare.not_found(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz")))
+    assert broadcasts(found) <= 1 and {r["raw_name"] for r in found.collect()} == {"Mozarella", "unicorn"}
