@@ -332,3 +332,11 @@ def test_a_summary_broadcasts_suppliers_only(items, products, prices, suppliers)
 def test_unmatched_names_broadcast_suppliers_only(items, products, prices, suppliers):
     found = compare.not_found(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz")))
     assert broadcasts(found) <= 1 and {r["raw_name"] for r in found.collect()} == {"Mozarella", "unicorn"}
+
+
+def test_listing_works_out_the_offers_of_a_name_once(spark, products, prices, suppliers):
+    # one name and unit, one without a unit, one without a name
+    rows = spark.createDataFrame([("p1", "tea", "kg"), ("p2", "tea", "kg"), ("p3", "tea", None), ("p4", None, "kg"), ("p5", "tea", None)], "id string, standardized_name string, standardized_unit string")
+    got = catalogue.listing(rows, prices, suppliers)
+    assert "for_id" not in planned(got)
+    assert {(r["id"], r["best_price"], r["best_supplier"], r["highest_price"], r["supplier_count"]) for r in got.collect()} == {("p1", 9000.0, "Boga Jaya", 20000.0, 3), ("p2", 9000.0, "Boga Jaya", 20000.0, 3), ("p3", 90000.0, "Island Organics", 90000.0, 1), ("p4", None, None, None, 0), ("p5", 90000.0, "Island Organics", 90000.0, 1)}
