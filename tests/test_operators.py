@@ -339,4 +339,12 @@ def test_listing_works_out_the_offers_of_a_name_once(spark, products, prices, su
     rows = spark.createDataFrame([("p1", "tea", "kg"), ("p2", "tea", "kg"), ("p3", "tea", None), ("p4", None, "kg"), ("p5", "tea", None)], "id string, standardized_name string, standardized_unit string")
     got = catalogue.listing(rows, prices, suppliers)
     assert "for_id" not in planned(got)
-    assert {(r["id"], r["best_price"], r["best_supplier"], r["highest_price"], r["supplier_count"]) for r in got.collect()} == {("p1", 9000.0, "Boga Jaya", 20000.0, 3), ("p2", 9000.0, "Boga Jaya", 20000.0, 3), ("p3", 90000.0, "Island Organics", 90000.0, 1), ("p4", None, None, None, 0), ("p5", 90000.0, "Island Organics", 90000.0, 1)}
+    assert {(r["id"], r["best_price"], r["best_supplier"], r["highest_price"], r["supplier_count"]) for r in got.collect()} == {("p1", 9000.0, "Boga Jaya", 9600.0, 3), ("p2", 9000.0, "Boga Jaya", 9600.0, 3), ("p3", 90000.0, "Island Organics", 90000.0, 1), ("p4", None, None, None, 0), ("p5", 90000.0, "Island Organics", 90000.0, 1)}
+
+
+def test_related_prices_write_no_pairs_of_products(spark, prices):
+    rows = spark.createDataFrame([("p1", "tea", None), ("p2", "tea", None), ("p3", None, "kg"), ("p4", "tea", "kg")], "id string, standardized_name string, standardized_unit string")
+    got = catalogue.related_prices(rows, prices)
+    # the last join, first in the plan, is the one by name
+    assert "standardized_name" in next(line for line in planned(got).splitlines() if "Join" in line)
+    assert {(r["for_id"], r["product_id"], r["amount"]) for r in got.collect()} == {(a, b, x) for a in ("p1", "p2") for b, x in (("p1", 9600.0), ("p1", 9500.0), ("p1", 9000.0), ("p2", 20000.0))} | {("p4", "p4", 9700.0)}
