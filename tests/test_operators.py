@@ -348,3 +348,12 @@ def test_related_prices_write_no_pairs_of_products(spark, prices):
     # the last join, first in the plan, is the one by name
     assert "standardized_name" in next(line for line in planned(got).splitlines() if "Join" in line)
     assert {(r["for_id"], r["product_id"], r["amount"]) for r in got.collect()} == {(a, b, x) for a in ("p1", "p2") for b, x in (("p1", 9600.0), ("p1", 9500.0), ("p1", 9000.0), ("p2", 20000.0))} | {("p4", "p4", 9700.0)}
+
+
+def test_suppliers_of_a_text_are_looked_up_once(spark):
+    suppliers = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(["Boga"] * 7 + ["boga", "Bali Boga", "Tea & Co", None])], "id string, name string")
+    asked = spark.createDataFrame([(1, " boga"), (2, "BOGA "), (3, "bali"), (4, "co tea"), (5, "x  y"), (6, " "), (7, None), (1, "tea")], "item_id long, name string")
+    found = search.match_supplier(asked, suppliers)
+    assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
+    got = sorted((r["item_id"], r["supplier_id"], r["tier"]) for r in found.collect())
+    assert got == [(i, f"s0{j}", 1) for i in (1, 2) for j in range(5)] + [(3, "s08", 2), (4, "s09", 3)]
