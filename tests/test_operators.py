@@ -357,3 +357,13 @@ def test_suppliers_of_a_text_are_looked_up_once(spark):
     assert "NestedLoop" not in planned(found) and "Cartesian" not in planned(found)
     got = sorted((r["item_id"], r["supplier_id"], r["tier"]) for r in found.collect())
     assert got == [(i, f"s0{j}", 1) for i in (1, 2) for j in range(5)] + [(3, "s08", 2), (4, "s09", 3)]
+
+
+def test_trigram_pairs_are_made_once_and_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(search, "GRAM_ROWS", 3)
+    monkeypatch.setattr(search, "SAME_ROWS", 2)
+    names = spark.createDataFrame([(i, f"shop 00{i % 3}") for i in range(15)] + [(20, None), (21, "")], "id long, n string")
+    asked = spark.createDataFrame([(1, "shop 001"), (2, "Shop 001"), (3, "")], "k long, q string")
+    found = search.trigram_matches(asked, names, "k", "q", "id", "n", 0.9)
+    assert "Broadcast" not in planned(found)
+    assert sorted((r["k"], r["id"], r["similarity"]) for r in found.collect()) == [(k, i, 1.0) for k in (1, 2) for i in (1, 4, 7, 10, 13)]
