@@ -1,5 +1,6 @@
 """Order-sensitive operators on small hand-built tables."""
 
+import math
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricequarry import schemas
-from pricequarry.operators import analytics, catalogue, compare, history, mutations, quality, search
+from pricequarry.functions import similarity
+from pricequarry.operators import analytics, catalogue, compare, history, mutations, quality, search, vectors
 
 T0 = datetime(2025, 1, 1)
 
@@ -367,3 +369,16 @@ def test_trigram_pairs_are_made_once_and_not_broadcast(spark, monkeypatch):
     found = search.trigram_matches(asked, names, "k", "q", "id", "n", 0.9)
     assert "Broadcast" not in planned(found)
     assert sorted((r["k"], r["id"], r["similarity"]) for r in found.collect()) == [(k, i, 1.0) for k in (1, 2) for i in (1, 4, 7, 10, 13)]
+
+
+def test_nearest_vector_in_blocks_of_products(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "RING_ROWS", 4)
+    monkeypatch.setattr(vectors, "ASKED_ROWS", 3)
+    rows = [(i, [math.cos(i % 7), math.sin(i % 7)], "x" if i % 2 else "y") for i in range(20)] + [(30, None, "x"), (31, [0.0, 0.0], "x"), (32, [None, 1.0], "y"), (33, [1.0], "x"), (34, [1e200, 1e200], "y"), (35, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, c string")
+    found = search.nearest_vector(df.withColumnRenamed("id", "k"), df, "k", "id", "v", "c", lambda _: F.lit(0.2), others_only=True)
+    assert "CoGroups" in planned(found)
+    pairs = df.selectExpr("id AS k", "v AS a", "c").join(df.selectExpr("id", "v AS b", "c"), "c").where("k <> id").select("k", "id", similarity.cosine(F.col("a"), F.col("b")).alias("s")).collect()
+    want = {k: max((r["s"], -r["id"]) for r in pairs if r["k"] == k) for k in {r["k"] for r in pairs}}
+    got = {r["k"]: (r["similarity"], -r["id"]) for r in found.collect()}
+    assert got == {k: x for k, x in want.items() if x[0] >= 0.2} and len(got) > 15
