@@ -62,3 +62,10 @@ def test_fewer_pairs_than_all(spark):
 
 def test_nothing_to_index(spark):
     assert vectors.angular_index(spark.createDataFrame([(1, None, "x"), (2, [0.0], "x")], SCHEMA), "id", "v") is None
+
+
+def test_questions_go_to_cells_not_rings(spark):
+    df = spark.createDataFrame([r for r in drawn(6, 60) if r[0] < 1000], SCHEMA)
+    near = vectors.nearest_by_angle(df.withColumnRenamed("id", "k"), vectors.angular_index(df, "id", "v", "c"), "k", "id", "v", "c")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "ring" not in plan.split("CoGroups")[0]
