@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricequarry.llm._common import dropped, free_name, read, written
+from pricequarry.llm._common import dropped, free_name, read, small_batches, written
 from pricequarry.llm.exact_dedup import exact_dedup
 from pricequarry.llm.language_id import identify, learn
 from pricequarry.llm.minhash import near_dedup
@@ -32,12 +32,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of the smallest id, of each set joined by five-word Jaccard similarities of 0.8 or more. SimHash links and MinHash bands propose the pairs; only verified ones count. Rows with a null id stay, and texts without a word are near no other."""
-    return near_dedup(docs, also=simhash_groups(docs))
+    with small_batches(spark):
+        return near_dedup(docs, also=simhash_groups(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences: a row for each piece, not the columns of ``documents``. A null or empty text is its end id alone."""
-    return pack_documents(docs)
+    with small_batches(spark):
+        return pack_documents(docs)
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("best-fit packing", packed)]
@@ -49,6 +51,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with small_batches(spark):
+            before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         dropped(before)  # each stage's table is whole before the one it came from goes
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,8 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of whole texts that a Python worker gets at once where its memory is shared with other stages.
+BATCH_ROWS = 2_000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is run inside hands at most ``rows`` rows at once to Python, or as few as the session says.
+
+    A batch stands several times in an executor (its vectors, the buffer that it is sent by, the worker's
+    own), and Spark bounds it by rows, however long their texts. Every row comes in some batch all the same.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
     for df in tables:

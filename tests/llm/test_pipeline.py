@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+import pyarrow as pa
 from pricequarry.llm import registry
 from pricequarry.llm import simhash as S
 from pyspark.sql import functions as F
@@ -70,3 +71,20 @@ def test_near_stage_keeps_other_texts_of_an_id(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
     got = C.near(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, a), (7, b), (0, a)])
+
+
+def test_stages_of_long_texts_get_them_in_small_batches(spark, stored, docs, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    def sizes(df, **_):
+        rows = df.unionByName(df).coalesce(1).crossJoin(spark.range(0, 60, 1, 1)).select("id").mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+        seen.append((max(r["n"] for r in rows.collect()), rows.agg(F.sum("n")).first()[0]))
+        return df
+
+    monkeypatch.setattr(C, "near_dedup", sizes)
+    monkeypatch.setattr(C, "pack_documents", sizes)
+    C.near(spark, docs, stored)
+    C.packed(spark, docs, stored)
+    assert [most <= 2_000 for most, _ in seen] == [True, True] and [n for _, n in seen] == [docs.count() * 120] * 2
+    assert spark.conf.get(name) == before
