@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricequarry import schemas
-from pricequarry.functions import similarity
+from pricequarry.functions import similarity, standardize
 from pricequarry.operators import analytics, catalogue, compare, history, mutations, quality, search, vectors
 
 T0 = datetime(2025, 1, 1)
@@ -344,6 +344,16 @@ def test_listing_works_out_the_offers_of_a_name_once(spark, products, prices, su
     assert {(r["id"], r["best_price"], r["best_supplier"], r["highest_price"], r["supplier_count"]) for r in got.collect()} == {("p1", 9000.0, "Boga Jaya", 9600.0, 3), ("p2", 9000.0, "Boga Jaya", 9600.0, 3), ("p3", 90000.0, "Island Organics", 90000.0, 1), ("p4", None, None, None, 0), ("p5", 90000.0, "Island Organics", 90000.0, 1)}
 
 
+def test_standard_names_are_worked_out_once_for_each_name(spark):
+    names = ["Wortel,  RED bolt 500 gr", " susu Indomie", "", None, "Wortel,  RED bolt 500 gr"]
+    rows = spark.createDataFrame([(i, n, u) for i, (n, u) in enumerate((n, u) for n in names for u in ("kg", "", None))], "id long, name string, unit string")
+    got = catalogue.standard_names(rows, "name", "unit")
+    # one aggregate, below the join that gives each row its name's
+    assert "Broadcast" not in planned(got) and planned(got).index("SortMergeJoin") < planned(got).index("HashAggregate")
+    want = {r["id"]: r["s"] for r in rows.select("id", standardize.standardize(F.col("name"), F.col("unit")).alias("s")).collect()}
+    assert {r["id"]: r["standard"] for r in got.collect()} == want and got.count() == 15 and got.columns == [*rows.columns, "standard"]
+
+
 def test_related_prices_write_no_pairs_of_products(spark, prices):
     rows = spark.createDataFrame([("p1", "tea", None), ("p2", "tea", None), ("p3", None, "kg"), ("p4", "tea", "kg")], "id string, standardized_name string, standardized_unit string")
     got = catalogue.related_prices(rows, prices)
