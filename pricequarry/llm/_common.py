@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import json
 import math
 import shutil
@@ -74,6 +76,31 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(name, str(before))
 
 
+#: What a Python worker keeps from task to task, by the module that keeps it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(name: str) -> dict:
+    """A dictionary, empty at first, for what tasks of one module leave in a worker for its later tasks."""
+    return _KEPT.setdefault(name, {})
+
+
+def keep_only(*names: str) -> None:
+    """Called in a task: lets go of what tasks of other modules have left in this worker, and gives the memory back.
+
+    Workers outlive the stages of a pipeline, and each stage would add its tables to those of the stages before it.
+    """
+    others = [kept for name, kept in _KEPT.items() if kept and name not in names]
+    for kept in others:
+        kept.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # GNU's C library keeps freed memory otherwise
+        if trim:
+            trim(0)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
     for df in tables:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, extended, free_name, join_skewed, raw, read, texts, written
+from ._common import dropped, extended, free_name, join_skewed, keep_only, raw, read, texts, written
 
 #: What makes no difference between texts: [\x20\x09-\x0D].
 BLANK = b" \t\n\x0b\x0c\r"
@@ -42,6 +42,7 @@ def _slots(digests: pa.Array, slots: int) -> np.ndarray:
 
 def _digests(text: str, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in batches:
             keys = b.column(b.schema.get_field_index(key))
             yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, extended, free_name, opened, read, texts, written
+from ._common import dropped, extended, free_name, keep_only, kept_by, opened, read, texts, written
 
 ORDER = 4
 #: Labelled characters of each language that its model learns from, about: the bound of the sample. Its rows are chosen by a hash of the id.
@@ -35,22 +35,22 @@ BANDS = 15
 UNKNOWN = "und"
 #: Texts whose letters are held at once, and letters that are scored at once.
 _TEXTS, _CHUNK = 256, 1 << 17
-_CODES: np.ndarray | None = None
+#: The code points' letters, once they are needed.
+_CODES: dict[str, np.ndarray] = kept_by("letters")
 #: Tables that a Python worker has read, by path; those of the model used last.
-_READ: dict[str, list[Tables]] = {}
+_READ: dict[str, list[Tables]] = kept_by("languages")
 
 
 def _codes() -> np.ndarray:
     """For each code point, that of its lower case if it is a letter, else a space."""
-    global _CODES
-    if _CODES is None:
+    if "all" not in _CODES:
         out = np.full(0x110000, 32, np.uint32)
         for c in range(0x110000):
             if chr(c).isalpha():
                 low = chr(c).lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        _CODES = out
-    return _CODES
+        _CODES["all"] = out
+    return _CODES["all"]
 
 
 def letters(text: str) -> np.ndarray:
@@ -324,6 +324,7 @@ def learn(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
     at = {lang: i for i, lang in enumerate(langs)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("languages", "letters")
         for b in batches:
             found = [(lang, band, bits) for lang, text in zip(b.column(0).to_pylist(), texts(b, "text").to_pylist(), strict=True) if lang in at for band, bits in model.excerpts(text, at[lang])]
             own, band, bits = zip(*found, strict=True) if found else ((), (), ())
@@ -363,6 +364,7 @@ def identify(df: DataFrame, model: Model | None, text_column: str = "text") -> D
     schema = extended(df, *zip(names, ("string", "double", "double", "boolean"), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("languages", "letters")
         for b in batches:
             n = b.num_rows
             if model is None:

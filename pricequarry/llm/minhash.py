@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, fitting, free_name, id_bounds, join_skewed, ranges_of, raw, read, text_of, written
+from ._common import dropped, fitting, free_name, id_bounds, join_skewed, keep_only, ranges_of, raw, read, text_of, written
 from .components import components
 
 PERMS = 128
@@ -264,6 +264,7 @@ def _class_of(shingles: np.ndarray) -> bytes:
 
 def _band_rows(perms: int, bands: int, rows: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         family = Permutations(perms)
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -291,6 +292,7 @@ def _band_rows(perms: int, bands: int, rows: int, words: int):
 
 def _set_rows(perms: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         family = Permutations(perms)
         for b in batches:
             for at in range(0, b.num_rows, 256):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read, texts, written
+from ._common import keep_only, read, texts, written
 from .tokens import TEXTS, Encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -43,6 +43,7 @@ def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _cut(tokenizer: str, end_id: int, capacity: int, id_column: str, text_column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("tokens")
         encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             keys = b.column(b.schema.get_field_index(id_column))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, fitting, free_name, join_skewed, opened, raw, read, written
+from ._common import dropped, fitting, free_name, join_skewed, keep_only, opened, raw, read, written
 from .components import components, union_pairs
 
 RADIUS = 4
@@ -210,6 +210,7 @@ def simhash_groups(df: DataFrame, id_column: str = "doc_id", text_column: str =
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for b in batches:
             fps = np.concatenate([np.zeros(0, np.uint64), *(fingerprints(raw(b.slice(at, 1000), text_column), words) for at in range(0, b.num_rows, 1000))])
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(id_column)), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])

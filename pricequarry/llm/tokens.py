@@ -33,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fitting, id_bounds, new_path, opened, put_whole, ranges_of, read, texts, written
+from ._common import fitting, id_bounds, kept_by, new_path, opened, put_whole, ranges_of, read, texts, written
 
 #: Distinct stretches, and parts of them, that a Python worker remembers across the tasks it runs: so many of the latest, and as many stretches from before them (about 200 bytes each).
 MOST_STRETCHES, MOST_PARTS = 360_000, 100_000
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = kept_by("tokens")
 #: Texts that are split and looked up together.
 TEXTS = 2_000
 #: What stands before a text's first stretch while it is looked up; a text that holds it goes whole.

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricequarry.llm._common import MOST_RANGES, id_bounds, ranges_of
+from pricequarry.llm import language_id, tokens
+from pricequarry.llm._common import MOST_RANGES, id_bounds, keep_only, ranges_of
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 1000])
@@ -40,3 +41,15 @@ def test_ranges_of_strings(spark):
 def test_ids_of_other_types_are_refused(spark):
     with pytest.raises(TypeError, match="numbers or strings"):
         id_bounds(spark.sql("SELECT DATE '2024-01-01' AS id"), "id", 4)
+
+
+def test_a_stage_lets_go_of_what_others_left_in_its_worker():
+    encoder = tokens.Encoder.of(tokens.tokenizer_path("word_bpe_49k.json"))
+    language_id.letters("abc")
+    keep_only("tokens")
+    assert not language_id._CODES and tokens.Encoder.of(tokens.tokenizer_path("word_bpe_49k.json")) is encoder
+    keep_only()
+    assert not tokens._ENCODERS
+    # what is let go of is made again when it is needed
+    assert language_id.letters("Ab").tolist() == [32, 97, 98, 32]
+    assert tokens.Encoder.of(tokens.tokenizer_path("word_bpe_49k.json")).encode(["ab"]) == encoder.encode(["ab"])
