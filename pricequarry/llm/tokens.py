@@ -17,6 +17,7 @@ documents, then a footer; any block can be read and decoded without the others.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import os
@@ -80,6 +81,16 @@ def _structure(tokenizer: dict) -> str | None:
     return None
 
 
+#: Whether a word has only letters of Latin-1, which are the same in every normal form.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def _between(flat: bytes, mark: int) -> list[bytes]:
+    """The ids before, between and after those equal to ``mark``."""
+    cuts = 4 * np.flatnonzero(np.frombuffer(flat, "<u4") == mark)
+    return [flat[i:j] for i, j in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(flat)], strict=True)]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers: those that the tokenizers library gives with ``add_special_tokens=False``.
 
@@ -91,7 +102,7 @@ class Encoder:
 
     def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
@@ -104,8 +115,8 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(t["content"]) for t in (not plain and read.get("added_tokens")) or ()) or r"(?!)")
         self.keeps_blanks = kind == "bytes"
         self.letters: dict[str, bool] = {}
-        # without blanks there are fewer distinct stretches, and packing shares its workers' memory with other stages
-        self.most = MOST_STRETCHES if self.keeps_blanks else MOST_STRETCHES // 2
+        # packing shares its workers' memory with other stages: it remembers fewer, and only those that stand twice or more among texts looked up together
+        self.most, self.often = (MOST_STRETCHES, 1) if self.keeps_blanks else (MOST_STRETCHES // 4, 2)
         self.known: dict[str, bytes] = self.nothing()
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -113,6 +124,13 @@ class Encoder:
         mark = "\n" if self.keeps_blanks else " \x01 "
         ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
         self.splits = kind is not None and len(ids) == 1
+        # words of plain letters need no normalizer but lower case, and are one pre-token each: the same model without the rest
+        self.plain = self.plain_mark = None
+        if self.splits and not self.keeps_blanks:
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            marks = self.plain.encode(".", add_special_tokens=False).ids
+            self.plain_mark = marks[0] if len(marks) == 1 else None
         if self.splits:
             self.mark = mark, ids[0]
             if self.keeps_blanks:
@@ -140,15 +158,28 @@ class Encoder:
             text = mark.join(some)
             # a part that is blank, or holds the mark, would run into the marks beside it; a special token would end what is before it
             if not any(map(str.isspace, some)) and text.count(mark.strip(" ")) == len(some) - 1 and not self.special.search(text):
-                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == mark_id)
-                if len(cuts) == len(some) - 1:
-                    flat = ids.tobytes()
-                    out += [flat[i:j] for i, j in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(flat)], strict=True)]
+                ids = self.whole([text])[0]
+                cut = _between(ids, mark_id)
+                if len(cut) == len(some):
+                    out += cut
                     continue
             out += self.whole(some)
         return out
 
+    def words(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of distinct words of letters, each after ``lead``."""
+        if self.plain_mark is None:
+            return dict(zip(words, self.many([lead + w for w in words]), strict=True))
+        plain = [w for w in words if w.isascii() or _LATIN(w)]
+        others = [w for w in words if not (w.isascii() or _LATIN(w))]
+        found = dict(zip(others, self.many(others), strict=True))
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = array("I", self.plain.encode_batch_fast([" . ".join(some).lower()], add_special_tokens=False)[0].ids)
+            # no id of a word of letters is that of the mark
+            found.update(zip(some, _between(ids.tobytes(), self.plain_mark), strict=True))
+        return found
+
     def ends(self, word: str) -> bool:
         """Whether marks after a word are a pre-token of their own: all its characters are letters to the library too, once normalized (some letters come apart into a letter and a mark)."""
         if word.isascii():
@@ -172,8 +203,8 @@ class Encoder:
         parts = [word, text[len(word) :]] if word != text and self.ends(word) else [text]
         return [*(["\n"] if start == "\n" else []), *parts] if start else [lead + parts[0], *parts[1:]]
 
-    def learn(self, stretches: list[str], lead: str) -> None:
-        """Adds the ids of stretches to those known. Words are kept among the known ones, other parts by themselves."""
+    def learn(self, stretches: list[str], lead: str) -> dict[str, bytes]:
+        """The ids of distinct stretches that are not known."""
         if len(self.parts) > MOST_PARTS:
             self.parts = {"\n": self.parts["\n"]} if self.keeps_blanks else {}
         known, older, parts = self.known, self.older, self.parts
@@ -201,13 +232,13 @@ class Encoder:
                         parts[x] = ids
                     else:
                         others.add(x)
-        words, new = list(fresh), list(others)
-        known.update(zip(words, self.many([lead + w for w in words]), strict=True))
+        found, new = self.words(list(fresh), lead), list(others)
         parts.update(zip(new, self.many(new), strict=True))
         for s, word, marks, ids in ended:
-            known[s] = (ids or known[word]) + parts[marks]
+            found[s] = (ids or found[word]) + parts[marks]
         for s, xs in cut:
-            known[s] = b"".join([parts[x] for x in xs])
+            found[s] = b"".join([parts[x] for x in xs])
+        return found
 
     def encode(self, batch: list[str]) -> list[bytes]:
         return self.encode_column(pa.array(batch, pa.string()))
@@ -215,8 +246,14 @@ class Encoder:
     def encode_column(self, column: pa.Array) -> list[bytes]:
         """The ids of each text of a column without nulls."""
         out: list[bytes] = []
-        for at in range(0, len(column), TEXTS):
-            out += self._encode(column.slice(at, TEXTS))
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and walking over what is remembered costs a sixth of the time
+        try:
+            for at in range(0, len(column), TEXTS):
+                out += self._encode(column.slice(at, TEXTS))
+        finally:
+            if collects:
+                gc.enable()
         pa.default_memory_pool().release_unused()
         return out
 
@@ -239,20 +276,17 @@ class Encoder:
         if len(self.known) > self.most:
             self.known, self.older = self.nothing(), self.known
         known, older = self.known, self.older
-        distinct = words.dictionary.to_pylist()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
         ids = list(map(known.get, distinct))
         gaps = [i for i, x in enumerate(ids) if x is None]
-        new = []
-        for i in gaps:
-            x = distinct[i]
-            found = older.get(x)
-            if found is None:
-                new.append(x)
-            else:
-                known[x] = found
-        self.learn(new, " " if self.keeps_blanks else "")
-        for i in gaps:
-            ids[i] = known[distinct[i]]
+        before = [older.get(distinct[i]) for i in gaps]
+        found = self.learn([distinct[i] for i, x in zip(gaps, before, strict=True) if x is None], " " if self.keeps_blanks else "")
+        times = np.bincount(words.indices.to_numpy(), minlength=len(distinct))[gaps].tolist() if gaps else []
+        for i, x, n in zip(gaps, before, times, strict=True):
+            stretch = distinct[i]
+            ids[i] = x = found[stretch] if x is None else x
+            if n >= self.often:
+                known[stretch] = x
         joined = pa.array(ids, pa.large_binary()).take(words.indices)
         starts = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :] if len(joined) else np.zeros(1, np.int64)
         data = joined.buffers()[2] or b""

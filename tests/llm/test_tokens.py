@@ -1,3 +1,4 @@
+import gc
 import json
 import random
 import struct
@@ -113,3 +114,11 @@ def test_string_ids(spark, tmp_path, library):
     assert [r["doc_id"] for r in got] == sorted(x for x, _ in rows)
     want = dict(zip([x for x, _ in rows], library(BYTE, [t for _, t in rows]), strict=True))
     assert all(r["ids_crc32"] == zlib.crc32(want[r["doc_id"]] + struct.pack("<I", 0)) for r in got)
+
+
+def test_the_collector_rests_while_texts_are_encoded(library):
+    e, seen = T.Encoder(T.tokenizer_path(BYTE)), []
+    learn = e.learn
+    e.learn = lambda *x: seen.append(gc.isenabled()) or learn(*x)
+    assert e.encode(["some text"]) == library(BYTE, ["some text"])
+    assert seen == [False] and gc.isenabled()
