@@ -49,6 +49,17 @@ def test_marks_after_any_letter(name, library):
     assert T.Encoder(T.tokenizer_path(name)).encode(texts) == library(name, texts)
 
 
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_words_that_stand_once_are_found_alike(name, library):
+    letters = "".join(map(chr, range(0xC0, 0x100))).replace("\u00d7", "").replace("\u00f7", "")
+    texts = [f"Stone Café {letters} stone. ŁÓDŹ word{i} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} . x" for i in range(100)] + [c + "b" for c in letters]
+    e = T.Encoder(T.tokenizer_path(name))
+    assert e.encode(texts) == library(name, texts) == e.encode(texts)
+    assert e.known["Café"] == library(name, [" Café" if e.keeps_blanks else "Café"])[0]
+    # packing, which shares its workers, remembers only words that texts looked up together repeat
+    assert ("word7" in e.known) == e.keeps_blanks
+
+
 @settings(max_examples=150, deadline=None)
 @given(batch=st.lists(st.text(alphabet=st.sampled_from("abÉzß .,\x02\x01'\n\t19*\u0301\u00a0Σ\u0130\u0958") | st.characters(categories=["Lu", "Ll", "Lo", "Mn", "Nd", "Po", "Zs"]), max_size=40), max_size=4))
 def test_any_text_gives_the_librarys_ids(batch, library):
