@@ -336,6 +336,12 @@ def test_unmatched_names_broadcast_suppliers_only(items, products, prices, suppl
     assert broadcasts(found) <= 1 and {r["raw_name"] for r in found.collect()} == {"Mozarella", "unicorn"}
 
 
+def test_unmatched_names_need_no_prices_and_broadcast_nothing(items, products, prices, suppliers):
+    found = compare.unmatched(items, products)
+    assert broadcasts(found) == 0
+    assert sorted(found.collect()) == sorted(compare.not_found(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz"))).collect())
+
+
 def test_listing_works_out_the_offers_of_a_name_once(spark, products, prices, suppliers):
     # one name and unit, one without a unit, one without a name
     rows = spark.createDataFrame([("p1", "tea", "kg"), ("p2", "tea", "kg"), ("p3", "tea", None), ("p4", None, "kg"), ("p5", "tea", None)], "id string, standardized_name string, standardized_unit string")

@@ -48,6 +48,13 @@ def test_compared_prices_find_and_miss(spark):
     assert all(r["matched_id"] is None for r in got if r["product_name"] == "qqq")
 
 
+def test_unmatched_names_read_what_they_need(spark):
+    def read(df):
+        return {os.path.basename(f).removesuffix(".parquet") for f in df.inputFiles()}
+
+    assert read(domain.unmatched_names(spark, SF)) == {"part"}
+
+
 def test_a_store_leaves_no_price_without_a_supplier(spark):
     for q in (domain.stored_prices, domain.product_price_update, domain.unit_price_update):
         assert q(spark, SF).where("supplier_id IS NULL OR product_id IS NULL").count() == 0
