@@ -342,6 +342,13 @@ def test_unmatched_names_need_no_prices_and_broadcast_nothing(items, products, p
     assert sorted(found.collect()) == sorted(compare.not_found(compare.compare_prices(items, products, prices, suppliers, F.lit(day(10)).cast("timestamp_ntz"))).collect())
 
 
+def test_a_summary_without_names_broadcasts_nothing_and_is_the_same(items, products, prices, suppliers):
+    at = F.lit(day(10)).cast("timestamp_ntz")
+    bare = compare.summarize(compare.compare_prices(items, products, prices, None, at))
+    assert broadcasts(bare) == 0
+    assert bare.first() == compare.summarize(compare.compare_prices(items, products, prices, suppliers, at)).first()
+
+
 def test_listing_works_out_the_offers_of_a_name_once(spark, products, prices, suppliers):
     # one name and unit, one without a unit, one without a name
     rows = spark.createDataFrame([("p1", "tea", "kg"), ("p2", "tea", "kg"), ("p3", "tea", None), ("p4", None, "kg"), ("p5", "tea", None)], "id string, standardized_name string, standardized_unit string")

@@ -48,10 +48,11 @@ def test_compared_prices_find_and_miss(spark):
     assert all(r["matched_id"] is None for r in got if r["product_name"] == "qqq")
 
 
-def test_unmatched_names_read_what_they_need(spark):
+def test_a_summary_and_unmatched_names_read_what_they_need(spark):
     def read(df):
         return {os.path.basename(f).removesuffix(".parquet") for f in df.inputFiles()}
 
+    assert read(domain.comparison_summary(spark, SF)) == {"part", "lineitem"}
     assert read(domain.unmatched_names(spark, SF)) == {"part"}
 
 
