@@ -375,6 +375,19 @@ def test_related_prices_write_no_pairs_of_products(spark, prices):
     assert {(r["for_id"], r["product_id"], r["amount"]) for r in got.collect()} == {(a, b, x) for a in ("p1", "p2") for b, x in (("p1", 9600.0), ("p1", 9500.0), ("p1", 9000.0), ("p2", 20000.0))} | {("p4", "p4", 9700.0)}
 
 
+def test_related_prices_are_dealt_out_and_meet_blocks_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "SAME_ROWS", 3)
+    rows = spark.createDataFrame([(i, "tea", "kg" if i and i % 2 else None) for i in [*range(40), None, 7]] + [(50, None, "kg")], "id long, standardized_name string, standardized_unit string")
+    costs = spark.createDataFrame([(i, i, s, float(i), None, None) for i in [1, 2, 50] for s in range(30)] + [(1, 1, None, 5.0, 2.0, None), (1, 1, 3, 5.0, 2.0, 9)], "id long, product_id long, supplier_id long, amount double, unit_price double, valid_to long")
+    got = catalogue.related_prices(rows, costs)
+    join = next(line for line in planned(got).splitlines() if "Join" in line)
+    assert "part" in join and "for_id" not in join
+    of = {1: [i for i in range(40) if i % 2] + [7], 2: [None, *range(0, 40, 2)]}
+    held = {p: [(p, s, float(p), None) for s in range(30)] for p in of}
+    held[1].append((1, None, 5.0, 2.0))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, *x)) for p in of for i in of[p] for x in held[p])
+
+
 def test_suppliers_of_a_text_are_looked_up_once(spark):
     suppliers = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(["Boga"] * 7 + ["boga", "Bali Boga", "Tea & Co", None])], "id string, name string")
     asked = spark.createDataFrame([(1, " boga"), (2, "BOGA "), (3, "bali"), (4, "co tea"), (5, "x  y"), (6, " "), (7, None), (1, "tea")], "item_id long, name string")
