@@ -407,6 +407,28 @@ def test_trigram_pairs_are_made_once_and_not_broadcast(spark, monkeypatch):
     assert sorted((r["k"], r["id"], r["similarity"]) for r in found.collect()) == [(k, i, 1.0) for k in (1, 2) for i in (1, 4, 7, 10, 13)]
 
 
+def test_trigrams_of_a_text_are_worked_out_once_and_its_questions_asked_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "SAME_QUESTIONS", 4)
+    monkeypatch.setattr(search, "GRAM_ROWS", 3)
+    names = spark.createDataFrame([(i, ("shop 00%d", "SHOP-00%d!")[i % 2] % (i % 3)) for i in range(30)] + [(40, "?!"), (41, None)], "id long, n string")
+    asked = spark.createDataFrame([(i, "Shop 001") for i in range(10)] + [(20, "shop"), (21, "xyz"), (22, "?!"), (23, None)], "k long, q string")
+    found = search.trigram_matches(asked, names, "k", "q", "id", "n", 0.3)
+    lines = planned(found).splitlines()
+    assert not any("regexp_replace" in line for line, below in zip(lines, lines[1:]) if "Scan" in below)
+    assert "/ 4.0" in planned(found)
+    got = sorted((r["k"], r["id"], round(r["similarity"], 9)) for r in found.collect())
+    whole = {i: 1.0 if i % 3 == 1 else round(7 / 11, 9) for i in range(30)}
+    assert got == [(k, i, whole[i]) for k in range(10) for i in range(30)] + [(20, i, round(5 / 9, 9)) for i in range(30)]
+
+
+def test_a_question_asks_no_further_than_a_trigram_of_all_names(spark):
+    names = spark.createDataFrame([(i, f"supplier {i:03}") for i in range(40)], "id long, n string")
+    asked = names.where("id % 20 = 0").withColumnsRenamed({"id": "k", "n": "q"})
+    rows = search.trigram_matches(asked, names, "k", "q", "id", "n", 0.3)
+    assert rows.count() == 80
+    assert "ubquery" in planned(rows) and "Broadcast" not in planned(rows)
+
+
 def test_nearest_vector_in_blocks_of_products(spark, monkeypatch):
     monkeypatch.setattr(vectors, "RING_ROWS", 4)
     monkeypatch.setattr(vectors, "ASKED_ROWS", 3)
