@@ -388,6 +388,18 @@ def test_related_prices_are_dealt_out_and_meet_blocks_of_ids(spark, monkeypatch)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, *x)) for p in of for i in of[p] for x in held[p])
 
 
+def test_related_prices_are_shuffled_in_arrays(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "SAME_PRICES", 4)
+    rows = spark.createDataFrame([(1, "tea", "kg"), (2, "tea", "kg"), (3, "tea", None), (None, "tea", None), (4, None, "kg")], "id long, standardized_name string, standardized_unit string")
+    costs = spark.createDataFrame([(1, 1, s % 5 if s else None, float(s), None if s % 2 else 1.0, None) for s in range(11)] + [(3, 3, 7, None, None, None), (1, 1, 8, 1.0, None, 9), (4, 4, 1, 1.0, None, None)], "id long, product_id long, supplier_id long, amount double, unit_price double, valid_to long")
+    got = catalogue.related_prices(rows, costs)
+    above = planned(got).split("SortMergeJoin")[1]  # from the last join to the one of products and prices
+    assert above.index("Exchange") < above.index("collect_list(struct(supplier_id") and above.count("Exchange") == 1
+    held = [(1, s % 5 if s else None, float(s), None if s % 2 else 1.0) for s in range(11)]
+    want = [(i, *x) for i in (1, 2) for x in held] + [(i, 3, 7, None, None) for i in (3, None)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_suppliers_of_a_text_are_looked_up_once(spark):
     suppliers = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(["Boga"] * 7 + ["boga", "Bali Boga", "Tea & Co", None])], "id string, name string")
     asked = spark.createDataFrame([(1, " boga"), (2, "BOGA "), (3, "bali"), (4, "co tea"), (5, "x  y"), (6, " "), (7, None), (1, "tea")], "item_id long, name string")

@@ -56,6 +56,12 @@ def test_a_summary_and_unmatched_names_read_what_they_need(spark):
     assert read(domain.unmatched_names(spark, SF)) == {"part"}
 
 
+def test_lines_of_related_prices_are_shuffled_once_and_unsorted(spark):
+    plan = domain.related_prices(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange hashpartitioning(l_partkey") :].split("FileScan")[0]
+    assert plan.count("Exchange") == 5 and "Sort" not in below and "Aggregate" not in below
+
+
 def test_a_store_leaves_no_price_without_a_supplier(spark):
     for q in (domain.stored_prices, domain.product_price_update, domain.unit_price_update):
         assert q(spark, SF).where("supplier_id IS NULL OR product_id IS NULL").count() == 0
